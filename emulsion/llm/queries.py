@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, language, mixing, quality, url_rules
+from . import audio, bpe, fingerprint, language, mixing, quality, secret_scan, url_rules
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("tensors").withColumn("seconds", F.round("seconds", 6))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -51,8 +55,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_source_mix, op3_language_id, op4_url_rules, op5_audio_features, op7_bpe, op8_quality)
+    own = (op1_source_mix, op3_language_id, op4_url_rules, op5_audio_features, op6_secret_scan, op7_bpe, op8_quality, op10_fingerprints)
     return {f.__name__: f for f in own} | {"llm_page_language": page_language}
 
 
