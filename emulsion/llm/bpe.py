@@ -181,10 +181,10 @@ class Coder:
 GROUP_CHARS = 4_000_000
 
 
-def groups(texts: list[str]) -> Iterator[list[str]]:
+def groups(texts: list[str], most: int = GROUP_CHARS) -> Iterator[list[str]]:
     own, chars = [], 0
     for t in texts:
-        if own and chars + len(t) > GROUP_CHARS:
+        if own and chars + len(t) > most:
             yield own
             own, chars = [], 0
         own.append(t)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, fingerprint, language, mixing, quality, secret_scan, url_rules
+from . import audio, bpe, fingerprint, language, mixing, near_dedup, quality, secret_scan, url_rules
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.groupBy(*row).agg(F.sum("taken").alias("taken"), F.count_if(F.col("taken") > 0).alias("draws")).select("doc_id", "source", "size", "source_size", "target", "taken", "draws")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language.identify_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return out.select("doc_id", F.col("lid_lang").alias("lang"), F.col("lid_text").alias("text_lang"), F.round("lid_posterior", 6).alias("posterior"), F.col("lid_kept").alias("kept"))
@@ -60,7 +64,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_source_mix, op3_language_id, op4_url_rules, op5_audio_features, op6_secret_scan, op7_bpe, op8_quality, op10_fingerprints)
+    own = (op1_source_mix, op2_near_dedup, op3_language_id, op4_url_rules, op5_audio_features, op6_secret_scan, op7_bpe, op8_quality, op10_fingerprints)
     return {f.__name__: f for f in own} | {"llm_page_language": page_language}
 
 

@@ -68,15 +68,15 @@ def labelled_samples(docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
     """token, random: made-up random strings; words, and identifiers made of them, from about ``sample`` documents."""
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 512)
-    forms = (digest, F.base64(F.unhex(digest)), F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", ""), F.upper(F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", "")))
+    forms = (digest, F.base64(F.unhex(digest)), F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", ""), F.upper(F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", "")), F.translate(F.base64(F.unhex(digest)), "+/", "-_"))
     random = spark.range(SAMPLE_RANDOM).select(F.explode(F.array(*(F.substring(f, 1, 40) for f in forms))).alias("token"), F.lit(True).alias("random"))
     n = max(1, docs.count())
     drawn = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < sample)
     words = drawn.select(F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9])[A-Za-z]{2,24}(?![A-Za-z0-9])"), F.lit(0)).alias("w"))
-    joined = [F.array_join(F.transform(F.slice("w", 1, 400), lambda x: x), sep) for sep in ("_", "-", "/", "")]
-    camel = F.array_join(F.transform(F.slice("w", 1, 400), lambda x: F.initcap(x)), "")
+    joined = [F.array_join(F.transform(F.slice("w", 1, 100), lambda x: x), sep) for sep in ("_", "-", "/", "")]
+    camel = F.array_join(F.transform(F.slice("w", 1, 100), lambda x: F.initcap(x)), "")
     ordinary = words.filter(F.size("w") > 0).select(F.explode(F.concat(F.array(*joined, camel, F.upper(joined[0])), F.col("w"))).alias("token"), F.lit(False).alias("random"))
-    fixed = [(c * 200, False) for c in "-=_/+0aAxX"] + [(f"20{y:02d}-{m:02d}-{d:02d}", False) for y in range(10, 40) for m in range(1, 13) for d in range(1, 29, 3)]
+    fixed = [(c * 8000, False) for c in ALPHABET] + [(f"20{y:02d}-{m:02d}-{d:02d}", False) for y in range(10, 40) for m in range(1, 13) for d in range(1, 29, 3)]
     return random.unionByName(ordinary).unionByName(spark.createDataFrame(fixed, "token string, random boolean"))
 
 
