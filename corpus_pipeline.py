@@ -1,15 +1,51 @@
-"""A corpus pipeline: language ID, near-dedup, secret scan, source mix, BPE."""
+"""A corpus pipeline: language ID, near-dedup, secret scan, source mix, BPE.
+
+Each stage works on the whole table that the one before it kept, and all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emulsion.llm import bpe, language, mixing, near_dedup, secret_scan
+from emulsion.llm.common import settle, table
+from emulsion.llm.queries import tokenizer_path
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told stay, with that language as lang; those without words or a likely language go."""
+    kept = language.identify_documents(docs).filter("lid_kept").withColumn("lang", F.col("lid_lang"))
+    return kept.select(*docs.columns)
+
+
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (five words, 0.8)."""
+    return near_dedup.near_dedup(docs)
+
+
+def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; its secrets are replaced by a mark."""
+    return secret_scan.redact(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn to the sources' targets: some not at all, some up to three times, the last of a source cut short."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each drawn document."""
+    return bpe.encode_decode(docs, tokenizer_path(), keep=True).drop("decoded")
+
 
-STAGES: list = []
+STAGES = [("language_id", language_id), ("minhash_dedup", minhash_dedup), ("secret_redaction", secret_redaction), ("source_mix", source_mix), ("bpe", tokens)]
+#: The trained models and the draws of the mix can't be written in SQL; tests/llm/test_pipeline.py holds a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

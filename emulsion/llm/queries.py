@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, fingerprint, language, mixing, near_dedup, quality, secret_scan, url_rules
+from . import audio, bpe, fingerprint, language, mixing, near_dedup, quality, secret_scan, suffix_dedup, url_rules
 from .common import table
 
 
@@ -59,12 +59,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats_removed(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_source_mix, op2_near_dedup, op3_language_id, op4_url_rules, op5_audio_features, op6_secret_scan, op7_bpe, op8_quality, op10_fingerprints)
+    own = (op1_source_mix, op2_near_dedup, op3_language_id, op4_url_rules, op5_audio_features, op6_secret_scan, op7_bpe, op8_quality, op9_suffix_dedup, op10_fingerprints)
     return {f.__name__: f for f in own} | {"llm_page_language": page_language}
 
 
