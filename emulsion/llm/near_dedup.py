@@ -173,7 +173,8 @@ def near_classes(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = settle(members.join(sizes, "family"), "family-members")
     wanted = members.select("family", "id", F.col("row.doc_id").alias("w_id"), F.col("row.text_key").alias("w_key"))
-    texts = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key"))).select("family", "id", "text")
+    # always merged: a text's way must not depend on how few are wanted
+    texts = keyed.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key"))).select("family", "id", "text")
     sets = texts.mapInArrow(_sets(k), "family long, id long, shingles array<long>").join(members.select(F.col("id").alias("m_id"), "blocks"), F.col("id") == F.col("m_id")).drop("m_id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (F.col("blocks") == 1) | (j != F.col("own"))))
