@@ -36,7 +36,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each drawn document."""
-    return bpe.encode_decode(docs, tokenizer_path(), keep=True).drop("decoded")
+    return bpe.encode_decode(docs, tokenizer_path(), with_ids=True)
 
 
 STAGES = [("language_id", language_id), ("minhash_dedup", minhash_dedup), ("secret_redaction", secret_redaction), ("source_mix", source_mix), ("bpe", tokens)]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 #: Fixed by the vocabulary's own pre-tokenizer.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 #: Words kept from batch to batch by a worker; the table starts anew beyond that.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -49,14 +49,9 @@ class Vocabulary:
         self.inner = [ids.get(c, -1) for c in chars]
         self.last = [ids.get(c + self.suffix, -1) for c in chars]
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.pairs: dict[int, tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(merges):
-            self.pairs.setdefault(ids[a] << 32 | ids[b], (rank, ids[a + b]))
-        key = np.array(sorted(self.pairs), dtype=np.int64)
-        self.keys, self.ranks = key, np.array([self.pairs[int(k)][0] for k in key], dtype=np.int64)
-        self.merged = np.zeros(len(merges), dtype=np.int64)
-        for rank, to in self.pairs.values():
-            self.merged[rank] = to
+        key = np.array([ids[a] << 32 | ids[b] for a, b in merges], dtype=np.int64)
+        self.keys, self.ranks = np.unique(key, return_index=True)  # of equal pairs the first rank
+        self.merged = np.array([ids[a + b] for a, b in merges], dtype=np.int64)
         size = max(max(ids.values()), *self.special.values()) + 1
         self.text: list[str] = [""] * size
         for token, i in ids.items():
@@ -178,7 +173,7 @@ class Coder:
 
 
 #: Texts are worked through in groups of about so many characters, or one text.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 1_000_000
 
 
 def groups(texts: list[str], most: int = GROUP_CHARS) -> Iterator[list[str]]:
@@ -193,14 +188,14 @@ def groups(texts: list[str], most: int = GROUP_CHARS) -> Iterator[list[str]]:
         yield own
 
 
-def encode_decode(docs: DataFrame, path: str, keep: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each document; with ``keep`` also ids array<int> and decoded string.
+def encode_decode(docs: DataFrame, path: str, with_ids: bool = False, with_text: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each document; and ids array<int> and decoded string if asked for.
 
     ``path`` names the vocabulary file on every worker. A null or empty text has no ids and decodes to an empty text. Repeated
     rows and null ids stay; other columns of ``docs`` are left out.
     """
     fields = [("doc_id", pa.int64(), "long"), ("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]
-    fields += [("ids", pa.list_(pa.int32()), "array<int>"), ("decoded", pa.string(), "string")] if keep else []
+    fields += [("ids", pa.list_(pa.int32()), "array<int>")] * with_ids + [("decoded", pa.string(), "string")] * with_text
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(path)
@@ -211,7 +206,7 @@ def encode_decode(docs: DataFrame, path: str, keep: bool = False) -> DataFrame:
                 for ids in coder.encode(texts):
                     decoded = coder.decode(ids)
                     row = (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                    rows.append((*row, ids.astype(np.int32), decoded) if keep else row)
+                    rows.append((*row, *[ids.astype(np.int32)] * with_ids, *[decoded] * with_text))
                 cols = zip(*rows, strict=True)
                 yield pa.record_batch([batch.column(0).slice(at, len(texts)), *(pa.array(c, f[1]) for c, f in zip(cols, fields[1:], strict=True))], names=[f[0] for f in fields])
                 at += len(texts)
