@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.color import RGB, clip, log_gain, num, rgb, scaled_gains, unit_luma_gains
+from ..functions.color import RGB, clip, log_gain, num, rgb, unit_luma_gains
 from ..operators import ordered, relate, stats
 from ..operators.stats import norm, on
 
@@ -64,17 +64,16 @@ def frame_work(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     """
     key = ["frame_id"]
     base = on(on(stats.exposure_metrics(pixels, key), stats.cast_metrics(pixels, key), key), stats.neutral_gains(pixels, key), key).join(frames, "frame_id")
-    raw = unit_luma_gains(gains_of("gain"))
     has = F.col("gain_r").isNotNull()
-    lg = raw.map(log_gain)
-    size = norm(*lg)
-    most = F.when(F.col("magnitude") >= 0.04, 0.90).otherwise(0.62)
-    limited = from_logs(times(lg, F.when(size > most, most / F.greatest(size, F.lit(1e-6))).otherwise(1.0)))
+    base = base.withColumns(named(logs(gains_of("gain")), "log")).withColumn("size", norm(*gains_of("log"))).withColumn("most", F.when(F.col("magnitude") >= 0.04, 0.90).otherwise(0.62))
+    base = base.withColumns(named(times(gains_of("log"), F.when(F.col("size") > F.col("most"), F.col("most") / F.greatest("size", F.lit(1e-6))).otherwise(1.0)).map(F.exp), "lim"))
+    limited = unit_luma_gains(gains_of("lim"))
     base = base.withColumns(named(RGB(*(F.when(has, c).otherwise(1.0) for c in limited)), "cand"))
     base = on(base, cast_after(pixels, base, {"cand": gains_of("cand")}), key)
 
     before, after = F.col("magnitude"), F.col("after_cand")
-    gain_size = norm(*logs(gains_of("cand")))
+    base = base.withColumns(named(logs(gains_of("cand")), "clog")).withColumn("gain_size", norm(*gains_of("clog")))
+    gain_size = F.col("gain_size")
     evidence = 0.35 * F.least(F.lit(1.0), F.col("neutral_pixels") / 2400.0) + 0.35 * F.least(F.lit(1.0), F.col("neutral_fraction") / 0.08) + 0.30 * clip(1.0 - F.col("sat_median") / 0.36, 0.0, 1.0)
     safety = clip(1.0 - gain_size / F.when(before >= 0.04, 0.88).otherwise(0.62), 0.0, 1.0)
     score = 0.55 * clip((before - after) / F.greatest(before, F.lit(1e-6)), 0.0, 1.0) + 0.25 * evidence + 0.20 * safety
@@ -83,7 +82,7 @@ def frame_work(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     base = base.withColumns({"score": F.bround("raw_score", 4), "trust": F.bround(F.when(obvious, F.col("raw_score") * evidence * (0.35 + 0.65 * safety)).otherwise(0.0), 3), "after_cand": F.bround(after, 5)})
     valid = (F.col("trust") >= 0.18) & (F.col("score") >= 0.12) & (F.col("after_cand") < before)
     accepted = valid & (F.col("trust") >= 0.24) & (F.col("score") >= 0.18) & (F.col("after_cand") <= F.greatest(before * 0.97, before - 0.0025))
-    base = base.withColumns({"accepted": F.coalesce(accepted, F.lit(False)), "exposure_class": stats.exposure_class(), "usable": stats.exposure_usable(), "gain_size": gain_size})
+    base = base.withColumns({"accepted": F.coalesce(accepted, F.lit(False)), "exposure_class": stats.exposure_class(), "usable": stats.exposure_usable()})
     reason = relate.first_reason(
         (~F.col("accepted"), "unreliable correction"), (F.col("neutral_fraction") < 0.015, "low neutral evidence"), (F.col("gain_size") > 0.78, "large correction"),
         (F.col("exposure_class") == "low-light salvageable", "low-light excluded from baseline"), (F.col("exposure_class") == "extreme protected", "extreme exposure"), (~F.col("usable"), "exposure outlier"), otherwise="",
@@ -200,11 +199,14 @@ def frame_plans(pixels: DataFrame, work: DataFrame, rolls: DataFrame) -> DataFra
     w = w.withColumn("membership", membership(F.bround(before, 5), member_after, frame_log, roll_log))
     stronger = (F.col("strength") > 1.001) & (F.col("membership") >= 0.80) & (F.col("exposure_class") == "normal") & ~((F.bround(before, 5) <= 0.012) & (F.col("membership") < 0.92))
     factor = F.when(stronger, 1.0 + (clip(F.col("strength"), 1.0, 1.20) - 1.0) * clip((F.col("membership") - 0.80) / 0.18, 0.0, 1.0)).otherwise(1.0)
-    w = w.withColumns(named(from_logs(times(roll_log, factor)), "strong"))
+    w = w.withColumns(named(times(roll_log, factor).map(F.exp), "xs"))
+    w = w.withColumns(named(unit_luma_gains(gains_of("xs")), "strong"))
     w = w.withColumns(named(logs(gains_of("strong")), "slog"))
     strong_log = gains_of("slog")
     combo = RGB(*(s + clip(f - s, -0.14, 0.14) * 0.45 for f, s in zip(frame_log, strong_log, strict=True)))
-    w = w.withColumns(named(from_logs(combo), "combo") | named(scaled_gains(gains_of("frame"), 0.45), "weakf") | named(scaled_gains(gains_of("strong"), 0.55 + 0.18 * clip((F.col("membership") - 0.55) / 0.35, 0.0, 1.0)), "weakr"))
+    share = 0.55 + 0.18 * clip((F.col("membership") - 0.55) / 0.35, 0.0, 1.0)
+    w = w.withColumns(named(combo.map(F.exp), "xc") | named(times(frame_log, 0.45).map(F.exp), "xf") | named(times(strong_log, share).map(F.exp), "xr"))
+    w = w.withColumns(named(unit_luma_gains(gains_of("xc")), "combo") | named(unit_luma_gains(gains_of("xf")), "weakf") | named(unit_luma_gains(gains_of("xr")), "weakr"))
     names = ("strong", "frame", "combo", "weakf", "weakr")
     w = settled(on(w, cast_after(pixels, w, {n: gains_of(n) for n in names}), key))
 
@@ -273,9 +275,9 @@ def tone_residuals(pixels: DataFrame) -> DataFrame:
     n = F.col("neutral")
     m = p.groupBy(*key).agg(F.count(F.lit(1)).alias("all"), F.count_if(n).alias("n"), F.first("most").alias("most"), F.median(F.when(n, F.col("luma"))).alias("t"), F.median(F.when(n, F.col("sat"))).alias("sat"), *(F.median(F.when(n, F.col(c))).alias(c) for c in "rgb"))
     good = F.coalesce((F.col("all") >= 96) & (F.col("n") >= 64) & (F.col("t") > 1e-6) & (F.least("r", "g", "b") > 1e-6), F.lit(False))
-    lg = logs(rgb().map(lambda c: F.col("t") / F.greatest(c, F.lit(1e-6))))
-    size = norm(*lg)
-    out = from_logs(times(lg, F.when(size > F.col("most"), F.col("most") / F.greatest(size, F.lit(1e-6))).otherwise(1.0)))
+    m = m.withColumns(named(logs(rgb().map(lambda c: F.col("t") / F.greatest(c, F.lit(1e-6)))), "log")).withColumn("size", norm(*gains_of("log")))
+    m = m.withColumns(named(times(gains_of("log"), F.when(F.col("size") > F.col("most"), F.col("most") / F.greatest("size", F.lit(1e-6))).otherwise(1.0)).map(F.exp), "lim"))
+    out = unit_luma_gains(gains_of("lim"))
     trust = 0.35 * F.least(F.lit(1.0), F.col("n") / 1600.0) + 0.35 * F.least(F.lit(1.0), F.col("n") / F.col("all") / 0.10) + 0.30 * clip(1.0 - F.col("sat") / 0.32, 0.0, 1.0)
     return m.select(*key, *(F.when(good, c).otherwise(1.0).alias(f"gain_{x}") for x, c in zip("rgb", out, strict=True)), F.when(good, trust).otherwise(0.0).alias("confidence"))
 
