@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches
+
 RATE_IN, RATE, UP, DOWN = 12_000, 8_000, 2, 3
 PAD_TO, PAD_BYTE = 192, b"\x20"
 TAPS = 24  # a phase of the resampling filter
@@ -172,4 +174,4 @@ def audio_features(docs: DataFrame) -> DataFrame:
     A null or empty text is one block of padding. Rows with a null doc_id or repeated rows stay as they are; other columns of
     ``docs`` are left out. ``tensors`` is the Arrow stream of the segments. Equal texts give equal values.
     """
-    return docs.select("doc_id", "text").mapInArrow(_clips, SCHEMA)
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(_clips, SCHEMA)

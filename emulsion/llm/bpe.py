@@ -21,10 +21,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches
+
 #: Fixed by the vocabulary's own pre-tokenizer.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 #: Words kept from batch to batch by a worker; the table starts anew beyond that.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 100_000
 
 
 def byte_symbols() -> list[str]:
@@ -173,7 +175,7 @@ class Coder:
 
 
 #: Texts are worked through in groups of about so many characters, or one text.
-GROUP_CHARS = 1_000_000
+GROUP_CHARS = 300_000
 
 
 def groups(texts: list[str], most: int = GROUP_CHARS) -> Iterator[list[str]]:
@@ -211,4 +213,4 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = False, with_text:
                 yield pa.record_batch([batch.column(0).slice(at, len(texts)), *(pa.array(c, f[1]) for c, f in zip(cols, fields[1:], strict=True))], names=[f[0] for f in fields])
                 at += len(texts)
 
-    return docs.select("doc_id", "text").mapInArrow(code, ", ".join(f"{n} {kind}" for n, _, kind in fields))
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(code, ", ".join(f"{n} {kind}" for n, _, kind in fields))

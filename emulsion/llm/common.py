@@ -45,3 +45,17 @@ def lower_az(c: Column) -> Column:
 
 def text_of(df: DataFrame, name: str = "text") -> Column:
     return F.coalesce(df[name], F.lit(""))
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering Spark's own default of 64 MB a batch between the JVM and Python to 2 MB, for the session.
+
+    A batch is in memory several times on its way; a setting of the user's own stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES, None) == "67108864b":
+        conf.set(BATCH_BYTES, "2m")
+    return df

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import groups
-from .common import settle
+from .common import bounded_batches, settle
 from .graph import components
 from .shingles import min_hashes, mixed, shingle_sets
 
@@ -26,8 +26,10 @@ ROWS_PER_HASH = 3
 #: Chance to miss a pair just at the threshold.
 MISS = 2e-3
 #: A block holds at most about so many classes and shingles of a family; a piece of work two blocks.
-BLOCK_CLASSES, BLOCK_SHINGLES = 1200, 1_500_000
-COLUMNS = 4096
+BLOCK_CLASSES, BLOCK_SHINGLES = 800, 1_000_000
+COLUMNS = 1024
+#: Texts are hashed in groups of about so many characters, or one text.
+GROUP_CHARS = 200_000
 
 
 def tables_for(percent: int) -> int:
@@ -43,7 +45,7 @@ def _signatures(k: int, m: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts in groups(batch.column(2).to_pylist(), 1_000_000):
+            for texts in groups(batch.column(2).to_pylist(), GROUP_CHARS):
                 sets = shingle_sets([t.encode("utf-8", "surrogatepass") for t in texts], k)
                 filled = [s for s in sets if len(s)]
                 small = np.zeros((0, 2 * m), np.int64)
@@ -69,7 +71,7 @@ def _sets(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts in groups(batch.column(2).to_pylist(), 1_000_000):
+            for texts in groups(batch.column(2).to_pylist(), GROUP_CHARS):
                 sets = [s.view(np.int64) for s in shingle_sets([t.encode("utf-8", "surrogatepass") for t in texts], k)]
                 yield pa.record_batch([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array(sets, pa.list_(pa.int64()))], names=["family", "id", "shingles"])
                 at += len(texts)
@@ -110,13 +112,14 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
         part = np.zeros((len(left), COLUMNS), np.float32)
         part[row[a:b], col[a:b] - c] = 1
         common += part @ part.T
-    both = common.astype(np.int64)
-    union = size[left][:, None] + size[left][None, :] - both
-    link = 100 * both >= percent * union
+    # 100 i >= percent * (a + b - i); single precision holds these whole numbers exactly up to 2**24
+    kind = np.float32 if 400 * int(size.max()) < 2**24 else np.float64
+    lengths = size[left].astype(kind)
+    link = common.astype(kind, copy=False) * (100 + percent) >= percent * (lengths[:, None] + lengths[None, :])
     np.fill_diagonal(link, True)
-    label = np.arange(len(left))
+    label = np.arange(len(left), dtype=np.int32)
     while True:
-        near = np.where(link, label[None, :], len(left)).min(axis=1)
+        near = np.where(link, label[None, :], np.int32(len(left))).min(axis=1)
         near = np.minimum(near, near[near])
         if (near == label).all():
             break
@@ -158,7 +161,7 @@ def near_classes(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     Repeated rows stay. Other columns of ``docs`` are left out.
     """
     m = tables_for(percent)
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    keyed = bounded_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     signed = settle(keyed.mapInArrow(_signatures(k, m), "doc_id long, text_key long, digest binary, n_shingles long, small array<long>"), "signatures")
     one = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("n_shingles").alias("n"), F.first("small").alias("small"))
     classes = settle(one.withColumn("id", F.monotonically_increasing_id()), "classes")

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .grams import SIZE, trigram_codes
 
 SAMPLE = 6000
@@ -100,7 +101,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
     A null or empty text has the score of a text without known trigrams. Null ids aren't held out. Repeated rows stay. With no
     labels the score is 0.5, with one class only that class's smoothed share. Other columns of ``docs`` are left out.
     """
-    weights, slope, offset = fit(docs, labels, sample)
+    weights, slope, offset = fit(bounded_batches(docs), labels, sample)
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     @F.pandas_udf("double")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import LENGTH, REACH, anchors, last_windows
-from .common import settle
+from .common import bounded_batches, settle
 
 MOST, UNIT = 40_000, 20_000
 SIDE = REACH + LENGTH  # bytes kept around an anchor
@@ -160,7 +160,7 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
     text of fewer than 200 bytes stays whole. Repeated rows repeat each other. Null ids are rows like others; other columns of
     ``docs`` are left out.
     """
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    keyed = bounded_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     fields = "row_id long, doc_id long, text_key long, n_bytes long, sha binary, keys array<long>, wholes array<long>"
     scan = settle(keyed.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text_key", "text").mapInArrow(_scan, fields), "anchors")
 
