@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import bounded_batches, settle
 from .grams import SIZE, trigram_codes
 
 SAMPLE = 4000
@@ -38,7 +38,7 @@ def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> tuple[lis
     known = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull())
     n = max(1, known.count())
     drawn = known.filter(F.pmod(F.xxhash64("doc_id", label), F.lit(n)) < sample).select(F.col(label).alias("lang"), "text")
-    got = drawn.mapInArrow(_gram_counts, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    got = bounded_batches(drawn).mapInArrow(_gram_counts, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
     count = np.full((SIZE, max(1, len(langs))), 0.05)
     at = {lang: i for i, lang in enumerate(langs)}
@@ -59,7 +59,7 @@ def text_evidence(docs: DataFrame, langs: list[str], table: np.ndarray):
             out.append(np.round(ll - ll.max(), 9).tolist())
         return pd.Series(out)
 
-    return evidence
+    return evidence.asNondeterministic()  # else a filter on its result is pushed down with a second call of it
 
 
 def parent_of(host: Column) -> Column:
@@ -84,7 +84,7 @@ def identify(
     languages (nothing was labelled) lid_lang is null and nothing is kept. Columns of those names in ``docs`` are replaced.
     """
     new = ("lid_lang", "lid_posterior", "lid_text", "lid_kept")
-    docs = docs.drop(*new)
+    docs = bounded_batches(docs.drop(*new))
     if not langs:
         return docs.withColumns({"lid_lang": F.lit(None).cast("string"), "lid_posterior": F.lit(None).cast("double"), "lid_text": F.lit(None).cast("string"), "lid_kept": F.lit(False)})
     nothing = F.lit(None).cast("string")
