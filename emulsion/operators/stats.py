@@ -1,13 +1,15 @@
-"""Robust statistics of groups of pixels, exact and in a bounded number of passes.
+"""Robust statistics of groups of pixels, exact and in one shuffle.
 
 Each takes a relation with columns r, g, b and the names of its keys (frame, tile, band). A step whose limit depends on a
-statistic is a grouped aggregate joined back; the frame side is small, and Spark broadcasts it when its size allows.
+statistic of the step before is a window over the keys, so a chain of such steps deals the pixels out once; a group is a frame
+or less, of bounded size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.color import clip, finite, luma601, luma709, rgb, unit
 
@@ -25,6 +27,12 @@ def on(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(renamed, match, "left").drop(*(f"_{k}" for k in keys))
 
 
+def beside(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
+    """``df`` with aggregates of each row's group put beside it."""
+    w = Window.partitionBy(*keys)
+    return df.withColumns({n: a.over(w) for n, a in aggregates.items()})
+
+
 def quantile(c: Column, q: float) -> Column:
     """Exact, linear between neighbours."""
     return F.percentile(c, F.lit(q))
@@ -84,16 +92,12 @@ def neutral(df: DataFrame, keys: list[str], clean: Column) -> DataFrame:
     """
     df = df.withColumn("clean", clean)
     own = F.when(F.col("clean"), F.col("sat"))
-    q = df.groupBy(*keys).agg(
-        F.count_if("clean").alias("n_clean"), F.percentile(own, F.array(F.lit(0.35), F.lit(0.55))).alias("sat_q"), quantile(F.when(F.col("clean"), F.col("spread")), 0.30).alias("spread_q")
-    )
-    first = F.least(F.lit(0.30), F.greatest(F.lit(0.055), F.get("sat_q", 0)))
-    q = q.withColumn("limit_1", first).withColumn("limit_2", F.least(F.lit(0.42), F.greatest("limit_1", F.get("sat_q", 1)))).withColumn("limit_3", F.least(F.lit(0.14), F.greatest(F.lit(0.045), F.col("spread_q"))))
-    df = on(df, q.drop("sat_q", "spread_q"), keys)
-    n = df.groupBy(*keys).agg(F.count_if(F.col("clean") & (F.col("sat") <= F.col("limit_1"))).alias("n_1"), F.count_if(F.col("clean") & (F.col("sat") <= F.col("limit_2"))).alias("n_2"))
-    df = on(df, n, keys)
+    df = beside(df, keys, n_clean=F.count_if("clean"), sat_a=quantile(own, 0.35), sat_b=quantile(own, 0.55), spread_q=quantile(F.when(F.col("clean"), F.col("spread")), 0.30))
+    df = df.withColumn("limit_1", F.least(F.lit(0.30), F.greatest(F.lit(0.055), F.col("sat_a"))))
+    df = df.withColumn("limit_2", F.least(F.lit(0.42), F.greatest("limit_1", "sat_b"))).withColumn("limit_3", F.least(F.lit(0.14), F.greatest(F.lit(0.045), F.col("spread_q"))))
+    df = beside(df, keys, n_1=F.count_if(F.col("clean") & (F.col("sat") <= F.col("limit_1"))), n_2=F.count_if(F.col("clean") & (F.col("sat") <= F.col("limit_2"))))
     chosen = F.when(F.col("n_1") >= 64, F.col("sat") <= F.col("limit_1")).when(F.col("n_2") >= 64, F.col("sat") <= F.col("limit_2")).otherwise(F.col("spread") <= F.col("limit_3"))
-    return df.withColumn("neutral", F.col("clean") & (F.col("n_clean") >= 16) & F.coalesce(chosen, F.lit(False))).drop("limit_1", "limit_2", "limit_3", "n_1", "n_2")
+    return df.withColumn("neutral", F.col("clean") & (F.col("n_clean") >= 16) & F.coalesce(chosen, F.lit(False))).drop("limit_1", "limit_2", "limit_3", "n_1", "n_2", "sat_a", "sat_b", "spread_q")
 
 
 def medians(df: DataFrame, keys: list[str], where: Column, **columns: Column) -> DataFrame:
@@ -102,12 +106,10 @@ def medians(df: DataFrame, keys: list[str], where: Column, **columns: Column) ->
 
 def trimmed(df: DataFrame, keys: list[str], chosen: str, q: float, least_before: int, least_after: int, columns: dict[str, Column]) -> DataFrame:
     """``chosen`` without the rows farthest from the median of ``columns``, where enough rows are chosen and left."""
-    centre = medians(df, keys, F.col(chosen), **{f"_m_{n}": c for n, c in columns.items()})
-    df = on(df, centre, keys).withColumn("_away", norm(*(c - F.col(f"_m_{n}") for n, c in columns.items())))
-    limit = df.groupBy(*keys).agg(F.count_if(chosen).alias("_n"), quantile(F.when(F.col(chosen), F.col("_away")), q).alias("_limit"))
-    df = on(df, limit, keys)
-    kept = df.groupBy(*keys).agg(F.count_if(F.col(chosen) & (F.col("_away") <= F.col("_limit"))).alias("_kept"))
-    df = on(df, kept, keys)
+    df = beside(df, keys, **{f"_m_{n}": F.median(F.when(F.col(chosen), c)) for n, c in columns.items()})
+    df = df.withColumn("_away", norm(*(c - F.col(f"_m_{n}") for n, c in columns.items())))
+    df = beside(df, keys, _n=F.count_if(chosen), _limit=quantile(F.when(F.col(chosen), F.col("_away")), q))
+    df = beside(df, keys, _kept=F.count_if(F.col(chosen) & (F.col("_away") <= F.col("_limit"))))
     trims = (F.col("_n") >= least_before) & (F.col("_kept") >= least_after)
     out = df.withColumn(chosen, F.col(chosen) & (~trims | (F.col("_away") <= F.col("_limit"))))
     return out.drop("_away", "_n", "_limit", "_kept", *(f"_m_{n}" for n in columns))
@@ -116,14 +118,14 @@ def trimmed(df: DataFrame, keys: list[str], chosen: str, q: float, least_before:
 def cast_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
     """How far the neutral pixels are from grey: magnitude, cast_r, cast_g, cast_b, neutral_fraction, neutral_pixels, sampled, sat_median."""
     p = neutral(with_tone(df), keys, clean_pixels((0.08, 0.94), 0.01, 0.985))
-    n = p.groupBy(*keys).agg(F.count_if("neutral").alias("n_neutral"))
-    p = on(p, n, keys)
+    p = beside(p, keys, n_neutral=F.count_if("neutral"))
     p = p.withColumn("used", F.when(F.col("n_neutral") >= 16, F.col("neutral")).otherwise(F.col("clean") & (F.col("n_clean") >= 16)))
     res = {c: F.col(c) - F.col("luma") for c in "rgb"}
-    first = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("sampled"), F.count_if("used").alias("n_used"), F.median(F.when(F.col("used"), F.col("sat"))).alias("sat_median"))
+    p = p.withColumn("first", F.col("used"))
     kept = trimmed(p, keys, "used", 0.85, 32, 16, res)
-    cast = medians(kept, keys, F.col("used"), **res)
-    out = on(first, cast, keys)
+    out = kept.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("sampled"), F.count_if("first").alias("n_used"), F.median(F.when(F.col("first"), F.col("sat"))).alias("sat_median"), *(F.median(F.when(F.col("used"), c)).alias(n) for n, c in res.items())
+    )
     luma = luma601(rgb())
     c = [F.coalesce(F.col(x) - luma, F.lit(0.0)) for x in "rgb"]
     return out.select(
@@ -135,10 +137,8 @@ def cast_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
 def neutral_gains(df: DataFrame, keys: list[str]) -> DataFrame:
     """Gains that make the neutral pixels grey: gain_r, gain_g, gain_b before normalising, and n; null where there are too few."""
     p = neutral(with_tone(df), keys, clean_pixels((0.06, 0.96), 0.006, 0.992)).withColumn("used", F.col("neutral"))
-    n = p.groupBy(*keys).agg(F.count_if("used").alias("n"), F.count(F.lit(1)).alias("pixels"))
     kept = trimmed(p, keys, "used", 0.80, 128, 96, {c: F.col(c) for c in "rgb"})
-    m = medians(kept, keys, F.col("used"), r=F.col("r"), g=F.col("g"), b=F.col("b"), target=F.col("luma"))
-    out = on(n, m, keys)
+    out = kept.groupBy(*keys).agg(F.count_if("neutral").alias("n"), F.count(F.lit(1)).alias("pixels"), *(F.median(F.when(F.col("used"), F.col(c))).alias(n) for n, c in (("r", "r"), ("g", "g"), ("b", "b"), ("target", "luma"))))
     good = (F.col("n") >= 96) & (F.col("pixels") >= 64) & (F.col("target") > 1e-6) & (F.least("r", "g", "b") > 1e-6)
     return out.select(*keys, "n", *(F.when(good, F.col("target") / F.when(F.col(c) > 1e-6, F.col(c))).alias(f"gain_{c}") for c in "rgb"))
 
@@ -174,23 +174,21 @@ def normalised_log(df: DataFrame, keys: list[str], bounds: DataFrame) -> DataFra
 def white_balance_sample(df: DataFrame, keys: list[str], luma: Column, band: tuple[float, float], inside: tuple[float, float], chroma_q: float | None) -> DataFrame:
     """``df`` plus sampled: rows of middle luma, then unclipped ones, then those of little colour; each step if 128 rows stay."""
     df = df.withColumn("_luma", luma)
-    q = df.groupBy(*keys).agg(F.percentile("_luma", F.array(F.lit(band[0]), F.lit(band[1]))).alias("_q"))
-    df = on(df, q, keys).withColumn("sampled", (F.col("_luma") >= F.get("_q", 0) - SLACK) & (F.col("_luma") <= F.get("_q", 1) + SLACK))
+    df = beside(df, keys, _qa=quantile(F.col("_luma"), band[0]), _qb=quantile(F.col("_luma"), band[1]))
+    df = df.withColumn("sampled", (F.col("_luma") >= F.col("_qa") - SLACK) & (F.col("_luma") <= F.col("_qb") + SLACK))
     p = rgb()
     within = (F.least(*p) > inside[0]) & (F.greatest(*p) < inside[1])
 
     def step(df: DataFrame, keep: Column, fallback: Column) -> DataFrame:
-        n = df.groupBy(*keys).agg(F.count_if(keep).alias("_keep"))
-        return on(df, n, keys).withColumn("sampled", F.when(F.col("_keep") >= 128, keep).otherwise(fallback)).drop("_keep")
+        return beside(df, keys, _keep=F.count_if(keep)).withColumn("sampled", F.when(F.col("_keep") >= 128, keep).otherwise(fallback)).drop("_keep")
 
     df = step(df, F.col("sampled"), F.lit(True))
     df = step(df, F.col("sampled") & within, F.col("sampled"))
     if chroma_q is not None:
         df = df.withColumn("_chroma", F.greatest(*p) - F.least(*p))
-        lim = df.groupBy(*keys).agg(quantile(F.when(F.col("sampled"), F.col("_chroma")), chroma_q).alias("_lim"))
-        df = on(df, lim, keys)
+        df = beside(df, keys, _lim=quantile(F.when(F.col("sampled"), F.col("_chroma")), chroma_q))
         df = step(df, F.col("sampled") & (F.col("_chroma") <= F.col("_lim") + SLACK), F.col("sampled")).drop("_chroma", "_lim")
-    return df.drop("_luma", "_q")
+    return df.drop("_luma", "_qa", "_qb")
 
 
 def auto_offsets(df: DataFrame, keys: list[str], strength: float = 0.65) -> DataFrame:

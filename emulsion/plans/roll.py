@@ -13,17 +13,13 @@ from pyspark.sql.window import Window
 
 from ..functions.color import RGB, clip, log_gain, num, rgb, unit_luma_gains
 from ..operators import ordered, relate, stats
+from ..operators.scratch import settled
 from ..operators.stats import norm, on
 
 FULL = 65535.0
 IDENTITY = ("none", "protected", "review", "skip-extreme")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Kept in memory or on disk while it is used again; recomputed where it is lost."""
-    return df.persist()
-
-
 def rounded(df: DataFrame, places: int = 5) -> DataFrame:
     return df.select(*(F.round(n, places).alias(n) if kind == "double" else F.col(n) for n, kind in df.dtypes))
 
@@ -68,7 +64,7 @@ def frame_work(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     base = base.withColumns(named(logs(gains_of("gain")), "log")).withColumn("size", norm(*gains_of("log"))).withColumn("most", F.when(F.col("magnitude") >= 0.04, 0.90).otherwise(0.62))
     base = base.withColumns(named(times(gains_of("log"), F.when(F.col("size") > F.col("most"), F.col("most") / F.greatest("size", F.lit(1e-6))).otherwise(1.0)).map(F.exp), "lim"))
     limited = unit_luma_gains(gains_of("lim"))
-    base = base.withColumns(named(RGB(*(F.when(has, c).otherwise(1.0) for c in limited)), "cand"))
+    base = settled(base.withColumns(named(RGB(*(F.when(has, c).otherwise(1.0) for c in limited)), "cand")))
     base = on(base, cast_after(pixels, base, {"cand": gains_of("cand")}), key)
 
     before, after = F.col("magnitude"), F.col("after_cand")
@@ -103,7 +99,7 @@ def baseline(work: DataFrame) -> DataFrame:
     values = ["l_r", "l_g", "l_b"]
     c = settled(relate.gain_cluster(used, key, "frame_id", values, "w"))
     first = ordered.weighted_median(c.filter("in_cluster"), key, values, "w").withColumnsRenamed({v: f"m{v}" for v in values})
-    c = on(c, first, key).withColumn("d", norm(*(F.col(v) - F.col(f"m{v}") for v in values)))
+    c = settled(on(c, first, key)).withColumn("d", norm(*(F.col(v) - F.col(f"m{v}") for v in values)))
     mid = c.groupBy(*key).agg(F.median(F.when(F.col("in_cluster"), F.col("d"))).alias("md"))
     c = on(c, mid, key)
     mad = c.groupBy(*key).agg(F.median(F.when(F.col("in_cluster"), F.abs(F.col("d") - F.col("md")))).alias("mad"))
@@ -118,7 +114,7 @@ def baseline(work: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list("frame_id")).alias("kept_frames"), *(F.first(f"c{v}").alias(v) for v in values),
     )
     total = work.groupBy(*key).agg(F.count(F.lit(1)).alias("analysed"))
-    out = on(total, spread, key)
+    out = settled(on(total, spread, key))
     several = F.coalesce(F.col("n_used") >= 2, F.lit(False))
     confidence = 0.35 * F.least(F.lit(1.0), F.col("n") / 8.0) + 0.30 * F.least(F.lit(1.0), F.col("n") / F.col("analysed") / 0.55) + 0.35 * clip(1.0 - F.col("spread") / 0.18, 0.0, 1.0)
     out = out.withColumns({
@@ -189,7 +185,7 @@ def frame_plans(pixels: DataFrame, work: DataFrame, rolls: DataFrame) -> DataFra
     """A row a frame: what to do, with which gains, and the cast that leaves."""
     key = ["frame_id"]
     roll = rolls.select("roll_id", *(f"roll_{n}" for n in "rgb"), "strength", "target_p50", "target_p95", (F.size("kept_frames") >= 2).alias("_two"))
-    w = work.join(roll, "roll_id")
+    w = settled(work.join(roll, "roll_id"))
     w = settled(on(w, cast_after(pixels, w, {"roll": gains_of("roll")}), key))
     w = w.withColumns(named(logs(gains_of("roll")), "rlog") | named(logs(gains_of("frame")), "flog"))
     roll_log, frame_log = gains_of("rlog"), gains_of("flog")
@@ -206,7 +202,7 @@ def frame_plans(pixels: DataFrame, work: DataFrame, rolls: DataFrame) -> DataFra
     combo = RGB(*(s + clip(f - s, -0.14, 0.14) * 0.45 for f, s in zip(frame_log, strong_log, strict=True)))
     share = 0.55 + 0.18 * clip((F.col("membership") - 0.55) / 0.35, 0.0, 1.0)
     w = w.withColumns(named(combo.map(F.exp), "xc") | named(times(frame_log, 0.45).map(F.exp), "xf") | named(times(strong_log, share).map(F.exp), "xr"))
-    w = w.withColumns(named(unit_luma_gains(gains_of("xc")), "combo") | named(unit_luma_gains(gains_of("xf")), "weakf") | named(unit_luma_gains(gains_of("xr")), "weakr"))
+    w = settled(w.withColumns(named(unit_luma_gains(gains_of("xc")), "combo") | named(unit_luma_gains(gains_of("xf")), "weakf") | named(unit_luma_gains(gains_of("xr")), "weakr")))
     names = ("strong", "frame", "combo", "weakf", "weakr")
     w = settled(on(w, cast_after(pixels, w, {n: gains_of(n) for n in names}), key))
 
