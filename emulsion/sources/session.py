@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Field names of session and label files.
 POINT = "struct<x:int,y:int>"
 RECT = "struct<x:int,y:int,width:int,height:int,angle:double>"
 STATE = (
