@@ -26,7 +26,7 @@ ROWS_PER_HASH = 3
 #: Chance to miss a pair just at the threshold.
 MISS = 2e-3
 #: A block holds at most about so many classes and shingles of a family; a piece of work two blocks.
-BLOCK_CLASSES, BLOCK_SHINGLES = 800, 1_000_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 400, 400_000
 COLUMNS = 1024
 #: Texts are hashed in groups of about so many characters, or one text.
 GROUP_CHARS = 200_000
