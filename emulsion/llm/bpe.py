@@ -26,7 +26,7 @@ from .common import bounded_batches
 #: Fixed by the vocabulary's own pre-tokenizer.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 #: Words kept from batch to batch by a worker; the table starts anew beyond that.
-KEPT_WORDS = 100_000
+KEPT_WORDS = 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -175,7 +175,7 @@ class Coder:
 
 
 #: Texts are worked through in groups of about so many characters, or one text.
-GROUP_CHARS = 300_000
+GROUP_CHARS = 1_000_000
 
 
 def groups(texts: list[str], most: int = GROUP_CHARS) -> Iterator[list[str]]:
