@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, settle
 from .grams import SIZE, trigram_codes
 
+#: Labelled rows of each language, in expectation, that its model is fitted on.
 SAMPLE = 4000
+#: Shares of the mean of all languages and of an even distribution in a language's model.
+MEAN_SHARE, EVEN_SHARE = 0.08, 0.02
 #: Strength of the prior of a host, a domain and the counts of declared languages and suffixes, in texts.
 HOST_PRIOR, DOMAIN_PRIOR, TABLE_PRIOR = 20.0, 50.0, 1.0
 #: A text's likelihood counts as that of so many independent trigrams at most: neighbours overlap, and long texts aren't surer.
@@ -34,16 +37,32 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and their (SIZE, languages) log-probabilities, from about ``sample`` labelled rows drawn by a hash."""
-    known = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull())
-    n = max(1, known.count())
-    drawn = known.filter(F.pmod(F.xxhash64("doc_id", label), F.lit(n)) < sample).select(F.col(label).alias("lang"), "text")
+    """Languages and their (SIZE, languages) log-probabilities, from about ``sample`` rows of each language drawn by a hash.
+
+    The languages are those of a grouped count over all rows, and the rate of a draw is the language's own, so each labelled
+    language has a model at every size; of one with ``sample`` rows or fewer all are drawn. Only rows with a letter count. Each
+    distribution is mixed in fixed shares with the mean of all languages and an even one: a language of few rows isn't
+    smoothed more than one of many.
+    """
+    known = docs.filter(F.col(label).isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    hashed = F.xxhash64("doc_id", label, "text")
+    counts = known.groupBy(F.col(label).alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.min(hashed).alias("least")).collect()
+    of = {r["lang"]: (r["n"], r["least"]) for r in counts}
+    if not of:
+        return [], np.zeros((SIZE, 1), np.float32)
+    rate = lambda k: F.element_at(F.create_map(*(F.lit(x) for lang in sorted(of) for x in (lang, of[lang][k]))), F.col(label))
+    # the least hash is there for languages whose rows are all equal, which a draw could miss as one
+    drawn = known.filter((F.pmod(hashed, rate(0)) < sample) | (hashed == rate(1))).select(F.col(label).alias("lang"), "text")
     got = bounded_batches(drawn).mapInArrow(_gram_counts, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
-    count = np.full((SIZE, max(1, len(langs))), 0.05)
+    if not langs:
+        return [], np.zeros((SIZE, 1), np.float32)
+    count = np.zeros((SIZE, len(langs)))
     at = {lang: i for i, lang in enumerate(langs)}
     count[got.column("code").to_numpy(), [at[x] for x in got.column("lang").to_pylist()]] += got.column("n").to_numpy()
-    return langs, np.log(count / count.sum(axis=0)).astype(np.float32)
+    own = count / count.sum(axis=0)
+    shared = MEAN_SHARE * own.mean(axis=1, keepdims=True) + EVEN_SHARE / SIZE
+    return langs, np.log((1 - MEAN_SHARE - EVEN_SHARE) * own + shared).astype(np.float32)
 
 
 def text_evidence(docs: DataFrame, langs: list[str], table: np.ndarray):

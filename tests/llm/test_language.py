@@ -72,3 +72,18 @@ def test_edges(spark):
     assert language.identify_documents(corpus.empty(spark)).count() == 0
     unlabelled = corpus.documents(spark).withColumn("lang", F.lit(None).cast("string"))
     assert language.identify_documents(unlabelled).filter("lid_kept").count() == 0
+
+
+def test_every_labelled_language_has_a_model(spark):
+    rng = np.random.default_rng(8)
+
+    def words(letters, n):
+        return " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
+
+    rows = [(i, words("abcdefgh", 30), "aa") for i in range(1500)] + [(2000 + i, words("ijklmnop", 30), "bb") for i in range(1500)]
+    rows += [(5000 + i, words("qrstuvwx", 12), "rare") for i in range(5)] + [(None, words("yz", 12), "equal")] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, table_ = language.fit(df, sample=100)
+    assert langs == ["aa", "bb", "equal", "rare"]
+    got = language.identify(df, langs, table_).collect()
+    assert len(got) == len(rows) and all(r["lid_lang"] == r["lang"] for r in got)
