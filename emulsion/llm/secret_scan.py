@@ -1,8 +1,9 @@
 """Secret scans with DataFrame functions only: fixed patterns, and character Markov models of long tokens.
 
 Two first-order Markov models over 67 characters are counted from labelled samples: random strings, and ordinary words and
-identifiers. A token of ``LEAST_TOKEN`` characters or more whose log-likelihood ratio is high enough for its length is a span
-of kind ``random``, unless a span of a fixed pattern overlaps it.
+identifiers. Spans of fixed patterns are blanked first. A token of ``LEAST_TOKEN`` characters or more of what is left whose
+log-likelihood ratio is high enough for its length is a span of kind ``random``; so is a piece between separators, and in a
+token that isn't one as a whole each stretch that is, widened to the separators around it.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ ASSIGN, ACCESS, HEX = ASSIGN_HEAD + "[A-Za-z0-9+/_.=-]+", "AKIA[A-Z0-9]{12,}", "
 LEAST_VALUE = 8
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-LEAST_TOKEN = 20
-TOKEN = "[A-Za-z0-9+/_=-]{%d,}" % LEAST_TOKEN
+LEAST_TOKEN = 16
+#: Below so many characters a span needs a letter: bare numbers of 16 to 19 digits are those of cards and accounts.
+LEAST_NUMBER = 20
+TOKEN, PIECE = "[A-Za-z0-9+/_=-]{%d,}" % LEAST_TOKEN, "[A-Za-z0-9]{%d,}" % LEAST_TOKEN
 #: A token is random if its ratio is above LEAST_RATIO and above RATIO_PER_CHAR for each character.
 LEAST_RATIO, RATIO_PER_CHAR = 8.0, 0.35
 #: Documents, in expectation, whose words are samples of ordinary text, and random strings of each form.
@@ -96,6 +99,70 @@ def ratio(token: Column, table: list[float]) -> Column:
     return F.aggregate(pairs_of(token), F.lit(0.0), lambda acc, p: acc + F.element_at(values, p))
 
 
+def blanked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces in place of the spans, which are in order and may overlap; positions stay."""
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        fill = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, fill).alias("out"))
+
+    rest = F.aggregate(spans, first, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, rest).otherwise(text)
+
+
+def stretches(token: Column, table: list[float]) -> Column:
+    """Spans in a token's match where the ratio stays above RATIO_PER_CHAR a character, until it falls LEAST_RATIO below its peak."""
+    values = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+
+    def state(at: Column, start: Column, total: Column, peak: Column, stop: Column, spans: Column) -> Column:
+        return F.struct(at.alias("at"), start.alias("start"), total.alias("total"), peak.alias("peak"), stop.alias("stop"), spans.alias("spans"))
+
+    def closed(acc: Column) -> Column:
+        n = acc["stop"] - acc["start"]
+        good = (n >= LEAST_TOKEN) & (acc["peak"] > 0) & (acc["peak"] + RATIO_PER_CHAR * n > LEAST_RATIO)
+        return F.when(good, F.array_append(acc["spans"], F.struct(acc["start"].alias("start"), acc["stop"].alias("stop")))).otherwise(acc["spans"])
+
+    def step(acc: Column, p: Column) -> Column:
+        def moved(total: Column) -> Column:
+            new = acc["at"] + 1
+            over = (total <= 0) | (total < acc["peak"] - LEAST_RATIO)
+            fresh = state(new, new, F.lit(0.0), F.lit(0.0), new, closed(acc))
+            higher = total > acc["peak"]
+            on = state(new, acc["start"], total, F.greatest(total, acc["peak"]), F.when(higher, new + 1).otherwise(acc["stop"]), acc["spans"])
+            return F.when(over, fresh).otherwise(on)
+
+        return let(acc["total"] + F.element_at(values, p) - RATIO_PER_CHAR, moved)
+
+    first = state(F.lit(0), F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(0), none)
+    return F.aggregate(pairs_of(token), first, step, closed)
+
+
+def widened(token: Column, x: Column) -> Column:
+    """A stretch of a token as a span of the text, out to the separators around it."""
+    text = token["match"]
+    head, tail = F.substr(text, F.lit(1), x["start"]), F.substr(text, x["stop"] + 1, F.length(text))
+    start = x["start"] - F.length(F.regexp_extract(head, "(?<![A-Za-z0-9])[A-Za-z0-9]++$", 0))
+    stop = x["stop"] + F.length(F.regexp_extract(tail, "^[A-Za-z0-9]*+", 0))
+    return let(
+        F.struct(start.alias("a"), stop.alias("b")),
+        lambda w: F.struct((token["start"] + w["a"]).alias("start"), token["kind"].alias("kind"), (token["start"] + w["b"]).alias("end"), F.substr(text, w["a"] + 1, w["b"] - w["a"]).alias("match")),
+    )
+
+
+def random_spans(text: Column, table: list[float]) -> Column:
+    """Spans of kind random of a text whose fixed spans are blanked; none lies inside another."""
+    likely = lambda m: ratio(m, table) > F.greatest(F.lit(LEAST_RATIO), RATIO_PER_CHAR * F.length(m))
+    parts = lambda t: F.when(likely(t["match"]), F.array(t)).otherwise(F.transform(stretches(t["match"], table), lambda x: widened(t, x)))
+    wide = F.flatten(F.transform(found(text, TOKEN, 3), parts))
+    every = F.array_distinct(F.concat(wide, found(text, PIECE, 3, likely)))
+    larger = lambda a, b: (a["start"] <= b["start"]) & (a["end"] >= b["end"]) & (a["end"] - a["start"] > b["end"] - b["start"])
+    every = F.filter(every, lambda x: (F.length(x["match"]) >= LEAST_NUMBER) | x["match"].rlike("[A-Za-z]"))
+    return let(every, lambda all_: F.filter(all_, lambda b: ~F.exists(all_, lambda a: larger(a, b))))
+
+
 def secret_spans(docs: DataFrame, table: list[float] | None = None) -> DataFrame:
     """``docs`` plus secret_base and secret_spans, arrays of (start, kind, end, match) by start, then kind.
 
@@ -107,10 +174,8 @@ def secret_spans(docs: DataFrame, table: list[float] | None = None) -> DataFrame
     text = F.coalesce("text", F.lit(""))
     value = lambda m: F.length(F.regexp_replace(m, "^" + ASSIGN_HEAD, "")) >= LEAST_VALUE
     base = F.array_sort(F.concat(found(text, ASSIGN, 0, value), found(text, ACCESS, 1), found(text, HEX, 2)))
-    likely = lambda m: ratio(m, table) > F.greatest(F.lit(LEAST_RATIO), RATIO_PER_CHAR * F.length(m))
-    out = docs.withColumns({"secret_base": base, "_tokens": found(text, TOKEN, 3, likely)})
-    free = F.filter("_tokens", lambda t: ~F.exists("secret_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return out.withColumn("secret_spans", F.array_sort(F.concat("secret_base", free))).drop("_tokens")
+    out = docs.withColumn("secret_base", base).withColumn("_left", blanked(text, F.col("secret_base")))
+    return out.withColumn("secret_spans", F.array_sort(F.concat("secret_base", random_spans(F.col("_left"), table)))).drop("_left")
 
 
 def written(spans: Column) -> Column:

@@ -65,3 +65,20 @@ def test_edge_rows_and_redaction(spark):
     row = {r["doc_id"]: r for r in out.collect()}[12]
     assert row["text"] == "<SECRET> <SECRET> <SECRET>" and row["n_chars"] == len(row["text"])
     assert secret_scan.secret_report(corpus.empty(spark)).count() == 0
+
+
+def test_random_parts_of_longer_tokens(spark):
+    key, sixteen = "aKq3ZpX9vLt2Wm8RbYc5Nd7Hs1Gf4Je6QzTk0Uo2", "xK9vQ2mZ7pR4tW8j"
+    access, digits = "AKIA" + "QWERTYUIOPASDFGH", "0123456789abcdef" * 2
+    path = "/home/user/projects/documents/reports/quarterly/archive/summaries/customers/"
+    texts = [f"{access}/{key}", f"{digits}-{key}", f"{key}/token=abcdefgh", path + key, path + key[:19] + "/" + key[19:], f"see {sixteen} there", path + key + "/reports/quarterly/archive/summaries/customers/" + key[::-1], path, "ordinary_words_in_a_long_identifier/and-a-path-of-words"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, corpus.sentence(i, 80)) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    table = secret_scan.fit(secret_scan.labelled_samples(docs))
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redact(df, table).collect()}
+    for i in (0, 1, 2, 3, 5, 6):
+        assert key not in got[i] and key[::-1] not in got[i] and sixteen not in got[i], (i, got[i])
+    assert key[:19] not in got[4] and key[19:] not in got[4], got[4]
+    assert got[7] == texts[7] and got[8] == texts[8]
+    assert all(got[100 + i] == corpus.sentence(i, 80) for i in range(50))
