@@ -175,7 +175,11 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
     flags = flags.groupBy("row_id").agg(
         F.collect_list(F.when(~F.col("single"), F.col("k"))).alias("whole"), F.collect_list(F.when(F.col("ask"), F.struct("k", "key", "single", "hot"))).alias("asked")
     )
-    flags = settle(flags.join(scan.select("row_id", "doc_id", "text_key"), "row_id").dropDuplicates(["doc_id", "text_key"]), "anchor-flags")
+    # equal rows have the same k in whole, but the anchors asked for can lie with any of them
+    flags = flags.join(scan.select("row_id", "doc_id", "text_key"), "row_id").groupBy("doc_id", "text_key").agg(
+        F.min("row_id").alias("row_id"), F.first("whole").alias("whole"), F.flatten(F.collect_list(F.when(F.size("asked") > 0, F.col("asked")))).alias("asked")
+    )
+    flags = settle(flags, "anchor-flags")
     sums = flags.select(F.size("asked").alias("n"), F.exists("asked", lambda x: x["hot"]).alias("hot")).agg(F.sum("n"), F.max("hot")).first()
 
     same = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("text_key") == F.col("f_key"))

@@ -69,5 +69,14 @@ def test_passages_edits_and_edges(spark, monkeypatch, most):
     check(spark, rows)
 
 
+def test_repeated_rows_share_a_passage_with_one_other(spark):
+    rows = []
+    for i in range(12):
+        passage = corpus.sentence(300 + i, 60)
+        whole = corpus.sentence(400 + i, 30) + " " + passage + " " + corpus.sentence(500 + i, 30)
+        rows += [(None if i == 3 else i, whole)] * 6 + [(100 + i, corpus.sentence(600 + i, 30) + " " + passage + " " + corpus.sentence(700 + i, 30))]
+    check(spark, rows)
+
+
 def test_empty(spark):
     assert suffix_dedup.repeats_removed(corpus.empty(spark)).count() == 0
