@@ -3,10 +3,12 @@
 A source is a stream of its documents in a permuted order, repeated once per pass, cut into blocks of words. Its quota is a
 number of blocks. A binary tree over the output shards splits the vector of quotas: the left child draws its share of the
 blocks without replacement, the right one has the rest, down to single shards. A leaf's quotas name consecutive, disjoint
-blocks of each permuted stream, and each shard orders what it has by a hash. The stream's last block is cut at the quota.
+blocks of each permuted stream; a document belongs to the block in which it starts. Each shard orders what it has by a hash
+(``place``). The stream's last block is cut at the quota.
 
 Only sums by source reach the driver, one row a source. The documents are never ordered in one task: a hash deals a source's
-documents to about sqrt(rows) cells, sums by cell give each cell's start in the stream, and a window orders one cell.
+documents to about sqrt(rows) cells, sums by cell give each cell's start in the stream, and a window orders one cell. A shard
+is written in chunks of about ``CHUNK_WORDS`` words, stretches of its order, so that no task holds a shard.
 """
 
 from __future__ import annotations
@@ -20,8 +22,12 @@ from pyspark.sql.window import Window
 
 from .common import WORD, settle
 
-#: More sources than this are refused: the quotas are split on the driver.
+#: More sources than this are refused: the quotas are split on the driver, with a number for each source and shard.
 MAX_SOURCES = 200_000
+#: A stream has so many blocks at most; beyond that its blocks are longer than ``block_words`` (the draws need whole numbers below 1e9).
+MOST_BLOCKS = 2**27
+#: Words of a shard that are ordered in one task.
+CHUNK_WORDS = 2_000_000
 
 
 def allocate(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> dict[str | None, float]:
@@ -60,10 +66,11 @@ def split_tree(blocks: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def mix_plan(docs: DataFrame, shards: int = 64, block_words: int = 4096, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 20) -> DataFrame:
-    """What the mix takes: doc_id, source, text_key, copy, size, source_size, target, pass, taken, shard, place.
+    """What the mix takes: doc_id, source, text_key, copy, size, source_size, target, pass, taken, shard, place, chunk.
 
-    One row for each document and pass, also where ``taken`` is 0 (pass 0 only). A null text has size 0; a null source is a
-    source of its own; repeated rows are documents of their own (``copy`` numbers them). ``place`` orders a shard.
+    One row for each document and pass, also where ``taken`` is 0 (pass 0 only; shard, place and chunk are null there). A null
+    text has size 0; a null source is a source of its own; repeated rows are documents of their own (``copy`` numbers them).
+    ``place`` orders a shard, and ``chunk`` numbers the stretches of that order that are written by one task each.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
@@ -77,7 +84,8 @@ def mix_plan(docs: DataFrame, shards: int = 64, block_words: int = 4096, weights
     target = allocate([(r["source"], r["source_size"]) for r in sums], weights, cap)
     sums = sorted(sums, key=lambda r: (r["source"] is None, r["source"] or ""))
     quota = [min(int(target[r["source"]] + 0.5), int(cap * r["source_size"])) for r in sums]
-    unit = max(block_words, math.ceil(sum(quota) / 2**27))
+    unit = max(block_words, math.ceil(sum(quota) / MOST_BLOCKS))
+    chunks = max(1, math.ceil(sum(quota) / shards / CHUNK_WORDS))
     tree = split_tree(np.array([math.ceil(q / unit) for q in quota], dtype=np.int64), shards, seed) if sums else np.zeros((0, 0), np.int64)
     ends = np.cumsum(tree, axis=0)
     info = [(r["source"], r["source_size"], target[r["source"]], q, [int(x) for x in ends[:, i]]) for i, (r, q) in enumerate(zip(sums, quota, strict=True))]
@@ -100,22 +108,39 @@ def mix_plan(docs: DataFrame, shards: int = 64, block_words: int = 4096, weights
     placed = placed.join(starts, match).withColumn("start", F.col("pass") * F.col("source_size") + F.col("cell_start") + F.col("in_cell"))
     taken = F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - F.col("start")))
     shard = F.size(F.filter("shard_ends", lambda e: e <= F.floor(F.col("start") / unit)))
-    return placed.select(
-        "doc_id", "source", "text_key", "copy", "size", "source_size", "target", "pass", taken.alias("taken"),
-        F.when(taken > 0, shard).alias("shard"), F.xxhash64(F.lit(seed + 1), "h", "pass").alias("place"),
+    # places are 31 bits of a hash and then the rest of it: a chunk is an even share of the first part
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "h", "pass"), 1)
+    drawn = placed.withColumn("taken", taken).withColumn("place", place)
+    chosen = lambda c: F.when(F.col("taken") > 0, c)
+    return drawn.select(
+        "doc_id", "source", "text_key", "copy", "size", "source_size", "target", "pass", "taken",
+        chosen(shard).alias("shard"), chosen(F.col("place")).alias("place"), chosen(F.shiftright(F.shiftright("place", 32) * chunks, 31).cast("int")).alias("chunk"),
     )
 
 
+def mix_draws(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, draws for each row of ``docs``.
+
+    ``draws`` has a (shard, place, pass, words) for each time that the mix takes the document, by shard and place; ``taken`` is
+    the sum of their words. The edge cases are those of ``mix_plan``.
+    """
+    row = ("doc_id", "source", "text_key", "copy", "size", "source_size", "target")
+    draw = F.when(F.col("taken") > 0, F.struct("shard", "place", "pass", F.col("taken").alias("words")))
+    out = mix_plan(docs, **how).groupBy(*row).agg(F.sum("taken").alias("taken"), F.array_sort(F.collect_list(draw)).alias("draws"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "draws")
+
+
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed rows: the columns of ``docs`` once for each draw, with mix_shard, mix_place and mix_pass.
 
-    A document that the quota cuts has only its first words (through the last one taken); n_chars, where there is one, is set
-    anew. Documents without words are not drawn. Columns of the new names in ``docs`` are replaced.
+    They lie as they are to be read: each partition holds whole chunks of shards, by shard and place. A document that the quota cuts has only its first words (through the last one taken); n_chars, where there is one, is set
+    anew. Documents without words are not drawn. Columns of the new names, and of ``mix_`` and a plan column's name, in ``docs``
+    are replaced.
     """
     new = ("mix_shard", "mix_place", "mix_pass")
-    docs = docs.drop(*new)
+    docs = docs.drop(*new, *(f"mix_{c}" for c in ("doc_id", "source", "text_key", "copy", "size", "taken", "chunk")))
     plan = mix_plan(docs, **how).filter("taken > 0")
-    plan = plan.select(*(F.col(c).alias(f"mix_{c}") for c in ("doc_id", "source", "text_key", "copy", "size", "taken", "shard", "place", "pass")))
+    plan = plan.select(*(F.col(c).alias(f"mix_{c}") for c in ("doc_id", "source", "text_key", "copy", "size", "taken", "shard", "place", "pass", "chunk")))
     one = Window.partitionBy("doc_id", "source", "_key").orderBy("_key")
     keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_copy", F.row_number().over(one))
     match = F.col("doc_id").eqNullSafe(F.col("mix_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("mix_source")) & (F.col("_key") == F.col("mix_text_key")) & (F.col("_copy") == F.col("mix_copy"))
@@ -124,4 +149,4 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     out = keyed.join(plan, match).withColumn("text", F.when(F.col("mix_taken") < F.col("mix_size"), cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns, *new)
+    return out.select(*docs.columns, *new, "mix_chunk").repartition("mix_shard", "mix_chunk").sortWithinPartitions("mix_shard", "mix_place").drop("mix_chunk")

@@ -18,9 +18,13 @@ def tokenizer_path() -> str:
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
-    row = ("doc_id", "source", "text_key", "copy", "size", "source_size", "target")
-    return plan.groupBy(*row).agg(F.sum("taken").alias("taken"), F.count_if(F.col("taken") > 0).alias("draws")).select("doc_id", "source", "size", "source_size", "target", "taken", "draws")
+    return mixing.mix_draws(table(spark, sf_dir, "documents"))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the mix that SQL can express."""
+    plan = mixing.mix_plan(table(spark, sf_dir, "documents")).filter("pass = 0")
+    return plan.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +73,19 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_source_mix, op2_near_dedup, op3_language_id, op4_url_rules, op5_audio_features, op6_secret_scan, op7_bpe, op8_quality, op9_suffix_dedup, op10_fingerprints)
-    return {f.__name__: f for f in own} | {"llm_page_language": page_language}
-
+    return {f.__name__: f for f in own} | {"llm_page_language": page_language, "llm_mix_targets": mix_targets}
+
+
+#: Sources in the order of what they may take a unit of weight; the first whose fair share is below that sets the level.
+TARGETS_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
+r AS (SELECT *, 3.0::DOUBLE * source_size / w AS most, sum(source_size) OVER () AS total FROM s),
+l AS (SELECT most, (total - coalesce(sum(3 * source_size) OVER (ORDER BY most, w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / sum(w) OVER (ORDER BY most, w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit,
+  row_number() OVER (ORDER BY most, w, source) AS k FROM r)
+SELECT doc_id, size, source_size, round(least(3.0::DOUBLE * source_size, w * (SELECT arg_min(unit, k) FROM l WHERE unit <= most)), 6) AS target
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+"""
 
 OP4_SQL = r"""
 WITH parts AS (
@@ -94,4 +109,4 @@ FROM fits
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_rules": OP4_SQL}
+    return {"op4_url_rules": OP4_SQL, "llm_mix_targets": TARGETS_SQL}

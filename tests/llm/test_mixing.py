@@ -91,3 +91,70 @@ def test_mixed_rows_and_edges(spark):
     assert mixing.mix(corpus.empty(spark)).count() == 0 and mixing.mix_plan(corpus.empty(spark)).count() == 0
     n = sum(r[3] == "a" for r in corpus.rows())
     assert mixing.mix_plan(docs).filter("source = 'a' and pass = 0").count() == n  # repeated rows are rows of their own
+
+
+def test_every_draw_by_walking_blocks_and_tree(spark):
+    rows = [(i, corpus.sentence(i, 1 + i * 37 % 90), "en", s, 0) for i in range(300) for s in [(["a", "b", "c", None, "z"] + ["a"] * 3)[i % 8]]]
+    df = spark.createDataFrame(rows + rows[:3], corpus.SCHEMA)
+    shards, unit, seed = 8, 50, 20
+    got = mixing.mix_draws(df, shards=shards, block_words=unit, seed=seed)
+    keyed = df.select("doc_id", "source", F.xxhash64("text").alias("key"))
+    copies = keyed.collect()
+    seen: Counter = Counter()
+    docs = []
+    for r in copies:
+        seen[r["doc_id"]] += 1
+        docs.append((r["doc_id"], r["source"], r["key"], seen[r["doc_id"]]))
+    text = {r[0]: r[1] for r in rows}
+    hashed = spark.createDataFrame([(*d, p) for d in docs for p in range(3)], "doc_id long, source string, text_key long, copy int, pass int")
+    h = F.xxhash64(F.lit(seed), "pass", "doc_id", "text_key", "copy")
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), h, "pass"), 1)
+    hashes = {(r["doc_id"], r["copy"], r["pass"]): (r["h"], r["place"]) for r in hashed.select("*", h.alias("h"), place.alias("place")).collect()}
+    size: Counter = Counter()
+    for i, s, _, _ in docs:
+        size[s] += words(text[i])
+    target = mixing.allocate(list(size.items()))
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    quota = {s: min(int(target[s] + 0.5), 3 * size[s]) for s in order}
+    tree = mixing.split_tree(np.array([-(-quota[s] // unit) for s in order]), shards, seed)
+    want = Counter()
+    for at, s in enumerate(order):
+        owner = [shard for shard in range(shards) for _ in range(tree[shard, at])]  # of each block of the stream
+        cells = 1 << max(0, int(np.ceil(np.log2(len(docs)) / 2)))
+        word = 0
+        for p in range(3):
+            mine = [d for d in docs if d[1] == s]
+            for i, _, key, copy in sorted(mine, key=lambda d: (hashes[d[0], d[3], p][0] % cells, hashes[d[0], d[3], p][0], d[0], d[2], d[3])):
+                n = min(words(text[i]), quota[s] - word)
+                if n > 0:
+                    want[i, owner[word // unit], hashes[i, copy, p][1], p, n] += 1
+                word += words(text[i])
+    have = Counter((r["doc_id"], d["shard"], d["place"], d["pass"], d["words"]) for r in got.collect() for d in r["draws"])
+    assert have == want
+    assert all(r["taken"] == sum(d["words"] for d in r["draws"]) for r in got.collect())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "shard_ends" in plan
+
+
+def test_mixed_rows_lie_by_shard_and_place(spark, tmp_path):
+    rows = [(i, corpus.sentence(i, 1 + i * 37 % 90), "en", "abz"[i % 3], 0) for i in range(300)]
+    out = mixing.mix(spark.createDataFrame(rows, corpus.SCHEMA), shards=8, block_words=50)
+    parts = out.select(F.spark_partition_id().alias("part"), "mix_shard", "mix_place").collect()
+    where: dict = {}
+    for r in parts:
+        assert where.setdefault(r["mix_shard"], r["part"]) == r["part"]
+    by_part: dict = {}
+    for r in parts:
+        by_part.setdefault(r["part"], []).append((r["mix_shard"], r["mix_place"]))
+    assert all(x == sorted(x) for x in by_part.values())
+
+
+def test_targets_match_sql(spark):
+    import duckdb
+    from emulsion.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    want = sorted(con.execute(queries.TARGETS_SQL).fetchall())
+    assert sorted(map(tuple, queries.mix_targets(spark, folder).collect())) == want
