@@ -26,6 +26,8 @@ LEAST_NUMBER = 20
 TOKEN, PIECE = "[A-Za-z0-9+/_=-]{%d,}" % LEAST_TOKEN, "[A-Za-z0-9]{%d,}" % LEAST_TOKEN
 #: A token is random if its ratio is above LEAST_RATIO and above RATIO_PER_CHAR for each character.
 LEAST_RATIO, RATIO_PER_CHAR = 8.0, 0.35
+#: Share of a character's own frequency in the chance that it follows another: a pair of common letters that no sample has isn't odd.
+ALONE = 0.3
 #: Documents, in expectation, whose words are samples of ordinary text, and random strings of each form.
 SAMPLE_DOCS, SAMPLE_RANDOM = 2000, 3000
 KINDS = ("assign", "access", "hex", "random")
@@ -36,26 +38,43 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Running results of ``merge`` over an array of ints, in rounds of doubled steps: no array grows element by element."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+
+    def step(acc: Column, k: Column) -> Column:
+        back = F.pow(F.lit(2), k).cast("int")
+        return F.transform(acc, lambda x, i: F.when(i >= back, merge(x, F.get(acc, i - back))).otherwise(x))
+
+    return F.aggregate(rounds, values, step)
+
+
+def added(a: Column, b: Column) -> Column:
+    return a + b
+
+
+SPAN = "struct<start:int,kind:int,end:int,at:int,to:int,match:string>"
+
+
 def found(text: Column, pattern: str, kind: int, fits: Callable[[Column], Column] | None = None) -> Column:
-    """Spans of the leftmost non-overlapping matches, in code points, as structs (start, kind, end, match).
+    """Spans of the leftmost non-overlapping matches as structs (start, kind, end, at, to, match): code points, then bytes.
 
     The text is cut into pairs of a gap and a match; the last gap goes to the end of the text, so the scan is linear.
     """
     pairs = rf"(?s)(.*?)({pattern}|\z)"
     cut = F.arrays_zip(F.regexp_extract_all(text, F.lit(pairs), F.lit(1)).alias("gap"), F.regexp_extract_all(text, F.lit(pairs), F.lit(2)).alias("match"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>")
-    first = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    none = F.array().cast(f"array<{SPAN}>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["match"].alias("match"))
-        kept = x["match"] != ""
-        if fits is not None:
-            kept &= fits(x["match"])
-        return F.struct(end.alias("at"), F.when(kept, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def placed(c: Column) -> Column:
+        ends = lambda size: running(F.transform(c, lambda x: size(x["gap"]) + size(x["match"])), added)
+        return let(F.struct(ends(F.length).alias("chars"), ends(F.octet_length).alias("bytes")), lambda e: F.transform(c, lambda x, i: span(x, F.get(e["chars"], i), F.get(e["bytes"], i))))
 
-    return F.when(text.rlike(pattern), F.aggregate(cut, first, step, lambda acc: acc["spans"])).otherwise(none)
+    def span(x: Column, end: Column, to: Column) -> Column:
+        start, at = end - F.length(x["match"]), to - F.octet_length(x["match"])
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), at.alias("at"), to.alias("to"), x["match"].alias("match"))
+
+    keep = lambda x: (x["match"] != "") & (fits(x["match"]) if fits is not None else F.lit(True))
+    return F.when(text.rlike(pattern), F.filter(let(cut, placed), keep)).otherwise(none)
 
 
 def pairs_of(token: Column) -> Column:
@@ -68,7 +87,7 @@ def pairs_of(token: Column) -> Column:
 
 
 def labelled_samples(docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
-    """token, random: made-up random strings; words, and identifiers made of them, from about ``sample`` documents."""
+    """token, random: made-up random strings; words, and identifiers of four words in turn, from about ``sample`` documents."""
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 512)
     forms = (digest, F.base64(F.unhex(digest)), F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", ""), F.upper(F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", "")), F.translate(F.base64(F.unhex(digest)), "+/", "-_"))
@@ -76,9 +95,11 @@ def labelled_samples(docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
     n = max(1, docs.count())
     drawn = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < sample)
     words = drawn.select(F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9])[A-Za-z]{2,24}(?![A-Za-z0-9])"), F.lit(0)).alias("w"))
-    joined = [F.array_join(F.transform(F.slice("w", 1, 100), lambda x: x), sep) for sep in ("_", "-", "/", "")]
-    camel = F.array_join(F.transform(F.slice("w", 1, 100), lambda x: F.initcap(x)), "")
-    ordinary = words.filter(F.size("w") > 0).select(F.explode(F.concat(F.array(*joined, camel, F.upper(joined[0])), F.col("w"))).alias("token"), F.lit(False).alias("random"))
+    fours = F.transform(F.sequence(F.lit(0), F.ceil(F.size("w") / 4).cast("int") - 1), lambda i: F.slice("w", i * 4 + 1, 4))
+    made = lambda word, sep: F.transform(fours, lambda g: F.array_join(F.transform(g, word), sep))
+    same, capital, upper = (lambda x: x), (lambda x: F.initcap(x)), (lambda x: F.upper(x))
+    identifiers = [made(same, sep) for sep in ("_", "-", "/", "")] + [made(capital, ""), made(upper, "_")]
+    ordinary = words.filter(F.size("w") > 0).select(F.explode(F.concat(*identifiers, F.col("w"))).alias("token"), F.lit(False).alias("random"))
     fixed = [(c * 8000, False) for c in ALPHABET] + [(f"20{y:02d}-{m:02d}-{d:02d}", False) for y in range(10, 40) for m in range(1, 13) for d in range(1, 29, 3)]
     return random.unionByName(ordinary).unionByName(spark.createDataFrame(fixed, "token string, random boolean"))
 
@@ -90,7 +111,9 @@ def fit(samples: DataFrame) -> list[float]:
     count = np.full((2, n * n), 0.5)
     for r in rows:
         count[:, r["pair"] - 1] += (r["a"], r["b"])
-    logs = np.log(count.reshape(2, n, n) / count.reshape(2, n, n).sum(axis=2, keepdims=True))
+    count = count.reshape(2, n, n)
+    alone = count.sum(axis=1, keepdims=True) / count.sum(axis=(1, 2), keepdims=True)
+    logs = np.log((1 - ALONE) * count / count.sum(axis=2, keepdims=True) + ALONE * alone)
     return [round(float(x), 4) for x in (logs[0] - logs[1]).reshape(-1)]
 
 
@@ -99,21 +122,46 @@ def ratio(token: Column, table: list[float]) -> Column:
     return F.aggregate(pairs_of(token), F.lit(0.0), lambda acc, p: acc + F.element_at(values, p))
 
 
+def replaced(text: Column, spans: Column, fill: Callable[[Column, Column], Column]) -> Column:
+    """``text`` with ``fill(span, end of what came before)`` in place of the spans, which are sorted and may overlap.
+
+    Gaps are cut out of the bytes, so a cut costs no more than what it yields.
+    """
+
+    def joined(x: Column) -> Column:
+        before = lambda name, i: F.coalesce(F.get(x[name], i - 1), F.lit(0))
+        between = lambda a, b: F.substr(x["bytes"], a + 1, F.greatest(b - a, F.lit(0))).cast("string")
+        parts = F.transform(spans, lambda s, i: F.concat(between(before("to", i), s["at"]), fill(s, before("end", i))))
+        return F.concat(F.array_join(parts, ""), between(F.element_at(x["to"], -1), F.octet_length(x["bytes"])))
+
+    reach = [running(spans[n], F.greatest).alias(n) for n in ("to", "end")]
+    return F.when(F.size(spans) > 0, let(F.struct(text.cast("binary").alias("bytes"), *reach), joined)).otherwise(text)
+
+
 def blanked(text: Column, spans: Column) -> Column:
-    """``text`` with spaces in place of the spans, which are in order and may overlap; positions stay."""
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """``text`` with spaces in place of the spans; positions in code points stay."""
+    return replaced(text, spans, lambda s, before: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(before, s["start"]), F.lit(0))))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        fill = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, fill).alias("out"))
 
-    rest = F.aggregate(spans, first, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
+#: A long token is scored in fragments of so many characters, each beginning so many before the end of the one before.
+FRAGMENT, OVERLAP = 4096, 512
+
+
+def fragments(token: Column) -> Column:
+    """A token's span cut into spans of ``FRAGMENT`` characters at most. Tokens are ASCII: bytes and code points agree."""
+    step = FRAGMENT - OVERLAP
+    n = token["end"] - token["start"]
+
+    def part(raw: Column, k: Column) -> Column:
+        a, size = k * step, F.least(F.lit(FRAGMENT), n - k * step)
+        return F.struct((token["start"] + a).alias("start"), token["kind"].alias("kind"), (token["start"] + a + size).alias("end"), (token["at"] + a).alias("at"), (token["at"] + a + size).alias("to"), F.substr(raw, a + 1, size).cast("string").alias("match"))
+
+    cuts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - FRAGMENT) / step)).cast("int"))
+    return F.when(n <= FRAGMENT, F.array(token)).otherwise(let(token["match"].cast("binary"), lambda raw: F.transform(cuts, lambda k: part(raw, k))))
 
 
 def stretches(token: Column, table: list[float]) -> Column:
-    """Spans in a token's match where the ratio stays above RATIO_PER_CHAR a character, until it falls LEAST_RATIO below its peak."""
+    """Spans in a fragment's match where the ratio stays above RATIO_PER_CHAR a character, until it falls LEAST_RATIO below its peak."""
     values = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")
     none = F.array().cast("array<struct<start:int,stop:int>>")
 
@@ -141,32 +189,46 @@ def stretches(token: Column, table: list[float]) -> Column:
 
 
 def widened(token: Column, x: Column) -> Column:
-    """A stretch of a token as a span of the text, out to the separators around it."""
+    """A stretch of a fragment as a span of the text, out to the separators around it."""
     text = token["match"]
     head, tail = F.substr(text, F.lit(1), x["start"]), F.substr(text, x["stop"] + 1, F.length(text))
     start = x["start"] - F.length(F.regexp_extract(head, "(?<![A-Za-z0-9])[A-Za-z0-9]++$", 0))
     stop = x["stop"] + F.length(F.regexp_extract(tail, "^[A-Za-z0-9]*+", 0))
-    return let(
-        F.struct(start.alias("a"), stop.alias("b")),
-        lambda w: F.struct((token["start"] + w["a"]).alias("start"), token["kind"].alias("kind"), (token["start"] + w["b"]).alias("end"), F.substr(text, w["a"] + 1, w["b"] - w["a"]).alias("match")),
-    )
+
+    def span(w: Column) -> Column:
+        ends = [(token[n] + w[m]).alias(k) for k, n, m in (("start", "start", "a"), ("end", "start", "b"), ("at", "at", "a"), ("to", "at", "b"))]
+        return F.struct(ends[0], token["kind"].alias("kind"), *ends[1:], F.substr(text, w["a"] + 1, w["b"] - w["a"]).alias("match"))
+
+    return let(F.struct(start.alias("a"), stop.alias("b")), span)
+
+
+def outermost(spans: Column) -> Column:
+    """Spans by start and then falling end, without those inside another or equal to one before."""
+    order = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+
+    def kept(s: Column) -> Column:
+        far = running(F.transform(s, lambda x: x["end"]), F.greatest)
+        return let(far, lambda f: F.filter(s, lambda x, i: (i == 0) | (x["end"] > F.get(f, i - 1))))
+
+    return let(order, kept)
 
 
 def random_spans(text: Column, table: list[float]) -> Column:
     """Spans of kind random of a text whose fixed spans are blanked; none lies inside another."""
     likely = lambda m: ratio(m, table) > F.greatest(F.lit(LEAST_RATIO), RATIO_PER_CHAR * F.length(m))
     parts = lambda t: F.when(likely(t["match"]), F.array(t)).otherwise(F.transform(stretches(t["match"], table), lambda x: widened(t, x)))
-    wide = F.flatten(F.transform(found(text, TOKEN, 3), parts))
-    every = F.array_distinct(F.concat(wide, found(text, PIECE, 3, likely)))
-    larger = lambda a, b: (a["start"] <= b["start"]) & (a["end"] >= b["end"]) & (a["end"] - a["start"] > b["end"] - b["start"])
-    every = F.filter(every, lambda x: (F.length(x["match"]) >= LEAST_NUMBER) | x["match"].rlike("[A-Za-z]"))
-    return let(every, lambda all_: F.filter(all_, lambda b: ~F.exists(all_, lambda a: larger(a, b))))
+    cut = F.flatten(F.transform(found(text, TOKEN, 3), fragments))
+    wide = F.flatten(F.transform(cut, parts))
+    # a piece longer than a fragment is scored as fragments of its token
+    pieces = found(text, PIECE, 3, lambda m: F.when(F.length(m) <= FRAGMENT, likely(m)).otherwise(False))
+    every = F.filter(F.concat(wide, pieces), lambda x: (F.length(x["match"]) >= LEAST_NUMBER) | x["match"].rlike("[A-Za-z]"))
+    return F.when(text.rlike(TOKEN), outermost(every)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def secret_spans(docs: DataFrame, table: list[float] | None = None) -> DataFrame:
-    """``docs`` plus secret_base and secret_spans, arrays of (start, kind, end, match) by start, then kind.
+    """``docs`` plus secret_base and secret_spans, arrays of (start, kind, end, at, to, match) by start, then kind.
 
-    Positions are code points from 0, ends exclusive; kinds count from 0 in the order of ``KINDS``. A null or empty text has
+    start and end are code points from 0, at and to bytes of the UTF-8 text, ends exclusive; kinds count from 0 in the order of ``KINDS``. A null or empty text has
     none. Repeated rows stay; columns of those names in ``docs`` are replaced.
     """
     docs = docs.drop("secret_base", "secret_spans")
@@ -197,15 +259,8 @@ def secret_report(docs: DataFrame, table: list[float] | None = None) -> DataFram
 def redact(docs: DataFrame, table: list[float] | None = None, mark: str = "<SECRET>") -> DataFrame:
     """``docs`` with each stretch of overlapping spans replaced by ``mark``; n_chars, where there is one, is set anew."""
     got = secret_spans(docs, table)
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    clean = F.aggregate("secret_spans", first, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = got.withColumn("text", F.when(F.size("secret_spans") > 0, clean).otherwise(F.col("text")))
+    clean = replaced(F.col("text"), F.col("secret_spans"), lambda s, before: F.when(s["start"] >= before, F.lit(mark)).otherwise(""))
+    out = got.withColumn("text", clean)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 
@@ -82,3 +83,77 @@ def test_random_parts_of_longer_tokens(spark):
     assert key[:19] not in got[4] and key[19:] not in got[4], got[4]
     assert got[7] == texts[7] and got[8] == texts[8]
     assert all(got[100 + i] == corpus.sentence(i, 80) for i in range(50))
+
+
+def plain_random_spans(text: str, table: list[float]) -> list[tuple[int, int]]:
+    """The method once more, a character at a time, on a text whose fixed spans are blanked."""
+    abc, n = secret_scan.ALPHABET, len(secret_scan.ALPHABET)
+    steps = lambda t: [table[abc.index(a) * n + abc.index(b)] for a, b in zip(t, t[1:], strict=False)]
+    likely = lambda t: sum(steps(t)) > max(secret_scan.LEAST_RATIO, secret_scan.RATIO_PER_CHAR * len(t))
+    out = []
+    for m in re.finditer(secret_scan.TOKEN, text):
+        for at in range(m.start(), max(m.start() + 1, m.end() - secret_scan.OVERLAP), secret_scan.FRAGMENT - secret_scan.OVERLAP):
+            part = text[at : min(at + secret_scan.FRAGMENT, m.end())]
+            if likely(part):
+                out.append((at, at + len(part)))
+                continue
+            first = total = peak = stop = 0
+            runs = []
+            for i, p in enumerate([*steps(part), None], start=1):
+                total = -1 if p is None else total + p - secret_scan.RATIO_PER_CHAR
+                if total <= 0 or total < peak - secret_scan.LEAST_RATIO:
+                    size = stop - first
+                    if size >= secret_scan.LEAST_TOKEN and peak > 0 and peak + secret_scan.RATIO_PER_CHAR * size > secret_scan.LEAST_RATIO:
+                        runs.append((first, stop))
+                    first, stop, total, peak = i, i, 0, 0
+                elif total > peak:
+                    peak, stop = total, i + 1
+            for a, b in runs:
+                a -= len(re.search("[A-Za-z0-9]*$", part[:a])[0])
+                b += len(re.match("[A-Za-z0-9]*", part[b:])[0])
+                out.append((at + a, at + b))
+    out += [m.span() for m in re.finditer(secret_scan.PIECE, text) if len(m[0]) <= secret_scan.FRAGMENT and likely(m[0])]
+    out = {(a, b) for a, b in out if b - a >= secret_scan.LEAST_NUMBER or re.search("[A-Za-z]", text[a:b])}
+    return sorted((a, b) for a, b in out if not any(c <= a and b <= d and d - c > b - a for c, d in out))
+
+
+def key_of(i: int, n: int) -> str:
+    return base64.b64encode(hashlib.sha512(b"%d" % i).digest()).decode()[:n]
+
+
+def test_random_spans_match_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    table = secret_scan.fit(secret_scan.labelled_samples(docs))
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(300).collect()] + HARD
+    texts += ["/".join((key_of(i, 40), "reports/quarterly", key_of(i + 50, 17), "archive_of_summaries"))[: 60 + i * 7] for i in range(40)]
+    texts += ["x-" + "_".join(key_of(i, 30 + i % 9) + "/customers/documents/folders" for i in range(400)), "=" * 9000 + key_of(1, 60) + "_ordinary" * 900]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = secret_scan.secret_spans(df, table).collect()
+    for r in got:
+        text = r["text"] or ""
+        blank = list(text)
+        for a, _, b in base_spans(text):
+            blank[a:b] = " " * (b - a)
+        want = plain_random_spans("".join(blank), table)
+        assert [(s["start"], s["end"]) for s in r["secret_spans"] if s["kind"] == 3] == want, text[:200]
+        assert all(text[s["start"] : s["end"]] == s["match"] and text.encode()[s["at"] : s["to"]].decode() == s["match"] for s in r["secret_base"])
+
+
+def test_recall_and_precision_of_keys_among_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    table = secret_scan.fit(secret_scan.labelled_samples(docs))
+    keys = [key_of(i, 20 + i % 45) for i in range(400)]
+    names = ["_".join(corpus.WORDS[(i * j + j) % len(corpus.WORDS)] for j in range(2, 7)) for i in range(400)]
+    df = spark.createDataFrame([(i, f"see {k} and {w} there") for i, (k, w) in enumerate(zip(keys, names, strict=True))], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redact(df, table).collect()}
+    recall, clean = sum(k not in got[i] for i, k in enumerate(keys)) / 400, sum(w in got[i] for i, w in enumerate(names)) / 400
+    assert recall >= 0.97 and clean >= 0.99, (recall, clean, [x for i, x in enumerate(names) if x not in got[i]])
+
+
+def test_many_matches_in_one_text(spark):
+    text = "é " + " ".join(hashlib.md5(b"%d" % i).hexdigest() for i in range(16_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    table = [0.0] * len(secret_scan.ALPHABET) ** 2
+    row = secret_scan.secret_report(df, table).first()
+    assert row["n_hex"] == 16_000 and row["spans"] == written(base_spans(text))
+    assert secret_scan.redact(df, table).first()["text"] == "é " + " ".join(["<SECRET>"] * 16_000)
