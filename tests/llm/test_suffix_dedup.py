@@ -12,17 +12,17 @@ from . import corpus
 
 
 def brute(texts):
-    count: dict[bytes, int] = {}
+    count: dict[int, int] = {}
     data = [(t or "").encode() for t in texts]
     for d in data:
         for i in range(len(d) - LENGTH + 1):
-            w = d[i : i + LENGTH]
+            w = hash(d[i : i + LENGTH])
             count[w] = count.get(w, 0) + 1
     out = []
     for d in data:
         gone = np.zeros(len(d), bool)
         for i in range(len(d) - LENGTH + 1):
-            if count[d[i : i + LENGTH]] > 1:
+            if count[hash(d[i : i + LENGTH])] > 1:
                 gone[i : i + LENGTH] = True
         kept = bytes(b for b, g in zip(d, gone, strict=True) if not g)
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
@@ -50,11 +50,40 @@ def test_anchors_are_in_their_windows_and_chosen_by_content():
     assert all(one[w + 1234] == x for w, x in two.items())
 
 
-def test_driver_documents(spark):
-    check(spark, duckdb.sql("select doc_id, text from '/root/testdata/sf0.001/documents.parquet'").fetchall())
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_driver_documents(spark, folder):
+    check(spark, duckdb.sql(f"select doc_id, text from '/root/testdata/{folder}/documents.parquet'").fetchall())
+
+
+def test_refined_order_and_common_lengths():
+    rng = np.random.default_rng(9)
+    for width in (200, 168, 13):
+        side = rng.integers(0, 2, (300, width), dtype=np.uint8)
+        side[50:250] = side[:200]
+        side[100:200, rng.integers(0, width, 100)] ^= 1
+        side[:, : width // 2] = side[0, : width // 2]  # many suffixes that begin alike
+        bucket = rng.integers(0, 4, 300)
+        order, common = suffix_dedup.refined(bucket, side)
+        keys = [(bucket[i], side[i].tobytes()) for i in order]
+        assert keys == sorted(keys)
+        for j in range(1, 300):
+            (a, x), (b, y) = keys[j - 1], keys[j]
+            same = next((k for k in range(width) if x[k] != y[k]), width)
+            assert common[j] == (same if a == b else -1)
+
+
+def test_long_text_hot_passage_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MOST", 20)
+    passage, long = corpus.sentence(40, 60), corpus.sentence(43, 40_000)
+    rows = [(i, corpus.sentence(1000 + i, 12) + " " + passage + " " + corpus.sentence(2000 + i, 12)) for i in range(150)] + [(900, long), (901, long[5000:9000] + " x " + passage)]
+    names = ("text_key", "row_id", "asked", "whole", "spans", "key", "n_bytes")
+    df = spark.createDataFrame([(*r, *range(7)) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.repeats_removed(df).collect()]
+    want = [(i, *x) for (i, _), x in zip(rows, brute([t for _, t in rows]), strict=True)]
+    assert sorted(got) == sorted(want)
 
 
-@pytest.mark.parametrize("most", [40_000, 2])
+@pytest.mark.parametrize("most", [20_000, 2])
 def test_passages_edits_and_edges(spark, monkeypatch, most):
     monkeypatch.setattr(suffix_dedup, "MOST", most)
     passage, base = corpus.sentence(40, 70), corpus.sentence(41, 150)
