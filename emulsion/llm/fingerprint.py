@@ -1,10 +1,13 @@
 """Document fingerprints by order MinHash, with DataFrame functions only.
 
-The k-mers are runs of five words, numbered by occurrence. One hash deals the numbered k-mers to 64 bins; of each bin the two
-smallest are taken, put in the order of the text, and hashed to one value. Likeness is the share of bins whose values agree, so
-it falls both with the k-mers that differ and with those that changed order.
-
-A bin takes the place of one permutation: all 64 come from one pass and one sort of a text's k-mers.
+The k-mers are runs of five words, numbered by occurrence. For each of 64 permutations the two smallest of a text's k-mers are
+taken, put in the order of the text, and hashed to one value. Likeness is the share of permutations whose values agree, so it
+falls both with the k-mers that differ and with those that changed order.
+
+One hash also deals the k-mers to 64 bins. A permutation under which a bin's own k-mers come first, in their order of hash,
+has its two smallest in that bin, if the bin has two: so most permutations of a long text are answered by one sort. Where the
+bin has fewer, as in texts of few k-mers, all k-mers of the text are hashed again with the bin's number and the two smallest of
+these are taken. Which of the two holds depends on the text alone.
 """
 
 from __future__ import annotations
@@ -47,7 +50,7 @@ def kmer_hashes(text: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """Array of ints, one for each bin that has a k-mer: the bin in the top bits, then the hash of its tuple."""
+    """Array of 64 ints, one for each permutation: its number in the top bits, then the hash of its tuple; none without words."""
 
     def numbered(s: Column) -> Column:  # sorted (hash, place)
         n = F.size(s)
@@ -63,30 +66,33 @@ def fingerprint(text: Column) -> Column:
         two = _runs(F.size(s), lambda i: (i < 2) | (_bin(F.get(s, i)) != _bin(F.get(s, i - 2))))
         return F.transform(two, lambda i: F.get(s, i))
 
-    def tuples(e: Column) -> Column:
-        first = _runs(F.size(e), lambda i: (i == 0) | (_bin(F.get(e, i)) != _bin(F.get(e, i - 1))))
+    def value(bin_: Column, a: Column, b: Column) -> Column:
+        """Of two packed k-mers, or one."""
+        ahead = a.bitwiseAND(F.lit(PLACE)) < b.bitwiseAND(F.lit(PLACE))
+        h = F.when(b.isNull(), F.xxhash64(_head(a))).when(ahead, F.xxhash64(_head(a), _head(b))).otherwise(F.xxhash64(_head(b), _head(a)))
+        return F.shiftleft(bin_, 32 - BIN_BITS).bitwiseOR(F.shiftrightunsigned(h, 32 + BIN_BITS)).cast("int")
 
-        def one(i: Column) -> Column:
-            a, b = F.get(e, i), F.get(e, i + 1)
-            pair = F.coalesce(_bin(b) == _bin(a), F.lit(False))
-            ahead = a.bitwiseAND(F.lit(PLACE)) < b.bitwiseAND(F.lit(PLACE))
-            h = F.when(pair & ahead, F.xxhash64(_head(a), _head(b))).when(pair, F.xxhash64(_head(b), _head(a))).otherwise(F.xxhash64(_head(a)))
-            low = F.shiftrightunsigned(h, 32 + BIN_BITS)
-            return F.shiftleft(_bin(a), 32 - BIN_BITS).bitwiseOR(low).cast("int")
+    def again(t: Column, bin_: Column) -> Column:
+        """The value of a permutation that a bin can't answer."""
+        hashed = F.transform(t, lambda x: _head(F.xxhash64(_head(x), bin_)).bitwiseOR(x.bitwiseAND(F.lit(PLACE))))
+        return let(F.slice(F.sort_array(hashed), 1, 2), lambda two: value(bin_, F.get(two, 0), F.get(two, 1)))
 
-        return F.transform(first, one)
+    def tuples(t: Column, e: Column) -> Column:
+        two = _runs(F.size(e), lambda i: _bin(F.get(e, i)) == _bin(F.get(e, i + 1)))
+        own = F.transform(two, lambda i: value(_bin(F.get(e, i)), F.get(e, i), F.get(e, i + 1)))
+        every = F.sequence(F.lit(-(1 << BIN_BITS - 1)).cast("long"), F.lit((1 << BIN_BITS - 1) - 1).cast("long"))
+        rest = F.array_except(every, F.transform(two, lambda i: _bin(F.get(e, i))))
+        return F.sort_array(F.concat(own, F.transform(rest, lambda b: again(t, b))))
 
     packed = let(kmer_hashes(text), lambda ks: F.transform(ks, lambda h, i: _head(h).bitwiseOR(i.cast("long"))))
     none = F.array().cast("array<int>")
-    chain = lambda p: let(F.sort_array(p), lambda s: let(numbered(s), lambda t: let(least(t), tuples)))
+    chain = lambda p: let(F.sort_array(p), lambda s: let(numbered(s), lambda t: let(least(t), lambda e: tuples(t, e))))
     return let(packed, lambda p: F.when(F.size(p) > 0, chain(p)).otherwise(none))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Bins that agree over bins that either has; 1 if neither has any."""
-    bins = lambda x: F.transform(x, lambda v: F.shiftright(v, 32 - BIN_BITS))
-    every = F.size(F.array_union(bins(a), bins(b)))
-    return F.when(every == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(every, F.lit(1)))
+    """Permutations that agree over all; 1 if neither text has words, 0 if one has none."""
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / float(1 << BIN_BITS))
 
 
 def written(fp: Column) -> Column:

@@ -42,24 +42,51 @@ def test_matches_brute_force(spark):
     pairs = sorted({(h, o) for own in cells for h, o, _ in own})
     df = spark.createDataFrame(pairs, "h long, o int").withColumn("x", F.xxhash64("h", "o"))
     need = {(r["h"], r["o"]): r["x"] & mask for r in df.collect()}
-    tuples, wanted = set(), []
+    again = spark.createDataFrame([(x, b) for x in need.values() for b in range(-32, 32)], "x long, b long").withColumn("y", F.xxhash64("x", "b"))
+    again = {(r["x"], r["b"]): r["y"] & mask for r in again.collect()}
+    tuples, wanted, anew = set(), [], 0
     for own in cells:
         bins: dict[int, list] = {}
-        for h, o, place in own:
-            x = need[h, o]
+        placed = [(need[h, o], place) for h, o, place in own]
+        for x, place in placed:
             bins.setdefault(x >> 58, []).append((x, place))
-        picked = {b: [x for x, _ in sorted(sorted(v)[:2], key=lambda p: p[1])] for b, v in bins.items()}
-        tuples |= {tuple(v) for v in picked.values()}
+        picked = {}
+        for b in range(-32, 32) if own else ():
+            chosen = bins.get(b, [])
+            if len(chosen) < 2:
+                anew += 1
+                chosen = [(again[x, b], place) for x, place in placed]
+            picked[b] = tuple(x for x, _ in sorted(sorted(chosen)[:2], key=lambda p: p[1]))
+        tuples |= set(picked.values())
         wanted.append(picked)
+    assert 0 < anew < 64 * len(texts)
     two = [t for t in tuples if len(t) == 2]
     one = [t for t in tuples if len(t) == 1]
     hashed = {(r["a"], r["b"]): r["x"] for r in spark.createDataFrame(two, "a long, b long").withColumn("x", F.xxhash64("a", "b")).collect()}
     hashed |= {(r["a"],): r["x"] for r in spark.createDataFrame(one, "a long").withColumn("x", F.xxhash64("a")).collect()}
     for (_, f), picked in zip(got, wanted, strict=True):
-        want = [(b << 26 | (hashed[tuple(picked[b])] & (2**64 - 1)) >> 38) for b in sorted(picked)]
+        want = [(b << 26 | (hashed[picked[b]] & (2**64 - 1)) >> 38) for b in sorted(picked)]
         assert f == [x if x < 2**31 else x - 2**32 for x in want]
 
 
+def test_likeness_is_the_share_of_equal_values(spark):
+    docs = [(i, corpus.sentence(i // 2, 30 + i * 3 % 200)) for i in range(60)] + [(100, ""), (101, ""), (102, "one")]
+    got = sorted(fingerprint.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect(), key=lambda r: r["doc_id"])
+    values = lambda x: {x[i : i + 8] for i in range(0, len(x), 8)}
+    like = lambda a, b: 1.0 if not a and not b else len(values(a) & values(b)) / 64
+    for r, n in zip(got, got[1:] + got[:1], strict=True):
+        assert r["near_edited"] == like(r["fingerprint"], r["edited_fingerprint"]) and r["near_next"] == like(r["fingerprint"], n["fingerprint"])
+
+
+def test_order_counts_in_short_and_long_texts(spark):
+    for n in (12, 40, 400):
+        halves = [corpus.sentence(2000 + i, n // 2) for i in range(60)]
+        pairs = [(i, f"{a} {b}", f"{b} {a}", f"{a} {corpus.sentence(9000 + i, n // 2)}") for i, (a, b) in enumerate(zip(halves, halves[30:], strict=False))]
+        df = spark.createDataFrame(pairs, "i int, a string, swapped string, half string").select(*(fingerprint.fingerprint(F.col(c)).alias(c) for c in ("a", "swapped", "half")))
+        swapped, half = df.select(F.avg(fingerprint.likeness(F.col("a"), F.col("swapped"))), F.avg(fingerprint.likeness(F.col("a"), F.col("half")))).first()
+        assert half < swapped < 0.75, (n, swapped, half)  # nearly the same k-mers, half of the pairs in the other order
+
+
 def test_edge_rows(spark):
     docs = corpus.documents(spark).withColumn("fp", F.lit(1)).withColumn("next", F.lit(2))
     got = fingerprint.fingerprints(docs).collect()
