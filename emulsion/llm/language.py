@@ -3,7 +3,10 @@
 Text likelihoods come from byte trigrams. To them are added, in logarithms: how often a text of a language declares the
 language it does (markup attribute), how often its address has the suffix it has, and the share of each language among the
 host's texts. Host shares are smoothed towards those of the parent domain, and these towards all texts. All tables but the
-trigram model are grouped counts over every row, by the language that the text alone suggests.
+trigram model are grouped counts over every row, by the language that the text alone suggests. A text is scored once.
+
+A text is rejected where the best language isn't likely enough, and where it is no language of the model at all: where an
+even distribution of trigrams explains it better than the best language, by ``LEAST_FIT``.
 """
 
 from __future__ import annotations
@@ -27,6 +30,12 @@ MEAN_SHARE, EVEN_SHARE = 0.08, 0.02
 HOST_PRIOR, DOMAIN_PRIOR, TABLE_PRIOR = 20.0, 50.0, 1.0
 #: A text's likelihood counts as that of so many independent trigrams at most: neighbours overlap, and long texts aren't surer.
 MOST_GRAMS = 400
+#: A text whose log-likelihood, counted so, is below that of evenly distributed trigrams by more than this is of no known language.
+LEAST_FIT = 20.0
+#: Trigrams looked up at once.
+CHUNK = 1 << 18
+#: The model is a table of 1 MB a language on the driver and in a broadcast; more languages than this are refused.
+MOST_LANGUAGES = 256
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,10 +55,12 @@ def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> tuple[lis
     """
     known = docs.filter(F.col(label).isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     hashed = F.xxhash64("doc_id", label, "text")
-    counts = known.groupBy(F.col(label).alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.min(hashed).alias("least")).collect()
+    counts = known.groupBy(F.col(label).alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.min(hashed).alias("least")).limit(MOST_LANGUAGES + 1).collect()
     of = {r["lang"]: (r["n"], r["least"]) for r in counts}
     if not of:
         return [], np.zeros((SIZE, 1), np.float32)
+    if len(of) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     rate = lambda k: F.element_at(F.create_map(*(F.lit(x) for lang in sorted(of) for x in (lang, of[lang][k]))), F.col(label))
     # the least hash is there for languages whose rows are all equal, which a draw could miss as one
     drawn = known.filter((F.pmod(hashed, rate(0)) < sample) | (hashed == rate(1))).select(F.col(label).alias("lang"), "text")
@@ -57,16 +68,21 @@ def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> tuple[lis
     langs = sorted(set(got.column("lang").to_pylist()))
     if not langs:
         return [], np.zeros((SIZE, 1), np.float32)
-    count = np.zeros((SIZE, len(langs)))
-    at = {lang: i for i, lang in enumerate(langs)}
-    count[got.column("code").to_numpy(), [at[x] for x in got.column("lang").to_pylist()]] += got.column("n").to_numpy()
-    own = count / count.sum(axis=0)
-    shared = MEAN_SHARE * own.mean(axis=1, keepdims=True) + EVEN_SHARE / SIZE
-    return langs, np.log((1 - MEAN_SHARE - EVEN_SHARE) * own + shared).astype(np.float32)
+    at = np.array([langs.index(x) for x in got.column("lang").to_pylist()])
+    code, n = got.column("code").to_numpy(), got.column("n").to_numpy()
+    own, mean = np.zeros((SIZE, len(langs)), np.float32), np.zeros(SIZE)
+    for i in range(len(langs)):
+        count = np.bincount(code[at == i], n[at == i], SIZE)
+        own[:, i] = count / count.sum()
+        mean += count / count.sum() / len(langs)
+    own *= 1 - MEAN_SHARE - EVEN_SHARE
+    own += (MEAN_SHARE * mean + EVEN_SHARE / SIZE)[:, None].astype(np.float32)
+    return langs, np.log(own, out=own)
 
 
 def text_evidence(docs: DataFrame, langs: list[str], table: np.ndarray):
-    """A pandas UDF: log-likelihoods of a text by language, the best being 0; all 0 without text."""
+    """A pandas UDF: log-likelihoods of a text by language, the best being 0, and last what the best has above even trigrams; all 0
+    without text."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("array<double>")
@@ -74,8 +90,10 @@ def text_evidence(docs: DataFrame, langs: list[str], table: np.ndarray):
         t, out = shared.value, []
         for text in texts:
             codes = trigram_codes(text) if text and not text.isspace() else np.zeros(0, np.int32)
-            ll = t[codes].sum(axis=0, dtype=np.float64) * min(1.0, MOST_GRAMS / max(1, len(codes)))
-            out.append(np.round(ll - ll.max(), 9).tolist())
+            weight = min(1.0, MOST_GRAMS / max(1, len(codes)))
+            ll = sum((t[codes[i : i + CHUNK]].sum(axis=0, dtype=np.float64) for i in range(0, len(codes), CHUNK)), np.zeros(t.shape[1])) * weight
+            fit = ll.max() + weight * len(codes) * np.log(SIZE)
+            out.append([*np.round(ll - ll.max(), 9).tolist(), fit])
         return pd.Series(out)
 
     return evidence.asNondeterministic()  # else a filter on its result is pushed down with a second call of it
@@ -94,26 +112,30 @@ def _shares(counts: DataFrame, key: str, langs: list[str]) -> DataFrame:
 
 def identify(
     docs: DataFrame, langs: list[str], table: np.ndarray, declared: Column | None = None, suffix: Column | None = None, host: Column | None = None,
-    least: float = 0.5,
+    least: float = 0.5, without: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``docs`` plus lid_lang, lid_posterior, lid_text (the text's own best) and lid_kept; one row out for each row in.
+    """``docs`` plus lid_lang, lid_posterior, lid_text (the text's own best), lid_fit and lid_kept; one row out for each row in.
 
     A piece of evidence that is null or not given says nothing. A text that is null, empty or white space has no evidence of
-    its own, and isn't kept; nor is one whose best posterior is below ``least``. Ties go to the first language by name. With no
-    languages (nothing was labelled) lid_lang is null and nothing is kept. Columns of those names in ``docs`` are replaced.
+    its own, and isn't kept; nor is one whose best posterior is below ``least``, or whose lid_fit (log-likelihood of the best
+    language above that of even trigrams) is below -``LEAST_FIT``. Ties go to the first language by name. With no languages
+    (nothing was labelled) lid_lang is null and nothing is kept. Columns of those names in ``docs`` are replaced, others stay as
+    they are, but for those named in ``without``, which are left out.
     """
-    new = ("lid_lang", "lid_posterior", "lid_text", "lid_kept")
+    new = {"lid_lang": "string", "lid_posterior": "double", "lid_text": "string", "lid_fit": "double", "lid_kept": "boolean"}
     docs = bounded_batches(docs.drop(*new))
+    stay = [c for c in docs.columns if c not in without]
     if not langs:
-        return docs.withColumns({"lid_lang": F.lit(None).cast("string"), "lid_posterior": F.lit(None).cast("double"), "lid_text": F.lit(None).cast("string"), "lid_kept": F.lit(False)})
+        return docs.select(*stay, *((F.lit(False) if n == "lid_kept" else F.lit(None).cast(t)).alias(n) for n, t in new.items()))
     nothing = F.lit(None).cast("string")
     evidence = text_evidence(docs, langs, table)
-    marked = docs.withColumns({
-        "_declared": F.lower(F.substring_index(declared, "-", 1)) if declared is not None else nothing,
-        "_suffix": F.lower(suffix) if suffix is not None else nothing,
-        "_host": host if host is not None else nothing,
-        "_ll": evidence("text"),
-    }).withColumn("_domain", parent_of(F.col("_host")))
+    has_text = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    marked = docs.select(
+        F.struct(*stay).alias("_row"), has_text.alias("_has_text"), (F.lower(F.substring_index(declared, "-", 1)) if declared is not None else nothing).alias("_declared"),
+        (F.lower(suffix) if suffix is not None else nothing).alias("_suffix"), (host if host is not None else nothing).alias("_host"), evidence("text").alias("_said"),
+    )
+    marked = marked.withColumns({"_ll": F.slice("_said", 1, len(langs)), "_fit": F.element_at("_said", -1), "_domain": parent_of(F.col("_host"))}).drop("_said")
+    marked = settle(marked, "language-evidence")
     best = F.array_position("_ll", 0.0) - 1
     told = marked.filter(F.aggregate("_ll", F.lit(0.0), lambda a, x: a + x) < 0)
     counts = settle(told.select(best.cast("int").alias("best"), *(f"_{k}" for k in ("declared", "suffix", "host", "domain"))).groupBy("_declared", "_suffix", "_host", "_domain", "best").agg(F.count(F.lit(1)).alias("n")), "language-counts")
@@ -147,14 +169,11 @@ def identify(
     top = F.array_max("_total")
     posterior = 1 / F.aggregate(F.transform("_total", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
     names = F.array(*(F.lit(x) for x in langs))
-    has_text = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    out = out.withColumns({
-        "lid_lang": F.element_at(names, F.array_position("_total", top).cast("int")),
-        "lid_posterior": posterior,
-        "lid_text": F.when(has_text, F.element_at(names, best.cast("int") + 1)),
-        "lid_kept": has_text & (posterior >= least),
-    })
-    return out.select(*docs.columns, *new)
+    told = (
+        F.element_at(names, F.array_position("_total", top).cast("int")), posterior, F.when(F.col("_has_text"), F.element_at(names, best.cast("int") + 1)), F.col("_fit"),
+        F.col("_has_text") & (posterior >= least) & (F.col("_fit") >= -LEAST_FIT),
+    )
+    return out.select("_row.*", *(c.alias(n) for c, n in zip(told, new, strict=True)))
 
 
 def identify_documents(docs: DataFrame, **how) -> DataFrame:
@@ -163,9 +182,11 @@ def identify_documents(docs: DataFrame, **how) -> DataFrame:
     return identify(docs, langs, table, declared=F.col("lang"), host=F.col("source"), **how)
 
 
-def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
+def identify_pages(pages: DataFrame, docs: DataFrame, markup: bool = True) -> DataFrame:
     """``pages`` (url, html) judged by what the html shows, its lang attribute, the address and the host; model from ``docs``.
 
+    Without ``markup`` the attribute is shown, but no evidence.
+
     The address's suffix is the first path segment of two letters, else the host's last label.
     """
     langs, table = fit(docs)
@@ -175,4 +196,4 @@ def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     segment = F.nullif(F.regexp_extract(F.lower("url"), r"^[^:]*://[^/?#]*/([a-z]{2})(?:[/?#]|$)", 1), F.lit(""))
     last = F.nullif(F.regexp_extract(F.lower("url"), r"^[^:]*://[^/?#]*\.([a-z]+)(?:[:/?#]|$)", 1), F.lit(""))
     text = pages.select("page_id", F.trim(shown).alias("text"), attribute.alias("declared"), F.coalesce(segment, last).alias("suffix"), host.alias("host"))
-    return identify(text, langs, table, F.col("declared"), F.col("suffix"), F.col("host")).drop("text")
+    return identify(text, langs, table, F.col("declared") if markup else None, F.col("suffix"), F.col("host"), without=("text",))

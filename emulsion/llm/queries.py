@@ -32,7 +32,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = language.identify_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    out = language.identify_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), without=("text", "source"))
     return out.select("doc_id", F.col("lid_lang").alias("lang"), F.col("lid_text").alias("text_lang"), F.round("lid_posterior", 6).alias("posterior"), F.col("lid_kept").alias("kept"))
 
 

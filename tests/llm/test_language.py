@@ -19,6 +19,30 @@ def test_documents_and_pages(spark):
     assert np.mean([r["lid_text"] == r["lang"] for r in got]) > 0.97 and all(r["lid_kept"] for r in got if (r["text"] or "").split() and r["lid_posterior"] >= 0.5)
     pages = language.identify_pages(table(spark, sf, "pages"), docs).collect()
     assert np.mean([r["lid_lang"] == r["declared"] for r in pages if r["declared"]]) > 0.9
+    unseen = language.identify_pages(table(spark, sf, "pages"), docs, markup=False).collect()
+    assert np.mean([r["lid_lang"] == r["declared"] for r in unseen if r["declared"]]) > 0.85
+
+
+def test_fit_matches_counts_by_hand(spark):
+    rows = [(1, "aab ab", "x"), (2, "zz top", "y"), (3, "zzz", "y"), (4, " ", "y"), (5, None, "x"), (6, "no label", None)]
+    langs, got = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langs == ["x", "y"]
+    own = np.zeros((SIZE, 2))
+    for _, text, lang in rows:
+        if text and text.strip() and lang:
+            np.add.at(own[:, langs.index(lang)], language.trigram_codes(text), 1)
+    own /= own.sum(axis=0)
+    want = (1 - language.MEAN_SHARE - language.EVEN_SHARE) * own + language.MEAN_SHARE * own.mean(axis=1, keepdims=True) + language.EVEN_SHARE / SIZE
+    assert np.allclose(got, np.log(want), atol=1e-5)
+
+
+def test_what_is_no_language_goes(spark):
+    rng = np.random.default_rng(4)
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    langs, model = language.fit(docs)
+    noise = ["".join(chr(x) for x in rng.integers(33, 127, 200)) for _ in range(20)] + ["".join(chr(x) for x in rng.integers(0x4E00, 0x9000, 80)) for _ in range(20)]
+    got = language.identify(spark.createDataFrame([(i, t) for i, t in enumerate([*noise, "the house was old", "quite short"])], "doc_id long, text string"), langs, model)
+    assert [r["doc_id"] for r in got.orderBy("doc_id").collect() if r["lid_kept"]] == [40, 41]
 
 
 def brute(rows, langs, table_):
@@ -61,12 +85,14 @@ def test_matches_brute_force(spark):
     got = language.identify(df, langs, table_, declared=F.col("lang"), host=F.col("source")).orderBy("i").collect()
     for r, (lang, p) in zip(got, brute(rows, langs, table_), strict=True):
         assert r["lid_lang"] == lang and math.isclose(r["lid_posterior"], p, rel_tol=1e-6), r
-        assert r["lid_kept"] == (bool((r["text"] or "").strip()) and p >= 0.5)
+        assert r["lid_kept"] == (bool((r["text"] or "").strip()) and p >= 0.5 and r["lid_fit"] >= -language.LEAST_FIT)
 
 
 def test_edges(spark):
-    docs = corpus.documents(spark).withColumn("lid_lang", F.lit("old")).withColumn("best", F.lit(1)).withColumn("host", F.lit("h"))
+    docs = corpus.documents(spark).withColumn("lid_lang", F.lit("old")).withColumn("best", F.lit(1)).withColumn("_host", F.lit("h")).withColumn("_ll", F.lit("l")).withColumn("host_share", F.lit(2))
     out = language.identify_documents(docs)
+    assert [c for c in out.columns if not c.startswith("lid_")] == [c for c in docs.columns if c != "lid_lang"]
+    assert out.filter("_host != 'h' or _ll != 'l' or host_share != 2").count() == 0
     assert out.count() == docs.count() and out.filter("lid_kept is null").count() == 0
     assert out.filter("lid_kept and (text is null or trim(text) = '')").count() == 0
     assert language.identify_documents(corpus.empty(spark)).count() == 0
