@@ -1,16 +1,20 @@
 """MinHash near-dedup with tensored banding.
 
 Texts with equal shingle sets are one class. A class has two collections of ``m`` small hashes, each of ``t`` MinHash minima;
-every pair of one from either collection keys a table, so m * m tables need only 2 * m * t minima. Classes that share a table
-key with others form families (connected components of each key's members with its smallest). Links are confirmed on full sets
-inside the families: all that a family's sets hold is compared there, so no pair of copies is ever a row. A large family is
-dealt in blocks, and each pair of blocks is a piece of work of bounded size that returns a spanning forest of its links.
+every pair of one from either collection keys a table, so m * m tables need only 2 * m * t minima. Links are confirmed on full
+sets, in two ways that lead to the same components:
+
+* Rounds. Each table key that holds classes of more than one component has a head; each class is compared with the head of one
+  of its keys, and confirmed links alone connect. A set moves once a round, so near copies of one text cost in proportion.
+* What is left when rounds confirm few: classes that still share a key with another component form families, and all that a
+  family's sets hold is compared there, in blocks of bounded size. No pair of copies is ever a row in either.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -71,9 +75,9 @@ def _sets(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts in groups(batch.column(2).to_pylist(), GROUP_CHARS):
+            for texts in groups(batch.column(1).to_pylist(), GROUP_CHARS):
                 sets = [s.view(np.int64) for s in shingle_sets([t.encode("utf-8", "surrogatepass") for t in texts], k)]
-                yield pa.record_batch([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array(sets, pa.list_(pa.int64()))], names=["family", "id", "shingles"])
+                yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
                 at += len(texts)
 
     return work
@@ -152,6 +156,91 @@ def _links(percent: int):
     return work
 
 
+def _checked(percent: int):
+    def work(batch: pa.Table) -> pa.Table:
+        """Links of the sets with their heads; a group (head, salt) has the head's set and some of those compared with it."""
+        batch = batch.combine_chunks().sort_by([("head", "ascending"), ("salt", "ascending")])
+        head, salt, ids = (batch.column(c).to_numpy() for c in ("head", "salt", "id"))
+        lists = batch.column("shingles").combine_chunks()
+        offset, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        cut = np.concatenate([[0], np.flatnonzero((np.diff(head) != 0) | (np.diff(salt) != 0)) + 1, [len(ids)]])
+        out_a, out_b = [], []
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            own = np.flatnonzero(ids[a:b] == head[a])
+            if not len(own) or b - a < 2:
+                continue
+            base = values[offset[a + own[0]] : offset[a + own[0] + 1]]
+            flat = values[offset[a] : offset[b]]
+            at = np.minimum(np.searchsorted(base, flat), len(base) - 1)
+            total = np.concatenate([[0], np.cumsum(base[at] == flat)])
+            both = total[offset[a + 1 : b + 1] - offset[a]] - total[offset[a:b] - offset[a]]
+            size = np.diff(offset[a : b + 1])
+            link = (100 * both >= percent * (size + len(base) - both)) & (ids[a:b] != head[a])
+            out_a.append(ids[a:b][link])
+            out_b.append(np.full(int(link.sum()), head[a]))
+        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b)]
+        return pa.table({"a": pa.array(flat[0], pa.int64()), "b": pa.array(flat[1], pa.int64())})
+
+    return work
+
+
+def _pieces(grouped: str, members: DataFrame) -> DataFrame:
+    """How many pieces of bounded size the rows (id, n) of each group make."""
+    size = F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)
+    return settle(members.groupBy(grouped).agg(F.ceil(size).cast("int").alias("blocks")), "piece-counts")
+
+
+def with_heads(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) of ``asked`` (id, head, n): each set is compared with its head's."""
+    pieces = _pieces("head", asked)
+    members = asked.join(pieces, "head").select("id", "head", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("salt"))
+    heads = pieces.select(F.col("head").alias("id"), "head", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"))
+    units = max(1, pieces.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0])
+    dealt = sets.join(members.unionByName(heads), "id").withColumn("unit", F.pmod(F.xxhash64("head", "salt"), F.lit(units)))
+    return dealt.groupBy("unit").applyInArrow(_checked(percent), "a long, b long")
+
+
+def in_families(near: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the classes that ``near`` (a, b) connects: a spanning forest of each pair of a family's blocks."""
+    families = components(near).withColumnRenamed("root", "family")
+    members = settle(classes.select("id", "n").join(families, "id"), "family-members")
+    members = members.join(_pieces("family", members), "family")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (F.col("blocks") == 1) | (j != F.col("own"))))
+    dealt = sets.join(members, "id").withColumn("own", own).withColumn("other", other).select("family", "id", "shingles", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    units = max(1, -(-members.count() // BLOCK_CLASSES) * 4)
+    dealt = dealt.withColumn("unit", F.pmod(F.xxhash64("family", "i", "j"), F.lit(units)))
+    return dealt.groupBy("unit").applyInArrow(_links(percent), "a long, b long")
+
+
+def confirmed_roots(held: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(id, root) of the classes in confirmed links; ``held`` (key, id) has the classes of each table key that several share."""
+    links, roots, turn, few = [], None, 0, False
+    while True:
+        if roots is None:
+            now = held.withColumn("part", F.col("id"))
+        else:
+            now = settle(held.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("part")), "table-parts")
+        head = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "part")).alias("head")
+        heads = now.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), head).filter("lo < hi")
+        heads = settle(heads.select("key", F.col("head.id").alias("head"), F.col("head.part").alias("head_part")), "table-heads")
+        if heads.isEmpty():
+            break
+        open_ = now.join(heads, "key")
+        if few:
+            links.append(settle(in_families(open_.filter("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")), classes, sets, percent), "links"))
+        else:
+            one = open_.filter("part != head_part").groupBy("id").agg(F.min(F.struct(F.xxhash64("head", F.lit(turn)).alias("h"), "head")).alias("x"))
+            asked = settle(one.select("id", F.col("x.head").alias("head")).join(classes.select("id", "n"), "id"), "asked")
+            links.append(settle(with_heads(asked, sets, percent), "links"))
+        roots = settle(components(reduce(DataFrame.unionByName, links)), "roots")
+        if few:
+            break
+        few = 2 * links[-1].count() < asked.count()
+        turn += 1
+    return classes.select("id", F.col("id").alias("root")).limit(0) if roots is None else roots
+
+
 def near_classes(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, kept for each row of ``docs``.
 
@@ -168,25 +257,14 @@ def near_classes(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(m * m - 1)), lambda i: F.xxhash64(i, F.get("small", F.floor(i / m).cast("int")), F.get("small", m + i % m)))
     tables = classes.select("id", F.explode(keys).alias("key"))
-    shared = tables.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    near = tables.join(shared, "key").filter("id != head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-    families = components(near).withColumnRenamed("root", "family")
-
-    members = classes.join(families, "id").select("id", "family", "n", "row")
-    sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = settle(members.join(sizes, "family"), "family-members")
-    wanted = members.select("family", "id", F.col("row.doc_id").alias("w_id"), F.col("row.text_key").alias("w_key"))
+    shared = settle(tables.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared-keys")
+    held = settle(tables.join(shared, "key"), "table-keys")
+    wanted = classes.join(held.select("id").distinct(), "id").select("id", F.col("row.doc_id").alias("w_id"), F.col("row.text_key").alias("w_key"))
     # always merged: a text's way must not depend on how few are wanted
-    texts = keyed.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key"))).select("family", "id", "text")
-    sets = texts.mapInArrow(_sets(k), "family long, id long, shingles array<long>").join(members.select(F.col("id").alias("m_id"), "blocks"), F.col("id") == F.col("m_id")).drop("m_id")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (F.col("blocks") == 1) | (j != F.col("own"))))
-    dealt = sets.withColumn("own", own).withColumn("other", other).select("family", "id", "shingles", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    units = max(1, -(-members.count() // BLOCK_CLASSES) * 4)
-    dealt = dealt.withColumn("unit", F.pmod(F.xxhash64("family", "i", "j"), F.lit(units)))
-    links = dealt.groupBy("unit").applyInArrow(_links(percent), "a long, b long")
-
-    roots = components(links)
+    texts = keyed.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key"))).select("id", "text")
+    # repeated rows of the same text give the same set
+    sets = settle(texts.mapInArrow(_sets(k), "id long, shingles array<long>"), "shingle-sets")
+    roots = confirmed_roots(held, classes, sets, percent)
     rooted = classes.select("digest", "id", "first_id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select("digest", "component_id")

@@ -28,6 +28,21 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(1 << max(18, int(n).bit_length()))
 
 
+#: Bytes whose words are hashed at once; the tables of powers are as long.
+CHUNK = 1 << 18
+
+
+def _long_word(data: np.ndarray) -> np.uint64:
+    """The hash of one word of any length, a chunk at a time."""
+    total, power, base = 0, 1, int(_BASE)
+    up, _ = powers(CHUNK)
+    for at in range(0, len(data), CHUNK):
+        part = data[at : at + CHUNK].astype(np.uint64) + np.uint64(1)
+        total += int((part * up[: len(part)]).sum(dtype=np.uint64)) * power
+        power = power * pow(base, len(part), 2**64) % 2**64
+    return mixed(np.array([(total + len(data)) % 2**64], np.uint64))[0]
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (A-Z lower-cased, cut at ASCII white space) and the number of words of each text."""
     data = np.frombuffer(b" ".join(texts).lower() + b" ", np.uint8)
@@ -38,9 +53,20 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start, end = edge[::2], edge[1::2]
     if len(end) < len(start):
         end = np.append(end, len(data))
-    up, down = powers(len(data))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
-    hashes = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    up, down = powers(CHUNK)
+    hashes, at = np.empty(len(start), np.uint64), 0
+    while at < len(start):
+        first = start[at]
+        stop = max(at + 1, int(np.searchsorted(end, first + CHUNK, side="right")))
+        last = end[stop - 1]
+        if last - first > CHUNK:
+            hashes[at] = _long_word(data[first:last])
+        else:
+            raw = data[first:last].astype(np.uint64) + np.uint64(1)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw * up[: len(raw)], dtype=np.uint64)])
+            s, e = start[at:stop] - first, end[at:stop] - first
+            hashes[at:stop] = mixed((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+        at = stop
     ends = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.concatenate([[0], np.searchsorted(start, ends)]))
     return hashes, counts

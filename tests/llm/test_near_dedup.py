@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 import duckdb
+import numpy as np
 from emulsion.llm import near_dedup
 from pyspark.sql import functions as F
 
@@ -73,3 +74,45 @@ def test_edge_rows(spark):
     kept = near_dedup.near_dedup(docs)
     assert kept.columns == docs.columns
     assert near_dedup.near_classes(corpus.empty(spark)).count() == 0 and near_dedup.near_dedup(corpus.empty(spark)).count() == 0
+
+
+def test_near_copies_of_one_text_need_no_blocks(spark, monkeypatch):
+    base = corpus.sentence(6, 200).split()
+    rows = []
+    for i in range(600):
+        w = list(base)
+        w[i % 200] = f"edit{i}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(near_dedup, "BLOCK_CLASSES", 50)
+    monkeypatch.setattr(near_dedup, "in_families", lambda *_: 1 / 0)
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == 600
+
+
+def test_chains_and_templates_that_heads_cannot_settle(spark, monkeypatch):
+    rows, w = [], corpus.sentence(8, 120).split()
+    for i in range(90):  # each is near the one before, far ones are not alike
+        w[i * 7 % 120] = f"step{i}"
+        rows.append((i, " ".join(w)))
+    base = corpus.sentence(9, 100)
+    rows += [(200 + i, base + " " + corpus.sentence(3000 + i, 35)) for i in range(60)]  # one template, below the limit
+    rows += [(300 + i, base + " " + corpus.sentence(3000 + i, 34)) for i in range(60)]
+    for few in (False, True):
+        if few:  # all by blocks
+            monkeypatch.setattr(near_dedup, "with_heads", lambda asked, sets, percent: asked.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+        monkeypatch.setattr(near_dedup, "BLOCK_CLASSES", 11)
+        got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(rows, 3, 85)
+
+
+def test_word_hashes_do_not_depend_on_chunks(monkeypatch):
+    from emulsion.llm import shingles
+
+    texts = [corpus.sentence(i, 40).encode() for i in range(9)] + [b"x" * 900 + b" end", b"", b"  one\ttwo ", ("é" * 500).encode() + b" y"]
+    want, counts = shingles.word_hashes(texts)
+    assert counts.tolist() == [len(t.split()) for t in texts]
+    monkeypatch.setattr(shingles, "CHUNK", 64)
+    got, same = shingles.word_hashes(texts)
+    assert (got == want).all() and (same == counts).all()
+    single = [shingles.word_hashes([w])[0][0] for t in texts for w in t.split()]
+    assert (np.array(single) == want).all()
