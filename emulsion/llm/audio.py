@@ -2,8 +2,8 @@
 
 The stored bytes are parsed back; the samples pass a polyphase resampler (12 kHz to 8 kHz), overlapped Hann frames, a log-mel
 filterbank and an energy segmentation with hysteresis. Each segment becomes a fixed-shape tensor (slots x bands) with a time
-span; tensors are kept as an Arrow IPC stream whose column has the fixed-shape tensor type. A clip is worked through in
-blocks of ``BLOCK`` frames, so memory doesn't grow with its length but for the frame energies.
+span; tensors are kept as an Arrow IPC stream whose column has the fixed-shape tensor type. A clip is resampled and framed in
+blocks of ``BLOCK`` frames; what grows with its length is the resampled signal (some 3 bytes a byte) and the frames' bands.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ RATE_IN, RATE, UP, DOWN = 12_000, 8_000, 2, 3
 PAD_TO, PAD_BYTE = 192, b"\x20"
 TAPS = 24  # a phase of the resampling filter
 FRAME, HOP, BANDS, SLOTS = 256, 128, 24, 4
-BLOCK = 4096
+BLOCK = 512
 #: Segmentation: a segment opens above the clip's mean energy plus ENTER_DB and closes below it plus LEAVE_DB.
 ENTER_DB, LEAVE_DB, LEAST_FRAMES = 0.5, -0.5, 8
 
@@ -69,14 +69,20 @@ PHASES, MEL, HANN = _polyphase(), _mel(), np.hanning(FRAME).astype(np.float32)
 
 
 def resample(x: np.ndarray) -> np.ndarray:
-    """``x`` at RATE_IN as RATE: output n * UP + p is phase p of the filter over the input that ends there."""
+    """8-bit samples at RATE_IN as RATE, between -1 and 1: output n * UP + p is phase p of the filter over the input that ends there."""
     n = -(-len(x) * UP // DOWN)
     out = np.empty(n, dtype=np.float32)
-    padded = np.concatenate([np.zeros(TAPS // 2, np.float32), x, np.zeros(TAPS // 2 + DOWN, np.float32)])
-    windows = np.lib.stride_tricks.sliding_window_view(padded, TAPS)
-    for p in range(UP):  # output m lies at input m * DOWN / UP
-        m = np.arange(p, n, UP)
-        out[p::UP] = windows[m * DOWN // UP] @ PHASES[(p * DOWN) % UP]
+    silence = np.full(TAPS // 2 + DOWN, 128, np.uint8)
+    padded = np.concatenate([silence[DOWN:], x, silence])
+    size = BLOCK * HOP // UP * UP
+    for at in range(0, n, size):
+        stop = min(n, at + size)
+        first = at * DOWN // UP
+        part = (padded[first : (stop - 1) * DOWN // UP + TAPS].astype(np.float32) - 128) / 128
+        windows = np.lib.stride_tricks.sliding_window_view(part, TAPS)
+        for p in range(UP):  # output m lies at input m * DOWN / UP
+            m = np.arange(at + p, stop, UP)
+            out[at + p : stop : UP] = windows[m * DOWN // UP - first] @ PHASES[(p * DOWN) % UP]
     return out
 
 
@@ -131,8 +137,7 @@ def tensor_stream(tensors: np.ndarray, spans: list[tuple[int, int]]) -> bytes:
 
 
 def features(payload: bytes) -> tuple[list[tuple[int, int]], np.ndarray]:
-    x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
-    mel = log_mel(resample(x))
+    mel = log_mel(resample(np.frombuffer(payload, np.uint8)))
     spans = segments(10 * np.log10((10.0 ** mel.astype(np.float64)).sum(axis=1)))
     return spans, pooled(mel, spans)
 

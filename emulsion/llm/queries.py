@@ -48,7 +48,7 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = audio.audio_features(table(spark, sf_dir, "documents"))
-    return out.drop("tensors").withColumn("seconds", F.round("seconds", 6))
+    return out.withColumn("seconds", F.round("seconds", 6))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
