@@ -31,6 +31,8 @@ ROWS_PER_HASH = 3
 MISS = 2e-3
 #: A block holds at most about so many classes and shingles of a family; a piece of work two blocks.
 BLOCK_CLASSES, BLOCK_SHINGLES = 400, 400_000
+#: Classes and shingles of those that are compared with one head in one piece of work.
+HEAD_CLASSES, HEAD_SHINGLES = 64, 200_000
 COLUMNS = 1024
 #: Texts are hashed in groups of about so many characters, or one text.
 GROUP_CHARS = 200_000
@@ -184,15 +186,15 @@ def _checked(percent: int):
     return work
 
 
-def _pieces(grouped: str, members: DataFrame) -> DataFrame:
+def _pieces(grouped: str, members: DataFrame, classes: int, shingles: int) -> DataFrame:
     """How many pieces of bounded size the rows (id, n) of each group make."""
-    size = F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)
+    size = F.greatest(F.count(F.lit(1)) / classes, F.sum("n") / shingles)
     return settle(members.groupBy(grouped).agg(F.ceil(size).cast("int").alias("blocks")), "piece-counts")
 
 
 def with_heads(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) of ``asked`` (id, head, n): each set is compared with its head's."""
-    pieces = _pieces("head", asked)
+    pieces = _pieces("head", asked, HEAD_CLASSES, HEAD_SHINGLES)
     members = asked.join(pieces, "head").select("id", "head", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("salt"))
     heads = pieces.select(F.col("head").alias("id"), "head", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"))
     units = max(1, pieces.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0])
@@ -204,7 +206,7 @@ def in_families(near: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     """Links (a, b) among the classes that ``near`` (a, b) connects: a spanning forest of each pair of a family's blocks."""
     families = components(near).withColumnRenamed("root", "family")
     members = settle(classes.select("id", "n").join(families, "id"), "family-members")
-    members = members.join(_pieces("family", members), "family")
+    members = members.join(_pieces("family", members, BLOCK_CLASSES, BLOCK_SHINGLES), "family")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (F.col("blocks") == 1) | (j != F.col("own"))))
     dealt = sets.join(members, "id").withColumn("own", own).withColumn("other", other).select("family", "id", "shingles", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
