@@ -29,7 +29,7 @@ from .anchors import LENGTH, REACH, anchors, last_windows
 from .common import bounded_batches, settle
 
 #: Rows of a bucket in one task, and of all buckets of a task, about.
-MOST, UNIT = 20_000, 20_000
+MOST, UNIT = 2_000, 20_000
 SIDE = REACH + LENGTH  # bytes kept around an anchor
 
 
@@ -171,7 +171,6 @@ def halved(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         core = F.substr("around", F.lit(REACH + 1) - F.col("x"), F.lit(LENGTH) - F.col("y") + F.col("x"))
         every = F.substr("around", F.lit(REACH + 1) - F.col("y"), F.lit(LENGTH) + F.col("y") - F.col("x"))
         cut = cut.withColumns({"key": F.md5(F.concat(F.concat_ws(":", "key", "x", "y").cast("binary"), core)), "_every": F.md5(every)})
-        cut = settle(cut, "large-buckets")
         count = cut.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("single").alias("singles"), ((F.min("_every") == F.max("_every")) | (F.min("x") == F.max("y"))).alias("told"))
         count = settle(count.filter("n > 1 and singles > 0").withColumn("fits", F.col("n") <= MOST), "large-bucket-counts")
         size = count.agg(F.coalesce(F.sum(F.when(F.expr("fits and not told"), F.col("n"))), F.lit(0)), F.count_if(F.expr("not fits and not told"))).first()
@@ -243,6 +242,7 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("text_key") == F.col("f_key"))
     marked = flags.withColumnsRenamed({"doc_id": "f_id", "text_key": "f_key"})
     around = keyed.join(marked.filter(F.size("asked") > 0), same).select("row_id", "text", "asked").mapInArrow(_surroundings, SURROUNDINGS)
+    around = settle(around, "surroundings")
     rows, n = around.filter("not large").drop("large"), sums[0] or 0
     settled = None
     if sums[1]:
