@@ -238,23 +238,25 @@ def out_of_gamut(p: RGB) -> Column:
     return (F.least(*p) < 0.0) | (F.greatest(*p) > 1.0)
 
 
-def compressed_gamut(p: RGB, frame_has_outside: Column) -> RGB:
-    """Pulls chroma to the clamped luma by the largest scale that fits, and shadows' chroma some more.
+def compressed_gamut(df: DataFrame, frame_has_outside: Column) -> DataFrame:
+    """``df`` with chroma of r, g, b pulled to the clamped luma by the largest scale that fits, and shadows' chroma some more.
 
-    ``frame_has_outside`` tells whether any pixel of the image is out of gamut; if none is, all stay as they are.
+    ``frame_has_outside`` tells whether any pixel of the image is out of gamut; if none is, all stay as they are. Each step is a
+    projection of its own.
     """
-    luma = clip(luma709(p), GAMUT_LOW, GAMUT_HIGH)
+    names = df.columns
+    luma = F.col("_luma")
     limits = []
-    for c in p:
+    for c in rgb():
         chroma = c - luma
         limits.append(F.when(chroma < -1e-6, (luma - GAMUT_LOW) / F.when(chroma < -1e-6, -chroma)))
         limits.append(F.when(chroma > 1e-6, (GAMUT_HIGH - luma) / F.when(chroma > 1e-6, chroma)))
-    scale = unit(F.coalesce(F.least(*limits), F.lit(1.0)))
-    pulled = p.map(lambda c: luma + (c - luma) * scale)
-    again = clip(luma709(pulled), GAMUT_LOW, GAMUT_HIGH)
-    weight = F.when(out_of_gamut(p), 1.0 - smoothstep(0.01, 0.12, luma)).otherwise(0.0)
-    toned = pulled.map(lambda c: unit(F.when(weight > 0.0, again + (c - again) * (1.0 - 0.55 * weight)).otherwise(c)))
-    return RGB(*(F.when(frame_has_outside, t).otherwise(c) for t, c in zip(toned, p, strict=True)))
+    df = df.withColumn("_luma", clip(luma709(rgb()), GAMUT_LOW, GAMUT_HIGH)).withColumn("_scale", unit(F.coalesce(F.least(*limits), F.lit(1.0))))
+    df = df.withColumns({f"_{n}": luma + (F.col(n) - luma) * F.col("_scale") for n in "rgb"})
+    weight = F.when(out_of_gamut(rgb()), 1.0 - smoothstep(0.01, 0.12, luma)).otherwise(0.0)
+    df = df.withColumns({"_again": clip(luma709(rgb("_r", "_g", "_b")), GAMUT_LOW, GAMUT_HIGH), "_weight": weight})
+    pulled = lambda c: unit(F.when(F.col("_weight") > 0.0, F.col("_again") + (c - F.col("_again")) * (1.0 - 0.55 * F.col("_weight"))).otherwise(c))
+    return df.withColumns({n: F.when(frame_has_outside, pulled(F.col(f"_{n}"))).otherwise(F.col(n)) for n in "rgb"}).select(*names)
 
 
 def saturated(p: RGB, amount: int) -> RGB:

@@ -52,33 +52,38 @@ def bin_edges(n: int, bins: int) -> list[int]:
     return np.linspace(0, n, bins + 1, dtype=np.int32).tolist()
 
 
-def tone_curve(df: DataFrame, x: str, y: str, bins: int = 48) -> DataFrame:
-    """i, x, y of a rising curve: medians of bins of equal count along x, running maximum, clipped, the first y of an x.
+def bin_of(at: Column, n: Column, bins: int) -> Column:
+    """The bin of place ``at`` among ``n``, with the edges of ``bin_edges``: a multiple of the step may be cut one below its number."""
+    step = n / float(bins)
+    guess = F.floor(at / step)
+    edge = lambda i: F.when(i >= bins, n).otherwise(F.floor(i * step))
+    return F.when(edge(guess + 1) <= at, guess + 1).when(edge(guess) > at, guess - 1).otherwise(guess).cast("int")
 
-    Raises if there are fewer than 8 rows a bin, like any caller of the fit would.
-    """
-    valid = df.filter((F.col(x) > 0.0) & (F.col(y) > 0.0) & (F.col(y) < 0.995) & ~F.isnan(x) & ~F.isnan(y)).select(F.col(x).alias("x"), F.col(y).alias("y"))
-    n = valid.count()
-    if n < bins * 8:
-        raise ValueError("not enough samples for a tone curve")
-    edges = bin_edges(n, bins)
-    spans = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a], "i int, a int, b int")
-    ranked = valid.withColumn("at", _global_rank(valid, n, ["x", "y"]))
-    mid = ranked.join(spans, (F.col("at") >= F.col("a")) & (F.col("at") < F.col("b"))).groupBy("i").agg(F.median("x").alias("x"), F.median("y").alias("y"))
-    rising = mid.withColumn("y", F.least(F.greatest(F.max("y").over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)), F.lit(1.0)))
-    first = F.row_number().over(Window.partitionBy("x").orderBy("i"))
-    return rising.withColumn("_n", first).filter("_n = 1").drop("_n")
+
+def tone_curve(df: DataFrame, keys: list[str], x: str, y: str, bins: int = 48) -> DataFrame:
+    """keys, i, x, y of a rising curve for each group: medians of bins of equal count along x, running maximum, clipped, the first y
+    of an x. A group is a frame or less; one of fewer than 8 rows a bin has no curve."""
+    valid = df.filter((F.col(x) > 0.0) & (F.col(y) > 0.0) & (F.col(y) < 0.995) & ~F.isnan(x) & ~F.isnan(y)).select(*keys, F.col(x).alias("x"), F.col(y).alias("y"))
+    own = Window.partitionBy(*keys)
+    ranked = valid.withColumns({"_n": F.count(F.lit(1)).over(own), "_at": F.row_number().over(own.orderBy("x", "y")) - 1}).filter(F.col("_n") >= bins * 8)
+    mid = ranked.groupBy(*keys, bin_of(F.col("_at"), F.col("_n"), bins).alias("i")).agg(F.median("x").alias("x"), F.median("y").alias("y"))
+    rising = mid.withColumn("y", F.least(F.greatest(F.max("y").over(own.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)), F.lit(1.0)))
+    return rising.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "x").orderBy("i"))).filter("_k = 1").drop("_k")
 
 
-def _global_rank(df: DataFrame, n: int, by: list[str]) -> Column:
-    """Place from 0 in the order of ``by``. Samples of a calibration are a bounded set (a grid over some dozens of images)."""
-    return F.row_number().over(Window.orderBy(*by)) - 1
+def on_curve(c: Column, knots: list[tuple[float, float]]) -> Column:
+    """``c`` on a curve of a few fixed knots by rising x, linear between them and flat beyond its ends."""
+    out = F.when(c <= knots[0][0], F.lit(knots[0][1]))
+    for (x0, y0), (x1, y1) in zip(knots[:-1], knots[1:], strict=True):
+        out = out.when(c < x1, y0 + (c - x0) * ((y1 - y0) / (x1 - x0)))
+    return out.otherwise(knots[-1][1])
 
 
 def interpolated(df: DataFrame, value: str, curve: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``df`` plus toned: ``value`` on the curve (x, y), linear between its knots and flat beyond its ends.
 
-    Knots become half-open intervals; a value falls in exactly one of them.
+    For curves by key; ``on_curve`` is for one of a few knots. Knots become half-open intervals; a value falls in exactly one of
+    them.
     """
     keys = keys or []
     w = Window.partitionBy(*keys).orderBy("x")

@@ -200,6 +200,50 @@ def rotated_corners(x: Column, y: Column, width: Column, height: Column, angle:
     return out
 
 
+def _corner_names(p: str) -> list[tuple[str, str]]:
+    return [(f"{p}x{i}", f"{p}y{i}") for i in range(4)]
+
+
+def rotated_overlap_steps(a: dict[str, str], b: dict[str, str]) -> list[dict[str, str]]:
+    """The overlap of two turned rectangles as SQL expressions to add in turn; the last is iou.
+
+    The border of what two convex shapes share is made of the parts of either's sides that lie inside the other. Each side is
+    cut by the other's four, and the parts' areas to the origin are summed. A side that lies on one of the other's counts once.
+    """
+    corners, sides, cuts, areas = {}, {}, {}, []
+    for p, r in (("p", a), ("q", b)):
+        turn = f"radians({r['angle']})"
+        for (x, y), (sx, sy) in zip(_corner_names(p), ((-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5)), strict=True):
+            dx, dy = f"({sx} * {r['width']})", f"({sy} * {r['height']})"
+            corners[x] = f"{r['x']} + {r['width']} * 0.5 + {dx} * cos({turn}) - {dy} * sin({turn})"
+            corners[y] = f"{r['y']} + {r['height']} * 0.5 + {dx} * sin({turn}) + {dy} * cos({turn})"
+    for p, q in (("p", "q"), ("q", "p")):
+        own, other = _corner_names(p), _corner_names(q)
+        for i, (x, y) in enumerate(own):
+            for j in range(4):
+                (x0, y0), (x1, y1) = other[j], other[(j + 1) % 4]
+                sides[f"{p}{i}{j}"] = f"({x1} - {x0}) * ({y} - {y0}) - ({y1} - {y0}) * ({x} - {x0})"
+        least = "-1e-7" if p == "p" else "1e-7"
+        for i, (x, y) in enumerate(own):
+            ends = [(f"{p}{i}{j}", f"{p}{(i + 1) % 4}{j}") for j in range(4)]
+            cuts[f"{p}from{i}"] = "greatest(0.0, " + ", ".join(f"CASE WHEN {d} >= {least} THEN 0.0 WHEN {e} < {least} THEN 2.0 ELSE {d} / ({d} - {e}) END" for d, e in ends) + ")"
+            cuts[f"{p}to{i}"] = "least(1.0, " + ", ".join(f"CASE WHEN {e} >= {least} OR {d} < {least} THEN 1.0 ELSE {d} / ({d} - {e}) END" for d, e in ends) + ")"
+            nx, ny = own[(i + 1) % 4]
+            areas.append(f"greatest({p}to{i} - {p}from{i}, 0.0) * ({x} * {ny} - {y} * {nx})")
+    both = "(" + " + ".join(areas) + ") * 0.5"
+    whole = f"{a['width']} * {a['height']} + {b['width']} * {b['height']}"
+    return [corners, sides, cuts, {"both_": both}, {"iou": f"CASE WHEN {whole} - both_ > 1e-6 THEN greatest(both_, 0.0) / ({whole} - both_) ELSE 0.0 END"}]
+
+
+def rotated_overlaps(df: DataFrame, a: str, b: str) -> DataFrame:
+    """``df`` plus iou of the turned rectangles in the double columns a_x, a_y, a_width, a_height, a_angle, and so for b."""
+    names = ("x", "y", "width", "height", "angle")
+    out = df
+    for step in rotated_overlap_steps({n: f"{a}_{n}" for n in names}, {n: f"{b}_{n}" for n in names}):
+        out = out.withColumns({n: F.expr(e) for n, e in step.items()})
+    return out.select(*df.columns, "iou")
+
+
 def border_clearance(corners: list[tuple[Column, Column]], width: int, height: int) -> Column:
     xs, ys = [c[0] for c in corners], [c[1] for c in corners]
     margin = F.least(F.least(*xs), F.least(*ys), width - F.greatest(*xs), height - F.greatest(*ys))

@@ -31,10 +31,10 @@ def file_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(spark, sf_dir)
 
 
-@query("nearby_files", f"WITH {PLACED}, ap AS (SELECT folder, pos AS at_pos FROM po WHERE pos % 5 = 0) SELECT folder, at_pos, file_id, pos, row_number() OVER (PARTITION BY folder, at_pos ORDER BY abs(pos - at_pos), pos) AS near FROM po JOIN ap USING (folder) WHERE pos <> at_pos AND abs(pos - at_pos) <= 3")
+@query("nearby_files", f"WITH {PLACED}, ap AS (SELECT folder, pos AS at_pos FROM po) SELECT folder, at_pos, file_id, pos, row_number() OVER (PARTITION BY folder, at_pos ORDER BY abs(pos - at_pos), pos) AS near FROM po JOIN ap USING (folder) WHERE pos <> at_pos AND abs(pos - at_pos) <= 3")
 def nearby_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = placed(spark, sf_dir)
-    return ordered.nearby(p, p.filter("pos % 5 = 0"), 3)
+    return ordered.nearby(p, p, 3)
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import color as c
 from ..operators import frames, ordered, relate
 from . import views
+from .order_queries import ANGLE
 from .pixel_queries import STANDARD, normal_log
 from .registry import query
 
@@ -21,7 +22,20 @@ def summed(df: DataFrame, *names: str) -> DataFrame:
     return df.groupBy("frame_id").agg(*(F.round(F.avg(n), 6).alias(f"{n}_avg") for n in names), *(F.round(F.max(n), 6).alias(f"{n}_max") for n in names), F.count(F.lit(1)).alias("n"))
 
 
-@query("blurred_luma")
+def _blur_sql(sigma: float) -> str:
+    """Both passes of the blur as joins with the offsets' weights; the border is reflected, missing cells are 0."""
+    reach = (round(sigma * 8 + 1) | 1) // 2
+    at = lambda p, n: f"CASE WHEN {p} < 0 THEN -({p}) WHEN {p} > {n} - 1 THEN 2 * ({n} - 1) - ({p}) ELSE {p} END"
+    weights = f"wt AS (SELECT o, exp(-0.5 * power(o / {sigma}::DOUBLE, 2)) / sum(exp(-0.5 * power(o / {sigma}::DOUBLE, 2))) OVER () AS k FROM range({-reach}, {reach + 1}) t(o))"
+    grid = """z AS (SELECT frame_id, max(x) + 1 AS w, max(y) + 1 AS h FROM rs GROUP BY frame_id),
+ce AS (SELECT frame_id, w, h, yy AS y, xx AS x FROM z, unnest(range(h)) a(yy), unnest(range(w)) b(xx)),
+v0 AS (SELECT ce.*, coalesce(r * 0.2126::DOUBLE + g * 0.7152::DOUBLE + b * 0.0722::DOUBLE, 0) AS v FROM ce LEFT JOIN rs USING (frame_id, y, x))"""
+    down = f"v1 AS (SELECT c.frame_id, c.w, c.h, c.y, c.x, sum(p.v * k) AS v FROM v0 c CROSS JOIN wt JOIN v0 p ON p.frame_id = c.frame_id AND p.x = c.x AND p.y = {at('(c.y + o)', 'c.h')} GROUP BY ALL)"
+    across = f"v2 AS (SELECT c.frame_id, c.y, c.x, sum(p.v * k) AS v FROM v1 c CROSS JOIN wt JOIN v1 p ON p.frame_id = c.frame_id AND p.y = c.y AND p.x = {at('(c.x + o)', 'c.w')} GROUP BY ALL)"
+    return f"WITH {views.RASTER}, {weights}, {grid}, {down}, {across} SELECT frame_id, round(avg(v), 6) AS v_avg, round(max(v), 6) AS v_max, count(*) AS n FROM v2 GROUP BY frame_id"
+
+
+@query("blurred_luma", _blur_sql(2.0))
 def blurred_luma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summed(frames.by_frame(luma_raster(spark, sf_dir), ["v"], "v double", lambda v: {"v": frames.gaussian(v, 2.0)}), "v")
 
@@ -99,12 +113,26 @@ def profile_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.peaks(views.profile(spark, sf_dir), 74.0, 1.4, 3.5, 6, 4).withColumn("score", F.round("score", 6))
 
 
-@query("rotated_overlap")
+def _overlap_sql() -> str:
+    names = ("x", "y", "width", "height", "angle")
+    ctes, last = [], "ro"
+    for k, step in enumerate(relate.rotated_overlap_steps({n: f"a_{n}" for n in names}, {n: f"b_{n}" for n in names})):
+        ctes.append(f"r{k} AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in step.items())} FROM {last})")
+        last = f"r{k}"
+    own = lambda p: ", ".join(f"{p}.{n}::DOUBLE AS {p}_{n}" for n in names[:-1])
+    turn = lambda p: ANGLE.replace("angle", f"{p}.angle") + f"::DOUBLE AS {p}_angle"
+    return (
+        f"WITH {views.CANDIDATES}, f AS (SELECT frame_id, min(cand_pos) AS p FROM cd GROUP BY frame_id), ro AS (SELECT a.cand_pos, {own('a')}, {turn('a')}, {own('b')}, {turn('b')} FROM cd a JOIN f USING (frame_id) JOIN cd b ON b.cand_pos = f.p), "
+        f"{', '.join(ctes)} SELECT cand_pos, round(iou, 6) AS iou FROM {last}"
+    )
+
+
+@query("rotated_overlap", _overlap_sql())
 def rotated_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = views.candidates(spark, sf_dir).withColumn("angle", relate.normal_angle(F.col("angle")))
-    first = ordered.first_wins(d, [], "cand_pos", ["frame_id"]).select("frame_id", *(F.col(n).alias(f"b_{n}") for n in ("x", "y", "width", "height", "angle")))
-    j = frames.overlaps(d.join(first, "frame_id"), ["x", "y", "width", "height", "angle"], ["b_x", "b_y", "b_width", "b_height", "b_angle"])
-    return j.select("cand_pos", F.round("iou", 6).alias("iou"))
+    first = ordered.first_wins(d, [], "cand_pos", ["frame_id"])
+    a, b = (x.select("frame_id", *(["cand_pos"] if p == "a" else []), *(F.col(n).cast("double").alias(f"{p}_{n}") for n in ("x", "y", "width", "height", "angle"))) for x, p in ((d, "a"), (first, "b")))
+    return relate.rotated_overlaps(a.join(b, "frame_id"), "a", "b").select("cand_pos", F.round("iou", 6).alias("iou"))
 
 
 @query("visual_midpoint")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import color as c
 from ..operators import ordered, relate
@@ -91,12 +92,24 @@ def centre_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-@query("tone_curve")
+DENSITY = " + ".join(f"greatest(-log10(least(greatest({n}, 1e-6), 1)), 0) * {w}::DOUBLE" for n, w in zip("rgb", (0.2126, 0.7152, 0.0722), strict=True))
+
+
+@query(
+    "tone_curve",
+    f"""WITH {views.PIXELS}, dn AS (SELECT frame_id, {DENSITY} AS x, 1.0 - (r * 0.2126::DOUBLE + g * 0.7152::DOUBLE + b * 0.0722::DOUBLE) AS y FROM px),
+v AS (SELECT *, count(*) OVER (PARTITION BY frame_id) AS n, row_number() OVER (PARTITION BY frame_id ORDER BY x, y) - 1 AS p FROM dn WHERE x > 0 AND y > 0 AND y < 0.995),
+e AS (SELECT n, i, CASE WHEN i = 24 THEN n ELSE CAST(floor(i * (n / 24.0::DOUBLE)) AS BIGINT) END AS lo FROM (SELECT DISTINCT n FROM v) CROSS JOIN range(25) t(i)),
+s AS (SELECT n, CAST(i AS INTEGER) AS i, lo, lead(lo) OVER (PARTITION BY n ORDER BY i) AS hi FROM e),
+m AS (SELECT frame_id, i, median(x) AS x, median(y) AS y FROM v JOIN s ON v.n = s.n AND p >= lo AND p < hi WHERE v.n >= 192 GROUP BY frame_id, i),
+r AS (SELECT frame_id, i, x, max(y) OVER (PARTITION BY frame_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS y FROM m)
+SELECT frame_id, i, round(x, 9) AS x, round(least(greatest(y, 0), 1), 9) AS y FROM r QUALIFY row_number() OVER (PARTITION BY frame_id, x ORDER BY i) = 1""",
+)
 def tone_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rising tone curve of frame 1's densities to its luma."""
-    px = views.pixels(spark, sf_dir).filter("frame_id = 1")
-    d = px.select(c.luma709(c.rgb().map(c.density)).alias("x"), (1.0 - c.luma709(c.rgb())).alias("y"))
-    return ordered.tone_curve(d, "x", "y", 24).select("i", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    """A rising tone curve of each frame's densities to its luma."""
+    px = views.pixels(spark, sf_dir)
+    d = px.select("frame_id", c.luma709(c.rgb().map(c.density)).alias("x"), (1.0 - c.luma709(c.rgb())).alias("y"))
+    return ordered.tone_curve(d, ["frame_id"], "x", "y", 24).select("frame_id", "i", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
 KNOTS = ((0.0, 0.02), (0.1, 0.05), (0.3, 0.35), (0.55, 0.6), (0.9, 0.97))
@@ -108,9 +121,8 @@ KNOTS = ((0.0, 0.02), (0.1, 0.05), (0.3, 0.35), (0.55, 0.6), (0.9, 0.97))
     "SELECT frame_id, round(avg(coalesce(y0 + (g - x0) * (y1 - y0) / (x1 - x0), y0)), 6) AS toned_avg, count(*) AS n FROM px JOIN sg ON g >= x0 AND (x1 IS NULL OR g < x1) GROUP BY frame_id",
 )
 def curve_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As-of look-up: the green channel between the knots of a curve."""
-    curve = spark.createDataFrame(list(KNOTS), "x double, y double")
-    toned = ordered.interpolated(views.pixels(spark, sf_dir), "g", curve)
+    """The green channel between the knots of a curve."""
+    toned = views.pixels(spark, sf_dir).withColumn("toned", ordered.on_curve(F.col("g"), list(KNOTS)))
     return toned.groupBy("frame_id").agg(F.round(F.avg("toned"), 6).alias("toned_avg"), F.count(F.lit(1)).alias("n"))
 
 
@@ -140,7 +152,15 @@ def rectangle_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("cand_pos", F.round(relate.normal_angle(F.col("angle")), 6).alias("angle"), F.col("f.label").alias("format"), F.round("f.score", 6).alias("format_score"), F.round(relate.centre_prior(F.col("x"), F.col("y"), F.col("width"), F.col("height"), 640, 480), 6).alias("centre"))
 
 
-@query("border_clearance")
+def _corners_sql() -> tuple[str, str]:
+    """Of candidates: the corners' x and y, comma-joined."""
+    turn = "radians(an)"
+    xs = [f"cx + {sx} * width / 2.0 * cos({turn}) - {sy} * height / 2.0 * sin({turn})" for sx, sy in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+    ys = [f"cy + {sx} * width / 2.0 * sin({turn}) + {sy} * height / 2.0 * cos({turn})" for sx, sy in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+    return ", ".join(xs), ", ".join(ys)
+
+
+@query("border_clearance", f"WITH {views.CANDIDATES}, tc AS (SELECT *, x + width / 2.0::DOUBLE AS cx, y + height / 2.0::DOUBLE AS cy, {ANGLE} AS an FROM cd), m AS (SELECT cand_pos, least({_corners_sql()[0]}, {_corners_sql()[1]}, 640 - greatest({_corners_sql()[0]}), 480 - greatest({_corners_sql()[1]})) AS m FROM tc) SELECT cand_pos, round(least(greatest(m / 19.2::DOUBLE, 0), 1), 6) AS clearance FROM m")
 def border_clearance(spark: SparkSession, sf_dir: str) -> DataFrame:
     corners = relate.rotated_corners(*(F.col(n).cast("double") for n in ("x", "y", "width", "height")), relate.normal_angle(F.col("angle")))
     return views.candidates(spark, sf_dir).select("cand_pos", F.round(relate.border_clearance(corners, 640, 480), 6).alias("clearance"))
@@ -170,32 +190,52 @@ def rectangle_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides[0].join(sides[1].drop("cand_pos"), "frame_id").select("cand_pos", F.round(relate.axis_iou("a", "b"), 6).alias("iou"))
 
 
-LINES_SQL = f"""{views.PROFILE}, li AS (SELECT key, i * 20 % 600 AS place, round(v, 6) AS score, row_number() OVER (PARTITION BY key ORDER BY i) AS n FROM pf)"""
+#: The six places of either half of a profile that part it best, as lines of an image 640 wide.
+LINES_SQL = f"""{views.PROFILE}, ew AS (SELECT key, i, n, avg(v) OVER a AS a, avg(v) OVER b AS b, count(v) OVER a AS na, count(v) OVER b AS nb FROM (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM pf)
+  WINDOW b AS (PARTITION BY key ORDER BY i ROWS BETWEEN 6 PRECEDING AND 3 PRECEDING), a AS (PARTITION BY key ORDER BY i ROWS BETWEEN 2 FOLLOWING AND 5 FOLLOWING)),
+es AS (SELECT key, i, n, i * 2 >= n AS far, CAST(i * 640 // n AS BIGINT) AS place, round(greatest(0, b - a) * 0.78 + abs(a - b) * 0.22, 6) AS score FROM ew WHERE na = 4 AND nb = 4),
+li AS (SELECT key, far, place, score FROM es QUALIFY row_number() OVER (PARTITION BY key, far ORDER BY score DESC, i) <= 6)"""
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str, far: bool) -> DataFrame:
     p = views.profile(spark, sf_dir)
-    return p.filter("i < 12").select("key", (F.col("i") * 20 % 600).alias("place"), F.round("v", 6).alias("score"), (F.col("i") + 1).alias("n"))
+    score = F.round(ordered.block_contrast(["key"], "i", "v", 2), 6)
+    n = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    p = p.withColumns({"score": score, "n": n}).filter("score is not null").withColumn("far", F.col("i") * 2 >= F.col("n"))
+    best = ordered.top_k(p, ["key", "far"], F.col("score"), 6, "i")
+    return best.filter(F.col("far") == far).select("key", F.floor(F.col("i") * 640 / F.col("n")).alias("place"), "score")
 
 
-@query(
-    "boundary_pairs",
-    f"""WITH {LINES_SQL}, j AS (SELECT a.key, a.place AS a, b.place + 300 AS b, (a.score + b.score) * 0.5 + (1 - least(greatest(abs((b.place + 300 - a.place) / 640.0 - 0.68) / 0.52, 0), 1)) * 0.10 AS score
-  FROM li a JOIN li b ON a.key = b.key AND a.n <= 6 AND b.n BETWEEN 7 AND 12 AND b.place + 300 - a.place BETWEEN 153 AND 614)
-SELECT key, a, b, round(score, 6) AS score FROM j QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, a, b) <= 14""",
-)
+def pairs_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relate.span_pairs(lines(spark, sf_dir, False), lines(spark, sf_dir, True), ["key"], 640, 153, 14)
+
+
+PAIRS_SQL = f"""{LINES_SQL}, j AS (SELECT a.key, a.place AS a, b.place AS b, (a.score + b.score) * 0.5 + (1 - least(greatest(abs((b.place - a.place) / 640.0::DOUBLE - 0.68::DOUBLE) / 0.52::DOUBLE, 0), 1)) * 0.10::DOUBLE AS score
+  FROM li a JOIN li b ON a.key = b.key AND NOT a.far AND b.far AND b.place - a.place BETWEEN 153 AND 614),
+lp AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, a, b) <= 14)"""
+
+
+@query("boundary_pairs", f"WITH {PAIRS_SQL} SELECT key, a, b, round(score, 6) AS score FROM lp")
 def boundary_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = lines(spark, sf_dir)
-    second = li.filter("n > 6").select("key", (F.col("place") + 300).alias("place"), "score")
-    return relate.span_pairs(li.filter("n <= 6").drop("n"), second, ["key"], 640, 153, 14).withColumn("score", F.round("score", 6))
+    return pairs_of_lines(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
-@query("boundary_boxes")
+RATIOS = (1.5, 2 / 3, 4 / 3, 0.75, 1.0)
+
+
+@query(
+    "boundary_boxes",
+    f"""WITH {PAIRS_SQL}, g AS (SELECT p.key, p.a AS l, p.b AS r, q.a AS t, q.b AS bt, p.score AS xs, q.score AS ys, (p.b - p.a)::DOUBLE AS bw, (q.b - q.a)::DOUBLE AS bh FROM lp p JOIN lp q USING (key)),
+k AS (SELECT *, unnest([{', '.join(f'{x!r}::DOUBLE' for x in RATIOS)}]) AS ratio FROM g WHERE bw * bh / 409600.0::DOUBLE BETWEEN 0.10 AND 0.92),
+d AS (SELECT *, greatest(12, round_even(CASE WHEN bw / bh >= ratio THEN bh * ratio ELSE bw END, 0)) AS width, greatest(12, round_even(CASE WHEN bw / bh >= ratio THEN bh ELSE bw / ratio END, 0)) AS height FROM k),
+f AS (SELECT *, width * height / (bw * bh) AS fill FROM d),
+s AS (SELECT key, round_even((l + r) * 0.5::DOUBLE - width * 0.5::DOUBLE, 0) AS x, round_even((t + bt) * 0.5::DOUBLE - height * 0.5::DOUBLE, 0) AS y, width, height, ratio,
+  (xs + ys) * 0.44::DOUBLE + (1 - least(greatest(abs(ln(greatest(bw / bh, 0.05)) - ln(ratio)) / 0.42::DOUBLE, 0), 1)) * 0.22::DOUBLE + fill * 0.16::DOUBLE AS score FROM f WHERE fill >= 0.52)
+SELECT key, x, y, width, height, round(ratio, 6) AS ratio, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY key ORDER BY round(score, 9) DESC, x, y, width, height, round(ratio, 6)) AS INTEGER) AS place FROM s QUALIFY place <= 10""",
+)
 def boundary_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles from pairs of lines across and down; the best ten of each key."""
-    li = lines(spark, sf_dir)
-    second = li.filter("n > 6").select("key", (F.col("place") + 300).alias("place"), "score")
-    pairs = relate.span_pairs(li.filter("n <= 6").drop("n"), second, ["key"], 640, 153, 14)
-    b = relate.boxes(pairs, pairs, ["key"], 640, 640, (1.5, 2 / 3, 4 / 3, 0.75, 1.0))
-    b = b.withColumn("pos", F.concat_ws("/", "x", "y", "width", "height", "ratio"))
+    pairs = pairs_of_lines(spark, sf_dir)
+    b = relate.boxes(pairs, pairs, ["key"], 640, 640, RATIOS).withColumn("ratio", F.round("ratio", 6))
+    b = b.withColumn("pos", F.struct("x", "y", "width", "height", "ratio"))
     return ordered.top_k(b, ["key"], F.round("score", 9), 10, "pos").drop("pos").withColumn("score", F.round("score", 6))

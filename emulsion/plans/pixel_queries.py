@@ -238,7 +238,36 @@ def print_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means(j, c.RGB(*(c.print_response(c.on_table(F.col(x)), STANDARD, F.col(f"offset_{x}")) for x in "rgb")))
 
 
-@query("print_curves")
+def soft_response_sql(v: str, curve: c.PrintCurve) -> str:
+    """The print response with both ends soft; ``v`` is in [0, 1]."""
+    away = f"({v} - {curve.pivot!r}::DOUBLE)"
+    toe = logistic_sql(f"2.5::DOUBLE * ({away} / {1.0 - curve.pivot!r}::DOUBLE - 0.5)")
+    shoulder = logistic_sql(f"-2.5::DOUBLE * ({away} / {curve.pivot!r}::DOUBLE + 0.5)")
+    turn = lambda m: f"least(greatest(4 * {m} * (1 - {m}), 0), 1)"
+    shift = f"{away} - 0.056::DOUBLE * {turn(toe)} + 0.05::DOUBLE * {turn(shoulder)}"
+    if curve.highlight_bias:
+        shift += f" + {curve.highlight_bias!r}::DOUBLE * {step_sql('0', '0.55', f'(0.55::DOUBLE - {v})')}"
+    slope = f"least(greatest(1 - 0.11::DOUBLE * {turn(toe)} - 0.09::DOUBLE * {turn(shoulder)}, 0.1), 2)"
+    return f"least(greatest(power(10.0::DOUBLE, -4 * {logistic_sql(f'{curve.slope!r}::DOUBLE * ({shift}) * {slope}')}), 0), 1)"
+
+
+def _print_curves_sql() -> str:
+    out = []
+    for mode in c.MODE_CURVES:
+        if mode.startswith("filmic_"):
+            curve = HABLE_SQL if mode == "filmic_hable" else ACES_SQL
+            v = f"least(greatest({curve.replace('x', '(1 - g)').replace('ma(1 - g)', 'max')} / {curve.replace('x', '1.0::DOUBLE')}, 0), 1)"
+        else:
+            v = soft_response_sql("g", c.print_curve(mode, exposure=10, contrast=-5))
+        out.append(f"round(avg({v}), 6) AS {mode}")
+    return f"WITH {views.PIXELS} SELECT frame_id, {', '.join(out)} FROM px GROUP BY frame_id"
+
+
+HABLE_SQL = "(((x * (0.15 * x + 0.05) + 0.004) / greatest(x * (0.15 * x + 0.5) + 0.06, 1e-6)) - 0.02 / 0.30)"
+ACES_SQL = "((x * (2.51 * x + 0.03)) / greatest(x * (2.43 * x + 0.59) + 0.14, 1e-6))"
+
+
+@query("print_curves", _print_curves_sql())
 def print_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each mode's curve on the green channel, soft ends on."""
     px = views.pixels(spark, sf_dir)
@@ -249,10 +278,6 @@ def print_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.groupBy("frame_id").agg(*out)
 
 
-HABLE_SQL = "(((x * (0.15 * x + 0.05) + 0.004) / greatest(x * (0.15 * x + 0.5) + 0.06, 1e-6)) - 0.02 / 0.30)"
-ACES_SQL = "((x * (2.51 * x + 0.03)) / greatest(x * (2.43 * x + 0.59) + 0.14, 1e-6))"
-
-
 def _rational_sql(curve: str) -> str:
     one = curve.replace("x", "1.0::DOUBLE")
     f = lambda n: f"least(greatest({curve.replace('x', n)} / {one}, 0), 1)"
@@ -269,7 +294,21 @@ def filmic_aces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means(views.pixels(spark, sf_dir), c.rgb().map(lambda x: c.rational_curve(x, "filmic_aces")))
 
 
-@query("hue_preserving_curve")
+def _hue_sql(mode: str) -> str:
+    """The least and greatest channel on the cubic curve, six Newton steps each."""
+    (x1, y1), (x2, y2) = c.BEZIER_POINTS[mode]
+    at = lambda t, a, b: f"(3 * (1 - {t}) * (1 - {t}) * {t} * {a}::DOUBLE + 3 * (1 - {t}) * {t} * {t} * {b}::DOUBLE + {t} * {t} * {t})"
+    rise = lambda t: f"(3 * (1 - {t}) * (1 - {t}) * {x1}::DOUBLE + 6 * (1 - {t}) * {t} * {x2 - x1!r}::DOUBLE + 3 * {t} * {t} * {1 - x2!r}::DOUBLE)"
+    ctes = ["h0 AS (SELECT *, least(r, g, b) AS lo, greatest(r, g, b) AS hi, least(r, g, b) AS tl, greatest(r, g, b) AS th FROM px)"]
+    for k in range(6):
+        step = ", ".join(f"least(greatest({t} - ({at(t, x1, x2)} - {x}) / greatest({rise(t)}, 1e-5), 0), 1) AS {t}" for t, x in (("tl", "lo"), ("th", "hi")))
+        ctes.append(f"h{k + 1} AS (SELECT * EXCLUDE (tl, th), {step} FROM h{k})")
+    ctes.append(f"hc AS (SELECT *, least(greatest({at('tl', y1, y2)}, 0), 1) AS cl, least(greatest({at('th', y1, y2)}, 0), 1) AS ch FROM h6)")
+    put = lambda n: f"least(greatest(cl + ({n} - lo) * CASE WHEN hi - lo > 1e-6 THEN (ch - cl) / (hi - lo) ELSE 0 END, 0), 1)"
+    return means_sql(f"{views.PIXELS}, {', '.join(ctes)}", "hc", put("r"), put("g"), put("b"))
+
+
+@query("hue_preserving_curve", _hue_sql("contrast"))
 def hue_preserving_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means(views.pixels(spark, sf_dir), c.hue_preserving(c.rgb(), "contrast"))
 
@@ -303,8 +342,8 @@ def exposure_and_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gamut(df: DataFrame, p: c.RGB) -> tuple[DataFrame, c.RGB]:
     """``df`` with the columns of ``p`` as r, g, b and whether their frame has any pixel out of gamut; and the pixels compressed."""
     df = df.withColumns(dict(zip("rgb", p, strict=True)))
-    flags = df.groupBy("frame_id").agg(F.bool_or(c.out_of_gamut(c.rgb())).alias("outside"))
-    return stats.on(df, flags, KEY), c.compressed_gamut(c.rgb(), F.col("outside"))
+    df = stats.beside(df, KEY, outside=F.bool_or(c.out_of_gamut(c.rgb())))
+    return c.compressed_gamut(df, F.col("outside")), c.rgb()
 
 
 def gamut_sql(source: str) -> str:
@@ -361,13 +400,47 @@ def colour_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means(views.pixels(spark, sf_dir), c.colour_balance(c.rgb(), BALANCE))
 
 
-@query("highlights_and_shadows")
+def _tones_sql(shadows: int, highlights: int) -> str:
+    """Lifted shadows and recovered highlights: cubic pieces through three points below and above the anchor."""
+    s, h = shadows / 100.0, -highlights / 100.0
+    knots = f"""kn AS (SELECT px.*, a, a * 0.62 AS sx, least(a - 1e-4, a * 0.62 + a * 0.24 * {s}) AS sy, a + (1 - a) * 0.38 AS hx, greatest(a + 1e-4, a + (1 - a) * 0.38 - (1 - a) * 0.27 * {h}) AS hy,
+  {LUMA709} AS l, round_even(least({LUMA709}, 1) * 16383, 0) / 16383 AS x FROM px JOIN (SELECT frame_id, anchor AS a FROM an) USING (frame_id))"""
+    slopes = "k1 AS (SELECT *, sy / sx AS s0, (a - sy) / (a - sx) AS s1, (hy - a) / (hx - a) AS u0, (1 - hy) / (1 - hx) AS u1 FROM kn)"
+    start = "k2 AS (SELECT *, s0 AS m0, (s0 + s1) * 0.5 AS m1, s1 AS m2, u0 AS n0, (u0 + u1) * 0.5 AS n1, u1 AS n2 FROM k1)"
+    ctes = [knots, slopes, start]
+    for i in (0, 1):  # tangents kept inside a circle of three slopes, segment by segment
+        cols = []
+        for m, z in (("m", f"s{i}"), ("n", f"u{i}")):
+            r2 = f"(power(greatest({m}{i}, 0) / {z}, 2) + power(greatest({m}{i + 1}, 0) / {z}, 2))"
+            k = f"CASE WHEN {z} <= 1e-8 THEN 0 WHEN {r2} > 9 THEN 3 / sqrt({r2}) ELSE 1 END"
+            cols += [f"greatest({m}{j}, 0) * ({k}) AS {m}{j}" for j in (i, i + 1)]
+        ctes.append(f"k{3 + i} AS (SELECT * EXCLUDE (m{i}, m{i + 1}, n{i}, n{i + 1}), {', '.join(cols)} FROM k{2 + i})")
+
+    def piece(m: str, i: int, x0: str, y0: str, x1: str, y1: str) -> str:
+        w, t, d = f"({x1} - {x0})", f"((x - {x0}) / ({x1} - {x0}))", f"(({y1} - {y0}) / ({x1} - {x0}))"
+        return f"({y0} + {w} * {t} * ({m}{i} + {t} * (3 * {d} - 2 * {m}{i} - {m}{i + 1} + {t} * ({m}{i} + {m}{i + 1} - 2 * {d}))))"
+
+    y = f"CASE WHEN x >= a THEN CASE WHEN x < hx THEN {piece('n', 0, 'a', 'a', 'hx', 'hy')} ELSE {piece('n', 1, 'hx', 'hy', '1', '1')} END WHEN x < sx THEN {piece('m', 0, '0', '0', 'sx', 'sy')} ELSE {piece('m', 1, 'sx', 'sy', 'a', 'a')} END"
+    ctes.append(f"ty AS (SELECT *, CASE WHEN x <= 0 THEN 0 WHEN x >= 1 THEN 1 ELSE least(greatest({y}, 0), 1) END AS y FROM k4)")
+    ctes.append(f"tr AS (SELECT *, least(CASE WHEN l > 1e-5 THEN (y + greatest(l - 1, 0) * {max(0.18, 0.55 * (1 - h))!r}) / l ELSE 1 END, {1 + 2.8 * s!r}) AS ratio FROM ty)")
+    return means_sql(f"{views.PIXELS}, {ANCHOR}, {', '.join(ctes)}", "tr", "r * ratio", "g * ratio", "b * ratio")
+
+
+@query("highlights_and_shadows", _tones_sql(40, -55))
 def highlights_and_shadows(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = views.pixels(spark, sf_dir)
     return means(c.highlights_and_shadows(stats.on(px, stats.tone_anchor(px, KEY), KEY), 40, -55), c.rgb())
 
 
-@query("soft_tones")
+@query(
+    "soft_tones",
+    means_sql(
+        f"""{views.PIXELS}, su AS (SELECT frame_id, greatest(1, coalesce(quantile_cont({LUMA709}, 0.997) FILTER ({LUMA709} > 0.72), 1)) AS top FROM px GROUP BY frame_id), sl AS (SELECT px.*, top, {LUMA709} AS l FROM px JOIN su USING (frame_id)),
+sh AS (SELECT *, l * (1 - 0.42 * {step_sql('0.62', 'least(top, 1)', 'l')}) + least(0.72 + 0.28 * (1 - exp(-2.4 * greatest(l - 0.72, 0) / (top - 0.72))) / (1 - exp(-2.4)), 1) * 0.42 * {step_sql('0.62', 'least(top, 1)', 'l')} AS t FROM sl),
+sd AS (SELECT *, t * (1 - 0.46 * (1 - {step_sql('0', '0.30', 'l')})) + (0.018 + t * 0.76) * 0.46 * (1 - {step_sql('0', '0.30', 'l')}) AS u, 1 - {step_sql('0', '0.20', 'l')} AS f FROM sh)""",
+        "sd", *each("$ * u / greatest(l, 1e-5) * (1 - 0.18 * f) + 0.018 * 0.65 * f"),
+    ),
+)
 def soft_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = views.pixels(spark, sf_dir)
     luma = c.luma709(c.rgb())

@@ -51,7 +51,7 @@ def _features_sql() -> str:
         out.append(f"{n} AS {name}_n")
         out += [f"round(CASE WHEN {n} >= 16 THEN quantile_cont(v, {q / 100}) FILTER ({test}) ELSE 0 END, 9) AS {name}_p{q}" for q in (10, 50, 90)]
         out += [f"round(CASE WHEN {n} >= 16 THEN stddev_pop(v) FILTER ({test}) ELSE 0 END, 9) AS {name}_std", f"round(CASE WHEN {n} >= 16 THEN median(ch) FILTER ({test}) ELSE 0 END, 9) AS {name}_chroma", f"round(CASE WHEN {n} >= 16 THEN avg(CASE WHEN v < 0.030 THEN 1.0 ELSE 0 END) FILTER ({test}) ELSE 1 END, 9) AS {name}_black"]
-    return f"""WITH {views.RASTER}, {views.CANDIDATES}, rc AS (SELECT frame_id, cand_pos, x // 16 AS x0, y // 8 AS y0, 6 + width // 60 AS w, 5 + height // 40 AS h FROM cd WHERE cand_pos % 7 = 0),
+    return f"""WITH {views.RASTER}, {views.CANDIDATES}, rc AS (SELECT frame_id, cand_pos, x // 16 AS x0, y // 8 AS y0, 6 + width // 60 AS w, 5 + height // 40 AS h FROM cd),
 j AS (SELECT rs.frame_id, cand_pos, r * 0.2126::DOUBLE + g * 0.7152::DOUBLE + b * 0.0722::DOUBLE AS v, greatest(r, g, b) - least(r, g, b) AS ch, x >= x0 AND x < x0 + w AND y >= y0 AND y < y0 + h AS i FROM rs JOIN rc USING (frame_id)
   WHERE x >= x0 - greatest(2, least(w, h) * 0.075) AND x < x0 + w + greatest(2, least(w, h) * 0.075) AND y >= y0 - greatest(2, least(w, h) * 0.075) AND y < y0 + h + greatest(2, least(w, h) * 0.075))
 SELECT frame_id, cand_pos, {', '.join(out)} FROM j GROUP BY frame_id, cand_pos"""
@@ -59,7 +59,7 @@ SELECT frame_id, cand_pos, {', '.join(out)} FROM j GROUP BY frame_id, cand_pos""
 
 @query("rectangle_features", _features_sql())
 def rectangle_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = views.candidates(spark, sf_dir).filter("cand_pos % 7 = 0")
+    d = views.candidates(spark, sf_dir)
     d = d.select("frame_id", "cand_pos", F.floor(F.col("x") / 16).alias("x0"), F.floor(F.col("y") / 8).alias("y0"), (6 + F.floor(F.col("width") / 60)).alias("width"), (5 + F.floor(F.col("height") / 40)).alias("height"))
     f = regions.rectangle_features(views.raster(spark, sf_dir), d)
     return f.select(*(F.round(n, 9).alias(n) if kind == "double" else F.col(n) for n, kind in f.dtypes))

@@ -74,7 +74,24 @@ def colour_matrix_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix_rows(spark, fits.colour_matrix(fit_pairs(spark, sf_dir), ["r", "g", "b"], ["tr", "tg", "tb"]))
 
 
-@query("camera_matrix_fit")
+PAIRS_SQL = f"""{views.PIXELS}, mx AS (SELECT *, r * 0.9::DOUBLE + g * 0.04::DOUBLE + b * 0.06::DOUBLE AS mr, r * 0.05::DOUBLE + g * 0.92::DOUBLE + b * 0.03::DOUBLE AS mg, r * 0.02::DOUBLE + g * 0.03::DOUBLE + b * 0.95::DOUBLE AS mb FROM px),
+fp AS (SELECT frame_id, r, g, b, {', '.join(f'least(greatest(m{n} * 0.9::DOUBLE + 0.03::DOUBLE + 0.05::DOUBLE * g * g, 0), 1) AS t{n}' for n in 'rgb')} FROM mx)"""
+
+
+def _camera_fit_sql() -> str:
+    """Normal equations of three unknowns, solved by determinants."""
+    det = lambda m: f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
+    sums = ", ".join([f"sum({a} * {b}) AS {a}{b}" for i, a in enumerate("rgb") for b in "rgb"[i:]] + [f"sum({a} * t{b}) AS {a}_{b}" for a in "rgb" for b in "rgb"])
+    whole = [["".join(sorted((a, b), key="rgb".index)) for b in "rgb"] for a in "rgb"]
+    rows = []
+    for i in range(3):  # row i: what source channel i gives to each target
+        cells = [f"round({det([[f'{a}_{t}' if j == i else whole[k][j] for j in range(3)] for k, a in enumerate('rgb')])} / {det(whole)}, 5) AS {t}" for t in "rgb"]
+        rows.append(f"SELECT CAST({i} AS INTEGER) AS i, {', '.join(cells)} FROM su")
+    clear = " AND ".join(f"{n} > 0.005 AND {n} < 0.98" for n in ("r", "g", "b", "tr", "tg", "tb"))
+    return f"WITH {PAIRS_SQL}, su AS (SELECT {sums} FROM fp WHERE {clear}) " + " UNION ALL ".join(rows)
+
+
+@query("camera_matrix_fit", _camera_fit_sql())
 def camera_matrix_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix_rows(spark, fits.camera_matrix(fit_pairs(spark, sf_dir), ["r", "g", "b"], ["tr", "tg", "tb"]))
 

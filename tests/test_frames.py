@@ -8,8 +8,6 @@ import numpy as np
 import pytest
 from emulsion.operators import fits, frames, relate
 from emulsion.sources import rasters
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 RNG = np.random.default_rng(7)
@@ -76,16 +74,18 @@ def test_greedy_peaks():
     assert frames.greedy_peaks(v, 2.0, 4, 1) == [1] and frames.greedy_peaks(v, 99.0, 1, 5) == []
 
 
-RECT = st.tuples(st.floats(0, 20), st.floats(0, 20), st.floats(2, 20), st.floats(2, 20), st.floats(-45, 45))
+def plain_overlap(spark, pairs):
+    names = [f"{p}_{n}" for p in "ab" for n in ("x", "y", "width", "height", "angle")]
+    df = spark.createDataFrame([(i, *(float(v) for v in (*a, *b))) for i, (a, b) in enumerate(pairs)], "i int, " + ", ".join(f"{n} double" for n in names))
+    return [r["iou"] for r in relate.rotated_overlaps(df, "a", "b").orderBy("i").collect()]
 
 
-@settings(max_examples=60, deadline=None)
-@given(RECT, RECT)
-def test_rotated_overlap(a, b):
-    a, b = np.array(a), np.array(b)
-    iou = frames.rotated_iou(a, b)
-    assert 0 <= iou <= 1 + 1e-9 and iou == pytest.approx(frames.rotated_iou(b, a), abs=1e-6)
-    assert frames.rotated_iou(a, a) == pytest.approx(1.0)
+def test_rotated_overlap(spark):
+    rng = np.random.default_rng(12)
+    rects = [(*rng.uniform(0, 20, 2), *rng.uniform(2, 20, 2), rng.uniform(-45, 45)) for _ in range(60)]
+    pairs = list(zip(rects, rects[1:] + rects[:1], strict=True))
+    got, back = plain_overlap(spark, pairs), plain_overlap(spark, [(b, a) for a, b in pairs])
+    assert plain_overlap(spark, [(r, r) for r in rects]) == pytest.approx([1.0] * 60) and got == pytest.approx(back, abs=1e-9)
 
     def inside(r, x, y):
         t = math.radians(r[4])
@@ -93,18 +93,18 @@ def test_rotated_overlap(a, b):
         u, v = dx * math.cos(t) + dy * math.sin(t), -dx * math.sin(t) + dy * math.cos(t)
         return (abs(u) <= r[2] / 2) & (abs(v) <= r[3] / 2)
 
-    g = np.linspace(-20, 60, 400)
-    x, y = np.meshgrid(g, g)
-    ia, ib = inside(a, x, y), inside(b, x, y)
-    assert iou == pytest.approx((ia & ib).sum() / max(1, (ia | ib).sum()), abs=0.06)
+    x, y = np.meshgrid(np.linspace(-20, 60, 800), np.linspace(-20, 60, 800))
+    for (a, b), iou in zip(pairs, got, strict=True):
+        ia, ib = inside(a, x, y), inside(b, x, y)
+        assert iou == pytest.approx((ia & ib).sum() / max(1, (ia | ib).sum()), abs=0.03)
 
 
 def test_axis_overlap_matches_rotated(spark):
     rows = [tuple(float(v) for v in RNG.integers(1, 20, 8)) for _ in range(30)]
+    rows += [(1.0, 1.0, 4.0, 4.0, 5.0, 1.0, 4.0, 4.0), (1.0, 1.0, 4.0, 4.0, 1.0, 1.0, 2.0, 4.0), (0.0, 0.0, 1.0, 1.0, 9.0, 9.0, 1.0, 1.0)]  # sides in common
     names = [f"{p}_{n}" for p in "ab" for n in ("x", "y", "width", "height")]
-    got = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).select(relate.axis_iou("a", "b").alias("i")).collect()
-    for r, g in zip(rows, got, strict=True):
-        assert g["i"] == pytest.approx(frames.rotated_iou(np.array([*r[:4], 0]), np.array([*r[4:], 0])), abs=1e-9)
+    got = [r["i"] for r in spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, " + ", ".join(f"{n} double" for n in names)).select("k", relate.axis_iou("a", "b").alias("i")).orderBy("k").collect()]
+    assert got == pytest.approx(plain_overlap(spark, [((*r[:4], 0.0), (*r[4:], 0.0)) for r in rows]), abs=1e-9)
 
 
 def test_gain_cluster_against_all_pairs(spark):
