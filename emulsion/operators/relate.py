@@ -226,9 +226,11 @@ def rotated_overlap_steps(a: dict[str, str], b: dict[str, str]) -> list[dict[str
         least = "-1e-7" if p == "p" else "1e-7"
         for i, (x, y) in enumerate(own):
             ends = [(f"{p}{i}{j}", f"{p}{(i + 1) % 4}{j}") for j in range(4)]
-            cuts[f"{p}from{i}"] = "greatest(0.0, " + ", ".join(f"CASE WHEN {d} >= {least} THEN 0.0 WHEN {e} < {least} THEN 2.0 ELSE {d} / ({d} - {e}) END" for d, e in ends) + ")"
-            cuts[f"{p}to{i}"] = "least(1.0, " + ", ".join(f"CASE WHEN {e} >= {least} OR {d} < {least} THEN 1.0 ELSE {d} / ({d} - {e}) END" for d, e in ends) + ")"
             nx, ny = own[(i + 1) % 4]
+            against = [f"({nx} - {x}) * ({other[(j + 1) % 4][0]} - {other[j][0]}) + ({ny} - {y}) * ({other[(j + 1) % 4][1]} - {other[j][1]}) < 0" for j in range(4)]
+            apart = [f"abs({d}) <= 1e-7 AND abs({e}) <= 1e-7 AND {no}" for (d, e), no in zip(ends, against, strict=True)]  # shapes side by side
+            cuts[f"{p}from{i}"] = "greatest(0.0, " + ", ".join(f"CASE WHEN {no} THEN 2.0 WHEN {d} >= {least} THEN 0.0 WHEN {e} < {least} THEN 2.0 ELSE {d} / ({d} - {e}) END" for (d, e), no in zip(ends, apart, strict=True)) + ")"
+            cuts[f"{p}to{i}"] = "least(1.0, " + ", ".join(f"CASE WHEN {e} >= {least} OR {d} < {least} THEN 1.0 ELSE {d} / ({d} - {e}) END" for d, e in ends) + ")"
             areas.append(f"greatest({p}to{i} - {p}from{i}, 0.0) * ({x} * {ny} - {y} * {nx})")
     both = "(" + " + ".join(areas) + ") * 0.5"
     whole = f"{a['width']} * {a['height']} + {b['width']} * {b['height']}"
