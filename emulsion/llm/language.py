@@ -3,7 +3,7 @@
 Text likelihoods come from byte trigrams. To them are added, in logarithms: how often a text of a language declares the
 language it does (markup attribute), how often its address has the suffix it has, and the share of each language among the
 host's texts. Host shares are smoothed towards those of the parent domain, and these towards all texts. All tables but the
-trigram model are grouped counts over every row, by the language that the text alone suggests. A text is scored once.
+trigram model are grouped counts over every row, by the language that the text alone suggests.
 
 A text is rejected where the best language isn't likely enough, and where it is no language of the model at all: where an
 even distribution of trigrams explains it better than the best language, by ``LEAST_FIT``.
@@ -135,7 +135,8 @@ def identify(
         (F.lower(suffix) if suffix is not None else nothing).alias("_suffix"), (host if host is not None else nothing).alias("_host"), evidence("text").alias("_said"),
     )
     marked = marked.withColumns({"_ll": F.slice("_said", 1, len(langs)), "_fit": F.element_at("_said", -1), "_domain": parent_of(F.col("_host"))}).drop("_said")
-    marked = settle(marked, "language-evidence")
+    if "text" in without:  # else the table would be as large as the texts; they are scored once more instead
+        marked = settle(marked, "language-evidence")
     best = F.array_position("_ll", 0.0) - 1
     told = marked.filter(F.aggregate("_ll", F.lit(0.0), lambda a, x: a + x) < 0)
     counts = settle(told.select(best.cast("int").alias("best"), *(f"_{k}" for k in ("declared", "suffix", "host", "domain"))).groupBy("_declared", "_suffix", "_host", "_domain", "best").agg(F.count(F.lit(1)).alias("n")), "language-counts")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import groups
-from .common import bounded_batches, settle
+from .common import bounded_batches, discard, settle
 from .graph import components
 from .shingles import min_hashes, mixed, shingle_sets
 
@@ -229,6 +229,7 @@ def confirmed_roots(held: DataFrame, classes: DataFrame, sets: DataFrame, percen
         if heads.isEmpty():
             break
         open_ = now.join(heads, "key")
+        done = [heads] + [now] * (roots is not None)
         if few:
             links.append(settle(in_families(open_.filter("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")), classes, sets, percent), "links"))
         else:
@@ -239,6 +240,7 @@ def confirmed_roots(held: DataFrame, classes: DataFrame, sets: DataFrame, percen
         if few:
             break
         few = 2 * links[-1].count() < asked.count()
+        discard(*done, asked)
         turn += 1
     return classes.select("id", F.col("id").alias("root")).limit(0) if roots is None else roots
 
@@ -267,6 +269,7 @@ def near_classes(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     # repeated rows of the same text give the same set
     sets = settle(texts.mapInArrow(_sets(k), "id long, shingles array<long>"), "shingle-sets")
     roots = confirmed_roots(held, classes, sets, percent)
+    discard(shared, held, sets)
     rooted = classes.select("digest", "id", "first_id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select("digest", "component_id")

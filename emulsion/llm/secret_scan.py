@@ -9,6 +9,7 @@ token that isn't one as a whole each stretch that is, widened to the separators
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,7 +88,7 @@ def pairs_of(token: Column) -> Column:
 
 
 def labelled_samples(docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
-    """token, random: made-up random strings; words, and identifiers of four words in turn, from about ``sample`` documents."""
+    """token, random: made-up random strings; words, and identifiers of four words in six forms by turns, from about ``sample`` documents."""
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 512)
     forms = (digest, F.base64(F.unhex(digest)), F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", ""), F.upper(F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", "")), F.translate(F.base64(F.unhex(digest)), "+/", "-_"))
@@ -96,10 +97,10 @@ def labelled_samples(docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
     drawn = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < sample)
     words = drawn.select(F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9])[A-Za-z]{2,24}(?![A-Za-z0-9])"), F.lit(0)).alias("w"))
     fours = F.transform(F.sequence(F.lit(0), F.ceil(F.size("w") / 4).cast("int") - 1), lambda i: F.slice("w", i * 4 + 1, 4))
-    made = lambda word, sep: F.transform(fours, lambda g: F.array_join(F.transform(g, word), sep))
-    same, capital, upper = (lambda x: x), (lambda x: F.initcap(x)), (lambda x: F.upper(x))
-    identifiers = [made(same, sep) for sep in ("_", "-", "/", "")] + [made(capital, ""), made(upper, "_")]
-    ordinary = words.filter(F.size("w") > 0).select(F.explode(F.concat(*identifiers, F.col("w"))).alias("token"), F.lit(False).alias("random"))
+    forms_of = [lambda g, sep=sep: F.array_join(g, sep) for sep in ("_", "-", "/", "")]
+    forms_of += [lambda g: F.array_join(F.transform(g, lambda x: F.initcap(x)), ""), lambda g: F.upper(F.array_join(g, "_"))]
+    identifiers = F.transform(fours, lambda g, i: reduce(lambda c, k: c.when(i % len(forms_of) == k, forms_of[k](g)), range(1, len(forms_of)), F.when(i % len(forms_of) == 0, forms_of[0](g))))
+    ordinary = words.filter(F.size("w") > 0).select(F.explode(F.concat(identifiers, F.col("w"))).alias("token"), F.lit(False).alias("random"))
     fixed = [(c * 8000, False) for c in ALPHABET] + [(f"20{y:02d}-{m:02d}-{d:02d}", False) for y in range(10, 40) for m in range(1, 13) for d in range(1, 29, 3)]
     return random.unionByName(ordinary).unionByName(spark.createDataFrame(fixed, "token string, random boolean"))
 
