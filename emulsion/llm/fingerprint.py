@@ -4,10 +4,9 @@ The k-mers are runs of five words, numbered by occurrence. For each of 64 permut
 taken, put in the order of the text, and hashed to one value. Likeness is the share of permutations whose values agree, so it
 falls both with the k-mers that differ and with those that changed order.
 
-One hash also deals the k-mers to 64 bins. A permutation under which a bin's own k-mers come first, in their order of hash,
-has its two smallest in that bin, if the bin has two: so most permutations of a long text are answered by one sort. Where the
-bin has fewer, as in texts of few k-mers, all k-mers of the text are hashed again with the bin's number and the two smallest of
-these are taken. Which of the two holds depends on the text alone.
+The permutations are those of one hash whose first six bits are flipped by their number. So the hash deals the k-mers to 64
+bins, and the two smallest under a permutation are the two least of its own bin, or where that has fewer, as in texts of few
+k-mers, those of the bins that follow in the flipped order. One sort of a text's k-mers answers all permutations.
 """
 
 from __future__ import annotations
@@ -72,21 +71,27 @@ def fingerprint(text: Column) -> Column:
         h = F.when(b.isNull(), F.xxhash64(_head(a))).when(ahead, F.xxhash64(_head(a), _head(b))).otherwise(F.xxhash64(_head(b), _head(a)))
         return F.shiftleft(bin_, 32 - BIN_BITS).bitwiseOR(F.shiftrightunsigned(h, 32 + BIN_BITS)).cast("int")
 
-    def again(t: Column, bin_: Column) -> Column:
-        """The value of a permutation that a bin can't answer."""
-        hashed = F.transform(t, lambda x: _head(F.xxhash64(_head(x), bin_)).bitwiseOR(x.bitwiseAND(F.lit(PLACE))))
-        return let(F.slice(F.sort_array(hashed), 1, 2), lambda two: value(bin_, F.get(two, 0), F.get(two, 1)))
+    def nearest(bin_: Column, some: Column) -> Column:
+        """The value of a permutation from k-mers that hold its two smallest; the top bit is flipped to sort them as unsigned."""
+        flip = F.shiftleft(bin_, 64 - BIN_BITS).bitwiseXOR(F.lit(-(1 << 63)))
+        return let(F.slice(F.sort_array(F.transform(some, lambda x: x.bitwiseXOR(flip))), 1, 2), lambda two: value(bin_, F.get(two, 0), F.get(two, 1)))
 
-    def tuples(t: Column, e: Column) -> Column:
+    def tuples(e: Column) -> Column:
         two = _runs(F.size(e), lambda i: _bin(F.get(e, i)) == _bin(F.get(e, i + 1)))
-        own = F.transform(two, lambda i: value(_bin(F.get(e, i)), F.get(e, i), F.get(e, i + 1)))
+        own = F.transform(two, lambda i: nearest(_bin(F.get(e, i)), F.array(F.get(e, i), F.get(e, i + 1))))
         every = F.sequence(F.lit(-(1 << BIN_BITS - 1)).cast("long"), F.lit((1 << BIN_BITS - 1) - 1).cast("long"))
         rest = F.array_except(every, F.transform(two, lambda i: _bin(F.get(e, i))))
-        return F.sort_array(F.concat(own, F.transform(rest, lambda b: again(t, b))))
+        half = (1 << BIN_BITS - 1) >> 3
+        groups = F.transform(F.sequence(F.lit(-half), F.lit(half - 1)), lambda g: F.filter(e, lambda x: F.shiftright(x, 67 - BIN_BITS) == g))  # of eight bins
+
+        def filled(bins: Column) -> Column:
+            return F.transform(rest, lambda b: let(F.get(bins, (F.shiftright(b, 3) + half).cast("int")), lambda g: nearest(b, F.when(F.size(g) > 1, g).otherwise(e))))
+
+        return F.sort_array(F.concat(own, F.when(F.size(rest) > 0, let(groups, filled)).otherwise(F.array().cast("array<int>"))))
 
     packed = let(kmer_hashes(text), lambda ks: F.transform(ks, lambda h, i: _head(h).bitwiseOR(i.cast("long"))))
     none = F.array().cast("array<int>")
-    chain = lambda p: let(F.sort_array(p), lambda s: let(numbered(s), lambda t: let(least(t), lambda e: tuples(t, e))))
+    chain = lambda p: let(F.sort_array(p), lambda s: let(numbered(s), lambda t: let(least(t), tuples)))
     return let(packed, lambda p: F.when(F.size(p) > 0, chain(p)).otherwise(none))
 
 

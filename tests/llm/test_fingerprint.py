@@ -42,21 +42,15 @@ def test_matches_brute_force(spark):
     pairs = sorted({(h, o) for own in cells for h, o, _ in own})
     df = spark.createDataFrame(pairs, "h long, o int").withColumn("x", F.xxhash64("h", "o"))
     need = {(r["h"], r["o"]): r["x"] & mask for r in df.collect()}
-    again = spark.createDataFrame([(x, b) for x in need.values() for b in range(-32, 32)], "x long, b long").withColumn("y", F.xxhash64("x", "b"))
-    again = {(r["x"], r["b"]): r["y"] & mask for r in again.collect()}
     tuples, wanted, anew = set(), [], 0
     for own in cells:
-        bins: dict[int, list] = {}
         placed = [(need[h, o], place) for h, o, place in own]
-        for x, place in placed:
-            bins.setdefault(x >> 58, []).append((x, place))
+        signed = lambda x: x - 2**64 if x >= 2**63 else x
         picked = {}
         for b in range(-32, 32) if own else ():
-            chosen = bins.get(b, [])
-            if len(chosen) < 2:
-                anew += 1
-                chosen = [(again[x, b], place) for x, place in placed]
-            picked[b] = tuple(x for x, _ in sorted(sorted(chosen)[:2], key=lambda p: p[1]))
+            flipped = sorted(((x ^ b << 58) & (2**64 - 1), place) for x, place in placed)[:2]
+            anew += sum(x >> 58 == b for x, _ in placed) < 2
+            picked[b] = tuple(signed(x ^ 1 << 63) for x, _ in sorted(flipped, key=lambda p: p[1]))
         tuples |= set(picked.values())
         wanted.append(picked)
     assert 0 < anew < 64 * len(texts)
