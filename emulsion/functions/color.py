@@ -196,6 +196,18 @@ def curve_value(c: Column, mode: str) -> Column:
     return bezier_curve(c, mode)
 
 
+def inverse_curve(target: Column, mode: str, steps: int = 24) -> Column:
+    """Where a rising curve takes ``target``, by halving; meant for parameters, one row each."""
+
+    def halve(span: Column, _: Column) -> Column:
+        mid = (span["lo"] + span["hi"]) * 0.5
+        low = curve_value(mid, mode) < unit(target)
+        return F.struct(F.when(low, mid).otherwise(span["lo"]).alias("lo"), F.when(low, span["hi"]).otherwise(mid).alias("hi"))
+
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda span: (span["lo"] + span["hi"]) * 0.5)
+
+
 def hue_preserving(p: RGB, mode: str) -> RGB:
     """The least and greatest channel go through the curve; the third keeps its place between them."""
     q = p.map(unit)

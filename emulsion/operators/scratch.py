@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,12 @@ _own: list[str] = []
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet under spark.checkpoint.dir and read back, so that later plans begin there.
 
-    Where the setting is unset, as in tests, a local folder of this process is taken.
+    Where the setting is unset, as in tests, a local folder of this process is taken; on a cluster that is an error.
     """
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", df.sparkSession.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="emulsion-"))
         folder = _own[0]

@@ -225,6 +225,35 @@ def display_stretch(df: DataFrame, keys: list[str]) -> DataFrame:
     return j.withColumns({c: F.floor(F.pow(scaled(c), F.lit(1 / 2.2)) * 255 + 0.5).cast("int") for c in "rgb"}).drop("_q")
 
 
+def channel_stretch(df: DataFrame, keys: list[str], low: float = 0.001, high: float = 0.998) -> DataFrame:
+    """Each channel between two of its own percentiles as 0 to 1; a flat one is only clipped."""
+    df = beside(df, keys, **{f"_q{n}": F.percentile(n, F.array(F.lit(low), F.lit(high))) for n in "rgb"})
+    lo, hi = (lambda n: F.get(f"_q{n}", 0)), (lambda n: F.get(f"_q{n}", 1))
+    out = {n: unit(F.when(hi(n) <= lo(n) + 1e-6, F.col(n)).otherwise((F.col(n) - lo(n)) / (hi(n) - lo(n)))) for n in "rgb"}
+    return df.withColumns(out).drop(*(f"_q{n}" for n in "rgb"))
+
+
+# Bands of luma from narrow to all, the least number of pixels in one; limits of saturation and the least it keeps.
+REFERENCE_BANDS, REFERENCE_BAND_LEAST = ((0.08, 0.88), (0.04, 0.94)), 64
+REFERENCE_QUANTILES, REFERENCE_FLOOR, REFERENCE_LEAST = (0.28, 0.45), 0.08, 32
+
+
+def reference_neutrals(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` plus neutral: pixels of middle luma and little saturation, by the first band and limit that leave enough."""
+    luma = luma709(rgb())
+    df = df.withColumns({"_l": luma, "_s": (F.greatest(*rgb()) - F.least(*rgb())) / F.greatest(luma, F.lit(1e-4))})
+    bands = [(F.col("_l") > a) & (F.col("_l") < b) for a, b in REFERENCE_BANDS]
+    df = beside(df, keys, **{f"_n{i}": F.count_if(b) for i, b in enumerate(bands)})
+    mid = F.when(F.col("_n0") >= REFERENCE_BAND_LEAST, bands[0]).when(F.col("_n1") >= REFERENCE_BAND_LEAST, bands[1]).otherwise(F.lit(True))
+    df = df.withColumn("_mid", mid)
+    own = F.when(F.col("_mid"), F.col("_s"))
+    df = beside(df, keys, _c0=quantile(own, REFERENCE_QUANTILES[0]), _c1=quantile(own, REFERENCE_QUANTILES[1]))
+    first = F.col("_mid") & (F.col("_s") <= F.greatest("_c0", F.lit(REFERENCE_FLOOR)) + SLACK)
+    df = beside(df.withColumn("_first", first), keys, _kept=F.count_if("_first"))
+    out = F.when(F.col("_kept") >= REFERENCE_LEAST, F.col("_first")).otherwise(F.col("_mid") & (F.col("_s") <= F.col("_c1") + SLACK))
+    return df.withColumn("neutral", out).drop("_l", "_s", "_n0", "_n1", "_mid", "_c0", "_c1", "_first", "_kept")
+
+
 def error_stats(df: DataFrame, keys: list[str], predicted: list[str], reference: list[str]) -> DataFrame:
     """rmse, mae and p95 of the clipped prediction's error over all channels."""
     delta = F.explode(F.array(*(unit(F.col(a)) - F.col(b) for a, b in zip(predicted, reference, strict=True)))).alias("d")

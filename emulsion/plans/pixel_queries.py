@@ -400,11 +400,11 @@ def colour_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means(views.pixels(spark, sf_dir), c.colour_balance(c.rgb(), BALANCE))
 
 
-def _tones_sql(shadows: int, highlights: int) -> str:
-    """Lifted shadows and recovered highlights: cubic pieces through three points below and above the anchor."""
+def tones_ctes(source: str, shadows: int, highlights: int) -> str:
+    """CTEs up to tr, ``source`` (with an, its anchors) and the ratio of its pixels. Lifted shadows and recovered highlights: cubic pieces through three points below and above the anchor."""
     s, h = shadows / 100.0, -highlights / 100.0
-    knots = f"""kn AS (SELECT px.*, a, a * 0.62 AS sx, least(a - 1e-4, a * 0.62 + a * 0.24 * {s}) AS sy, a + (1 - a) * 0.38 AS hx, greatest(a + 1e-4, a + (1 - a) * 0.38 - (1 - a) * 0.27 * {h}) AS hy,
-  {LUMA709} AS l, round_even(least({LUMA709}, 1) * 16383, 0) / 16383 AS x FROM px JOIN (SELECT frame_id, anchor AS a FROM an) USING (frame_id))"""
+    knots = f"""kn AS (SELECT {source}.*, a, a * 0.62 AS sx, least(a - 1e-4, a * 0.62 + a * 0.24 * {s}) AS sy, a + (1 - a) * 0.38 AS hx, greatest(a + 1e-4, a + (1 - a) * 0.38 - (1 - a) * 0.27 * {h}) AS hy,
+  {LUMA709} AS l, round_even(least({LUMA709}, 1) * 16383, 0) / 16383 AS x FROM {source} JOIN (SELECT frame_id, anchor AS a FROM an) USING (frame_id))"""
     slopes = "k1 AS (SELECT *, sy / sx AS s0, (a - sy) / (a - sx) AS s1, (hy - a) / (hx - a) AS u0, (1 - hy) / (1 - hx) AS u1 FROM kn)"
     start = "k2 AS (SELECT *, s0 AS m0, (s0 + s1) * 0.5 AS m1, s1 AS m2, u0 AS n0, (u0 + u1) * 0.5 AS n1, u1 AS n2 FROM k1)"
     ctes = [knots, slopes, start]
@@ -423,10 +423,10 @@ def _tones_sql(shadows: int, highlights: int) -> str:
     y = f"CASE WHEN x >= a THEN CASE WHEN x < hx THEN {piece('n', 0, 'a', 'a', 'hx', 'hy')} ELSE {piece('n', 1, 'hx', 'hy', '1', '1')} END WHEN x < sx THEN {piece('m', 0, '0', '0', 'sx', 'sy')} ELSE {piece('m', 1, 'sx', 'sy', 'a', 'a')} END"
     ctes.append(f"ty AS (SELECT *, CASE WHEN x <= 0 THEN 0 WHEN x >= 1 THEN 1 ELSE least(greatest({y}, 0), 1) END AS y FROM k4)")
     ctes.append(f"tr AS (SELECT *, least(CASE WHEN l > 1e-5 THEN (y + greatest(l - 1, 0) * {max(0.18, 0.55 * (1 - h))!r}) / l ELSE 1 END, {1 + 2.8 * s!r}) AS ratio FROM ty)")
-    return means_sql(f"{views.PIXELS}, {ANCHOR}, {', '.join(ctes)}", "tr", "r * ratio", "g * ratio", "b * ratio")
+    return ", ".join(ctes)
 
 
-@query("highlights_and_shadows", _tones_sql(40, -55))
+@query("highlights_and_shadows", means_sql(f"{views.PIXELS}, {ANCHOR}, {tones_ctes('px', 40, -55)}", "tr", "r * ratio", "g * ratio", "b * ratio"))
 def highlights_and_shadows(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = views.pixels(spark, sf_dir)
     return means(c.highlights_and_shadows(stats.on(px, stats.tone_anchor(px, KEY), KEY), 40, -55), c.rgb())
