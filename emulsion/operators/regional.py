@@ -70,3 +70,42 @@ def regional_candidate(votes: DataFrame) -> DataFrame:
         "frame_id", "accepted", "rejected", "scene", F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"), F.when(enough, F.col("counted")).alias("counted"),
         F.when(enough, clip(1.0 - F.col("spread") / 0.26, 0.0, 1.0)).alias("agreement"), *(F.when(enough, c).alias(f"gain_{n}") for n, c in zip("rgb", p, strict=True)),
     )
+
+
+# What a candidate of gains must have to count in the ensemble.
+CANDIDATE_TRUST, CANDIDATE_SCORE, AGREEMENT_SPAN = 0.18, 0.12, 0.22
+
+
+def ensemble(candidates: DataFrame, before: str = "before") -> DataFrame:
+    """A row a frame: algorithm, gains, score, confidence, warning and counted, from the candidates that agree.
+
+    ``candidates`` has frame_id, pos, algorithm, gain_r, gain_g, gain_b, confidence, score, after, warning and the frame's cast
+    ``before``. One valid candidate is taken as it is; without any, the warning is that of the best-scored one, the first on
+    ties, and the gains are 1.
+    """
+    key, logs = ["frame_id"], ["l_r", "l_g", "l_b"]
+    valid = (F.col("algorithm") != "identity") & (F.col("confidence") >= CANDIDATE_TRUST) & (F.col("score") >= CANDIDATE_SCORE) & (F.col("after") < F.col(before))
+    d = candidates.withColumns({"_valid": F.coalesce(valid, F.lit(False)), "_w": F.greatest(F.lit(0.01), F.col("confidence")) * F.greatest(F.lit(0.01), F.col("score"))})
+    d = d.withColumns({f"l_{n}": log_gain(F.col(f"gain_{n}")) for n in "rgb"})
+    told = d.groupBy(*key).agg(F.count_if("_valid").alias("_n"), F.max(F.struct("score", (-F.col("pos")).alias("o"), "warning")).alias("_best"))
+    kept = settled(relate.gain_cluster(d.filter("_valid"), key, "pos", logs, "_w").filter("in_cluster"))
+    centre = ordered.weighted_median(kept, key, logs, "_w").withColumnsRenamed({n: f"c{n}" for n in logs})
+    away = stats.norm(*(F.col(n) - F.col(f"c{n}") for n in logs))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("pos", "algorithm"))), lambda x: x["algorithm"])
+    mean = lambda c: F.sum(c * F.col("_w")) / F.sum("_w")
+    s = stats.on(kept, centre, key).groupBy(*key).agg(
+        F.count(F.lit(1)).alias("counted"), names.alias("_names"), mean(away).alias("_spread"), mean(F.col("confidence")).alias("_trust"), *(F.first(f"c{n}").alias(n) for n in logs),
+        F.first("score").alias("_score"), F.first("warning").alias("_warning"), *(F.first(f"gain_{n}").alias(f"_gain_{n}") for n in "rgb"),
+    )
+    j = stats.on(told, s, key)
+    single, none = F.col("_n") == 1, F.col("_n") == 0
+    agreement, number = clip(1.0 - F.col("_spread") / AGREEMENT_SPAN, 0.0, 1.0), F.least(F.lit(1.0), F.col("counted") / 3.0)
+    name = F.when(none, "identity").when(F.col("counted") >= 2, F.concat(F.lit("ensemble("), F.array_join("_names", "+"), F.lit(")"))).otherwise(F.get("_names", 0))
+    quiet = F.coalesce(F.nullif("_best.warning", F.lit("")), F.lit("no candidate consensus"))
+    warning = F.when(none, quiet).when(single, F.col("_warning")).when(F.col("counted") >= 2, "").otherwise("single candidate cluster")
+    p = unit_luma_gains(rgb(*logs).map(F.exp))
+    return j.select(
+        "frame_id", name.alias("algorithm"), *(F.when(none, 1.0).when(single, F.col(f"_gain_{n}")).otherwise(c).alias(f"gain_{n}") for n, c in zip("rgb", p, strict=True)),
+        F.when(none, 0.0).when(single, F.col("_score")).otherwise(F.bround(agreement * number, 4)).alias("score"),
+        F.when(none, 0.0).when(single, F.col("_trust")).otherwise(F.bround(F.col("_trust") * (0.55 + 0.45 * agreement) * (0.75 + 0.25 * number), 3)).alias("confidence"), warning.alias("warning"), F.coalesce("counted", F.lit(0)).alias("counted"),
+    )
