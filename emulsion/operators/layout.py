@@ -64,3 +64,45 @@ def held_back(key: Column, percent: int = 25, seed: int = 7) -> Column:
     """A split that depends on the key alone: the same rows on every run and at every size."""
     digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))), 1, 8), 16, 10).cast("long")
     return digest % 100 < percent
+
+
+# Stages whose times make up the whole; others are parts of these.
+TOP_STAGES = ("RAW decode", "Build base", "Lab Print", "Orientation", "Dust removal")
+TOP_START, TOP_END = "Prepare ", " write"
+
+
+def timings_text(stages: Column) -> Column:
+    """An array of struct(name, seconds) as text with a total of the top-level stages at its end; empty for none."""
+    top = F.filter(stages, lambda s: s["name"].isin(*TOP_STAGES) | s["name"].startswith(TOP_START) | s["name"].endswith(TOP_END))
+    total = F.aggregate(top, F.lit(0.0), lambda a, s: a + s["seconds"])
+    parts = F.transform(stages, lambda s: F.format_string("%s %.1fs", s["name"], s["seconds"]))
+    return F.when(F.size(stages) > 0, F.array_join(F.array_append(parts, F.format_string("total %.1fs", total)), ", ")).otherwise("")
+
+
+def frames_itself(switched_on: Column, has_preview: Column, raw: Column, has_rect: Column, negative_shown: Column) -> Column:
+    """Whether a new negative gets its frame without being asked for."""
+    return switched_on & has_preview & raw & ~has_rect & ~negative_shown
+
+
+def to_preinvert(files: DataFrame, current: DataFrame, known: list[DataFrame], raws: tuple[str, ...]) -> DataFrame:
+    """Raw files (file_id, suffix) but the current one and those in any table of ``known``: under way, with a state, or cached."""
+    d = files.filter(F.col("suffix").isin(*raws))
+    for t in (current, *known):
+        d = d.join(t.select("file_id").distinct(), "file_id", "left_anti")
+    return d
+
+
+def in_scope(files: DataFrame, states: DataFrame, scope: str) -> DataFrame:
+    """Files of a scope: all, completed (a state says so) or unprocessed (none does); any other scope has none."""
+    done = states.filter("completed").select("file_id").distinct()
+    if scope == "all":
+        return files
+    how = {"completed": "left_semi", "unprocessed": "left_anti"}.get(scope)
+    return files.limit(0) if how is None else files.join(done, "file_id", how)
+
+
+def with_plans(states: DataFrame, plans: DataFrame) -> DataFrame:
+    """``states`` (file_id, plan, corrected, ...) with the plans (file_id, plan) that came for them, which switch the correction on."""
+    p = plans.select(F.col("file_id").alias("_id"), F.col("plan").alias("_plan"))
+    j = states.join(p, F.col("file_id") == F.col("_id"), "left")
+    return j.withColumns({"corrected": F.col("corrected") | F.col("_id").isNotNull(), "plan": F.when(F.col("_id").isNotNull(), F.col("_plan")).otherwise(F.col("plan"))}).drop("_id", "_plan")

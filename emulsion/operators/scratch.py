@@ -6,23 +6,28 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet under spark.checkpoint.dir and read back, so that later plans begin there.
+def place(spark: SparkSession) -> str:
+    """A new path under spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is unset, as in tests, a local folder of this process is taken; on a cluster that is an error.
+    Where the setting is unset, as in tests, it is in a local folder of this process; on a cluster that is an error.
     """
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", df.sparkSession.sparkContext.master):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="emulsion-"))
         folder = _own[0]
-    path = f"{folder.rstrip('/')}/emulsion/step-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/emulsion/step-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet at a new ``place`` and read back, so that later plans begin there."""
+    path = place(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

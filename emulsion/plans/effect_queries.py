@@ -10,7 +10,7 @@ from . import views
 from .pixel_queries import LUMA601
 from .registry import query
 
-CORRECTION = {"r": 1.22, "g": 0.97, "b": 0.84}
+CORRECTION = {"r": 0.10, "g": -0.01, "b": -0.06}
 
 
 def _effects_sql() -> str:
@@ -24,21 +24,22 @@ def _effects_sql() -> str:
     noise = ", ".join(f"median(sqrt({' + '.join(f'power({p}{n} - {l} - {m}{n}, 2)' for n in 'rgb')})) AS z{o}" for p, l, m, o in (("", "luma", "m", "b"), ("a", "al", "n", "a")))
     flat = ", ".join(f"m{n} - ml AS f{n}, n{n} - nl AS h{n}" for n in "rgb")
     lim = lambda k: f"[{', '.join(str(r[k]) for r in effects.REGIONS)}][region + 1]::DOUBLE"
-    return f"""WITH {views.RASTER}, z AS (SELECT frame_id, max(y) AS h, count(*) AS al_ FROM rs GROUP BY frame_id),
-e0 AS (SELECT rs.*, al_, y / greatest(h, 1)::DOUBLE AS down, {LUMA601} AS luma, (greatest(r, g, b) - least(r, g, b)) / greatest(greatest(r, g, b), 1e-6) AS sat, {', '.join(f'least({n} * {k}::DOUBLE, 1) AS a{n}' for n, k in CORRECTION.items())} FROM rs JOIN z USING (frame_id) WHERE al_ >= 128),
+    return f"""WITH {views.RASTER}, r4 AS (SELECT frame_id // 4 AS frame_id, y, r, g, b FROM rs), z AS (SELECT frame_id, max(y) AS h, count(*) AS al_ FROM r4 GROUP BY frame_id),
+e0 AS (SELECT r4.*, al_, y / greatest(h, 1)::DOUBLE AS down, {LUMA601} AS luma, (greatest(r, g, b) - least(r, g, b)) / greatest(greatest(r, g, b), 1e-6) AS sat, {', '.join(f'least({n} * (1 + frame_id % 5 * {k}::DOUBLE), 1) AS a{n}' for n, k in CORRECTION.items())} FROM r4 JOIN z USING (frame_id) WHERE al_ >= 128),
 e AS (SELECT *, {after} AS al FROM e0), m AS ({regions}), md AS (SELECT frame_id, region, count(*) AS n, any_value(al_) AS al_, {med} FROM m GROUP BY frame_id, region),
 ns AS (SELECT frame_id, region, {noise} FROM m JOIN md USING (frame_id, region) GROUP BY frame_id, region),
 g0 AS (SELECT *, mr * 0.299 + mg * 0.587 + mb * 0.114 AS ml, nr * 0.299 + ng * 0.587 + nb * 0.114 AS nl FROM md JOIN ns USING (frame_id, region) WHERE n >= {lim(4)} AND n / al_::DOUBLE >= {lim(5)}),
 g1 AS (SELECT *, {flat} FROM g0), g2 AS (SELECT *, sqrt(fr * fr + fg * fg + fb * fb) AS sb, sqrt(hr * hr + hg * hg + hb * hb) AS sa, sqrt(power(hr - fr, 2) + power(hg - fg, 2) + power(hb - fb, 2)) AS dr, {lim(2)} AS ld, {lim(3)} AS lc FROM g1),
 g3 AS (SELECT frame_id, region, CASE WHEN region = 3 THEN CASE WHEN za - zb > 0.018 THEN least(1, (za - zb) / 0.06) ELSE 0 END WHEN sa > sb + lc OR dr > ld THEN least(1, greatest(0, 0.55 * greatest(0, (sa - sb) / greatest(lc * 2.5, 1e-6)) + 0.45 * dr / greatest(ld * 2, 1e-6))) ELSE 0 END AS risk FROM g2),
 w AS (SELECT * FROM g3 WHERE risk >= 0.30 QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY round(risk, 9) DESC, region) = 1)
-SELECT f.frame_id, round(coalesce(risk, 0), 6) AS risk, coalesce([{', '.join(f"'{r[1]}'" for r in effects.REGIONS)}][region + 1], '') AS warning FROM (SELECT DISTINCT frame_id FROM rs) f LEFT JOIN w USING (frame_id)"""
+SELECT f.frame_id, round(coalesce(risk, 0), 6) AS risk, coalesce([{', '.join(f"'{r[1]}'" for r in effects.REGIONS)}][region + 1], '') AS warning FROM (SELECT DISTINCT frame_id FROM r4) f LEFT JOIN w USING (frame_id)"""
 
 
 @query("side_effects", _effects_sql())
 def side_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of one strong correction, for every frame."""
-    r = views.raster(spark, sf_dir).withColumns({f"a{n}": F.least(F.col(n) * k, F.lit(1.0)) for n, k in CORRECTION.items()})
+    """Of corrections of five strengths; four suppliers make a frame, so that its regions have pixels enough."""
+    r = views.raster(spark, sf_dir).withColumn("frame_id", F.floor(F.col("frame_id") / 4))
+    r = r.withColumns({f"a{n}": F.least(F.col(n) * (1 + F.col("frame_id") % 5 * k), F.lit(1.0)) for n, k in CORRECTION.items()})
     return effects.side_effects(r).withColumn("risk", F.round("risk", 6))
 
 
@@ -68,7 +69,7 @@ ALGORITHMS = ("identity", "grey", "neutral", "regional", "edge", "bright")
 def _ensemble_sql() -> str:
     wm = lambda n: f"(SELECT frame_id, min({n}) AS {n} FROM (SELECT frame_id, {n}, sum(w) OVER (PARTITION BY frame_id ORDER BY {n} RANGE UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY frame_id) AS total FROM kp) WHERE upto >= total * 0.5 GROUP BY frame_id)"
     luma = "(exp(cr) * 0.299::DOUBLE + exp(cg) * 0.587::DOUBLE + exp(cb) * 0.114::DOUBLE)"
-    return f"""WITH ca AS (SELECT vec_id // 6 AS frame_id, vec_id % 6 AS pos, {list(ALGORITHMS)}[vec_id % 6 + 1] AS algorithm, {', '.join(f'exp(0.15 * embedding[{i + 1}]::DOUBLE) AS g{n}' for i, n in enumerate('rgb'))}, least(1, abs(embedding[4]::DOUBLE)) AS confidence, least(1, abs(embedding[5]::DOUBLE)) AS score, abs(embedding[6]::DOUBLE) * 0.05 AS after, CASE WHEN vec_id % 5 = 0 THEN 'weak' ELSE '' END AS warning FROM embeddings),
+    return f"""WITH ca AS (SELECT vec_id // 6 AS frame_id, vec_id % 6 AS pos, {list(ALGORITHMS)}[vec_id % 6 + 1] AS algorithm, {', '.join(f'exp(0.5 * embedding[{i + 1}]::DOUBLE) AS g{n}' for i, n in enumerate('rgb'))}, least(1, abs(embedding[4]::DOUBLE) * 4) AS confidence, least(1, abs(embedding[5]::DOUBLE) * 4) AS score, abs(embedding[6]::DOUBLE) * 0.3 AS after, CASE WHEN vec_id % 5 = 0 THEN 'weak' ELSE '' END AS warning FROM embeddings),
 va AS (SELECT frame_id, pos, algorithm, confidence, score, warning, gr, gg, gb, {', '.join(f'ln(least(greatest(g{n}, 0.05), 20)) AS {n}' for n in 'rgb')}, greatest(0.01, confidence) * greatest(0.01, score) AS w FROM ca WHERE algorithm <> 'identity' AND confidence >= 0.18 AND score >= 0.12 AND after < 0.06),
 nr AS (SELECT a.frame_id, a.pos AS ap, b.pos, b.w, sqrt((a.r - b.r) ** 2 + (a.g - b.g) ** 2 + (a.b - b.b) ** 2) AS d FROM va a JOIN va b ON a.frame_id = b.frame_id),
 sc AS (SELECT frame_id, ap, round(sum(w), 12) AS w, count(*) AS n, round(sum(d * w) / sum(w), 12) AS sp FROM nr WHERE d <= 0.20 GROUP BY frame_id, ap HAVING count(*) >= 2),
@@ -89,8 +90,8 @@ def ensemble_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("vec_id")
     e = lambda i: F.element_at("embedding", i).cast("double")
     d = views.table(spark, sf_dir, "embeddings").select(
-        F.floor(v / 6).alias("frame_id"), (v % 6).alias("pos"), F.get(F.array(*(F.lit(a) for a in ALGORITHMS)), (v % 6).cast("int")).alias("algorithm"), *(F.exp(0.15 * e(i + 1)).alias(f"gain_{n}") for i, n in enumerate("rgb")),
-        F.least(F.lit(1.0), F.abs(e(4))).alias("confidence"), F.least(F.lit(1.0), F.abs(e(5))).alias("score"), (F.abs(e(6)) * 0.05).alias("after"), F.when(v % 5 == 0, "weak").otherwise("").alias("warning"), F.lit(0.06).alias("before"),
+        F.floor(v / 6).alias("frame_id"), (v % 6).alias("pos"), F.get(F.array(*(F.lit(a) for a in ALGORITHMS)), (v % 6).cast("int")).alias("algorithm"), *(F.exp(0.5 * e(i + 1)).alias(f"gain_{n}") for i, n in enumerate("rgb")),
+        F.least(F.lit(1.0), F.abs(e(4)) * 4).alias("confidence"), F.least(F.lit(1.0), F.abs(e(5)) * 4).alias("score"), (F.abs(e(6)) * 0.3).alias("after"), F.when(v % 5 == 0, "weak").otherwise("").alias("warning"), F.lit(0.06).alias("before"),
     )
     out = regional.ensemble(d)
     places = {**{f"gain_{n}": 6 for n in "rgb"}, "score": 4, "confidence": 3}

@@ -91,3 +91,51 @@ def with_defaults(df: DataFrame, column: str, schema: str, defaults: dict) -> Da
 def canonical_key(*fields: str) -> Column:
     """The fields as compact JSON in the order of their names; nulls are written out."""
     return F.to_json(F.struct(*(F.col(f) for f in sorted(fields))), {"ignoreNullFields": "false"})
+
+
+def session_documents(states: DataFrame, excluded_files: DataFrame | None = None, app: str = "emulsion") -> DataFrame:
+    """folder and document: a whole session of each folder as one JSON text, keys in order, null fields left out.
+
+    ``states`` has folder, file_name and state (of type STATE), ``excluded_files`` folder and file_name. A folder is a roll, some
+    hundreds of files at most. What ``read_sessions`` reads of these texts are the same states.
+    """
+    images = states.groupBy("folder").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("file_name", F.to_json("state").alias("state"))))).alias("_states"))
+    if excluded_files is None:
+        out = images.withColumn("_out", F.array().cast("array<string>"))
+    else:
+        left_out = excluded_files.groupBy("folder").agg(F.array_sort(F.collect_set("file_name")).alias("_out"))
+        out = images.join(left_out, "folder", "full_outer").withColumn("_out", F.coalesce("_out", F.array().cast("array<string>")))
+    typed = F.transform_values(F.coalesce("_states", F.create_map().cast("map<string,string>")), lambda _, v: F.from_json(v, STATE))
+    return out.select("folder", F.to_json(F.struct(F.lit(app).alias("app"), F.col("_out").alias("excluded_files"), typed.alias("images"), F.lit(1).alias("schema_version"))).alias("document"))
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """Each folder's document as a file of its own under ``folder=...``; the commit makes them appear at once."""
+    documents.repartition("folder").write.mode("overwrite").partitionBy("folder").text(path)
+
+
+def rounded_key(df: DataFrame, fields: list[str], places: int = 7) -> Column:
+    """The fields, in this order, as one text in which numbers with a point have ``places`` decimals: equal texts, equal plans."""
+    kinds = dict(df.dtypes)
+    number = lambda c: F.format_string(f"%.{places}f", F.bround(c, places) + F.lit(0.0))
+
+    def text(name: str) -> Column:
+        c = F.col(name)
+        shown = number(c) if kinds[name] == "double" else F.array_join(F.transform(c, number), ",") if kinds[name] == "array<double>" else c.cast("string")
+        return F.coalesce(shown, F.lit("null"))
+
+    return F.concat_ws("|", *(text(n) for n in fields))
+
+
+# The head of a file of samples.
+SAMPLES = "image string, density_r double, density_g double, density_b double, reference_r double, reference_g double, reference_b double, match_score double"
+
+
+def write_samples(samples: DataFrame, path: str) -> None:
+    """Samples as CSV with a head, its columns in the order of SAMPLES."""
+    names = [f.split(" ")[0] for f in SAMPLES.split(", ")]
+    samples.select(*names).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SAMPLES).option("header", True).csv(path)
