@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color as c
 from ..operators import fits, stats
+from . import pixel_queries as px_sql
 from . import roll, views
 from .registry import query
 
@@ -15,9 +18,59 @@ def with_rolls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return views.pixels(spark, sf_dir), views.frames(spark, sf_dir)
 
 
-@query("frame_candidates")
+def unit_sql(prefix: str, out: str) -> str:
+    """Gains of a prefix clipped and divided by their luma, as columns out_r, out_g, out_b."""
+    safe = {n: f"least(greatest({prefix}_{n}, 0.05), 20)" for n in "rgb"}
+    luma = f"({safe['r']} * 0.299::DOUBLE + {safe['g']} * 0.587::DOUBLE + {safe['b']} * 0.114::DOUBLE)"
+    return ", ".join(f"{safe[n]} / {luma} AS {out}_{n}" for n in "rgb")
+
+
+def logs_sql(prefix: str, out: str) -> str:
+    return ", ".join(f"ln(least(greatest({prefix}_{n}, 0.05), 20)) AS {out}_{n}" for n in "rgb")
+
+
+def limited_sql(source: str, out: str, most: str) -> str:
+    """CTEs that end in ``out``: gains k_r, k_g, k_b of ``source`` of unit luma, drawn in to the length ``most``, as lim_r, lim_g, lim_b."""
+    return f"""{out}0 AS (SELECT *, {unit_sql('k', 'u')} FROM {source}), {out}1 AS (SELECT *, {logs_sql('u', 'l')} FROM {out}0), {out}2 AS (SELECT *, sqrt(l_r * l_r + l_g * l_g + l_b * l_b) AS size, {most} AS most_ FROM {out}1),
+{out}3 AS (SELECT *, {', '.join(f'exp(l_{n} * CASE WHEN size > most_ THEN most_ / greatest(size, 1e-6) ELSE 1 END) AS e_{n}' for n in 'rgb')} FROM {out}2), {out} AS (SELECT *, {unit_sql('e', 'lim')} FROM {out}3)"""
+
+
+def cast_sql(source: str, p: str) -> str:
+    """CTEs that end in ``p``c: the cast of the pixels of ``source`` by frame, with its evidence."""
+    names = lambda t: re.sub(r"\bnt(0|1|q|l|n|)\b", rf"{p}nt\1", t)
+    return f"""{names(px_sql.neutral_sql(source, px_sql.CAST_CLEAN))},
+{p}u AS (SELECT {p}nt.*, CASE WHEN nn >= 16 THEN neutral ELSE clean AND n_clean >= 16 END AS used FROM {p}nt JOIN (SELECT frame_id, count(*) FILTER (neutral) AS nn FROM {p}nt GROUP BY frame_id) USING (frame_id)),
+{p}f AS (SELECT frame_id, count(*) AS sampled, count(*) FILTER (used) AS n_used, median(sat) FILTER (used) AS sat_median FROM {p}u GROUP BY frame_id),
+{px_sql.trimmed_sql(f'{p}u', f'{p}t', 'used', 0.85, 32, 16, ('(r - luma)', '(g - luma)', '(b - luma)'))},
+{p}m AS (SELECT frame_id, {', '.join(f'median({n} - luma) FILTER (used) AS {n}' for n in 'rgb')} FROM {p}t GROUP BY frame_id),
+{p}v AS (SELECT frame_id, {', '.join(f'coalesce({n} - {px_sql.LUMA601}, 0) AS c{n}' for n in 'rgb')} FROM {p}m),
+{p}c AS (SELECT frame_id, sqrt(cr * cr + cg * cg + cb * cb) AS magnitude, n_used / greatest(sampled, 1)::DOUBLE AS neutral_fraction, n_used AS neutral_pixels, coalesce(sat_median, 0) AS sat_median FROM {p}v JOIN {p}f USING (frame_id))"""
+
+
+def _candidates_sql() -> str:
+    clean = "luma >= 0.06 AND luma <= 0.96 AND lo >= 0.006 AND hi <= 0.992"
+    gains = re.sub(r"\bnt(0|1|q|l|n|)\b", r"gnt\1", px_sql.neutral_sql("px", clean))
+    step = lambda n: f"round_even(least(greatest({n} * 65535 * cand_{n}, 0), 65535), 0) / 65535 AS {n}"
+    return f"""WITH {views.PIXELS}, {views.FRAMES}, ex AS (SELECT frame_id, {', '.join(f'quantile_cont(l, {q / 100}) AS p{q:02d}' for q in (5, 25, 50, 75, 95))}, avg(CASE WHEN l <= 0.01 THEN 1.0::DOUBLE ELSE 0 END) AS shadow_clip, avg(CASE WHEN l >= 0.99 THEN 1.0::DOUBLE ELSE 0 END) AS highlight_clip FROM (SELECT frame_id, {px_sql.LUMA601} AS l FROM px) GROUP BY frame_id),
+{cast_sql('px', 'q1')}, {gains}, gu AS (SELECT *, neutral AS used FROM gnt), {px_sql.trimmed_sql('gu', 'gt', 'used', 0.80, 128, 96, ('r', 'g', 'b'))},
+gm AS (SELECT frame_id, count(*) FILTER (neutral) AS gn, count(*) AS gp, median(luma) FILTER (used) AS t, {', '.join(f'median({n}) FILTER (used) AS {n}' for n in 'rgb')} FROM gt GROUP BY frame_id),
+k AS (SELECT frame_id, magnitude, neutral_fraction, neutral_pixels, sat_median, coalesce(gn >= 96 AND gp >= 64 AND t > 1e-6 AND least(r, g, b) > 1e-6, false) AS has, {', '.join(f't / nullif({n}, 0) AS k_{n}' for n in 'rgb')} FROM q1c JOIN gm USING (frame_id)),
+{limited_sql('k', 'li', 'CASE WHEN magnitude >= 0.04 THEN 0.90 ELSE 0.62 END')}, ca AS (SELECT * EXCLUDE (size), {', '.join(f'CASE WHEN has THEN lim_{n} ELSE 1 END AS cand_{n}' for n in 'rgb')} FROM li),
+ap AS (SELECT frame_id, {', '.join(step(n) for n in 'rgb')} FROM px JOIN ca USING (frame_id)), {cast_sql('ap', 'q2')}, cl AS (SELECT *, {unit_sql('cand', 'v')} FROM ca), cz AS (SELECT *, {logs_sql('v', 'w')} FROM cl),
+sc AS (SELECT cz.*, q2c.magnitude AS raw_after, sqrt(w_r * w_r + w_g * w_g + w_b * w_b) AS gs, 0.35 * least(1, cz.neutral_pixels / 2400.0::DOUBLE) + 0.35 * least(1, cz.neutral_fraction / 0.08) + 0.30 * least(greatest(1 - cz.sat_median / 0.36, 0), 1) AS ev, has AND cz.magnitude > 0.005 AS obvious FROM cz JOIN q2c USING (frame_id)),
+sf AS (SELECT *, least(greatest(1 - gs / CASE WHEN magnitude >= 0.04 THEN 0.88 ELSE 0.62 END, 0), 1) AS safety FROM sc), sr AS (SELECT *, CASE WHEN obvious THEN 0.55 * least(greatest((magnitude - raw_after) / greatest(magnitude, 1e-6), 0), 1) + 0.25 * ev + 0.20 * safety ELSE 0 END AS raw FROM sf),
+st AS (SELECT *, round_even(raw, 4) AS score, round_even(CASE WHEN obvious THEN raw * ev * (0.35 + 0.65 * safety) ELSE 0 END, 3) AS trust, round_even(raw_after, 5) AS aft FROM sr),
+va AS (SELECT *, trust >= 0.18 AND score >= 0.12 AND aft < magnitude AS valid FROM st), ac_ AS (SELECT *, valid AND trust >= 0.24 AND score >= 0.18 AND aft <= greatest(magnitude * 0.97, magnitude - 0.0025) AS yes FROM va),
+j AS (SELECT ac_.*, ex.* EXCLUDE (frame_id), roll_id, CASE WHEN shadow_clip >= 0.12 OR highlight_clip >= 0.07 OR p50 <= 0.10 OR p95 <= 0.35 OR p50 >= 0.90 OR p95 >= 0.992 OR p75 - p25 <= 0.045 THEN 'extreme protected' WHEN p50 <= 0.18 OR (p50 <= 0.22 AND p95 <= 0.68) THEN 'low-light salvageable' ELSE 'normal' END AS exposure_class,
+  NOT (shadow_clip >= 0.10 OR highlight_clip >= 0.06 OR p50 <= 0.10 OR p50 >= 0.88 OR p95 <= 0.35 OR p95 >= 0.992 OR p75 - p25 <= 0.045) AS usable FROM ac_ JOIN ex USING (frame_id) JOIN fr USING (frame_id)),
+x AS (SELECT *, CASE WHEN NOT yes THEN 'unreliable correction' WHEN neutral_fraction < 0.015 THEN 'low neutral evidence' WHEN gs > 0.78 THEN 'large correction' WHEN exposure_class = 'low-light salvageable' THEN 'low-light excluded from baseline' WHEN exposure_class = 'extreme protected' THEN 'extreme exposure' WHEN NOT usable THEN 'exposure outlier' ELSE '' END AS exclusion FROM j)
+SELECT frame_id, roll_id, {', '.join(f'round({n}, 8) AS {n}' for n in ('p05', 'p25', 'p50', 'p75', 'p95', 'shadow_clip', 'highlight_clip'))}, exposure_class, usable, round(magnitude, 8) AS "cast", round(neutral_fraction, 8) AS neutral_fraction, neutral_pixels, exclusion, CASE WHEN yes THEN 'neutral_percentile' ELSE 'identity' END AS algorithm,
+  {', '.join(f'round(CASE WHEN yes THEN cand_{n} ELSE 1 END, 8) AS frame_{n}' for n in 'rgb')}, round(CASE WHEN yes THEN trust ELSE 0 END, 5) AS confidence, round_even(CASE WHEN yes THEN score WHEN valid THEN trust ELSE 0 END, 3) AS agreement, CASE WHEN yes THEN aft ELSE round_even(magnitude, 5) END AS after, yes AND exclusion = '' AS used FROM x"""
+
+
+@query("frame_candidates", _candidates_sql())
 def frame_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roll.rounded(roll.frame_work(*with_rolls(spark, sf_dir)))
+    return roll.rounded(roll.frame_work(*with_rolls(spark, sf_dir)), 8)
 
 
 @query("roll_baseline")
@@ -40,7 +93,14 @@ def roll_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roll.summary(roll.frame_plans(px, work, roll.settled(roll.baseline(work))))
 
 
-@query("tone_residuals")
+@query(
+    "tone_residuals",
+    f"""WITH {views.PIXELS}, bd AS (SELECT unnest(['shadow', 'mid', 'highlight']) AS band, unnest([0.08, 0.25, 0.58]) AS low, unnest([0.38, 0.72, 0.93]) AS high, unnest([0.055, 0.105, 0.050])::DOUBLE AS most),
+pb AS (SELECT frame_id, band, most, r, g, b FROM px JOIN bd ON {px_sql.LUMA601} >= low AND {px_sql.LUMA601} <= high), {px_sql.neutral_sql('pb', 'luma >= 0.04 AND luma <= 0.97 AND lo >= 0.004 AND hi <= 0.992', 'frame_id, band')},
+m AS (SELECT frame_id, band, any_value(most) AS most, count(*) AS al, count(*) FILTER (neutral) AS n, median(luma) FILTER (neutral) AS t, median(sat) FILTER (neutral) AS sat, {', '.join(f'median({n}) FILTER (neutral) AS {n}' for n in 'rgb')} FROM nt GROUP BY frame_id, band),
+k AS (SELECT *, coalesce(al >= 96 AND n >= 64 AND t > 1e-6 AND least(r, g, b) > 1e-6, false) AS good, {', '.join(f't / greatest({n}, 1e-6) AS k_{n}' for n in 'rgb')} FROM m), {limited_sql('k', 'li', 'most')}
+SELECT frame_id, band, {', '.join(f'round(CASE WHEN good THEN lim_{n} ELSE 1 END, 5) AS gain_{n}' for n in 'rgb')}, round(CASE WHEN good THEN 0.35 * least(1, n / 1600.0::DOUBLE) + 0.35 * least(1, n / al::DOUBLE / 0.10) + 0.30 * least(greatest(1 - sat / 0.32, 0), 1) ELSE 0 END, 5) AS confidence FROM li""",
+)
 def tone_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roll.rounded(roll.tone_residuals(views.pixels(spark, sf_dir)))
 
