@@ -25,14 +25,21 @@ LEAST_RISK, LEAST_PIXELS = 0.30, 128
 UNTOUCHED = ("none", "protected", "review", "skip-extreme")
 
 
+# What tells the regions apart: luma, place, a channel over another, saturation.
+SKY = {"luma": (0.62, 0.97), "down": 0.72, "over red": 1.01, "over green": 0.97, "sat": (0.035, 0.32)}
+FOLIAGE = {"over red": 1.04, "over blue": 1.08, "luma": 0.12, "sat": 0.18}
+RED = {"over green": 1.08, "over blue": 1.15, "luma": 0.16, "sat": 0.28}
+SHADOW = (0.025, 0.22)
+
+
 def region_tests(down: Column) -> dict[str, Column]:
     """Of stats.with_tone's columns; ``down`` is how far down the frame a pixel is, 0 to 1."""
     r, g, b, luma, sat = (F.col(n) for n in ("r", "g", "b", "luma", "sat"))
     return {
-        "sky": luma.between(0.62, 0.97) & (down <= 0.72) & (b >= r * 1.01) & (b >= g * 0.97) & sat.between(0.035, 0.32),
-        "foliage": (g > r * 1.04) & (g > b * 1.08) & (luma >= 0.12) & (sat >= 0.18),
-        "red": (r > g * 1.08) & (r > b * 1.15) & (luma >= 0.16) & (sat >= 0.28),
-        "shadow": luma.between(0.025, 0.22),
+        "sky": luma.between(*SKY["luma"]) & (down <= SKY["down"]) & (b >= r * SKY["over red"]) & (b >= g * SKY["over green"]) & sat.between(*SKY["sat"]),
+        "foliage": (g > r * FOLIAGE["over red"]) & (g > b * FOLIAGE["over blue"]) & (luma >= FOLIAGE["luma"]) & (sat >= FOLIAGE["sat"]),
+        "red": (r > g * RED["over green"]) & (r > b * RED["over blue"]) & (luma >= RED["luma"]) & (sat >= RED["sat"]),
+        "shadow": luma.between(*SHADOW),
     }
 
 

@@ -140,11 +140,13 @@ def inverse_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(targets.withColumn("x", c.inverse_curve(F.col("t"), "filmic_aces")), "t").select("event_id", F.round("x", 6).alias("x"))
 
 
-def _chain_sql() -> str:
+def _chain_sql(linear: bool = False) -> str:
     response = ", ".join(f"{px.response_sql(f'(round_even({n} * 16383, 0) / 16383 + o_{n})', px.STANDARD.pivot, px.STANDARD.slope, 0.12)} AS {n}" for n in "rgb")
     tones = px.tones_ctes("pr", 40, -55)
     bent = ", ".join(f"{px.LUMA709} + ({n} - {px.LUMA709}) * 1.81 AS {n}" for n in "rgb")
     eight = ", ".join(f"CAST(sum(CAST(floor(power(least(greatest({n}, 0), 1), 1 / 2.2::DOUBLE) * 255 + 0.5) AS INTEGER)) AS BIGINT) AS {n}_sum" for n in "rgb")
+    if linear:
+        eight = ", ".join(f"round(avg(greatest({n}, 0)), 6) AS {n}_avg" for n in "rgb")
     return (
         f"WITH {views.PIXELS}, {px.NORMAL}, {px.OFFSETS}, pr AS (SELECT frame_id, {response} FROM (SELECT nl.*, o_r, o_g, o_b FROM nl JOIN os USING (frame_id))), "
         f"an AS (SELECT frame_id, least(greatest(quantile_cont({px.LUMA709}, 0.55), 0.32), 0.62) AS anchor FROM pr GROUP BY frame_id), {tones}, "
@@ -152,12 +154,24 @@ def _chain_sql() -> str:
     )
 
 
-@query("display_chain", _chain_sql())
-def display_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From the negative to 8-bit values in one plan: log bounds, offsets, print, highlights and shadows, saturation, encoding."""
+def rendered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, c.RGB]:
+    """Log bounds, offsets, print, highlights and shadows, saturation: the pixels before they are encoded, and their channels."""
     n = px.normal_log(spark, sf_dir)
     j = stats.on(n, stats.auto_offsets(n, px.KEY), px.KEY)
     printed = j.select("frame_id", *(c.print_response(c.on_table(F.col(x)), px.STANDARD, F.col(f"offset_{x}")).alias(x) for x in "rgb"))
     toned = c.highlights_and_shadows(stats.on(printed, stats.tone_anchor(printed, px.KEY), px.KEY), 40, -55)
-    done, p = px.gamut(toned.select("frame_id", "r", "g", "b"), c.saturated(c.rgb(), 60))
+    return px.gamut(toned.select("frame_id", "r", "g", "b"), c.saturated(c.rgb(), 60))
+
+
+@query("display_chain", _chain_sql())
+def display_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the negative to 8-bit values in one plan."""
+    done, p = rendered(spark, sf_dir)
     return done.groupBy("frame_id").agg(*(F.sum(c.encoded(x)).alias(f"{k}_sum") for k, x in zip("rgb", p, strict=True)))
+
+
+@query("export_chain", _chain_sql(linear=True))
+def export_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the negative to what an export encodes, with the same tone anchor as on display."""
+    done, p = rendered(spark, sf_dir)
+    return done.groupBy("frame_id").agg(*(F.round(F.avg(F.greatest(x, F.lit(0.0))), 6).alias(f"{k}_avg") for k, x in zip("rgb", p, strict=True)))
