@@ -95,7 +95,7 @@ def ensemble(candidates: DataFrame, before: str = "before") -> DataFrame:
     mean = lambda c: F.sum(c * F.col("_w")) / F.sum("_w")
     s = stats.on(kept, centre, key).groupBy(*key).agg(
         F.count(F.lit(1)).alias("counted"), names.alias("_names"), mean(away).alias("_spread"), mean(F.col("confidence")).alias("_trust"), *(F.first(f"c{n}").alias(n) for n in logs),
-        F.first("score").alias("_score"), F.first("warning").alias("_warning"), *(F.first(f"gain_{n}").alias(f"_gain_{n}") for n in "rgb"),
+        F.first("score").alias("_score"), F.first("confidence").alias("_own"), F.first("warning").alias("_warning"), *(F.first(f"gain_{n}").alias(f"_gain_{n}") for n in "rgb"),
     )
     j = stats.on(told, s, key)
     single, none = F.col("_n") == 1, F.col("_n") == 0
@@ -107,5 +107,5 @@ def ensemble(candidates: DataFrame, before: str = "before") -> DataFrame:
     return j.select(
         "frame_id", name.alias("algorithm"), *(F.when(none, 1.0).when(single, F.col(f"_gain_{n}")).otherwise(c).alias(f"gain_{n}") for n, c in zip("rgb", p, strict=True)),
         F.when(none, 0.0).when(single, F.col("_score")).otherwise(F.bround(agreement * number, 4)).alias("score"),
-        F.when(none, 0.0).when(single, F.col("_trust")).otherwise(F.bround(F.col("_trust") * (0.55 + 0.45 * agreement) * (0.75 + 0.25 * number), 3)).alias("confidence"), warning.alias("warning"), F.coalesce("counted", F.lit(0)).alias("counted"),
+        F.when(none, 0.0).when(single, F.col("_own")).otherwise(F.bround(F.col("_trust") * (0.55 + 0.45 * agreement) * (0.75 + 0.25 * number), 3)).alias("confidence"), warning.alias("warning"), F.coalesce("counted", F.lit(0)).alias("counted"),
     )
