@@ -73,10 +73,41 @@ def frame_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roll.rounded(roll.frame_work(*with_rolls(spark, sf_dir)), 8)
 
 
-@query("roll_baseline")
+def _baseline_sql() -> str:
+    whole = re.sub(r", 8\)", ", 15)", _candidates_sql())
+    wm = lambda n, source: f"(SELECT roll_id, min({n}) AS {n} FROM (SELECT roll_id, {n}, sum(w) OVER (PARTITION BY roll_id ORDER BY {n} RANGE UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY roll_id) AS total FROM {source}) WHERE upto >= total * 0.5 GROUP BY roll_id)"
+    centre = lambda source: f"SELECT roll_id, l_r AS c_r, l_g AS c_g, l_b AS c_b FROM {wm('l_r', source)} JOIN {wm('l_g', source)} USING (roll_id) JOIN {wm('l_b', source)} USING (roll_id)"
+    away = lambda p, q: "sqrt(" + " + ".join(f"({p}_{n} - {q}_{n}) * ({p}_{n} - {q}_{n})" for n in "rgb") + ")"
+    return f"""WITH fc AS ({whole}), f0 AS (SELECT *, {unit_sql('frame', 'u')} FROM fc WHERE used), us AS (SELECT *, {logs_sql('u', 'l')}, greatest(0.01, confidence) AS w FROM f0),
+nr AS (SELECT a.roll_id, a.frame_id AS ap, b.frame_id, b.w, sqrt({' + '.join(f'(a.l_{n} - b.l_{n}) ** 2' for n in 'rgb')}) AS d FROM us a JOIN us b USING (roll_id)),
+sc AS (SELECT roll_id, ap, round(sum(w), 12) AS w, count(*) AS n, round(sum(d * w) / sum(w), 12) AS sp FROM nr WHERE d <= 0.20 GROUP BY roll_id, ap HAVING count(*) >= 2), bs AS (SELECT roll_id, ap, n FROM sc QUALIFY row_number() OVER (PARTITION BY roll_id ORDER BY w DESC, n DESC, sp, ap) = 1),
+tt AS (SELECT roll_id, count(*) AS n_used FROM us GROUP BY roll_id),
+cl AS (SELECT us.*, n_used, CASE WHEN n_used > 2 AND n IS NOT NULL AND n >= greatest(2, ceil(n_used * 0.25)) THEN d <= 0.20 ELSE true END AS inside FROM us JOIN tt USING (roll_id) LEFT JOIN bs USING (roll_id) LEFT JOIN nr ON nr.roll_id = us.roll_id AND nr.ap = bs.ap AND nr.frame_id = us.frame_id),
+ci AS (SELECT * FROM cl WHERE inside), c1 AS ({centre('ci')}), dd AS (SELECT cl.*, {away('l', 'c')} AS d FROM cl JOIN c1 USING (roll_id)), md AS (SELECT roll_id, median(d) FILTER (inside) AS md FROM dd GROUP BY roll_id),
+ma AS (SELECT roll_id, md, median(abs(d - md)) FILTER (inside) AS mad FROM dd JOIN md USING (roll_id) GROUP BY roll_id, md), k0 AS (SELECT dd.*, inside AND d <= greatest(0.16, md + 2.5 * greatest(mad, 0.018)) AS ok FROM dd JOIN ma USING (roll_id)),
+kp AS (SELECT * FROM (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY roll_id) AS nk FROM k0) WHERE ok OR nk < 2), c2 AS ({centre('kp')}),
+sp AS (SELECT roll_id, sum({away('l', 'c')} * w) / sum(w) AS spread, count(*) AS n, any_value(n_used) AS n_used, max(confidence) AS only_, string_agg(frame_id, ',' ORDER BY frame_id) AS kept_frames, {', '.join(f'exp(any_value(c_{n})) AS k_{n}' for n in 'rgb')} FROM kp JOIN c2 USING (roll_id) GROUP BY roll_id),
+s1 AS (SELECT *, {unit_sql('k', 'roll')} FROM sp), an AS (SELECT roll_id, count(*) AS analysed FROM fc GROUP BY roll_id),
+eb AS (SELECT fc.roll_id, fc.frame_id, round(fc.p50, 5) AS p50, round(fc.p95, 5) AS p95, kp.frame_id IS NOT NULL AS mine FROM fc LEFT JOIN kp USING (frame_id) WHERE fc.exposure_class = 'normal'),
+eg AS (SELECT *, count(*) FILTER (mine) OVER (PARTITION BY roll_id) >= 3 AS enough FROM eb WHERE p50 > 0.10 AND p50 < 0.88 AND p95 > 0.35 AND p95 < 0.985), et AS (SELECT roll_id, median(p50) AS t50, median(p95) AS t95 FROM eg WHERE mine OR NOT enough GROUP BY roll_id),
+ax0 AS (SELECT roll_id, {unit_sql('roll', 'v')} FROM s1), ax AS (SELECT roll_id, {logs_sql('v', 'a')} FROM ax0),
+cf AS (SELECT kp.roll_id, sqrt(l_r * l_r + l_g * l_g + l_b * l_b) AS size, sqrt(a_r * a_r + a_g * a_g + a_b * a_b) AS rs_, l_r * a_r + l_g * a_g + l_b * a_b AS dot FROM kp JOIN ax USING (roll_id) WHERE confidence >= 0.30 AND exposure_class = 'normal'),
+cg AS (SELECT *, dot / greatest(size * rs_, 1e-6) AS co FROM cf),
+ch AS (SELECT roll_id, count(*) AS n, count(*) FILTER (size >= 0.025) AS told, count(*) FILTER (size >= 0.025 AND co >= 0.35) AS agree, median(co) FILTER (size >= 0.025 AND co >= 0.35) AS mid, any_value(rs_) AS rs_ FROM cg GROUP BY roll_id),
+cs AS (SELECT *, agree / greatest(told, 1)::DOUBLE AS share FROM ch), ct AS (SELECT *, 1 + least(0.18, (share - 0.60) * 0.28 + least(0.08, rs_ * 0.45)) AS st FROM cs),
+cu AS (SELECT roll_id, CASE WHEN rs_ >= 0.035 AND n >= 5 AND told >= 5 AND agree >= greatest(5, ceil(told * 0.60)) AND share >= 0.62 AND mid >= 0.65 AND st >= 1.055 THEN round_even(st, 3) ELSE 1 END AS strength FROM ct),
+o AS (SELECT an.roll_id, analysed, {', '.join(f'coalesce(roll_{n}, 1) AS roll_{n}' for n in 'rgb')}, coalesce(n, 0) AS used_count, coalesce(kept_frames, '') AS kept_frames, coalesce(n_used >= 2, false) AS several,
+  round_even(coalesce(CASE WHEN coalesce(n_used >= 2, false) THEN 0.35 * least(1, n / 8.0::DOUBLE) + 0.30 * least(1, n / analysed::DOUBLE / 0.55) + 0.35 * least(greatest(1 - spread / 0.18, 0), 1) ELSE only_ * 0.45 END, 0), 3) AS confidence FROM an LEFT JOIN s1 USING (roll_id))
+SELECT roll_id, {', '.join(f'round(roll_{n}, 5) AS roll_{n}' for n in 'rgb')}, round(coalesce(t50, 0.38), 6) AS target_p50, round(coalesce(t95, 0.86), 6) AS target_p95, round(coalesce(strength, 1), 5) AS strength, confidence, analysed, used_count,
+  CASE WHEN NOT several THEN 'not enough reliable frames for roll baseline' WHEN confidence >= 0.45 THEN '' ELSE 'low roll confidence' END AS warning, kept_frames FROM o LEFT JOIN et USING (roll_id) LEFT JOIN cu USING (roll_id)"""
+
+
+@query("roll_baseline", _baseline_sql())
 def roll_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = roll.settled(roll.frame_work(*with_rolls(spark, sf_dir)))
-    return roll.rounded(roll.baseline(work))
+    b = roll.baseline(work)
+    b = b.withColumns({"kept_frames": F.array_join(F.col("kept_frames").cast("array<string>"), ","), "target_p50": F.round("target_p50", 6), "target_p95": F.round("target_p95", 6)})
+    return b.withColumns({n: F.round(n, 5) for n in ("roll_r", "roll_g", "roll_b", "strength")})
 
 
 @query("roll_plan")
