@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, fingerprint, language, mixing, near_dedup, quality, secret_scan, suffix_dedup, url_rules
+from . import audio, bpe, embed_dedup, fingerprint, language, mixing, near_dedup, quality, resample, secret_scan, spelling, suffix_dedup, url_rules
 from .common import table
 
 
@@ -71,8 +71,21 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.vector_links(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_source_mix, op2_near_dedup, op3_language_id, op4_url_rules, op5_audio_features, op6_secret_scan, op7_bpe, op8_quality, op9_suffix_dedup, op10_fingerprints)
+    own = (op1_source_mix, op2_near_dedup, op3_language_id, op4_url_rules, op5_audio_features, op6_secret_scan, op7_bpe, op8_quality, op9_suffix_dedup, op10_fingerprints, op11_spelling_variants, op12_importance_resample, op13_embedding_dedup)
     return {f.__name__: f for f in own} | {"llm_page_language": page_language, "llm_mix_targets": mix_targets}
 
 
