@@ -1,7 +1,9 @@
 """Spelling variants by full neighbourhood generation.
 
-Every distinct deletion, replacement and insertion of a word over the observed alphabet is a row; those that are words themselves
-are found by an equi-join with the vocabulary, and need no check of their distance.
+Every distinct deletion, replacement and insertion of a word over the observed alphabet is looked up by its hash among the words;
+what is found is near, and needs no check of its distance. Neighbourhoods have some hundreds of strings a word, so these are
+made where the words are that they can hit: words that are alike but for one or two places in a row share a key, and only
+words are shuffled.
 """
 
 from __future__ import annotations
@@ -21,7 +23,11 @@ RUN = "[A-Za-zÀ-ÿ]+"
 LEAST_LENGTH, LEAST_COUNT = 5, 3
 #: One in so many runs loses a letter.
 ODDS = 97
-#: Neighbours of words up to this length are written out; longer words meet by hashes of what is left without one place.
+#: An edit is looked for between so many places at a time.
+REGION = 2
+#: Rows (one a word and place, about) of one piece of work, and of those whose neighbours are made at once.
+UNIT_ROWS, CHUNK = 100_000, 2000
+#: Neighbours of words up to this length are made; longer words meet by hashes of what is left without one place.
 WRITTEN = 64
 
 
@@ -49,27 +55,90 @@ def alphabet(words: DataFrame) -> list[str]:
     return sorted(r["c"] for r in found.collect())
 
 
-def neighbours(words: DataFrame, letters: list[str]) -> DataFrame:
-    """(word, near): each distinct string at one deletion, replacement or insertion over ``letters`` from a word.
+def meeting_places(words: DataFrame) -> DataFrame:
+    """Rows (key, word, n, at, whole) of ``words`` (word, n): where each word meets those that differ from it between two places.
 
-    Of a run of equal letters only the first place is deleted, and a letter is inserted only where none like it stands before,
-    so each string comes once; the three kinds differ in length.
+    Let m be the length of the shorter of two near words. An edit at a place of [at, at + 2) leaves what stands before and after it
+    alike, and these, with m and at, are the key. A word is in the keys of m = its length (whole) and of m = its length - 1,
+    as the longer of two. So at most the strings over two or three letters share a key, however many words there are.
     """
-    each = F.array(*[F.lit(c) for c in letters])
-    at = F.col("at")
-    here, before = F.substr("word", at + 1, F.lit(1)), F.when(at > 0, F.substr("word", at, F.lit(1))).otherwise(F.lit(""))
-    head, rest, tail = F.substr("word", F.lit(1), at), F.substr("word", at + 1), F.substr("word", at + 2)
-    places = words.select("word", F.explode(F.sequence(F.lit(0), F.char_length("word"))).alias("at")).select("word", "at", here.alias("here"), before.alias("before"), head.alias("head"), rest.alias("rest"), tail.alias("tail"))
-    deleted = places.filter("here != '' and here != before").select("word", F.concat("head", "tail").alias("near"))
-    if not letters:
-        return deleted
-    placed = places.select("*", F.explode(each).alias("c"))
-    kinds = F.array(
-        F.when((F.col("here") != "") & (F.col("here") != F.col("c")), F.concat("head", "c", "tail")),
-        F.when(F.col("before") != F.col("c"), F.concat("head", "c", "rest")),
-    )
-    written = placed.select("word", F.explode(kinds).alias("near")).filter("near is not null")
-    return deleted.unionByName(written)
+    own = words.filter(F.char_length("word") <= WRITTEN + 1).select("word", "n", F.char_length("word").alias("size"))
+    roles = own.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("whole")).withColumn("m", F.col("size") - F.when(F.col("whole"), 0).otherwise(1))
+    placed = roles.filter(f"m between 1 and {WRITTEN}").select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1, F.lit(REGION))).alias("at"))
+    end = F.least(F.col("at") + REGION, "m") + F.col("size") - F.col("m")
+    return placed.select(F.xxhash64("m", "at", F.substr("word", F.lit(1), "at"), F.substr("word", end + 1)).alias("key"), "word", "n", "at", "whole")
+
+
+def neighbourhood(code: np.ndarray, at: int, whole: bool, letters: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the strings at one edit of [at, at + REGION) from words of one length (rows of code points), and which are to count.
+
+    Whole words give their replacements and insertions, longer ones of two their deletions. The place after the last letter
+    belongs to the last two. Of a run of equal letters only the first is deleted, and a letter is inserted only where none
+    like it stands before, so each string comes once.
+    """
+    rows, size = code.shape
+    up, down = powers(size + 2)
+    term = mixed(code.astype(np.uint64)) * up[:size]
+    total = np.concatenate([np.zeros((rows, 1), np.uint64), np.cumsum(term, axis=1, dtype=np.uint64)], axis=1)
+    value = mixed(letters.astype(np.uint64))
+    m = size if whole else size - 1
+    stop = m + 1 if at + REGION >= m else at + REGION
+    for i in range(at, stop):
+        before = code[:, i - 1] if i else np.zeros(rows, code.dtype)
+        if whole:
+            if i < m:
+                yield (total[:, -1] - term[:, i])[:, None] + value * up[i], code[:, i, None] != letters
+            yield (total[:, i] + (total[:, -1] - total[:, i]) * up[1])[:, None] + value * up[i], before[:, None] != letters
+        else:
+            yield (total[:, i] + (total[:, -1] - total[:, i + 1]) * down[1])[:, None], (code[:, i] != before)[:, None]
+
+
+def word_hash(code: np.ndarray) -> np.ndarray:
+    up, _ = powers(code.shape[1] + 2)
+    return (mixed(code.astype(np.uint64)) * up[: code.shape[1]]).sum(axis=1, dtype=np.uint64)
+
+
+def _met(letters: list[str]):
+    alphabet_codes = np.array([ord(c) for c in letters], np.uint32)
+
+    def work(batch: pa.Table) -> pa.Table:
+        """(word, near, near_n): the neighbourhood of each word, looked up among the words of its key."""
+        batch = batch.combine_chunks()
+        key = mixed(batch.column("key").to_numpy().view(np.uint64))
+        _, group, often = np.unique(key, return_inverse=True, return_counts=True)
+        batch = batch.filter(pa.array(often[group] > 1))  # a word alone in its key has none to meet
+        key = key[often[group] > 1]
+        words = batch.column("word").combine_chunks()
+        size = np.array([len(w) for w in words.to_pylist()], np.int64)
+        place, whole, n = batch.column("at").to_numpy(), batch.column("whole").to_numpy(zero_copy_only=False), batch.column("n").to_numpy()
+        kinds = list(zip(size.tolist(), place.tolist(), whole.tolist(), strict=True))
+        order = sorted(range(len(kinds)), key=kinds.__getitem__)
+        runs: dict[tuple[int, int, bool], list[int]] = {}
+        for i in order:
+            runs.setdefault(kinds[i], []).append(i)
+        codes = {k: np.array(words.take(pa.array(rows)).to_pylist(), f"U{k[0]}").view(np.uint32).reshape(len(rows), k[0]) for k, rows in runs.items()}
+        own = np.zeros(len(key), np.uint64)
+        for k, rows in runs.items():
+            own[rows] = key[rows] + word_hash(codes[k])
+        listed, row_of = np.unique(own, return_index=True)
+        seen = np.zeros(1 << 22, bool)  # most strings are no words: one look tells
+        seen[(listed >> np.uint64(42)).astype(np.int64)] = True
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        for k, rows in runs.items():
+            for first in range(0, len(rows), CHUNK):
+                part = np.array(rows[first : first + CHUNK])
+                for near, counts in neighbourhood(codes[k][first : first + CHUNK], k[1], k[2], alphabet_codes):
+                    near = near + key[part, None]
+                    a, b = np.nonzero(seen[(near >> np.uint64(42)).astype(np.int64)] & counts)
+                    wanted = near[a, b]
+                    at = np.minimum(np.searchsorted(listed, wanted), len(listed) - 1)
+                    hit = listed[at] == wanted
+                    out[0].append(part[a[hit]])
+                    out[1].append(row_of[at[hit]])
+        left, right = (np.concatenate(x) for x in out)
+        return pa.table({"word": words.take(pa.array(left)), "near": words.take(pa.array(right)), "near_n": pa.array(n[right], pa.int64())})
+
+    return work
 
 
 def _without_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,32 +162,29 @@ def _without_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def long_pairs(words: DataFrame) -> DataFrame:
-    """(word, near) of the ``words`` (word, n) that are too long to write their neighbours out.
+    """(word, near, near_n) of the ``words`` (word, n) that are too long to write their neighbours out.
 
     Two differ by a replacement if they are alike without the letter at the same place, and by an insertion if one is what the
     other is without some letter. The strings are compared as two 64-bit hashes.
     """
-    held = settle(words.select("word", F.monotonically_increasing_id().alias("id")), "long-words")
+    held = settle(words.select("word", "n", F.monotonically_increasing_id().alias("id")), "long-words")
     keyed = settle(held.select("word", "id").mapInArrow(_without_one, "id long, place long, k1 long, k2 long"), "long-keys")
     a, b = keyed.alias("a"), keyed.alias("b")
     same = (F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") == F.col("b.k2")) & (F.col("a.id") != F.col("b.id"))
     replaced = a.filter("a.place >= 0").join(b, same & (F.col("a.place") == F.col("b.place"))).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
     shorter = a.filter("a.place >= 0").join(b.filter("b.place = -1"), same).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
     pairs = replaced.unionByName(shorter).unionByName(shorter.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
-    named = pairs.join(held.select(F.col("id").alias("x"), "word"), "x").join(held.select(F.col("id").alias("y"), F.col("word").alias("near")), "y")
-    return named.select("word", "near")
+    named = pairs.join(held.select(F.col("id").alias("x"), "word"), "x").join(held.select(F.col("id").alias("y"), F.col("word").alias("near"), F.col("n").alias("near_n")), "y")
+    return named.select("word", "near", "near_n")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """(word, near) for all two of ``words`` (word, n) that differ by one inserted, deleted or replaced code point."""
-    short = neighbours(words.filter(F.char_length("word") <= WRITTEN).select("word"), alphabet(words))
-    found = short.join(words.select(F.col("word").alias("near")), "near").select("word", "near")
-    # a pair across the limit is written from its shorter word, and turned round
-    across = found.filter(F.char_length("near") > WRITTEN).select(F.col("near").alias("word"), F.col("word").alias("near"))
+    """(word, near, near_n) for all two of ``words`` (word, n) that differ by one inserted, deleted or replaced code point."""
+    placed = meeting_places(words)
+    units = max(1, -(-words.agg(F.coalesce(F.sum(F.char_length("word")), F.lit(0))).first()[0] // UNIT_ROWS))
+    met = placed.withColumn("unit", F.pmod("key", F.lit(units))).groupBy("unit").applyInArrow(_met(alphabet(words)), "word string, near string, near_n long")
     longer = words.filter(F.char_length("word") > WRITTEN)
-    if longer.isEmpty():
-        return found
-    return found.unionByName(across).unionByName(long_pairs(longer))
+    return met if longer.isEmpty() else met.unionByName(long_pairs(longer))
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -143,8 +209,7 @@ def variants(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int
     text has no words. Repeated rows count each. A table without words gives no rows. Other columns of ``docs`` are left out.
     """
     words = settle(vocabulary(docs, least_length, least_count), "words")
-    pairs = near_pairs(words).join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
-    best = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
+    best = near_pairs(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     out = settle(
         words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(-F.col("best.less") >= 2 * F.col("n"), F.struct(F.col("best.near").alias("form"), (-F.col("best.less")).alias("form_n"))).alias("to"))
         .select("word", "n", "n_near", "to.form", "to.form_n"), "forms",
