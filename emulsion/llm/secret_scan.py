@@ -94,7 +94,7 @@ def labelled_samples(docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
     forms = (digest, F.base64(F.unhex(digest)), F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", ""), F.upper(F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", "")), F.translate(F.base64(F.unhex(digest)), "+/", "-_"))
     random = spark.range(SAMPLE_RANDOM).select(F.explode(F.array(*(F.substring(f, 1, 40) for f in forms))).alias("token"), F.lit(True).alias("random"))
     n = max(1, docs.count())
-    drawn = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < sample)
+    drawn = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) < sample)
     words = drawn.select(F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9])[A-Za-z]{2,24}(?![A-Za-z0-9])"), F.lit(0)).alias("w"))
     fours = F.transform(F.sequence(F.lit(0), F.ceil(F.size("w") / 4).cast("int") - 1), lambda i: F.slice("w", i * 4 + 1, 4))
     forms_of = [lambda g, sep=sep: F.array_join(g, sep) for sep in ("_", "-", "/", "")]
@@ -144,25 +144,12 @@ def blanked(text: Column, spans: Column) -> Column:
     return replaced(text, spans, lambda s, before: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(before, s["start"]), F.lit(0))))
 
 
-#: A long token is scored in fragments of so many characters, each beginning so many before the end of the one before.
-FRAGMENT, OVERLAP = 4096, 512
-
-
-def fragments(token: Column) -> Column:
-    """A token's span cut into spans of ``FRAGMENT`` characters at most. Tokens are ASCII: bytes and code points agree."""
-    step = FRAGMENT - OVERLAP
-    n = token["end"] - token["start"]
-
-    def part(raw: Column, k: Column) -> Column:
-        a, size = k * step, F.least(F.lit(FRAGMENT), n - k * step)
-        return F.struct((token["start"] + a).alias("start"), token["kind"].alias("kind"), (token["start"] + a + size).alias("end"), (token["at"] + a).alias("at"), (token["at"] + a + size).alias("to"), F.substr(raw, a + 1, size).cast("string").alias("match"))
-
-    cuts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - FRAGMENT) / step)).cast("int"))
-    return F.when(n <= FRAGMENT, F.array(token)).otherwise(let(token["match"].cast("binary"), lambda raw: F.transform(cuts, lambda k: part(raw, k))))
+#: A token is walked through in parts of so many characters: each step copies its state, so the spans found so far stay out of it.
+PART = 1024
 
 
 def stretches(token: Column, table: list[float]) -> Column:
-    """Spans in a fragment's match where the ratio stays above RATIO_PER_CHAR a character, until it falls LEAST_RATIO below its peak."""
+    """Spans in a token where the ratio stays above RATIO_PER_CHAR a character, until it falls LEAST_RATIO below its peak."""
     values = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")
     none = F.array().cast("array<struct<start:int,stop:int>>")
 
@@ -185,22 +172,46 @@ def stretches(token: Column, table: list[float]) -> Column:
 
         return let(acc["total"] + F.element_at(values, p) - RATIO_PER_CHAR, moved)
 
-    first = state(F.lit(0), F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(0), none)
-    return F.aggregate(pairs_of(token), first, step, closed)
+    def part(acc: Column, pairs: Column) -> Column:
+        begun = state(*(acc["now"][c] for c in ("at", "start", "total", "peak", "stop")), none)
+        return let(F.aggregate(pairs, begun, step), lambda now: F.struct(now.alias("now"), F.concat(acc["found"], now["spans"]).alias("found")))
+
+    # the last part's spans are in ``found`` already
+    last = lambda acc: F.concat(acc["found"], closed(state(*(acc["now"][c] for c in ("at", "start", "total", "peak", "stop")), none)))
+    first = F.struct(state(F.lit(0), F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(0), none).alias("now"), none.alias("found"))
+    parts = lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.size(p) - 1, F.lit(0)), F.lit(PART)), lambda k: F.slice(p, k + 1, PART))
+    return let(pairs_of(token), lambda p: F.aggregate(parts(p), first, part, last))
+
 
+def separators(c: Column) -> Column:
+    """For each of the characters ``c`` the place of the last separator up to it, or -1."""
+    return running(F.transform(c, lambda x, i: F.when(x.rlike("[A-Za-z0-9]"), F.lit(-1)).otherwise(i)), F.greatest)
 
-def widened(token: Column, x: Column) -> Column:
-    """A stretch of a fragment as a span of the text, out to the separators around it."""
+
+def widened(token: Column, found_: Column) -> Column:
+    """Stretches of a token as spans of the text, each out to the separators around it.
+
+    Where these are is told for all places of the token at once, by running maxima from either side.
+    """
     text = token["match"]
-    head, tail = F.substr(text, F.lit(1), x["start"]), F.substr(text, x["stop"] + 1, F.length(text))
-    start = x["start"] - F.length(F.regexp_extract(head, "(?<![A-Za-z0-9])[A-Za-z0-9]++$", 0))
-    stop = x["stop"] + F.length(F.regexp_extract(tail, "^[A-Za-z0-9]*+", 0))
 
-    def span(w: Column) -> Column:
-        ends = [(token[n] + w[m]).alias(k) for k, n, m in (("start", "start", "a"), ("end", "start", "b"), ("at", "at", "a"), ("to", "at", "b"))]
-        return F.struct(ends[0], token["kind"].alias("kind"), *ends[1:], F.substr(text, w["a"] + 1, w["b"] - w["a"]).alias("match"))
+    def placed(at: Column) -> Column:
+        n = F.size(at["before"])
+
+        def span(x: Column) -> Column:
+            start = F.when(x["start"] > 0, F.get(at["before"], x["start"] - 1) + 1).otherwise(0)
+            stop = F.when(x["stop"] < n, n - 1 - F.get(at["after"], n - 1 - x["stop"])).otherwise(n)
+            return let(F.struct(start.alias("a"), stop.alias("b")), ends)
+
+        def ends(w: Column) -> Column:
+            moved = [(token[k] + w[m]).alias(o) for o, k, m in (("start", "start", "a"), ("end", "start", "b"), ("at", "at", "a"), ("to", "at", "b"))]
+            return F.struct(moved[0], token["kind"].alias("kind"), *moved[1:], F.substr(at["raw"], w["a"] + 1, w["b"] - w["a"]).cast("string").alias("match"))
+
+        return F.transform(found_, span)
 
-    return let(F.struct(start.alias("a"), stop.alias("b")), span)
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    sides = lambda c: F.struct(separators(c).alias("before"), separators(F.reverse(c)).alias("after"), text.cast("binary").alias("raw"))
+    return let(let(chars, sides), placed)
 
 
 def outermost(spans: Column) -> Column:
@@ -217,11 +228,9 @@ def outermost(spans: Column) -> Column:
 def random_spans(text: Column, table: list[float]) -> Column:
     """Spans of kind random of a text whose fixed spans are blanked; none lies inside another."""
     likely = lambda m: ratio(m, table) > F.greatest(F.lit(LEAST_RATIO), RATIO_PER_CHAR * F.length(m))
-    parts = lambda t: F.when(likely(t["match"]), F.array(t)).otherwise(F.transform(stretches(t["match"], table), lambda x: widened(t, x)))
-    cut = F.flatten(F.transform(found(text, TOKEN, 3), fragments))
-    wide = F.flatten(F.transform(cut, parts))
-    # a piece longer than a fragment is scored as fragments of its token
-    pieces = found(text, PIECE, 3, lambda m: F.when(F.length(m) <= FRAGMENT, likely(m)).otherwise(False))
+    spread = lambda t: let(stretches(t["match"], table), lambda x: F.when(F.size(x) > 0, widened(t, x)).otherwise(F.array().cast(f"array<{SPAN}>")))
+    wide = F.flatten(F.transform(found(text, TOKEN, 3), lambda t: F.when(likely(t["match"]), F.array(t)).otherwise(spread(t))))
+    pieces = found(text, PIECE, 3, likely)
     every = F.filter(F.concat(wide, pieces), lambda x: (F.length(x["match"]) >= LEAST_NUMBER) | x["match"].rlike("[A-Za-z]"))
     return F.when(text.rlike(TOKEN), outermost(every)).otherwise(F.array().cast(f"array<{SPAN}>"))
 

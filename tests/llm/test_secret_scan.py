@@ -6,7 +6,9 @@ import re
 
 import duckdb
 import numpy as np
+import pytest
 from emulsion.llm import secret_scan
+from pyspark.sql import functions as F
 
 from . import corpus
 
@@ -92,27 +94,26 @@ def plain_random_spans(text: str, table: list[float]) -> list[tuple[int, int]]:
     likely = lambda t: sum(steps(t)) > max(secret_scan.LEAST_RATIO, secret_scan.RATIO_PER_CHAR * len(t))
     out = []
     for m in re.finditer(secret_scan.TOKEN, text):
-        for at in range(m.start(), max(m.start() + 1, m.end() - secret_scan.OVERLAP), secret_scan.FRAGMENT - secret_scan.OVERLAP):
-            part = text[at : min(at + secret_scan.FRAGMENT, m.end())]
-            if likely(part):
-                out.append((at, at + len(part)))
-                continue
-            first = total = peak = stop = 0
-            runs = []
-            for i, p in enumerate([*steps(part), None], start=1):
-                total = -1 if p is None else total + p - secret_scan.RATIO_PER_CHAR
-                if total <= 0 or total < peak - secret_scan.LEAST_RATIO:
-                    size = stop - first
-                    if size >= secret_scan.LEAST_TOKEN and peak > 0 and peak + secret_scan.RATIO_PER_CHAR * size > secret_scan.LEAST_RATIO:
-                        runs.append((first, stop))
-                    first, stop, total, peak = i, i, 0, 0
-                elif total > peak:
-                    peak, stop = total, i + 1
-            for a, b in runs:
-                a -= len(re.search("[A-Za-z0-9]*$", part[:a])[0])
-                b += len(re.match("[A-Za-z0-9]*", part[b:])[0])
-                out.append((at + a, at + b))
-    out += [m.span() for m in re.finditer(secret_scan.PIECE, text) if len(m[0]) <= secret_scan.FRAGMENT and likely(m[0])]
+        at, part = m.start(), m[0]
+        if likely(part):
+            out.append(m.span())
+            continue
+        first = total = peak = stop = 0
+        runs = []
+        for i, p in enumerate([*steps(part), None], start=1):
+            total = -1 if p is None else total + p - secret_scan.RATIO_PER_CHAR
+            if total <= 0 or total < peak - secret_scan.LEAST_RATIO:
+                size = stop - first
+                if size >= secret_scan.LEAST_TOKEN and peak > 0 and peak + secret_scan.RATIO_PER_CHAR * size > secret_scan.LEAST_RATIO:
+                    runs.append((first, stop))
+                first, stop, total, peak = i, i, 0, 0
+            elif total > peak:
+                peak, stop = total, i + 1
+        for a, b in runs:
+            a -= len(re.search("[A-Za-z0-9]*$", part[:a])[0])
+            b += len(re.match("[A-Za-z0-9]*", part[b:])[0])
+            out.append((at + a, at + b))
+    out += [m.span() for m in re.finditer(secret_scan.PIECE, text) if likely(m[0])]
     out = {(a, b) for a, b in out if b - a >= secret_scan.LEAST_NUMBER or re.search("[A-Za-z]", text[a:b])}
     return sorted((a, b) for a, b in out if not any(c <= a and b <= d and d - c > b - a for c, d in out))
 
@@ -157,3 +158,46 @@ def test_many_matches_in_one_text(spark):
     row = secret_scan.secret_report(df, table).first()
     assert row["n_hex"] == 16_000 and row["spans"] == written(base_spans(text))
     assert secret_scan.redact(df, table).first()["text"] == "é " + " ".join(["<SECRET>"] * 16_000)
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    return secret_scan.fit(secret_scan.labelled_samples(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")))
+
+
+def long_key(n: int) -> str:
+    return base64.b64encode(b"".join(hashlib.sha512(b"%d" % i).digest() for i in range(n // 85 + 1))).decode().replace("=", "x")[:n]
+
+
+@pytest.mark.parametrize("size", [40, 4000, 4095, 4096, 4097, 12_000, 1_000_000])
+def test_a_random_token_of_any_length_is_one_span(spark, table, size):
+    rows = [(1, "a " + long_key(size) + " b"), (2, "see " + "/".join(["reports"] * (size // 8)) + "/" + key_of(3, 40) + "/end")]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.secret_report(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()}
+    assert got[1] == f"random:2:{2 + size}"
+    start = 4 + 8 * (size // 8)
+    # the key among words is one span, give or take a word beside it
+    assert [1 for _, a, b in (x.split(":") for x in got[2].split(",")) if start - 8 <= int(a) <= start and start + 40 <= int(b) <= start + 44]
+
+
+def test_many_keys_in_one_token(spark, table):
+    """A token of 200,000 characters with 2,000 keys between ordinary words."""
+    parts = [key_of(i, 40).replace("/", "a").replace("+", "b") for i in range(2000)]
+    text = "x_" + "_".join(k + "_quarterly_archive_of_customer_summaries_in_documents_folders" for k in parts)
+    spans = secret_scan.secret_report(spark.createDataFrame([(1, text)], "doc_id long, text string"), table).first()["spans"].split(",")
+    hit = {text[int(a) : int(b)] for _, a, b in (x.split(":") for x in spans)}
+    assert sum(any(k in h for h in hit) for k in parts[:300]) > 290
+
+
+def test_unknown_keys_in_real_texts(spark, table):
+    """Recall of keys of unknown form planted in documents, and how much else is taken."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(400).collect()
+    rows = [(r["doc_id"], (r["text"] or "")[:2000] + " " + key_of(r["doc_id"], 24 + r["doc_id"] % 40) + " " + (r["text"] or "")[2000:4000]) for r in docs]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.secret_report(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()}
+    found = sum(any(x.startswith("random") and t[int(x.split(":")[1]) : int(x.split(":")[2])] in key_of(i, 24 + i % 40) or key_of(i, 24 + i % 40) in t[int(x.split(":")[1]) : int(x.split(":")[2])] for x in got[i].split(",") if x) for i, t in rows)
+    assert found / len(rows) >= 0.97
+
+
+def test_rows_without_ids_are_sampled_like_others(spark):
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("word number "), F.col("id").cast("string")).alias("text"))
+    drawn = secret_scan.labelled_samples(docs, 500).filter("token = 'number'").count()
+    assert 300 < drawn < 800
