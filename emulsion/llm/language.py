@@ -12,6 +12,7 @@ even distribution of trigrams explains it better than the best language, by ``LE
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, settle
+from .common import bounded_batches, discard, settle
 from .grams import SIZE, trigram_codes
 
 #: Labelled rows of each language, in expectation, that its model is fitted on.
@@ -34,8 +35,8 @@ MOST_GRAMS = 400
 LEAST_FIT = 20.0
 #: Trigrams looked up at once.
 CHUNK = 1 << 18
-#: The model is a table of 1 MB a language on the driver and in a broadcast; more languages than this are refused.
-MOST_LANGUAGES = 256
+#: Languages whose models are held at once: a broadcast of 1 MB each. Texts of more languages are scored a block after the other.
+BLOCK = 64
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,44 +46,62 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([lang] * len(code), pa.string()), pa.array(code, pa.int32()), pa.array(n, pa.int64())], names=["lang", "code", "n"])
 
 
-def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and their (SIZE, languages) log-probabilities, from about ``sample`` rows of each language drawn by a hash.
+@dataclass
+class Model:
+    """Trigram models of any number of languages: a table with a row (lang, codes, n) for each, and the mean of all."""
+
+    langs: list[str]
+    counts: DataFrame | None
+    mean: np.ndarray
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        """(SIZE, languages) log-probabilities of ``BLOCK`` languages after the other; only one block comes to the driver at once."""
+        for first in range(0, len(self.langs), BLOCK):
+            names = self.langs[first : first + BLOCK]
+            at = {x: i for i, x in enumerate(names)}
+            own = np.zeros((SIZE, len(names)), np.float32)
+            got = self.counts.filter((F.col("lang") >= names[0]) & (F.col("lang") <= names[-1])).toArrow()
+            for lang, codes, n in zip(*got.columns, strict=True):
+                share = n.values.to_numpy()
+                own[codes.values.to_numpy(), at[lang.as_py()]] = share / share.sum()
+            own *= 1 - MEAN_SHARE - EVEN_SHARE
+            own += (MEAN_SHARE * self.mean + EVEN_SHARE / SIZE)[:, None].astype(np.float32)
+            yield np.log(own, out=own)
+
+
+def fit_model(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> Model:
+    """The model of each language in ``label``, from about ``sample`` rows of each drawn by a hash.
 
     The languages are those of a grouped count over all rows, and the rate of a draw is the language's own, so each labelled
     language has a model at every size; of one with ``sample`` rows or fewer all are drawn. Only rows with a letter count. Each
     distribution is mixed in fixed shares with the mean of all languages and an even one: a language of few rows isn't
-    smoothed more than one of many.
+    smoothed more than one of many. The names of the languages and the mean, a number for each of SIZE trigrams, come to the
+    driver.
     """
-    known = docs.filter(F.col(label).isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    hashed = F.xxhash64("doc_id", label, "text")
-    counts = known.groupBy(F.col(label).alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.min(hashed).alias("least")).limit(MOST_LANGUAGES + 1).collect()
-    of = {r["lang"]: (r["n"], r["least"]) for r in counts}
-    if not of:
-        return [], np.zeros((SIZE, 1), np.float32)
-    if len(of) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    rate = lambda k: F.element_at(F.create_map(*(F.lit(x) for lang in sorted(of) for x in (lang, of[lang][k]))), F.col(label))
+    known = docs.filter(F.col(label).isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.col(label).alias("lang"), "text", F.xxhash64("doc_id", label, "text").alias("_hash"))
+    rates = settle(known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"), F.min("_hash").alias("_least")), "language-rates")
     # the least hash is there for languages whose rows are all equal, which a draw could miss as one
-    drawn = known.filter((F.pmod(hashed, rate(0)) < sample) | (hashed == rate(1))).select(F.col(label).alias("lang"), "text")
-    got = bounded_batches(drawn).mapInArrow(_gram_counts, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(set(got.column("lang").to_pylist()))
-    if not langs:
-        return [], np.zeros((SIZE, 1), np.float32)
-    at = np.array([langs.index(x) for x in got.column("lang").to_pylist()])
-    code, n = got.column("code").to_numpy(), got.column("n").to_numpy()
-    own, mean = np.zeros((SIZE, len(langs)), np.float32), np.zeros(SIZE)
-    for i in range(len(langs)):
-        count = np.bincount(code[at == i], n[at == i], SIZE)
-        own[:, i] = count / count.sum()
-        mean += count / count.sum() / len(langs)
-    own *= 1 - MEAN_SHARE - EVEN_SHARE
-    own += (MEAN_SHARE * mean + EVEN_SHARE / SIZE)[:, None].astype(np.float32)
-    return langs, np.log(own, out=own)
-
-
-def text_evidence(docs: DataFrame, langs: list[str], table: np.ndarray):
-    """A pandas UDF: log-likelihoods of a text by language, the best being 0, and last what the best has above even trigrams; all 0
-    without text."""
+    drawn = known.join(rates, "lang").filter((F.pmod("_hash", F.col("_n")) < sample) | (F.col("_hash") == F.col("_least"))).select("lang", "text")
+    grams = settle(bounded_batches(drawn).mapInArrow(_gram_counts, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "language-grams")
+    held = grams.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("code", "n"))).alias("x"))  # at most SIZE entries each
+    held = settle(held.select("lang", F.col("x.code").alias("codes"), F.col("x.n").alias("n")), "language-models")
+    langs = sorted(r["lang"] for r in held.select("lang").collect())
+    share = held.select(F.explode(F.arrays_zip("codes", F.transform("n", lambda x: x / F.aggregate("n", F.lit(0).cast("long"), lambda a, y: a + y)).alias("share"))).alias("x"))
+    got = share.groupBy("x.codes").agg(F.sum("x.share").alias("share")).toArrow()
+    mean = np.zeros(SIZE)
+    mean[got.column(0).to_numpy()] = got.column(1).to_numpy() / max(1, len(langs))
+    discard(rates, grams)
+    return Model(langs, held, mean)
+
+
+def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+    """Languages and their (SIZE, languages) log-probabilities in one matrix; for models of few languages."""
+    model = fit_model(docs, label, sample)
+    return model.langs, np.hstack(list(model.blocks())) if model.langs else np.zeros((SIZE, 1), np.float32)
+
+
+def text_evidence(docs: DataFrame, table: np.ndarray):
+    """A pandas UDF: log-likelihoods of a text by language of ``table``, and last that of even trigrams; all 0 without text."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("array<double>")
@@ -92,8 +111,7 @@ def text_evidence(docs: DataFrame, langs: list[str], table: np.ndarray):
             codes = trigram_codes(text) if text and not text.isspace() else np.zeros(0, np.int32)
             weight = min(1.0, MOST_GRAMS / max(1, len(codes)))
             ll = sum((t[codes[i : i + CHUNK]].sum(axis=0, dtype=np.float64) for i in range(0, len(codes), CHUNK)), np.zeros(t.shape[1])) * weight
-            fit = ll.max() + weight * len(codes) * np.log(SIZE)
-            out.append([*np.round(ll - ll.max(), 9).tolist(), fit])
+            out.append([*ll.tolist(), -weight * len(codes) * np.log(SIZE)])
         return pd.Series(out)
 
     return evidence.asNondeterministic()  # else a filter on its result is pushed down with a second call of it
@@ -106,12 +124,12 @@ def parent_of(host: Column) -> Column:
 
 def _shares(counts: DataFrame, key: str, langs: list[str]) -> DataFrame:
     """Counts by language as an array in the order of ``langs``, for each key."""
-    columns = [F.coalesce(F.sum(F.when(F.col("best") == i, F.col("n"))), F.lit(0)).cast("double") for i in range(len(langs))]
-    return counts.groupBy(key).agg(F.array(*columns).alias(f"{key}_counts"))
+    by = counts.groupBy(key, "best").agg(F.sum("n").cast("double").alias("n")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias("of"))
+    return by.select(key, F.transform(F.sequence(F.lit(0), F.lit(len(langs) - 1)), lambda i: F.coalesce(F.element_at("of", i), F.lit(0.0))).alias(f"{key}_counts"))
 
 
 def identify(
-    docs: DataFrame, langs: list[str], table: np.ndarray, declared: Column | None = None, suffix: Column | None = None, host: Column | None = None,
+    docs: DataFrame, langs: list[str], table: np.ndarray | Model, declared: Column | None = None, suffix: Column | None = None, host: Column | None = None,
     least: float = 0.5, without: tuple[str, ...] = (),
 ) -> DataFrame:
     """``docs`` plus lid_lang, lid_posterior, lid_text (the text's own best), lid_fit and lid_kept; one row out for each row in.
@@ -120,7 +138,9 @@ def identify(
     its own, and isn't kept; nor is one whose best posterior is below ``least``, or whose lid_fit (log-likelihood of the best
     language above that of even trigrams) is below -``LEAST_FIT``. Ties go to the first language by name. With no languages
     (nothing was labelled) lid_lang is null and nothing is kept. Columns of those names in ``docs`` are replaced, others stay as
-    they are, but for those named in ``without``, which are left out.
+    they are, but for those named in ``without``, which are left out. ``table`` is what ``fit`` or ``fit_model`` gave; a Model
+    may have any number of languages: those after the first block are scored in further passes over the texts, each a table in
+    the shared folder.
     """
     new = {"lid_lang": "string", "lid_posterior": "double", "lid_text": "string", "lid_fit": "double", "lid_kept": "boolean"}
     docs = bounded_batches(docs.drop(*new))
@@ -128,13 +148,19 @@ def identify(
     if not langs:
         return docs.select(*stay, *((F.lit(False) if n == "lid_kept" else F.lit(None).cast(t)).alias(n) for n, t in new.items()))
     nothing = F.lit(None).cast("string")
-    evidence = text_evidence(docs, langs, table)
+    blocks = iter([table]) if isinstance(table, np.ndarray) else table.blocks()
     has_text = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     marked = docs.select(
         F.struct(*stay).alias("_row"), has_text.alias("_has_text"), (F.lower(F.substring_index(declared, "-", 1)) if declared is not None else nothing).alias("_declared"),
-        (F.lower(suffix) if suffix is not None else nothing).alias("_suffix"), (host if host is not None else nothing).alias("_host"), evidence("text").alias("_said"),
+        (F.lower(suffix) if suffix is not None else nothing).alias("_suffix"), (host if host is not None else nothing).alias("_host"), F.col("text").alias("_text"), text_evidence(docs, next(blocks))("text").alias("_said"),
     )
-    marked = marked.withColumns({"_ll": F.slice("_said", 1, len(langs)), "_fit": F.element_at("_said", -1), "_domain": parent_of(F.col("_host"))}).drop("_said")
+    for k, block in enumerate(blocks):
+        one = settle(marked, "language-block")
+        even = F.slice("_said", -1, 1)
+        marked = one.withColumn("_more", text_evidence(docs, block)("_text")).withColumn("_said", F.concat(F.slice("_said", 1, (k + 1) * BLOCK), F.slice("_more", 1, block.shape[1]), even)).drop("_more")
+    top = F.array_max(F.slice("_said", 1, len(langs)))
+    marked = marked.withColumn("_top", top).withColumns({"_ll": F.transform(F.slice("_said", 1, len(langs)), lambda x: F.round(x - F.col("_top"), 9)), "_fit": F.col("_top") - F.element_at("_said", -1), "_domain": parent_of(F.col("_host"))})
+    marked = marked.drop("_said", "_text", "_top")
     if "text" in without:  # else the table would be as large as the texts; they are scored once more instead
         marked = settle(marked, "language-evidence")
     best = F.array_position("_ll", 0.0) - 1
@@ -143,8 +169,7 @@ def identify(
     totals = {r["best"]: r["n"] for r in counts.groupBy("best").agg(F.sum("n").alias("n")).collect()}
     every = sum(totals.values())
     overall = [(totals.get(i, 0) + 1) / (every + len(langs)) for i in range(len(langs))]
-    whole = F.array(*(F.lit(x) for x in overall))
-    language_total = F.array(*(F.lit(float(totals.get(i, 0))) for i in range(len(langs))))
+    whole, language_total = F.lit(overall), F.lit([float(totals.get(i, 0)) for i in range(len(langs))])
 
     def towards(own: Column, prior: Column, weight: float) -> Column:
         n = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
@@ -162,14 +187,14 @@ def identify(
         return settle(_shares(counts.filter(F.col(key).isNotNull()), key, langs).select(key, given.alias(f"{key}_given")), "language-said")
 
     out = marked.join(hosts, "_host", "left").join(said("_declared"), "_declared", "left").join(said("_suffix"), "_suffix", "left")
-    none = F.array(*(F.lit(0.0) for _ in langs))
+    none = F.lit([0.0] * len(langs))
     total = F.transform(F.coalesce("host_share", whole), lambda p: F.log(p))
     for c in ("_ll", "_declared_given", "_suffix_given"):
         total = F.zip_with(total, F.coalesce(c, none), lambda a, b: a + b)
     out = out.withColumn("_total", total)
     top = F.array_max("_total")
     posterior = 1 / F.aggregate(F.transform("_total", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
-    names = F.array(*(F.lit(x) for x in langs))
+    names = F.lit(langs)
     told = (
         F.element_at(names, F.array_position("_total", top).cast("int")), posterior, F.when(F.col("_has_text"), F.element_at(names, best.cast("int") + 1)), F.col("_fit"),
         F.col("_has_text") & (posterior >= least) & (F.col("_fit") >= -LEAST_FIT),
@@ -179,8 +204,8 @@ def identify(
 
 def identify_documents(docs: DataFrame, **how) -> DataFrame:
     """``docs`` (doc_id, text, lang, source) judged with lang as the declared language and source as the host."""
-    langs, table = fit(docs)
-    return identify(docs, langs, table, declared=F.col("lang"), host=F.col("source"), **how)
+    model = fit_model(docs)
+    return identify(docs, model.langs, model, declared=F.col("lang"), host=F.col("source"), **how)
 
 
 def identify_pages(pages: DataFrame, docs: DataFrame, markup: bool = True) -> DataFrame:
@@ -190,11 +215,11 @@ def identify_pages(pages: DataFrame, docs: DataFrame, markup: bool = True) -> Da
 
     The address's suffix is the first path segment of two letters, else the host's last label.
     """
-    langs, table = fit(docs)
+    model = fit_model(docs)
     shown = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
     attribute = F.nullif(F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1), F.lit(""))
     host = F.nullif(F.regexp_extract(F.lower("url"), r"^[^:]*://([^/?#]*)", 1), F.lit(""))
     segment = F.nullif(F.regexp_extract(F.lower("url"), r"^[^:]*://[^/?#]*/([a-z]{2})(?:[/?#]|$)", 1), F.lit(""))
     last = F.nullif(F.regexp_extract(F.lower("url"), r"^[^:]*://[^/?#]*\.([a-z]+)(?:[:/?#]|$)", 1), F.lit(""))
     text = pages.select("page_id", F.trim(shown).alias("text"), attribute.alias("declared"), F.coalesce(segment, last).alias("suffix"), host.alias("host"))
-    return identify(text, langs, table, F.col("declared") if markup else None, F.col("suffix"), F.col("host"), without=("text",))
+    return identify(text, model.langs, model, F.col("declared") if markup else None, F.col("suffix"), F.col("host"), without=("text",))

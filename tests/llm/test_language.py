@@ -113,3 +113,36 @@ def test_every_labelled_language_has_a_model(spark):
     assert langs == ["aa", "bb", "equal", "rare"]
     got = language.identify(df, langs, table_).collect()
     assert len(got) == len(rows) and all(r["lid_lang"] == r["lang"] for r in got)
+
+
+def test_three_hundred_labels(spark):
+    """More labels than a block of languages: all have a model, and each text is told among all of them."""
+    rows = [(1000 * k + i, f"word{k}x{i % 3} quick{k} and{k} {'abcdefghij'[k % 10] * 3}{k}z " * 6, f"l{k:03d}", "src") for k in range(300) for i in range(4)]
+    rows += [(400_000 + i, r[1], r[2].upper() + "-XX", "src") for i, r in enumerate(rows[:12])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = language.identify_documents(docs).collect()
+    assert len(got) == len(rows) and all(r["lid_kept"] for r in got)
+    assert np.mean([r["lid_text"].lower()[:4] == r["lang"].lower()[:4] for r in got]) > 0.99
+    assert np.mean([r["lid_lang"] == r["lang"] for r in got if r["doc_id"] < 400_000]) > 0.95
+
+
+def test_blocks_of_languages_change_nothing(spark, monkeypatch):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    told = lambda: sorted((r["doc_id"], r["lid_lang"], round(r["lid_posterior"], 6), round(r["lid_fit"], 4), r["lid_kept"]) for r in language.identify_documents(docs).collect())
+    whole = told()
+    monkeypatch.setattr(language, "BLOCK", 3)
+    assert told() == whole
+
+
+def test_held_out_texts_without_their_declared_language(spark):
+    """Fitted on four fifths of the labelled texts, told on the last fifth from the text alone."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(5)))
+    model = language.fit_model(docs.filter("fold > 0"))
+    got = language.identify(docs.filter("fold = 0"), model.langs, model).filter("trim(text) != ''").collect()
+    assert len(got) > 100 and np.mean([r["lid_text"] == r["lang"] for r in got]) >= 0.97
+
+
+def test_text_of_ten_megabytes(spark):
+    docs = spark.createDataFrame([(1, "the house was old " * 560_000, "en", "a"), (2, "das Haus war alt " * 50, "de", "a")], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in language.identify_documents(docs).collect()}
+    assert got[1]["lid_lang"] == "en" and got[2]["lid_lang"] == "de" and got[1]["lid_kept"]
