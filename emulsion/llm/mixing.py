@@ -6,7 +6,8 @@ blocks without replacement, the right one has the rest, down to single shards. A
 blocks of each permuted stream; a document belongs to the block in which it starts. Each shard orders what it has by a hash
 (``place``). The stream's last block is cut at the quota.
 
-Only sums by source reach the driver, one row a source. The documents are never ordered in one task: a hash deals a source's
+Sources stay a table: they are ranked by range partitions, targets take a few sums over all of them, and the tree is split
+for groups of them on the driver and within each group in a task of its own. The documents are never ordered in one task: a hash deals a source's
 documents to about sqrt(rows) cells, sums by cell give each cell's start in the stream, and a window orders one cell. A shard
 is written in chunks of about ``CHUNK_WORDS`` words, stretches of its order, so that no task holds a shard.
 """
@@ -16,14 +17,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import WORD, settle
 
-#: More sources than this are refused: the quotas are split on the driver, with a number for each source and shard.
-MAX_SOURCES = 200_000
+#: Sources whose quotas are split in one task. The tree first splits the sums of such groups, one number a group and shard on the driver.
+GROUP_SOURCES = 10_000
 #: A stream has so many blocks at most; beyond that its blocks are longer than ``block_words`` (the draws need whole numbers below 1e9).
 MOST_BLOCKS = 2**27
 #: Words of a shard that are ordered in one task.
@@ -48,8 +50,8 @@ def allocate(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (
     return target
 
 
-def split_tree(blocks: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Block counts by shard and source; column sums are ``blocks``, row sums differ by at most one."""
+def split_tree(blocks: np.ndarray, shards: int, seed: int, totals: np.ndarray | None = None, group: int = 0) -> np.ndarray:
+    """Block counts by shard and source; column sums are ``blocks``, row sums are ``totals`` or differ by at most one."""
     out = np.zeros((shards, len(blocks)), dtype=np.int64)
     todo = [(0, shards, blocks.astype(np.int64))]
     while todo:
@@ -58,13 +60,55 @@ def split_tree(blocks: np.ndarray, shards: int, seed: int) -> np.ndarray:
             out[first] = have
             continue
         left_n = n // 2
-        take = int(have.sum()) * left_n // n
-        rng = np.random.default_rng([seed, first, n])
+        take = int(have.sum()) * left_n // n if totals is None else int(totals[first : first + left_n].sum())
+        rng = np.random.default_rng([seed, first, n, *([group] if group else [])])
         left = rng.multivariate_hypergeometric(have, take, method="marginals") if take else np.zeros_like(have)
         todo += [(first, left_n, left), (first + left_n, n - left_n, have - left)]
     return out
 
 
+def ranked_sources(sized: DataFrame) -> DataFrame:
+    """source, source_size, n, rank of each source of ``sized`` (source, size), ranked from 0 in code-point order, null last.
+
+    Range partitions are ordered each on its own; the driver adds up their rows.
+    """
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    ranged = settle(sums.repartitionByRange(F.asc_nulls_last("source")).withColumn("_part", F.spark_partition_id()), "mix-sources")
+    offset, at = [], 0
+    for r in sorted(ranged.groupBy("_part").count().collect()):
+        offset += [F.lit(r["_part"]), F.lit(at)]
+        at += r["count"]
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(F.asc_nulls_last("source"))) - 1
+    first = F.element_at(F.create_map(*offset), F.col("_part")) if offset else F.lit(0)
+    return ranged.withColumn("rank", first.cast("long") + place).drop("_part")
+
+
+def with_targets(sources: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
+    """``sources`` with target, as ``allocate`` has it: each round takes out those above their cap and raises the share of the rest."""
+    weight = F.element_at(F.lit([float(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    weighed = settle(sources.withColumn("_weight", weight), "mix-weights")
+    above = lambda unit: F.lit(unit) * F.col("_weight") > cap * F.col("source_size")
+    total, free = weighed.agg(F.sum("source_size"), F.sum("_weight")).first()
+    unit, before = float(total or 0) / (free or 1), -1
+    while True:
+        n, held, free = weighed.agg(F.count_if(above(unit)), F.coalesce(F.sum(F.when(above(unit), F.col("source_size"))), F.lit(0)), F.sum(F.when(~above(unit), F.col("_weight")))).first()
+        if n == before or not free:
+            break
+        unit, before = (float(total) - cap * held) / free, n
+    return weighed.withColumn("target", F.when(above(unit), cap * F.col("source_size")).otherwise(F.lit(unit) * F.col("_weight"))).drop("_weight")
+
+
+def _dealt(shards: int, seed: int):
+    def work(batch: pa.Table) -> pa.Table:
+        batch = batch.combine_chunks().sort_by("rank")
+        totals = batch.column("totals")[0].values.to_numpy()
+        tree = split_tree(batch.column("blocks").to_numpy(), shards, seed, totals, batch.column("group")[0].as_py())
+        ends = pa.array(list(np.cumsum(tree, axis=0).T), pa.list_(pa.int64()))
+        return batch.select(["source", "source_size", "target", "quota"]).append_column("shard_ends", ends)
+
+    return work
+
+
 def mix_plan(docs: DataFrame, shards: int = 64, block_words: int = 4096, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 20) -> DataFrame:
     """What the mix takes: doc_id, source, text_key, copy, size, source_size, target, pass, taken, shard, place, chunk.
 
@@ -75,25 +119,23 @@ def mix_plan(docs: DataFrame, shards: int = 64, block_words: int = 4096, weights
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     one = Window.partitionBy("doc_id", "source", "text_key").orderBy("size")
-    raw = docs.select("doc_id", "source", F.xxhash64(text).alias("text_key"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+    raw = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("text_key"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
     sized = settle(raw, "mix-sizes")
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(sums) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows = sum(r["n"] for r in sums)
-    target = allocate([(r["source"], r["source_size"]) for r in sums], weights, cap)
-    sums = sorted(sums, key=lambda r: (r["source"] is None, r["source"] or ""))
-    quota = [min(int(target[r["source"]] + 0.5), int(cap * r["source_size"])) for r in sums]
-    unit = max(block_words, math.ceil(sum(quota) / MOST_BLOCKS))
-    chunks = max(1, math.ceil(sum(quota) / shards / CHUNK_WORDS))
-    tree = split_tree(np.array([math.ceil(q / unit) for q in quota], dtype=np.int64), shards, seed) if sums else np.zeros((0, 0), np.int64)
-    ends = np.cumsum(tree, axis=0)
-    info = [(r["source"], r["source_size"], target[r["source"]], q, [int(x) for x in ends[:, i]]) for i, (r, q) in enumerate(zip(sums, quota, strict=True))]
-    sources = spark.createDataFrame(info, "source string, source_size long, target double, quota long, shard_ends array<long>")
+    targets = with_targets(ranked_sources(sized), weights, cap)
+    quota = F.least(F.floor(F.col("target") + 0.5), F.floor(cap * F.col("source_size")))
+    quotas = targets.withColumn("quota", quota).withColumn("group", F.floor(F.col("rank") / GROUP_SOURCES))
+    rows, words = quotas.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("quota"), F.lit(0))).first()
+    unit = max(block_words, math.ceil(words / MOST_BLOCKS))
+    chunks = max(1, math.ceil(words / shards / CHUNK_WORDS))
+    blocked = quotas.withColumn("blocks", F.ceil(F.col("quota") / unit))
+    groups = sorted((r["group"], r["blocks"]) for r in blocked.groupBy("group").agg(F.sum("blocks").alias("blocks")).collect())
+    totals = split_tree(np.array([n for _, n in groups], dtype=np.int64), shards, seed) if groups else np.zeros((shards, 0), np.int64)
+    shares = spark.createDataFrame([(g, [int(x) for x in totals[:, i]]) for i, (g, _) in enumerate(groups)], "group long, totals array<long>")
+    dealt = blocked.join(shares, "group").groupBy("group").applyInArrow(_dealt(shards, seed), "source string, source_size long, target double, quota long, shard_ends array<long>")
+    sources = settle(dealt, "mix-quotas")
 
     cells = 1 << max(0, math.ceil(math.log2(max(1, rows)) / 2))
-    cast = {"source": F.col("source").cast("string")}
-    held = sized.withColumns(cast).withColumn("copy", F.row_number().over(one))
+    held = sized.withColumn("copy", F.row_number().over(one))
     held = held.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     passes = F.sequence(F.lit(0), F.when(F.col("source_size") > 0, F.greatest(F.lit(0), F.ceil(F.col("quota") / F.greatest(F.col("source_size"), F.lit(1))) - 1)).otherwise(0).cast("int"))
     each = held.withColumn("pass", F.explode(passes)).withColumn("h", F.xxhash64(F.lit(seed), "pass", "doc_id", "text_key", "copy")).withColumn("cell", F.pmod("h", F.lit(cells)))

@@ -158,3 +158,34 @@ def test_targets_match_sql(spark):
     con.execute(f"create view documents as select * from '{folder}/documents.parquet'")
     want = sorted(con.execute(queries.TARGETS_SQL).fetchall())
     assert sorted(map(tuple, queries.mix_targets(spark, folder).collect())) == want
+
+
+def test_many_sources_in_groups(spark, monkeypatch):
+    """Groups of sources split their own quotas: targets as before, shards even, and each source takes what it may."""
+    monkeypatch.setattr(mixing, "GROUP_SOURCES", 7)
+    rows = [(i, corpus.sentence(i, 20 + i % 60), None, None if i % 53 == 0 else f"s{i % 53:02d}", 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, corpus.SCHEMA)
+    plan = mixing.mix_plan(docs, shards=8, block_words=100).collect()
+    size, taken, target, shard = Counter(), Counter(), {}, Counter()
+    for r in plan:
+        size[r["source"]] = r["source_size"]
+        target[r["source"]] = r["target"]
+        taken[r["source"]] += r["taken"]
+        shard[r["shard"]] += r["taken"]
+    assert target == mixing.allocate(list(size.items()))
+    assert all(abs(taken[s] - target[s]) <= 1 for s in size)
+    del shard[None]
+    assert len(shard) == 8 and max(shard.values()) < 2 * min(shard.values())
+    assert sorted(map(str, plan)) == sorted(map(str, mixing.mix_plan(docs.repartition(3), shards=8, block_words=100).collect()))
+
+
+def test_three_hundred_thousand_sources(spark):
+    docs = spark.range(300_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of "), F.col("id").cast("string")).alias("text"), F.concat(F.lit("host"), F.col("id").cast("string")).alias("source"))
+    taken, target, sources = mixing.mix_plan(docs).agg(F.sum("taken"), F.sum(F.when(F.col("pass") == 0, F.col("target"))), F.countDistinct("source")).first()
+    assert sources == 300_000 and target == pytest.approx(1_200_000) and abs(taken - target) < 300_000
+
+
+def test_groups_keep_the_tree_of_the_sums():
+    totals = np.array([5, 9, 1, 15])
+    tree = mixing.split_tree(np.array([10, 20]), 4, 3, totals, 2)
+    assert (tree.sum(axis=1) == totals).all() and (tree.sum(axis=0) == [10, 20]).all()
