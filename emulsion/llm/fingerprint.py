@@ -1,6 +1,8 @@
 """Document fingerprints by order MinHash, with DataFrame functions only.
 
-The k-mers are runs of five words, numbered by occurrence. For each of 64 permutations the two smallest of a text's k-mers are
+The k-mers are runs of five words and, the more the shorter a text is, of four code points, numbered by occurrence. (A word that
+changes takes five runs of words with it, in a text of three words all; but texts that hardly differ in length take in
+nearly the same runs.) For each of 64 permutations the two smallest of a text's k-mers are
 taken, put in the order of the text, and hashed to one value. Likeness is the share of permutations whose values agree, so it
 falls both with the k-mers that differ and with those that changed order.
 
@@ -19,6 +21,8 @@ from .common import WORD, settle
 from .secret_scan import let
 
 K, BIN_BITS, PLACE_BITS = 5, 6, 28
+#: Runs of so many code points are k-mers of short texts too: all up to EVERY code points, none from NONE on.
+C, EVERY, NONE = 4, 150, 900
 PLACE = (1 << PLACE_BITS) - 1
 
 
@@ -36,18 +40,35 @@ def _runs(n: Column, new: callable) -> Column:
     return F.filter(F.sequence(F.lit(0), n - 1), new)
 
 
-def kmer_hashes(text: Column) -> Column:
+def word_runs(text: Column) -> Column:
     """A hash for each five words in a row; one for all words of a text that has fewer; none without words."""
 
     def of_words(h: Column) -> Column:
         n = F.size(h)
-        runs = F.transform(F.sequence(F.lit(0), n - K), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(K))))
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(n - K, F.lit(0))), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(K))))
         few = F.array(F.aggregate(h, F.lit(K).cast("long"), lambda a, x: F.xxhash64(a, x)))
         return F.when(n >= K, runs).when(n > 0, few).otherwise(F.array().cast("array<bigint>"))
 
     return let(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)), of_words)
 
 
+def character_runs(text: Column) -> Column:
+    """A hash for each four code points in a row, of those that the text's length lets in: all up to EVERY code points, from there
+    on a share that falls with the square of the length, none from NONE on. What a longer text lets in a shorter one does too."""
+    n = F.length(text)
+
+    def of_characters(h: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(n - C, F.lit(0))), lambda i: F.xxhash64(F.lit(C), *(F.get(h, i + j) for j in range(C))))
+        return F.filter(runs, lambda r: F.pmod(F.xxhash64(r, F.lit(C)), F.lit(1_000_000)) < F.lit(1e6 * EVERY * EVERY) / (n * n))
+
+    return F.when(n < NONE, let(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.xxhash64(c)), of_characters)).otherwise(F.array().cast("array<bigint>"))
+
+
+def kmer_hashes(text: Column) -> Column:
+    """The hashes of a text's k-mers: its runs of words, then those of characters; none without words."""
+    return let(word_runs(text), lambda w: F.when(F.size(w) > 0, F.concat(w, character_runs(text))).otherwise(w))
+
+
 def fingerprint(text: Column) -> Column:
     """Array of 64 ints, one for each permutation: its number in the top bits, then the hash of its tuple; none without words."""
 

@@ -93,3 +93,18 @@ def test_edge_rows(spark):
     assert fingerprint.fingerprints(corpus.empty(spark)).count() == 0
     one = fingerprint.fingerprints(spark.createDataFrame([(1, "abcd efgh")], "doc_id long, text string")).first()
     assert one["near_next"] == 1.0
+
+
+def test_short_texts_that_are_edited_are_still_alike(spark):
+    """From three words on, texts that keep three quarters are far more alike than the next ones, without a gap at any length."""
+    for n in (3, 4, 8, 12, 16, 20, 26, 40, 70, 120, 150):
+        docs = [(i, corpus.sentence(100 * n + i, n)) for i in range(60)]
+        near, far = fingerprint.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).select(F.avg("near_edited"), F.avg("near_next")).first()
+        assert near > 0.2 and near > far + 0.12, (n, near, far)
+
+
+def test_text_of_ten_megabytes(spark):
+    docs = [(1, "alpha beta gamma delta " * 450_000), (2, "x" * 2_000_000), (3, "alpha beta gamma delta " * 450_000)]
+    got = sorted(fingerprint.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect(), key=lambda r: r["doc_id"])
+    assert got[0]["fingerprint"] == got[2]["fingerprint"] != got[1]["fingerprint"] and len(got[0]["fingerprint"]) == 64 * 8
+    assert got[0]["edited_sha256"] == hashlib.sha256((docs[0][1][: -(len(docs[0][1]) // 4)] + docs[1][1]).encode()).hexdigest()
