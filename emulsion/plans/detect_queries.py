@@ -111,7 +111,7 @@ def training_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "inner_frames",
-    f"""WITH {views.CANDIDATES}, e AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY cand_pos) - 1 AS p, cand_pos * 31 % 60 + 10 AS s FROM cd QUALIFY p < 4),
+    f"""WITH {views.CANDIDATES}, e AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY cand_pos * 31 % 60 DESC, cand_pos) - 1 AS p, cand_pos * 31 % 60 + 10 AS s FROM cd QUALIFY p < 4),
 j AS (SELECT l.frame_id, l.p AS lp, r.p AS rp, t.p AS tp, d.p AS dp, l.x AS le, t.y AS tt, r.x + r.width - l.x + 1 AS w, d.y + d.height - t.y + 1 AS h, (l.s + r.s + t.s + d.s) / 4.0::DOUBLE AS s FROM e l JOIN e r USING (frame_id) JOIN e t USING (frame_id) JOIN e d USING (frame_id)),
 k AS (SELECT *, w * h / 307200.0::DOUBLE AS area, {UNIT('least(le, tt, 640 - le - w, 480 - tt - h) / 12.0::DOUBLE')} AS clear, {UNIT('1 - (abs((le + w / 2.0::DOUBLE) / 640 - 0.5) * 2 + abs((tt + h / 2.0::DOUBLE) / 480 - 0.5) * 2) / 1.35')} AS centre,
   [{', '.join('round(1 - ' + UNIT(f'abs(ln(greatest(w / h::DOUBLE, 0.05)) - ln({r!r}::DOUBLE)) / 0.42') + ', 12)' for _, r in detect.INNER_FORMATS)}] AS fits FROM j WHERE w >= 179 AND h >= 134),
@@ -120,11 +120,11 @@ SELECT frame_id, CAST(le AS INTEGER) AS x, CAST(tt AS INTEGER) AS y, CAST(w AS I
 FROM c WHERE c >= 0.68 QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY round(c, 9) DESC, lp, rp, tp, dp) = 1""",
 )
 def inner_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four edges a side, from the first four candidates of a frame."""
-    d = views.candidates(spark, sf_dir)
-    d = d.withColumn("pos", F.row_number().over(ordered.Window.partitionBy("frame_id").orderBy("cand_pos")) - 1).filter("pos < 4")
+    """Four edges a side: the strongest of a frame's candidates."""
+    d = views.candidates(spark, sf_dir).withColumn("strength", (F.col("cand_pos") * 31 % 60 + 10).cast("double"))
+    d = d.withColumn("pos", F.row_number().over(ordered.Window.partitionBy("frame_id").orderBy(F.desc("strength"), "cand_pos")) - 1).filter("pos < 4")
     sides = (("left", F.col("x")), ("right", F.col("x") + F.col("width")), ("top", F.col("y")), ("bottom", F.col("y") + F.col("height")))
-    e = d.select("frame_id", "pos", (F.col("cand_pos") * 31 % 60 + 10).cast("double").alias("strength"), F.inline(F.array(*(F.struct(F.lit(n).alias("side"), v.alias("at")) for n, v in sides))))
+    e = d.select("frame_id", "pos", "strength", F.inline(F.array(*(F.struct(F.lit(n).alias("side"), v.alias("at")) for n, v in sides))))
     out = detect.inner_frame(e, 640, 480, F.lit(0.1))
     return out.select("frame_id", *(F.col(n).cast("int").alias(n) for n in ("x", "y", "width", "height")), F.round("confidence", 6).alias("confidence"), "format", "level")
 

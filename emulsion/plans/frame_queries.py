@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color as c
-from ..operators import frames, ordered, relate
+from ..operators import frames, ordered, relate, texture, tiles
 from . import views
 from .order_queries import ANGLE
 from .pixel_queries import STANDARD, normal_log
@@ -37,18 +37,55 @@ v0 AS (SELECT ce.*, coalesce(r * 0.2126::DOUBLE + g * 0.7152::DOUBLE + b * 0.072
 
 @query("blurred_luma", _blur_sql(2.0))
 def blurred_luma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summed(frames.by_frame(luma_raster(spark, sf_dir), ["v"], "v double", lambda v: {"v": frames.gaussian(v, 2.0)}), "v")
+    return summed(texture.blurred(luma_raster(spark, sf_dir), 2.0), "v")
 
 
 @query("texture_map")
 def texture_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summed(frames.by_frame(luma_raster(spark, sf_dir), ["v"], "v double", lambda v: {"v": frames.texture(v)}), "v")
+    return summed(texture.texture_map(luma_raster(spark, sf_dir)).withColumnRenamed("texture", "v"), "v")
 
 
 @query("enhanced_detail")
 def enhanced_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = lambda v: {"v": frames.unsharp(frames.enhanced_texture(frames.eight_bit(v ** (1 / 2.2) * 255)))}
-    return summed(frames.by_frame(luma_raster(spark, sf_dir), ["v"], "v double", work), "v")
+    shown = F.floor(F.least(F.pow("v", 1 / 2.2) * 255 + 0.5, F.lit(255.0))).cast("double")
+    return summed(texture.detailed(luma_raster(spark, sf_dir).withColumn("v", shown)), "v")
+
+
+#: A tile's corner and mean of its cells, merged by the windows' weights; 15 cells a tile, each 8.
+TILED_SQL = f"""WITH {views.RASTER}, sz AS (SELECT frame_id, max(y) + 1 AS h, max(x) + 1 AS w FROM rs GROUP BY frame_id),
+lu AS (SELECT frame_id, y, x, h, w, r * 0.2126::DOUBLE + g * 0.7152::DOUBLE + b * 0.0722::DOUBLE AS v FROM rs JOIN sz USING (frame_id)),
+ys AS (SELECT frame_id, h, w, unnest(list_distinct(list_append(list_filter(range(0, greatest(h - 15, 0) + 1, 8), lambda s: s <= h - 15), greatest(h - 15, 0)))) AS ty FROM sz),
+ts AS (SELECT frame_id, h, w, ty, unnest(list_distinct(list_append(list_filter(range(0, greatest(w - 15, 0) + 1, 8), lambda s: s <= w - 15), greatest(w - 15, 0)))) AS tx FROM ys),
+hn AS (SELECT i, greatest(0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / 14), 0.08) AS k FROM range(15) t(i)),
+ce AS (SELECT frame_id, ty, tx, v, a.k * b.k AS k, y, x, (y - ty) * 1000 + x - tx AS at FROM lu JOIN ts USING (frame_id) JOIN hn a ON a.i = y - ty JOIN hn b ON b.i = x - tx WHERE y >= ty AND y < ty + 15 AND x >= tx AND x < tx + 15),
+tv AS (SELECT *, max(v) OVER (PARTITION BY frame_id, ty, tx) AS top FROM ce),
+mg AS (SELECT frame_id, y, x, sum(top * k) / sum(k) AS v FROM tv GROUP BY ALL)
+SELECT frame_id, round(avg(v), 6) AS v_avg, round(max(v), 6) AS v_max, count(*) AS n FROM mg GROUP BY frame_id"""
+
+
+@query("tiled_maximum", TILED_SQL)
+def tiled_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tile says its largest value for all of its cells; overlapping tiles are merged by their windows."""
+    seen = luma_raster(spark, sf_dir)
+    merged = tiles.blended(seen, ["v"], ["v"], lambda v: {"v": np.full_like(v, v.max())}, tile=15, overlap=7, least_stride=8)
+    return summed(merged.join(seen.select("frame_id", "y", "x"), ["frame_id", "y", "x"], "left_semi"), "v")
+
+
+def specks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frame_id, y, x, probability, texture, threshold of cells that may be dust: bright ones, and those of a colour of their own."""
+    r = views.raster(spark, sf_dir)
+    v = c.luma709(c.rgb())
+    own = F.abs(F.col("r") - F.col("b"))
+    d = r.select("frame_id", "y", "x", v.alias("probability"), (own * 4.0).alias("texture"), (0.55 + 0.2 * F.col("g")).alias("threshold"))
+    return d.filter(F.col("probability") >= F.col("threshold") - 0.05 * (F.col("x") % 3))
+
+
+@query("dust_components")
+def dust_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many components of each frame stay, and why others go; tiles of eight cells, so that most components cross a border."""
+    d = tiles.settled(specks(spark, sf_dir))
+    found = tiles.components(d, 8)
+    return tiles.mask_report(tiles.judged_components(d.join(found, ["frame_id", "y", "x"])))
 
 
 @query("warped_crop")

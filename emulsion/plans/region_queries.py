@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color as c
-from ..operators import regions, relate
+from ..operators import areas, regions, relate, tiles
 from . import views
 from .pixel_queries import LUMA601
 from .registry import query
@@ -125,3 +125,61 @@ def small_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda *v: F.element_at(F.array(*(F.lit(x) for x in v)), (i % len(v) + 1).cast("int"))
     d = views.table(spark, sf_dir, "events").select(i.alias("id"), pick("JPEG (*.jpg)", "PNG 8-bit", "PNG 16-bit", "TIFF 8-bit", "Tif", "webp").alias("f"), pick("uint8", "uint16", "int16", "int32", "float32").alias("k"), ((i % 200 - 100) / 1000.0).alias("o"))
     return d.select("id", regions.export_format(F.col("f")).alias("format"), regions.full_scale(F.col("k")).alias("full_scale"), F.round(regions.retargeted(F.col("o"), (0.009, 65), (-0.018, 40)), 9).alias("retargeted"))
+
+
+SMALL_RECTS = "rc AS (SELECT frame_id, cand_pos, x // 16 AS x0, y // 8 AS y0, 6 + width // 60 AS w, 5 + height // 40 AS h, angle FROM cd)"
+LUMA, CHROMA, OWN = "r * 0.2126::DOUBLE + g * 0.7152::DOUBLE + b * 0.0722::DOUBLE", "greatest(r, g, b) - least(r, g, b)", "abs(r - b) > 0.05::DOUBLE"
+
+
+def small_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates at the size of the made-up frames."""
+    d = views.candidates(spark, sf_dir)
+    return d.select("frame_id", "cand_pos", F.floor(F.col("x") / 16).alias("x0"), F.floor(F.col("y") / 8).alias("y0"), (6 + F.floor(F.col("width") / 60)).alias("width"), (5 + F.floor(F.col("height") / 40)).alias("height"), "angle")
+
+
+def _statistics_sql() -> str:
+    out = []
+    for p, test in (("in", "i AND x IS NOT NULL"), ("out", "o AND NOT i AND x IS NOT NULL")):
+        n = f"count(x) FILTER ({test})"
+        few = lambda e, other="0", n=n: f"round(CASE WHEN {n} >= 16 THEN {e} ELSE {other} END, 6)"
+        out += [f"{n} AS {p}_n", few(f"avg(v) FILTER ({test})") + f" AS {p}_mean", few(f"stddev_pop(v) FILTER ({test})") + f" AS {p}_std", few(f"stddev_pop(ch) FILTER ({test})") + f" AS {p}_chroma_std"]
+        out += [few(f"avg(CASE WHEN e THEN 1.0::DOUBLE ELSE 0 END) FILTER ({test})") + f" AS {p}_edges", few(f"avg(CASE WHEN v < 0.03 THEN 1.0::DOUBLE ELSE 0 END) FILTER ({test})", "1") + f" AS {p}_black", f"round({n} / any_value(fh * fw)::DOUBLE, 6) AS {p}_valid"]
+    return f"""WITH {views.RASTER}, {views.CANDIDATES}, {SMALL_RECTS}, sz AS (SELECT frame_id, max(y) + 1 AS fh, max(x) + 1 AS fw FROM rs GROUP BY frame_id),
+gr AS (SELECT frame_id, y, unnest(range(fw)) AS x FROM (SELECT frame_id, fw, unnest(range(fh)) AS y FROM sz)),
+lc AS (SELECT gr.frame_id, gr.y, rs.x, gr.x AS gx, {LUMA} AS v, {CHROMA} AS ch, {OWN} AS e FROM gr LEFT JOIN rs ON rs.frame_id = gr.frame_id AND rs.y = gr.y AND rs.x = gr.x),
+pd AS (SELECT *, greatest(2, least(w, h) * 0.075::DOUBLE) AS p FROM rc JOIN sz USING (frame_id)),
+j AS (SELECT frame_id, cand_pos, x, v, ch, e, fh, fw, gx >= x0 AND gx < x0 + w AND y >= y0 AND y < y0 + h AS i, gx >= x0 - p AND gx < x0 + w + p AND y >= y0 - p AND y < y0 + h + p AS o FROM pd JOIN lc USING (frame_id))
+SELECT frame_id, cand_pos, {', '.join(out)} FROM j GROUP BY frame_id, cand_pos"""
+
+
+@query("rectangle_statistics", _statistics_sql())
+def rectangle_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From summed-area tables: inside and around each candidate."""
+    d = areas.rectangle_statistics(views.raster(spark, sf_dir), small_rectangles(spark, sf_dir), c.luma709(c.rgb()), F.greatest("r", "g", "b") - F.least("r", "g", "b"), F.abs(F.col("r") - F.col("b")) > 0.05, 2.0)
+    return d.select(*(F.round(n, 6).alias(n) if kind == "double" else F.col(n) for n, kind in d.dtypes))
+
+
+def _support_sql() -> str:
+    corner = lambda sx, sy: (f"cx + ({sx}) * w / 2.0::DOUBLE * co - ({sy}) * h / 2.0::DOUBLE * si", f"cy + ({sx}) * w / 2.0::DOUBLE * si + ({sy}) * h / 2.0::DOUBLE * co")
+    at = [corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)]
+    sides = " UNION ALL ".join(f"SELECT frame_id, cand_pos, '{n}' AS side, {at[i][0]} AS ax, {at[i][1]} AS ay, {at[(i + 1) % 4][0]} AS bx, {at[(i + 1) % 4][1]} AS bt FROM tr" for i, n in enumerate(("top", "right", "bottom", "left")))
+    share = lambda s: f"coalesce(sum(CASE WHEN hit THEN 1 ELSE 0 END) FILTER (side = '{s}' AND inside) / nullif(count(*) FILTER (side = '{s}' AND inside), 0)::DOUBLE, 0)"
+    return f"""WITH {views.RASTER}, {views.CANDIDATES}, {SMALL_RECTS}, sz AS (SELECT frame_id, max(y) + 1 AS fh, max(x) + 1 AS fw FROM rs GROUP BY frame_id),
+tr AS (SELECT *, x0 + w / 2.0::DOUBLE AS cx, y0 + h / 2.0::DOUBLE AS cy, cos(angle * (pi() / 180)) AS co, sin(angle * (pi() / 180)) AS si FROM rc),
+sd AS ({sides}),
+st AS (SELECT *, greatest(8, CAST(floor(sqrt((bx - ax) * (bx - ax) + (bt - ay) * (bt - ay)) / 5) AS INTEGER)) AS n FROM sd),
+sp AS (SELECT *, k / (n - 1)::DOUBLE AS t FROM (SELECT *, unnest(range(n)) AS k FROM st)),
+pt AS (SELECT frame_id, cand_pos, side, CAST(round_even(ax * (1 - t) + bx * t, 0) AS INTEGER) AS x, CAST(round_even(ay * (1 - t) + bt * t, 0) AS INTEGER) AS y FROM sp),
+h AS (SELECT pt.*, pt.x >= 0 AND pt.x < fw AND pt.y >= 0 AND pt.y < fh AS inside, coalesce({OWN.replace('r -', 'rs.r -').replace('b)', 'rs.b)')}, false) AS hit FROM pt JOIN sz USING (frame_id) LEFT JOIN rs ON rs.frame_id = pt.frame_id AND rs.x = pt.x AND rs.y = pt.y),
+a AS (SELECT frame_id, cand_pos, {', '.join(f'{share(s)} AS {s}_' for s in ('top', 'right', 'bottom', 'left'))} FROM h GROUP BY frame_id, cand_pos)
+SELECT frame_id, cand_pos, {', '.join(f'round({s}_, 6) AS {s}' for s in ('top', 'right', 'bottom', 'left'))}, round((top_ + right_ + bottom_ + left_) / 4, 6) AS support FROM a"""
+
+
+@query("side_support", _support_sql())
+def side_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each side of a turned candidate lies on cells of a colour of their own."""
+    r = views.raster(spark, sf_dir)
+    edges = r.filter(F.abs(F.col("r") - F.col("b")) > 0.05)
+    rects = small_rectangles(spark, sf_dir).withColumnsRenamed({"x0": "x", "y0": "y"})
+    d = areas.side_support(edges, tiles.sizes(r), rects)
+    return d.select(*(F.round(n, 6).alias(n) if kind == "double" else F.col(n) for n, kind in d.dtypes))

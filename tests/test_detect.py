@@ -137,3 +137,36 @@ def test_documents_of_folders_with_only_exclusions(spark):
 def test_timings_of_nothing_and_of_parts_alone(spark):
     d = spark.createDataFrame([([],), ([("Saturation", 1.26)],), ([("RAW decode", 2.0), ("PNG write", 0.5)],)], "s array<struct<name:string,seconds:double>>")
     assert [r[0] for r in d.select(layout.timings_text(F.col("s"))).collect()] == ["", "Saturation 1.3s, total 0.0s", "RAW decode 2.0s, PNG write 0.5s, total 2.5s"]
+
+
+NAMES = "cx cy area angle_abs border format_score edge_support inside_range inside_std inside_luma outside_luma outside_std outside_black outside_valid".split()
+
+
+def plain_score(v, transition):
+    clip = lambda x: min(max(x, 0.0), 1.0)
+    content = clip(v["inside_range"] / 0.34) * 0.55 + clip(v["inside_std"] / 0.18) * 0.45
+    film = clip((v["outside_luma"] - 0.035) / 0.18) * 0.32 + clip(1 - v["outside_std"] / 0.2) * 0.23 + v["outside_valid"] * 0.15 + clip(1 - 1.2 * v["outside_black"]) * 0.1 + v["edge_support"] * 0.2
+    step = clip((v["outside_luma"] - v["inside_luma"] + 0.015) / 0.24) * 0.58 + clip(v["edge_support"] / 0.32) * 0.22 + content * 0.2
+    holder = clip(1.45 * v["outside_black"]) * 0.24 + v["edge_support"] * 0.26 + content * 0.25 + v["border"] * 0.1 + v["format_score"] * 0.15
+    away = 2 * abs(v["cx"] - 0.5) + 2 * abs(v["cy"] - 0.5)
+    shape = v["format_score"] * 0.36 + clip(1 - abs(v["area"] - 0.66) / 0.46) * 0.24 + v["border"] * 0.12 + clip(1 - away / 1.35) * 0.18 + clip(1 - v["angle_abs"] / 0.95) * 0.1
+    around = max(0.62 * film + 0.38 * step, 0.82 * holder) if transition else max(film, holder)
+    against = 0.18 * clip((v["area"] - 0.84) / 0.12) * clip((0.1 - v["border"]) / 0.1) + 0.12 * clip((0.2 - content) / 0.2)
+    return 0.46 * around + 0.34 * shape + 0.2 * content - against
+
+
+def test_prefilter_scores_by_cases(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    middle = dict.fromkeys(NAMES, 0.5) | {"outside_black": 0.1, "angle_abs": 0.1, "area": 0.66, "inside_luma": 0.2}
+    cases = [middle] + [middle | {n: x} for n in NAMES for x in (0.0, 0.04, 0.12, 0.3, 0.85, 0.9, 1.0)]
+    cases += [dict(zip(NAMES, rng.random(len(NAMES)).tolist(), strict=True)) for _ in range(300)]
+    df = spark.createDataFrame([(i, *(c[n] for n in NAMES)) for i, c in enumerate(cases)], "cand_pos long, " + ", ".join(f"{n} double" for n in NAMES))
+    for transition in (True, False):
+        got = {r["cand_pos"]: r["score"] for r in detect.prefilter_score(df, transition).collect()}
+        assert all(abs(got[i] - plain_score(c, transition)) < 1e-12 for i, c in enumerate(cases))
+    score = lambda **v: plain_score(middle | v, True)
+    assert score(area=0.99, border=0.0) < score(area=0.66) and score(inside_range=0.0, inside_std=0.0) < score() and score(outside_luma=0.1) < score()
+    nulls = spark.createDataFrame([(1, *[None] * len(NAMES))], df.schema)
+    assert detect.prefilter_score(nulls).first()["score"] is None
