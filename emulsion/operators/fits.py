@@ -66,7 +66,7 @@ def camera_matrix(df: DataFrame, source: list[str], target: list[str]) -> np.nda
 
 
 def density_matrix(df: DataFrame, source: list[str], target: list[str], prior: np.ndarray | None = None, ridge: float = 2500.0, rounds: int = 5) -> np.ndarray:
-    """(3, 3) with rows of sum one, drawn to ``prior``; stops when the kept rows no longer change in number and error."""
+    """(3, 3) with rows of sum one, drawn to ``prior``; stops when the same rows are kept as in the round before."""
     prior = np.eye(3) if prior is None else prior
     x = [F.col(c) for c in source]
     kept, m, last = df, prior.copy(), None
@@ -82,9 +82,11 @@ def density_matrix(df: DataFrame, source: list[str], target: list[str], prior: n
         t = [F.col(c) for c in target]
         error = norm(*((a - luma(p)) - (b - luma(t)) for a, b in zip(p, t, strict=True)))
         limit = df.agg(quantile(error, 0.88)).first()[0]
-        if limit == last:
+        kept = df.filter(error <= limit)
+        now = tuple(kept.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*source, *target).cast("decimal(38,0)"))).first())
+        if now == last:
             break
-        last, kept = limit, df.filter(error <= limit)
+        last = now
     total = m.sum(axis=1, keepdims=True)
     return m / np.where(np.abs(total) < 1e-6, 1.0, total)
 

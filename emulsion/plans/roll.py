@@ -44,6 +44,11 @@ def named(p: RGB, prefix: str) -> dict[str, Column]:
     return {f"{prefix}_{n}": c for n, c in zip("rgb", p, strict=True)}
 
 
+def dealt(pixels: DataFrame) -> DataFrame:
+    """Pixels by frame. All measures of a frame, and alternatives of it, then begin with the same exchange, which Spark makes once."""
+    return pixels.select("frame_id", "r", "g", "b").repartition("frame_id")
+
+
 def cast_after(pixels: DataFrame, work: DataFrame, alternatives: dict[str, RGB]) -> DataFrame:
     """frame_id and, for each alternative, after_<name>: the cast left when the gains are applied on whole steps of FULL."""
     rows = F.inline(F.array(*(F.struct(F.lit(n).alias("alt"), *(c.alias(f"k{x}") for x, c in zip("rgb", p, strict=True))) for n, p in alternatives.items())))
@@ -59,6 +64,7 @@ def frame_work(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     Pixels without coordinates have no regions, so the neutral percentile candidate is the only one; it stands for the ensemble.
     """
     key = ["frame_id"]
+    pixels = dealt(pixels)
     base = on(on(stats.exposure_metrics(pixels, key), stats.cast_metrics(pixels, key), key), stats.neutral_gains(pixels, key), key).join(frames, "frame_id")
     has = F.col("gain_r").isNotNull()
     base = base.withColumns(named(logs(gains_of("gain")), "log")).withColumn("size", norm(*gains_of("log"))).withColumn("most", F.when(F.col("magnitude") >= 0.04, 0.90).otherwise(0.62))
@@ -184,6 +190,7 @@ def membership(before: Column, after: Column, frame: RGB, roll: RGB) -> Column:
 def frame_plans(pixels: DataFrame, work: DataFrame, rolls: DataFrame) -> DataFrame:
     """A row a frame: what to do, with which gains, and the cast that leaves."""
     key = ["frame_id"]
+    pixels = dealt(pixels)
     roll = rolls.select("roll_id", *(f"roll_{n}" for n in "rgb"), "strength", "target_p50", "target_p95", (F.size("kept_frames") >= 2).alias("_two"))
     w = settled(work.join(roll, "roll_id"))
     w = settled(on(w, cast_after(pixels, w, {"roll": gains_of("roll")}), key))
