@@ -178,3 +178,24 @@ def dominant(df: DataFrame, within: list[str], key: str) -> DataFrame:
     """The most frequent key of each group, the first by name on ties; and the counts as a map."""
     n = df.groupBy(*within, key).agg(F.count(F.lit(1)).alias("n"))
     return n.groupBy(*within).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(key).alias("k"))).getField("k").alias("dominant"), F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), "n"))).alias("counts"))
+
+
+# Fixed values of boundary lines: the percentile of the scores that a line must pass, by how much, and at least; how far apart lines
+# must be, in shares of the profile and in places.
+LINE_PERCENTILE, LINE_ABOVE, LINE_LEAST, LINE_APART, LINE_PLACES = 0.82, 1.15, 0.030, 0.035, 4
+
+
+def separated_lines(scored: DataFrame, keys: list[str], place: str, score: str, length: str, most: int = 6) -> DataFrame:
+    """keys, ``place``, ``score`` of the best places of each profile: by falling score, none under the profile's floor and none
+    near one that was taken before; of equal scores the first place. ``length`` is the whole profile's.
+
+    What passes the floor is a fifth of a profile at most; the choice folds over it as one sorted array.
+    """
+    by = Window.partitionBy(*keys)
+    floor = F.greatest(F.percentile(score, F.lit(LINE_PERCENTILE)).over(by) * LINE_ABOVE, F.lit(LINE_LEAST))
+    apart = F.greatest(F.lit(LINE_PLACES), F.bround(F.col(length) * LINE_APART).cast("int"))
+    above = scored.withColumn("_floor", floor).filter(F.col(score) >= F.col("_floor"))
+    rows = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(place).cast("long").alias("p"))))
+    taken = lambda out, x: F.when((F.size(out) >= most) | F.exists(out, lambda k: F.abs(k["p"] - x["p"]) < F.col("_apart")), out).otherwise(F.array_append(out, x))
+    kept = above.groupBy(*keys).agg(rows.alias("_rows"), F.first(apart).alias("_apart")).withColumn("_kept", F.aggregate("_rows", F.array().cast("array<struct<s:double,p:bigint>>"), taken))
+    return kept.select(*keys, F.explode("_kept").alias("x")).select(*keys, F.col("x.p").alias(place), (-F.col("x.s")).alias(score))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detect, ordered, regions, relate
+from ..operators import detect, grids, ordered, regions, relate
 from . import views
 from .registry import query
 from .region_queries import _features_sql
@@ -139,3 +139,69 @@ def distinct_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each frame's candidates, the angles that are two degrees or more apart."""
     d = views.candidates(spark, sf_dir).withColumn("angle", relate.normal_angle(F.col("angle")))
     return detect.epsilon_distinct(d, ["frame_id"], "angle", "cand_pos", 2.0)
+
+
+GRID_W, GRID_H = 640, 480
+NORMAL = lambda a: f"(CASE WHEN ({a} + 45) - 90 * floor(({a} + 45) / 90) = 0 THEN 45 ELSE ({a} + 45) - 90 * floor(({a} + 45) / 90) - 45 END)"
+INSIDE = lambda x, w, m: f"greatest(0, least({x}, {m} - {w}))"
+
+GRID_SQL = f"""WITH RECURSIVE {views.CANDIDATES}, gs AS (SELECT frame_id, x, y, width, height, angle FROM cd QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY cand_pos) = 1),
+g0 AS (SELECT frame_id, least(width, {GRID_W}) AS w0, least(height, {GRID_H}) AS h0, x, y, angle FROM gs),
+gb AS (SELECT frame_id, {INSIDE('x', 'w0', GRID_W)} AS x0, {INSIDE('y', 'h0', GRID_H)} AS y0, w0, h0, [{NORMAL('angle')}, 0.0::DOUBLE, {NORMAL('(angle - 1.2::DOUBLE)')}, {NORMAL('(angle + 1.2::DOUBLE)')}] AS ts FROM g0),
+tk AS (SELECT frame_id, ts, 1 AS i, []::DOUBLE[] AS kept FROM gb UNION ALL SELECT frame_id, ts, i + 1, CASE WHEN len(list_filter(kept, lambda k: abs(k - ts[i]) < 0.35)) > 0 THEN kept ELSE list_append(kept, ts[i]) END FROM tk WHERE i <= 4),
+an AS (SELECT frame_id, unnest(kept) AS angle, unnest(range(len(kept))) AS k FROM tk WHERE i > 4),
+sh AS (SELECT i, a, b FROM (VALUES {', '.join(f'({i}, {a}, {b})' for i, (a, b) in enumerate(grids.SHIFTS))}) t(i, a, b)), sl AS (SELECT j, s FROM (VALUES {', '.join(f'({j}, {x}::DOUBLE)' for j, x in enumerate(grids.SCALES))}) t(j, s)),
+rw AS (SELECT gb.*, i, j, a, b, least(greatest(12, CAST(round_even(w0 * s, 0) AS INTEGER)), {GRID_W}) AS w, least(greatest(12, CAST(round_even(h0 * s, 0) AS INTEGER)), {GRID_H}) AS h, greatest(12, CAST(round_even(w0 * s, 0) AS INTEGER)) AS uw, greatest(12, CAST(round_even(h0 * s, 0) AS INTEGER)) AS uh,
+  greatest(1, CAST(round_even(w0 * 0.018::DOUBLE, 0) AS INTEGER)) AS dx, greatest(1, CAST(round_even(h0 * 0.018::DOUBLE, 0) AS INTEGER)) AS dy FROM gb CROSS JOIN sh CROSS JOIN sl),
+rp AS (SELECT frame_id, i, j, w, h, {INSIDE("CAST(round_even(x0 + w0 / 2.0::DOUBLE + a * dx - uw * 0.5::DOUBLE, 0) AS INTEGER)", 'w', GRID_W)} AS x, {INSIDE("CAST(round_even(y0 + h0 / 2.0::DOUBLE + b * dy - uh * 0.5::DOUBLE, 0) AS INTEGER)", 'h', GRID_H)} AS y FROM rw),
+ra AS (SELECT rp.*, angle, k FROM rp JOIN an USING (frame_id) QUALIFY row_number() OVER (PARTITION BY frame_id, x, y, w, h, round_even(angle * 10, 0) ORDER BY i, j, k) = 1)
+SELECT frame_id, x, y, w AS width, h AS height, round(angle, 6) AS angle, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY i, j, k) AS INTEGER) AS place FROM ra QUALIFY place <= 120"""
+
+
+@query("prior_grid", GRID_SQL)
+def prior_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles around the first candidate of each frame."""
+    guess = ordered.first_wins(views.candidates(spark, sf_dir), [], "cand_pos", ["frame_id"])
+    return grids.prior_grid(guess, GRID_W, GRID_H, 120).withColumn("angle", F.round("angle", 6))
+
+
+def _corners_sql() -> str:
+    sides = (("x", "y"), ("x + width", "y"), ("x", "y + height"), ("x + width", "y + height"))
+    corner = " UNION ALL ".join(f"SELECT frame_id, cand_pos * 4 + {i} AS pos, {x} AS x, {y} AS y, 0.3::DOUBLE + cand_pos * 31 % 60 / 100.0::DOUBLE AS score, cand_pos % 3 > 0 AS bright FROM cd" for i, (x, y) in enumerate(sides))
+    fits = lambda asp, rat: f"(1 - least(greatest(abs(ln(greatest({asp}, 0.05)) - ln({rat})) / 0.42::DOUBLE, 0), 1))"
+    prior = f"(1 - least(greatest((abs((x + width / 2.0::DOUBLE) / {GRID_W} - 0.5) * 2 + abs((y + height / 2.0::DOUBLE) / {GRID_H} - 0.5) * 2) / 1.45::DOUBLE, 0), 1))"
+    ratios = ", ".join(f"{r!r}::DOUBLE" for r in grids.RATIOS)
+    fit = lambda c: f"greatest(1, least({c}, %d))"
+    near = lambda c: f"CAST(round_even({c}, 0) AS INTEGER)"
+    return f"""WITH {views.CANDIDATES}, co AS ({corner}),
+qd AS (SELECT *, CASE WHEN y < 240 THEN 't' WHEN y > 240 THEN 'b' END || CASE WHEN x < 320 THEN 'l' WHEN x > 320 THEN 'r' END AS q FROM co),
+bc AS (SELECT * FROM qd WHERE q IS NOT NULL QUALIFY row_number() OVER (PARTITION BY frame_id, q ORDER BY bright DESC, score DESC, pos) <= 5),
+pr AS (SELECT a.frame_id, k.kind, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS bt, a.score + b.score AS cs FROM bc a JOIN bc b USING (frame_id) JOIN (VALUES ('falling', 'tl', 'br'), ('rising', 'tr', 'bl'), ('top', 'tl', 'tr'), ('bottom', 'bl', 'br'), ('left', 'tl', 'bl'), ('right', 'tr', 'br')) k(kind, qa, qb) ON a.q = qa AND b.q = qb),
+ob AS (SELECT frame_id, kind, cs, least(ax, bx) AS l, least(ay, bt) AS t, abs(ax - bx) AS bw, abs(ay - bt) AS bh FROM pr WHERE kind IN ('falling', 'rising')),
+of_ AS (SELECT *, unnest([{ratios}]) AS ratio FROM ob WHERE bw >= {GRID_W} * 0.24 AND bh >= {GRID_H} * 0.24 AND bw * bh / {GRID_W * GRID_H}::DOUBLE BETWEEN 0.10 AND 0.94),
+og AS (SELECT *, CASE WHEN bw / bh::DOUBLE >= ratio THEN bh * ratio ELSE bw END AS fw, CASE WHEN bw / bh::DOUBLE >= ratio THEN bh ELSE bw / ratio END AS fh FROM of_),
+oh AS (SELECT *, {fit(f"greatest(12, {near('fw')})") % GRID_W} AS width, {fit(f"greatest(12, {near('fh')})") % GRID_H} AS height, {near('(l * 2 + bw) * 0.5::DOUBLE - fw * 0.5::DOUBLE')} AS ux, {near('(t * 2 + bh) * 0.5::DOUBLE - fh * 0.5::DOUBLE')} AS uy FROM og),
+oi AS (SELECT *, {INSIDE('ux', 'width', GRID_W)} AS x, {INSIDE('uy', 'height', GRID_H)} AS y FROM oh),
+os AS (SELECT frame_id, kind, x, y, width, height, cs * 0.38::DOUBLE + {fits('bw / bh::DOUBLE', 'ratio')} * 0.25::DOUBLE + width * height / (bw * bh)::DOUBLE * 0.22::DOUBLE + {prior} * 0.15::DOUBLE AS score FROM oi),
+ea AS (SELECT frame_id, kind, cs, kind IN ('top', 'bottom') AS f, CASE WHEN f THEN ax ELSE ay END AS a1, CASE WHEN f THEN bx ELSE bt END AS b1, CASE WHEN f THEN ay ELSE ax END AS a2, CASE WHEN f THEN bt ELSE bx END AS b2 FROM pr WHERE kind NOT IN ('falling', 'rising')),
+eb AS (SELECT *, least(a1, b1) AS st, abs(a1 - b1) AS span, {near('(a2 + b2) * 0.5::DOUBLE')} AS at_, unnest([{ratios}]) AS ratio FROM ea WHERE abs(a1 - b1) >= CASE WHEN f THEN {GRID_W} * 0.24 ELSE {GRID_H} * 0.24 END),
+ec AS (SELECT *, CASE WHEN f THEN span / ratio ELSE span * ratio END AS deep FROM eb),
+ed AS (SELECT *, CASE WHEN kind IN ('top', 'left') THEN at_ ELSE at_ - deep END AS fr FROM ec),
+ee AS (SELECT *, CASE WHEN f THEN st ELSE {near('fr')} END AS ux, CASE WHEN f THEN {near('fr')} ELSE st END AS uy, {fit(f"CASE WHEN f THEN span ELSE {near('deep')} END") % GRID_W} AS width, {fit(f"CASE WHEN f THEN {near('deep')} ELSE span END") % GRID_H} AS height FROM ed WHERE fr <= CASE WHEN f THEN 240 ELSE 320 END AND fr + deep >= CASE WHEN f THEN 240 ELSE 320 END),
+ef AS (SELECT *, {INSIDE('ux', 'width', GRID_W)} AS x, {INSIDE('uy', 'height', GRID_H)} AS y FROM ee),
+es AS (SELECT frame_id, kind, x, y, width, height, cs * 0.42::DOUBLE + {fits('width / greatest(height, 1)::DOUBLE', 'ratio')} * 0.25::DOUBLE + {prior} * 0.18::DOUBLE + least(1, greatest(0, least(x, y, {GRID_W} - x - width, {GRID_H} - y - height) / {max(grids.CLEAR_LEAST, GRID_H * grids.CLEAR_SHARE)}::DOUBLE)) * 0.15::DOUBLE AS score FROM ef),
+al AS (SELECT frame_id, kind, x, y, width, height, round(score, 6) AS score FROM os UNION ALL SELECT frame_id, kind, x, y, width, height, round(score, 6) FROM es)
+SELECT frame_id, kind, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height, max(score) AS score, count(*) AS n FROM al GROUP BY frame_id, kind, x, y, width, height"""
+
+
+@query("corner_rectangles", _corners_sql())
+def corner_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rectangles between the best corners of each frame; the candidates' own corners stand for found ones."""
+    d = views.candidates(spark, sf_dir)
+    sides = (("x", "y"), ("x + width", "y"), ("x", "y + height"), ("x + width", "y + height"))
+    points = F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.expr(x).alias("px"), F.expr(y).alias("py")) for i, (x, y) in enumerate(sides))))
+    c = d.select("frame_id", "cand_pos", points).select(
+        "frame_id", (F.col("cand_pos") * 4 + F.col("i")).alias("pos"), F.col("px").alias("x"), F.col("py").alias("y"), (0.3 + F.col("cand_pos") * 31 % 60 / 100.0).alias("score"), (F.col("cand_pos") % 3 > 0).alias("bright")
+    )
+    r = grids.corner_rectangles(c, GRID_W, GRID_H)
+    return r.withColumn("score", F.round("score", 6)).groupBy("frame_id", "kind", "x", "y", "width", "height").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import color as c
 from ..operators import ordered, relate
-from . import views
+from . import roll, views
 from .registry import query
 
 LOGS = views.GAINS + ", gu AS (SELECT key, pos, w, " + ", ".join(f"least(greatest({n}, 0.05), 20) AS {n}" for n in "rgb") + " FROM gn), gl AS (SELECT key, pos, w, " + ", ".join(f"ln({n} / (r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE)) AS {n}" for n in "rgb") + " FROM gu)"
@@ -48,6 +48,21 @@ def gain_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relate.gain_cluster(log_gains(spark, sf_dir), ["key"], "pos", ["r", "g", "b"], "w").select("key", "pos", "in_cluster")
 
 
+ACTIONS = ("roll", "roll+frame", "frame-only", "none", "review")
+
+
+@query(
+    "plan_gains",
+    f"WITH {LOGS}, k AS (SELECT *, CASE pos % 5 WHEN 0 THEN 0.3::DOUBLE WHEN 1 THEN 0.45 WHEN 2 THEN 0.45 ELSE 0 END AS k FROM gl), x AS (SELECT key, pos, k, " + ", ".join(f"exp({n} * k) AS {n}" for n in "rgb") + " FROM k) SELECT key, pos, ['roll', 'roll+frame', 'frame-only', 'none', 'review'][pos % 5 + 1] AS action, " + ", ".join(f"round({n} / (r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE), 6) AS {n}" for n in "rgb") + " FROM x",
+)
+def plan_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gains that a roll's plan applies, for each of its five actions, the roll at three tenths of its strength."""
+    g = views.gains(spark, sf_dir)
+    action = F.element_at(F.array(*(F.lit(a) for a in ACTIONS)), (F.col("pos") % 5 + 1).cast("int"))
+    plans = g.select("key", "pos", action.alias("color_action"), *(F.col(n).alias(f"safe_{n}") for n in "rgb"))
+    return plans.select("key", "pos", F.col("color_action").alias("action"), *(F.round(x, 6).alias(n) for n, x in zip("rgb", roll.combined_gains(0.3), strict=True)))
+
+
 @query("combined_gains", f"WITH {LOGS}, x AS (SELECT key, pos, " + ", ".join(f"exp({n} + least(greatest(0.1 * {n}, -0.14), 0.14) * 0.45) AS {n}" for n in "rgb") + " FROM gl) SELECT key, pos, " + ", ".join(f"round({n} / (r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE), 6) AS {n}" for n in "rgb") + " FROM x")
 def combined_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A base with a limited residual on top, here a tenth of the base itself."""
@@ -190,11 +205,15 @@ def rectangle_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides[0].join(sides[1].drop("cand_pos"), "frame_id").select("cand_pos", F.round(relate.axis_iou("a", "b"), 6).alias("iou"))
 
 
-#: The six places of either half of a profile that part it best, as lines of an image 640 wide.
+#: The places of either half of a profile that part it best, as lines of an image 640 wide: six at most, above the floor and apart.
 LINES_SQL = f"""{views.PROFILE}, ew AS (SELECT key, i, n, avg(v) OVER a AS a, avg(v) OVER b AS b, count(v) OVER a AS na, count(v) OVER b AS nb FROM (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM pf)
   WINDOW b AS (PARTITION BY key ORDER BY i ROWS BETWEEN 6 PRECEDING AND 3 PRECEDING), a AS (PARTITION BY key ORDER BY i ROWS BETWEEN 2 FOLLOWING AND 5 FOLLOWING)),
-es AS (SELECT key, i, n, i * 2 >= n AS far, CAST(i * 640 // n AS BIGINT) AS place, round(greatest(0, b - a) * 0.78 + abs(a - b) * 0.22, 6) AS score FROM ew WHERE na = 4 AND nb = 4),
-li AS (SELECT key, far, place, score FROM es QUALIFY row_number() OVER (PARTITION BY key, far ORDER BY score DESC, i) <= 6)"""
+es AS (SELECT key, i, n, i * 2 >= n AS far, round(greatest(0, b - a) * 0.78 + abs(a - b) * 0.22, 6) AS score FROM ew WHERE na = 4 AND nb = 4),
+fl AS (SELECT key, far, greatest(quantile_cont(score, 0.82) * 1.15::DOUBLE, 0.030) AS floor FROM es GROUP BY key, far),
+ab AS (SELECT key, far, any_value(n) AS n, greatest(4, CAST(round_even(any_value(n) * 0.035::DOUBLE, 0) AS INTEGER)) AS apart, list(i ORDER BY score DESC, i) AS ps, list(score ORDER BY score DESC, i) AS ss FROM es JOIN fl USING (key, far) WHERE score >= floor GROUP BY key, far),
+gr AS (SELECT key, far, n, apart, ps, ss, 1 AS k, []::BIGINT[] AS kept FROM ab UNION ALL
+  SELECT key, far, n, apart, ps, ss, k + 1, CASE WHEN len(kept) >= 6 OR len(list_filter(kept, lambda q: abs(ps[q] - ps[k]) < apart)) > 0 THEN kept ELSE list_append(kept, k) END FROM gr WHERE k <= len(ps)),
+li AS (SELECT key, far, CAST(ps[q] * 640 // n AS BIGINT) AS place, ss[q] AS score FROM (SELECT *, unnest(kept) AS q FROM gr WHERE k > len(ps)))"""
 
 
 def lines(spark: SparkSession, sf_dir: str, far: bool) -> DataFrame:
@@ -202,7 +221,7 @@ def lines(spark: SparkSession, sf_dir: str, far: bool) -> DataFrame:
     score = F.round(ordered.block_contrast(["key"], "i", "v", 2), 6)
     n = F.count(F.lit(1)).over(Window.partitionBy("key"))
     p = p.withColumns({"score": score, "n": n}).filter("score is not null").withColumn("far", F.col("i") * 2 >= F.col("n"))
-    best = ordered.top_k(p, ["key", "far"], F.col("score"), 6, "i")
+    best = ordered.separated_lines(p, ["key", "far", "n"], "i", "score", "n")
     return best.filter(F.col("far") == far).select("key", F.floor(F.col("i") * 640 / F.col("n")).alias("place"), "score")
 
 
@@ -215,7 +234,7 @@ PAIRS_SQL = f"""{LINES_SQL}, j AS (SELECT a.key, a.place AS a, b.place AS b, (a.
 lp AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, a, b) <= 14)"""
 
 
-@query("boundary_pairs", f"WITH {PAIRS_SQL} SELECT key, a, b, round(score, 6) AS score FROM lp")
+@query("boundary_pairs", f"WITH RECURSIVE {PAIRS_SQL} SELECT key, a, b, round(score, 6) AS score FROM lp")
 def boundary_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs_of_lines(spark, sf_dir).withColumn("score", F.round("score", 6))
 
@@ -225,7 +244,7 @@ RATIOS = (1.5, 2 / 3, 4 / 3, 0.75, 1.0)
 
 @query(
     "boundary_boxes",
-    f"""WITH {PAIRS_SQL}, g AS (SELECT p.key, p.a AS l, p.b AS r, q.a AS t, q.b AS bt, p.score AS xs, q.score AS ys, (p.b - p.a)::DOUBLE AS bw, (q.b - q.a)::DOUBLE AS bh FROM lp p JOIN lp q USING (key)),
+    f"""WITH RECURSIVE {PAIRS_SQL}, g AS (SELECT p.key, p.a AS l, p.b AS r, q.a AS t, q.b AS bt, p.score AS xs, q.score AS ys, (p.b - p.a)::DOUBLE AS bw, (q.b - q.a)::DOUBLE AS bh FROM lp p JOIN lp q USING (key)),
 k AS (SELECT *, unnest([{', '.join(f'{x!r}::DOUBLE' for x in RATIOS)}]) AS ratio FROM g WHERE bw * bh / 409600.0::DOUBLE BETWEEN 0.10 AND 0.92),
 d AS (SELECT *, greatest(12, round_even(CASE WHEN bw / bh >= ratio THEN bh * ratio ELSE bw END, 0)) AS width, greatest(12, round_even(CASE WHEN bw / bh >= ratio THEN bh ELSE bw / ratio END, 0)) AS height FROM k),
 f AS (SELECT *, width * height / (bw * bh) AS fill FROM d),

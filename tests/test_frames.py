@@ -183,3 +183,96 @@ def test_rasters_round_trip(spark, tmp_path):
     assert rasters.cropped(back, 2, 1, 3, 2).count() == 6
     assert rasters.inset(back, ["frame_id"], 0.25).count() == 3 * 4 and rasters.inset(back, ["frame_id"], 0.0).count() == 40
     assert {(r["y"] * 8 + r["x"]) % 4 for r in rasters.strided(back, ["frame_id"], 10).collect()} == {0}
+
+
+def slow_blur(a, sigma, reach):
+    k = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    k /= k.sum()
+    h, w = a.shape
+    at = lambda i, n: abs(i) if i < n else 2 * (n - 1) - i
+    rows = np.array([[sum(k[o + reach] * a[at(y + o, h), x] for o in range(-reach, reach + 1)) for x in range(w)] for y in range(h)])
+    return np.array([[sum(k[o + reach] * rows[y, at(x + o, w)] for o in range(-reach, reach + 1)) for x in range(w)] for y in range(h)])
+
+
+def test_flat_field_gain_by_hand():
+    rng = np.random.default_rng(3)
+    y, x = np.mgrid[0:24, 0:30]
+    field = 0.9 - 0.02 * np.hypot(y - 12, x - 15) + rng.random((24, 30)) * 0.01
+    got = frames.flat_field_gain(field, 4)
+    safe = np.maximum(slow_blur(field, 2.0, 4), 1e-5)
+    patch = np.s_[24 // 2 - 2 : 24 // 2 + 2, 30 // 2 - 3 : 30 // 2 + 3]
+    gain = np.percentile(safe[patch], 70) / safe
+    want = np.clip(gain / np.median(gain[patch]), 1.0, 2.0)
+    assert np.allclose(got, want) and got.min() == 1.0 and got[0, 0] > 1.2
+    assert (frames.flat_field_gain(np.full((20, 20), 0.5)) == 1.0).all() and frames.flat_field_gain(field * 0.0 + 1e-9, 4).max() == 1.0
+    assert frames.flat_field_gain(np.where(x < 2, 1e-4, 0.9), 3).max() == 2.0
+
+
+def test_protected_blend_by_hand():
+    rng = np.random.default_rng(4)
+    before, after = [rng.random((30, 26)) for _ in range(3)], [rng.random((30, 26)) for _ in range(3)]
+    mask = np.zeros((30, 26), bool)
+    mask[4:15, 6:18] = True
+    got = frames.protected_blend(before, after, mask, 0.8)
+    soft = np.minimum(np.maximum(mask, slow_blur(mask.astype(float), 1.2, 5)) * 0.8, 1.0)
+    for a, b, g in zip(after, before, got, strict=True):
+        assert np.allclose(g, a * (1 - soft) + b * soft)
+    assert np.allclose(got[0][mask], 0.2 * after[0][mask] + 0.8 * before[0][mask]) and np.allclose(got[0][25:, 24:], after[0][25:, 24:])
+    none = frames.protected_blend(before, after, np.zeros_like(mask), 0.8)
+    assert all(np.allclose(a, b) for a, b in zip(none, after, strict=True))
+
+
+def test_visual_midpoint_meets_its_target(spark):
+    """Levels by the percentiles of the print, and a middle at which the rendered brightness crosses the target."""
+    rng = np.random.default_rng(5)
+    slope, pivot, bias = 7.0, 0.36, 0.12
+    rows, pictures = [], {}
+    for k, (lo, hi) in enumerate(((0.1, 0.9), (0.3, 0.6), (0.02, 0.4), (0.5, 0.98))):
+        p = rng.uniform(lo, hi, (400, 3))
+        pictures[k] = p
+        rows += [(k, *map(float, v)) for v in p]
+    got = {r["frame_id"]: r for r in frames.visual_midpoint(spark.createDataFrame(rows, "frame_id long, r double, g double, b double"), slope, pivot, bias).collect()}
+
+    def brightness(p, black, mid, white):
+        v = (np.clip(1 - p, 0, 1) - black) / (white - black)
+        gamma = np.clip(np.log(0.5) / np.log(np.clip((mid - black) / (white - black), 0.01, 0.99)), 0.2, 8.0)
+        v = 1 - np.clip(np.maximum(v, 0) ** gamma, 0, 1)
+        t = np.clip((0.55 - v) / 0.55, 0, 1)
+        density = 4 / (1 + np.exp(-slope * (v - pivot + bias * t * t * (3 - 2 * t))))
+        y = 10**-density @ [0.2126, 0.7152, 0.0722]
+        a, b, c, d = np.percentile(y, [12, 50, 60, 88])
+        return 0.55 * b + 0.25 * c + 0.2 * y[(y >= a) & (y <= d)].mean()
+
+    for k, p in pictures.items():
+        y = np.clip(1 - p, 0, 1) @ [0.2126, 0.7152, 0.0722]
+        black, white = np.percentile(y, [0.25, 99.75])
+        black, white = black - 0.06 * (white - black), white + 0.085 * (white - black)
+        if white - black < 0.54:
+            black, white = (black + white) / 2 - 0.27, (black + white) / 2 + 0.27
+        black = min(max(black, 0.0), 0.96)
+        white = min(max(white, black + 0.04), 1.0)
+        b, m, w = (got[k][n] for n in ("black_point", "mid_point", "white_point"))
+        assert b == round(black * 100) and w == max(b + 4, round(white * 100))
+        grid = np.linspace(black + 0.04 * (white - black), black + 0.74 * (white - black), 4001)
+        shown = np.array([brightness(p, black, x, white) for x in grid[::40]])
+        crossed = grid[::40][min(int((shown > 0.28).sum()), len(shown) - 1)]  # brightness falls as the middle rises
+        assert (np.diff(shown) < 1e-9).all() and abs(m / 100 - crossed) < 0.02, (k, m, crossed)
+
+
+def test_roll_summary_by_hand(spark):
+    from collections import Counter
+    from statistics import median
+
+    from emulsion.plans import roll
+
+    rng = np.random.default_rng(6)
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    rows = [(i % 3, i, pick(["roll", "none", "review"]), pick(["none", "exposure brighten"]), pick(["normal", "extreme protected"]), round(float(rng.random()) * 0.1, 5), round(float(rng.random()) * 0.1, 5), bool(rng.random() < 0.4)) for i in range(41)]
+    df = spark.createDataFrame(rows, "roll_id long, frame_id long, color_action string, exposure_action string, exposure_class string, before_cast double, safe_after_cast double, used boolean")
+    got = {r["roll_id"]: r for r in roll.summary(df).collect()}
+    for k in range(3):
+        own = [r for r in rows if r[0] == k]
+        text = lambda i, own=own: ",".join(f"{a}={n}" for a, n in sorted(Counter(r[i] for r in own).items()))
+        assert (got[k]["actions"], got[k]["exposures"], got[k]["classes"]) == (text(2), text(3), text(4))
+        assert (got[k]["frames"], got[k]["used"], got[k]["worsened"]) == (len(own), sum(r[7] for r in own), sum(r[6] > r[5] + 0.003 for r in own))
+        assert got[k]["median_before"] == pytest.approx(round(median(r[5] for r in own), 5)) and got[k]["max_after"] == max(r[6] for r in own)
