@@ -11,15 +11,11 @@ from .stats import on
 
 
 def weighted_median(df: DataFrame, keys: list[str], values: list[str], weight: str) -> DataFrame:
-    """Of each value, the first in order at which half of the weight is reached; never a mean of two."""
-    out = df.groupBy(*keys).agg(F.sum(weight).alias("_total"))
-    for v in values:
-        upto = Window.partitionBy(*keys).orderBy(v).rangeBetween(Window.unboundedPreceding, 0)
-        reached = df.select(*keys, v, F.sum(weight).over(upto).alias("_upto"))
-        total = on(reached, df.groupBy(*keys).agg(F.sum(weight).alias("_all")), keys)
-        least = total.groupBy(*keys).agg(F.min(F.when(F.col("_upto") >= F.col("_all") * 0.5, F.col(v))).alias(v))
-        out = on(out, least, keys)
-    return out.drop("_total")
+    """Of each value, the first in order at which half of the weight is reached; never a mean of two. All running sums are windows
+    over one exchange by ``keys``."""
+    upto = {f"_upto_{v}": F.sum(weight).over(Window.partitionBy(*keys).orderBy(v).rangeBetween(Window.unboundedPreceding, 0)) for v in values}
+    d = df.select(*keys, *values, weight).withColumns({**upto, "_all": F.sum(weight).over(Window.partitionBy(*keys))})
+    return d.groupBy(*keys).agg(*(F.min(F.when(F.col(f"_upto_{v}") >= F.col("_all") * 0.5, F.col(v))).alias(v) for v in values))
 
 
 def moving_sum(df: DataFrame, keys: list[str], order: str, value: str, window: int) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.color import clip, finite, luma601, luma709, rgb, unit
+from ..functions.color import RGB, clip, finite, luma601, luma709, rgb, unit
 
 
 #: A value at a quantile of its own group counts as within it, however the last bit was rounded.
@@ -151,24 +151,31 @@ def luma_histogram(df: DataFrame, keys: list[str], bins: int = 256) -> DataFrame
     return every.join(counts, [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 
-def log_bounds(df: DataFrame, keys: list[str], percent: float = 0.02) -> DataFrame:
-    """floor_ and ceil_ of each channel's logarithm; ``percent`` is in percent, 0.02 being 2 in 10,000."""
+def bounded_log(c: Column) -> Column:
+    return F.log10(clip(finite(c, 1e-6, 1.0, 1e-6), 1e-6, 1.0))
+
+
+def bounds(log: Column, percent: float = 0.02) -> Column:
+    """An aggregate: the lower and the upper bound of a logarithm; ``percent`` is in percent, 0.02 being 2 in 10,000."""
     q = min(max(percent, 0.00001), 1.0) / 100.0
-    logs = {c: F.log10(clip(finite(F.col(c), 1e-6, 1.0, 1e-6), 1e-6, 1.0)) for c in "rgb"}
-    both = df.groupBy(*keys).agg(*(F.percentile(v, F.array(F.lit(q), F.lit(1.0 - q))).alias(n) for n, v in logs.items()))
-    return both.select(*keys, *(F.get(c, 0).alias(f"floor_{c}") for c in "rgb"), *(F.get(c, 1).alias(f"ceil_{c}") for c in "rgb"))
+    return F.percentile(log, F.array(F.lit(q), F.lit(1.0 - q)))
 
 
-def normalised_log(df: DataFrame, keys: list[str], bounds: DataFrame) -> DataFrame:
-    """r, g, b as logarithms between the bounds, clipped to [0, 1]; a span of nothing counts as 1e-6."""
-    j = on(df, bounds, keys)
+def between_bounds(log: Column, low: Column, high: Column) -> Column:
+    span = high - low
+    return unit((log - low) / F.when(F.abs(span) < 1e-6, 1e-6).otherwise(span))
 
-    def scaled(c: str) -> Column:
-        log = F.log10(clip(finite(F.col(c), 1e-6, 1.0, 1e-6), 1e-6, 1.0))
-        span = F.col(f"ceil_{c}") - F.col(f"floor_{c}")
-        return unit((log - F.col(f"floor_{c}")) / F.when(F.abs(span) < 1e-6, 1e-6).otherwise(span))
 
-    return j.withColumns({c: scaled(c) for c in "rgb"}).drop(*(f"{x}_{c}" for x in ("floor", "ceil") for c in "rgb"))
+def log_bounds(df: DataFrame, keys: list[str], percent: float = 0.02) -> DataFrame:
+    """floor_ and ceil_ of each channel's logarithm."""
+    both = df.groupBy(*keys).agg(*(bounds(bounded_log(F.col(c)), percent).alias(c) for c in "rgb"))
+    return both.select(*keys, *(F.get(c, 0).alias(f"floor_{c}") for c in "rgb"), *(F.get(c, 1).alias(f"ceil_{c}") for c in "rgb"))
+
+
+def normalised_log(df: DataFrame, keys: list[str], bounds_: DataFrame) -> DataFrame:
+    """r, g, b as logarithms between the bounds, clipped to [0, 1]; a span of nothing counts as 1e-6."""
+    j = on(df, bounds_, keys)
+    return j.withColumns({c: between_bounds(bounded_log(F.col(c)), F.col(f"floor_{c}"), F.col(f"ceil_{c}")) for c in "rgb"}).drop(*(f"{x}_{c}" for x in ("floor", "ceil") for c in "rgb"))
 
 
 def white_balance_sample(df: DataFrame, keys: list[str], luma: Column, band: tuple[float, float], inside: tuple[float, float], chroma_q: float | None) -> DataFrame:
@@ -191,13 +198,23 @@ def white_balance_sample(df: DataFrame, keys: list[str], luma: Column, band: tup
     return df.drop("_luma", "_qa", "_qb")
 
 
+def log_sample(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` of normalised logarithms plus sampled: what tells their balance."""
+    q = rgb().map(lambda c: 1.0 - unit(c))
+    return white_balance_sample(df, keys, luma709(q), (0.22, 0.78), (0.04, 0.96), 0.45)
+
+
+def offsets_of(m: RGB, strength: float) -> dict[str, Column]:
+    """offset_r, offset_g and offset_b of mean zero that bring medians together."""
+    mean = (m.r + m.g + m.b) / 3.0
+    return {f"offset_{n}": clip((mean - x) * min(max(strength, 0.0), 1.0), -0.04, 0.04) for n, x in zip("rgb", m, strict=True)}
+
+
 def auto_offsets(df: DataFrame, keys: list[str], strength: float = 0.65) -> DataFrame:
     """Offsets of mean zero that bring the medians of a log sample together: offset_r, offset_g, offset_b."""
-    q = rgb().map(lambda c: 1.0 - unit(c))
-    s = white_balance_sample(df, keys, luma709(q), (0.22, 0.78), (0.04, 0.96), 0.45)
+    s = log_sample(df, keys)
     m = medians(s, keys, F.col("sampled"), r=unit(F.col("r")), g=unit(F.col("g")), b=unit(F.col("b")))
-    mean = (F.col("r") + F.col("g") + F.col("b")) / 3.0
-    return m.select(*keys, *(clip((mean - F.col(c)) * min(max(strength, 0.0), 1.0), -0.04, 0.04).alias(f"offset_{c}") for c in "rgb"))
+    return m.select(*keys, *(c.alias(n) for n, c in offsets_of(rgb(), strength).items()))
 
 
 def grey_gains(df: DataFrame, keys: list[str], strength: float = 0.65) -> DataFrame:
@@ -209,11 +226,17 @@ def grey_gains(df: DataFrame, keys: list[str], strength: float = 0.65) -> DataFr
     return m.select(*keys, *((1.0 + (clip(grey / F.col(c), 0.5, 2.0) - 1.0) * strength).alias(f"gain_{c}") for c in "rgb"))
 
 
+def finite_quantile(c: Column, q: float) -> Column:
+    return quantile(F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c), q)
+
+
+def anchor_of(middle: Column) -> Column:
+    """The tone anchor from the 55th percentile of the luma: in [0.32, 0.62]; 0.46 without finite luma."""
+    return F.coalesce(clip(middle, 0.32, 0.62), F.lit(0.46))
+
+
 def tone_anchor(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The 55th percentile of the luma in [0.32, 0.62]; 0.46 without finite luma."""
-    luma = luma709(rgb())
-    v = F.when(~F.isnan(luma) & (F.abs(luma) != float("inf")), luma)
-    return df.groupBy(*keys).agg(F.coalesce(clip(quantile(v, 0.55), 0.32, 0.62), F.lit(0.46)).alias("anchor"))
+    return df.groupBy(*keys).agg(anchor_of(finite_quantile(luma709(rgb()), 0.55)).alias("anchor"))
 
 
 def display_stretch(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import color as c
 from ..operators import layout, relate, stats
 from ..sources import rasters
+from . import chain
 from . import pixel_queries as px
 from . import views
 from .file_queries import RAWS, SUFFIX
@@ -156,11 +157,7 @@ def _chain_sql(linear: bool = False) -> str:
 
 def rendered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, c.RGB]:
     """Log bounds, offsets, print, highlights and shadows, saturation: the pixels before they are encoded, and their channels."""
-    n = px.normal_log(spark, sf_dir)
-    j = stats.on(n, stats.auto_offsets(n, px.KEY), px.KEY)
-    printed = j.select("frame_id", *(c.print_response(c.on_table(F.col(x)), px.STANDARD, F.col(f"offset_{x}")).alias(x) for x in "rgb"))
-    toned = c.highlights_and_shadows(stats.on(printed, stats.tone_anchor(printed, px.KEY), px.KEY), 40, -55)
-    return px.gamut(toned.select("frame_id", "r", "g", "b"), c.saturated(c.rgb(), 60))
+    return chain.developed(views.pixels(spark, sf_dir), chain.Look(shadows=40, highlights=-55, saturation=60), px.gamut)
 
 
 @query("display_chain", _chain_sql())
@@ -175,3 +172,18 @@ def export_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the negative to what an export encodes, with the same tone anchor as on display."""
     done, p = rendered(spark, sf_dir)
     return done.groupBy("frame_id").agg(*(F.round(F.avg(F.greatest(x, F.lit(0.0))), 6).alias(f"{k}_avg") for k, x in zip("rgb", p, strict=True)))
+
+
+FULL = chain.Look(
+    levels=(3, 46, 97), soft_black=True, manual_offsets=(0.01, 0.0, -0.02), separation=0.45, roll=("gain_r", "gain_g", "gain_b"), shadows=25, highlights=-30, saturation=20,
+    balance=c.ColourBalance(overall=c.Balance(6, -4, 2), tones=(("shadows", c.Balance(0, 5, -5)),)), camera=((1.1, -0.05, -0.05), (-0.03, 1.06, -0.03), (-0.02, -0.08, 1.1)), camera_strength=0.6,
+)
+
+
+@query("full_chain")
+def full_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage on, with a roll's gains that differ by frame."""
+    turn = (F.col("frame_id") % 5 - 2) * 0.02
+    p = views.pixels(spark, sf_dir).withColumns({"gain_r": 1.0 + turn, "gain_g": F.lit(1.0), "gain_b": 1.0 - turn})
+    done, q = chain.developed(p, FULL, px.gamut)
+    return done.groupBy("frame_id").agg(*(F.sum(c.encoded(x)).alias(f"{k}_sum") for k, x in zip("rgb", q, strict=True)))
