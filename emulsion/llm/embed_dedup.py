@@ -204,6 +204,7 @@ def _plausible(most: int):
         names = ("key", "id", "cell", "own", "i", "j", "s1", "s2")
         batch = batch.combine_chunks().sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("id", "ascending")])
         key, ids, cell, own, i, j, s1, s2 = (batch.column(c).to_numpy() for c in names)
+        s1, s2 = s1.view(np.uint64), s2.view(np.uint64)  # of a signed number, numpy counts the bits of its size
         keep = np.zeros(len(ids), bool)
         for a, b in _pieces(batch):
             for at in range(a, b, 256):

@@ -96,7 +96,7 @@ def test_towards_the_target(spark):
     target = spark.createDataFrame([(corpus.sentence(5000 + i, 60),) for i in range(50)], "text string")
     drawn = resample.resample(spark.createDataFrame(like + other, "doc_id long, text string"), target).filter("rank is not null")
     assert drawn.count() == 200
-    assert drawn.filter("doc_id < 1000").count() > 150
+    assert drawn.filter("doc_id < 1000").count() > 125  # 50 by chance
 
 
 def test_very_long_text(spark):

@@ -74,7 +74,7 @@ def test_chains_ties_and_repeated_letters(spark):
     docs = spelled(spark, counts)
     got, want = ran(spelling.variants(docs)), plain_variants(counts)
     assert got == want
-    assert got["aaaaa"][1] == "aaaabb" and got["zebra"][0] == "zebras" and got["zebre"][0] == "zebra"
+    assert got["aaaaa"][1] == "aaaabb" and got["zebra"][0] == "zebras" and got["zebre"][0] == "zebrä"
 
 
 @pytest.mark.parametrize("size", [62, 63, 64, 65, 66, 67, 300])
