@@ -112,3 +112,12 @@ def test_documents(spark):
         assert all(a < b <= r["seconds"] + 0.1 for a, b in zip(table["start_s"].to_pylist(), table["end_s"].to_pylist(), strict=True))
     same = {r["feature"] for r in got if r["doc_id"] in (1, 2)}
     assert len(same) == 1 and audio.audio_features(corpus.empty(spark)).count() == 0
+
+
+def test_text_of_ten_megabytes(spark):
+    text = "loud and QUIET ~~~~ " * 500_000
+    row = audio.audio_features(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    raw = text.encode()
+    payload = raw + b" " * (-len(raw) % 192)
+    assert (row["n_bytes"], row["payload_bytes"], row["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+    assert row["tail_crc32"] == zlib.crc32(payload[-16:])

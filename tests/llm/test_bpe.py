@@ -54,3 +54,10 @@ def test_documents(spark, reference):
     for r in got:
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], r["ids"], r["decoded"]) in want[r["doc_id"]]
     assert bpe.encode_decode(corpus.empty(spark), tokenizer_path()).count() == 0
+
+
+def test_text_of_ten_megabytes(spark, reference):
+    text = "".join(f"word{i % 977} énd, " for i in range(700_000))
+    row = bpe.encode_decode(spark.createDataFrame([(1, text)], "doc_id long, text string"), tokenizer_path()).first()
+    want = reference.encode(text, add_special_tokens=False).ids
+    assert row["n_tokens"] == len(want) and row["ids_sha256"] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()

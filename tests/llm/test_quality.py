@@ -74,3 +74,9 @@ def test_edges(spark):
     assert got.filter("score is null or held_out is null").count() == 0
     assert {r["score"] for r in quality.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.quality_scores(corpus.empty(spark), labels).count() == 0
+
+
+def test_text_of_ten_megabytes(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(10**9, "a fair and plain sentence about the weather " * 230_000)], "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in quality.quality_scores(docs, table(spark, "/root/testdata/sf0.001", "labels")).collect()}
+    assert len(got) == docs.count() and 0 <= got[10**9]["score"] <= 1
