@@ -70,6 +70,7 @@ def rectangle_features(raster: DataFrame, rects: DataFrame) -> DataFrame:
     return j.groupBy("frame_id", "cand_pos").agg(*out)
 
 
+# The regions, and in ``region_tests`` the luma, place, channels and saturation that a pixel of each has.
 REGIONS = ("blue_sky", "white_cloud", "overcast_cloud")
 
 

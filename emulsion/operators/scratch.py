@@ -30,4 +30,14 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet at a new ``place`` and read back, so that later plans begin there."""
     path = place(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._settled_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

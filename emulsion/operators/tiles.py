@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import settled
+from .scratch import dropped, settled
 
 Work = Callable[..., dict[str, np.ndarray]]
 
@@ -123,14 +123,17 @@ def least_reachable(links: DataFrame) -> DataFrame:
     Each round a node takes the least root among its neighbours', then its root's root; rounds are tables of their own.
     """
     both = settled(links.select("frame_id", "a", "b").unionByName(links.select("frame_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    root = settled(both.select("frame_id", "a", F.col("a").alias("root")).distinct())
+    root = kept = settled(both.select("frame_id", "a", F.col("a").alias("root")).distinct())
     while True:
         near = both.join(root.select("frame_id", F.col("a").alias("b"), "root"), ["frame_id", "b"]).groupBy("frame_id", "a").agg(F.min("root").alias("near"))
         low = root.join(near, ["frame_id", "a"]).select("frame_id", "a", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         up = root.select("frame_id", F.col("a").alias("root"), F.col("root").alias("up"))
         new = settled(low.join(up, ["frame_id", "root"]).select("frame_id", "a", "old", F.least("root", "up").alias("root")))
-        root = new.drop("old")
-        if new.filter("root < old").isEmpty():
+        moved = not new.filter("root < old").isEmpty()
+        dropped(kept)
+        root, kept = new.drop("old"), new
+        if not moved:
+            dropped(both)
             return root.filter("root < a")
 
 

@@ -164,6 +164,10 @@ def cast_strength(kept: DataFrame, rolls: DataFrame) -> DataFrame:
     return g.select("roll_id", F.when(good & (strength >= 1.055), F.bround(strength, 3)).otherwise(1.0).alias("strength"))
 
 
+# All thresholds, weights, limits and texts in the functions from here to ``tone_residuals`` decide plans that must come
+# out as they do; they stand where they are used.
+
+
 def harms(before: Column, after: Column) -> Column:
     return ((before <= 0.010) & (after >= 0.018)) | ((before <= 0.012) & (after >= 0.022)) | ((before <= 0.024) & (after >= 0.035)) | (after > before + 0.055)
 
