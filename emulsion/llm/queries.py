@@ -121,5 +121,16 @@ FROM fits
 """
 
 
+#: All pairs; the hashing finds the same ones but for the stated chance.
+OP13_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x <> 0)) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9::DOUBLE),
+r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+l AS (SELECT a, count(*) AS n FROM p GROUP BY a), m AS (SELECT a, min(b) AS least_ FROM r GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least_, vec_id)) AS component_id, vec_id <= coalesce(least_, vec_id) AS kept FROM v LEFT JOIN l ON l.a = vec_id LEFT JOIN m ON m.a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_rules": OP4_SQL, "llm_mix_targets": TARGETS_SQL}
+    return {"op4_url_rules": OP4_SQL, "llm_mix_targets": TARGETS_SQL, "op13_embedding_dedup": OP13_SQL}

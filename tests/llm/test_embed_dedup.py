@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from emulsion.llm import embed_dedup, queries
@@ -127,3 +128,14 @@ def test_design_keeps_recall_at_every_size():
         k, tables = embed_dedup.design(n, 0.9)
         assert (1 - embed_dedup.shared_chance(math.sqrt(0.2)) ** k) ** tables <= embed_dedup.MISS
         assert n * embed_dedup.shared_chance(math.sqrt(2)) ** k <= embed_dedup.MATES
+
+
+def test_sql_gives_the_same(spark):
+    rng = np.random.default_rng(12)
+    vectors = family(rng, 30, 0.1) + family(rng, 20, 0.15) + rng.standard_normal((60, 48)).astype(np.float32).tolist()
+    rows = list(enumerate(vectors)) + [(200, None), (201, []), (202, [0.0] * 48), (203, [float("nan")] * 48), (204, [float("inf"), 1.0]), (205, vectors[0])]
+    duck = duckdb.connect()
+    duck.execute("create table embeddings (vec_id bigint, embedding float[])")
+    duck.executemany("insert into embeddings values (?, ?)", rows)
+    want = sorted(((r[0], r[1], r[2], r[3]) for r in duck.sql(queries.OP13_SQL).fetchall()), key=str)
+    assert ran(embed_dedup.vector_links(spark.createDataFrame(rows, SCHEMA))) == want
