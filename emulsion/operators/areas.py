@@ -82,7 +82,8 @@ def side_support(edges: DataFrame, frame_sizes: DataFrame, rects: DataFrame) ->
 
     ``edges`` has frame_id, y, x of the cells that are edges, ``rects`` frame_id, cand_pos, x, y, width, height, angle, which may be
     turned. A sample lies each five cells, at least eight a side; those outside the frame don't count, and a side without
-    any is 0. Samples meet cells by an equi-join.
+    any is 0. Samples meet cells by an equi-join, and get their frame's size before they are made: a rectangle may
+    have hundreds, so they must not be taken for the small side of a join.
     """
     d = {n: F.col(n).cast("double") for n in ("x", "y", "width", "height", "angle")}
     points = relate.rotated_corners(d["x"], d["y"], d["width"], d["height"], d["angle"])
@@ -91,11 +92,12 @@ def side_support(edges: DataFrame, frame_sizes: DataFrame, rects: DataFrame) ->
         (ax, ay), (bx, by) = points[i], points[(i + 1) % 4]
         steps = F.greatest(F.lit(LEAST_SAMPLES), F.floor(F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay)) / SAMPLE_CELLS).cast("int"))
         sides.append(F.struct(F.lit(name).alias("side"), ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"), steps.alias("steps")))
-    lines = rects.select("frame_id", "cand_pos", F.inline(F.array(*sides)))
+    placed = rects.join(frame_sizes.select("frame_id", F.col("height").alias("_h"), F.col("width").alias("_w")), "frame_id")
+    lines = placed.select("frame_id", "cand_pos", "_h", "_w", F.inline(F.array(*sides)))
     t = F.col("k") / (F.col("steps") - 1)
     at = lambda a, b: F.bround(F.col(a) * (1.0 - t) + F.col(b) * t).cast("int")
-    samples = lines.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("steps") - 1))).select("frame_id", "cand_pos", "side", at("ay", "by").alias("y"), at("ax", "bx").alias("x"))
-    inside = samples.join(frame_sizes, "frame_id").withColumn("within", F.col("y").between(0, F.col("height") - 1) & F.col("x").between(0, F.col("width") - 1))
+    samples = lines.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("steps") - 1))).select("frame_id", "cand_pos", "side", "_h", "_w", at("ay", "by").alias("y"), at("ax", "bx").alias("x"))
+    inside = samples.withColumn("within", F.col("y").between(0, F.col("_h") - 1) & F.col("x").between(0, F.col("_w") - 1))
     hits = inside.join(edges.select("frame_id", "y", "x", F.lit(1).alias("hit")).distinct(), ["frame_id", "y", "x"], "left")
     share = lambda s: F.coalesce(F.sum(F.when((F.col("side") == s) & F.col("within"), F.coalesce("hit", F.lit(0)))) / F.nullif(F.count_if((F.col("side") == s) & F.col("within")), F.lit(0)), F.lit(0.0)).alias(s)
     told = hits.groupBy("frame_id", "cand_pos").agg(*(share(s) for s in ("top", "right", "bottom", "left")))
