@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import detect, relate
+from . import relate
 
 # Steps of the grid in shares of the guess's sides, in the order of their rank; scales; turns in degrees beside the
 # guess's own and none; how far angles must be apart; the least side.
@@ -36,25 +36,30 @@ def prior_grid(guesses: DataFrame, width: int, height: int, count: int = 260) ->
     ``guesses`` has frame_id, x, y, width, height, angle, one a frame. Places follow shifts, then scales, then angles; a
     rectangle that is one before it, its angle to a tenth of a degree, is left out.
     """
-    base = clamped(guesses.select("frame_id", "x", "y", "width", "height", "angle"), width, height)
-    own = relate.normal_angle(F.col("angle").cast("double"))
+    base = clamped(guesses.select("frame_id", "x", "y", "width", "height", "angle").filter("frame_id is not null"), width, height)
     step = lambda n: F.greatest(F.lit(1), F.bround(F.col(n) * SHIFT).cast("int"))
-    turns = F.posexplode(F.array(own, F.lit(0.0), relate.normal_angle(F.col("angle") - TURN), relate.normal_angle(F.col("angle") + TURN)))
-    angles = detect.epsilon_distinct(base.select("frame_id", turns).withColumnRenamed("col", "turn"), ["frame_id"], "turn", "pos", APART)
-    # the kept angles come in their order, but without their places
-    places = base.select("frame_id", turns).withColumnRenamed("col", "turn").groupBy("frame_id", "turn").agg(F.min("pos").alias("k"))
-    shifts = F.posexplode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in SHIFTS)))
-    d = base.drop("angle").withColumns({"dx": step("width"), "dy": step("height"), "cx": F.col("x") + F.col("width") / 2.0, "cy": F.col("y") + F.col("height") / 2.0})
-    d = d.select("*", shifts).withColumnsRenamed({"pos": "i", "col": "shift"}).select("*", F.posexplode(F.array(*(F.lit(s) for s in SCALES)))).withColumnsRenamed({"pos": "j", "col": "scale"})
-    size = {n: F.greatest(F.lit(LEAST_SIDE), F.bround(F.col(n) * F.col("scale")).cast("int")) for n in ("width", "height")}
-    d = d.withColumns(size).withColumns({
-        "x": F.bround(F.col("cx") + F.col("shift.a") * F.col("dx") - F.col("width") * 0.5).cast("int"), "y": F.bround(F.col("cy") + F.col("shift.b") * F.col("dy") - F.col("height") * 0.5).cast("int"),
-    })
-    d = clamped(d, width, height).join(angles.join(places, ["frame_id", "turn"]), "frame_id").withColumnRenamed("turn", "angle")
-    key = ["frame_id", "x", "y", "width", "height", F.bround(F.col("angle") * 10.0)]
-    d = d.withColumn("_first", F.row_number().over(Window.partitionBy(*key).orderBy("i", "j", "k"))).filter("_first = 1")
-    d = d.withColumn("place", F.row_number().over(Window.partitionBy("frame_id").orderBy("i", "j", "k"))).filter(F.col("place") <= count)
-    return d.select("frame_id", "x", "y", "width", "height", "angle", "place")
+    turns = F.array(relate.normal_angle(F.col("angle").cast("double")), F.lit(0.0), relate.normal_angle(F.col("angle") - TURN), relate.normal_angle(F.col("angle") + TURN))
+    apart = lambda out, v: F.when(F.exists(out, lambda k: F.abs(k - v) < APART), out).otherwise(F.array_append(out, v))
+    d = base.select("*", step("width").alias("dx"), step("height").alias("dy"), (F.col("x") + F.col("width") / 2.0).alias("cx"), (F.col("y") + F.col("height") / 2.0).alias("cy"), F.filter(turns, lambda v: v.isNotNull()).alias("turns"))
+    d = d.withColumn("turns", F.aggregate("turns", F.array().cast("array<double>"), apart))
+    # All of a frame's rectangles are made in its own row: as rows they were sorted where the few guesses lay, in one task.
+    inside = lambda at, size, most: F.greatest(F.lit(0), F.least(at, F.lit(most) - size)).cast("int")
+    rects = []
+    for i, (a, b) in enumerate(SHIFTS):
+        for j in range(len(SCALES)):
+            s = F.get("sizes", j)
+            rects.append(F.struct(
+                inside(F.bround(F.col("cx") + F.lit(a) * F.col("dx") - s["uw"] * 0.5).cast("int"), s["w"], width).alias("x"), inside(F.bround(F.col("cy") + F.lit(b) * F.col("dy") - s["uh"] * 0.5).cast("int"), s["h"], height).alias("y"),
+                s["w"].alias("width"), s["h"].alias("height"),
+            ))
+    side = lambda n, k: F.greatest(F.lit(LEAST_SIDE), F.bround(F.col(n) * k).cast("int"))
+    sizes = F.array(*(F.struct(side("width", k).alias("uw"), side("height", k).alias("uh"), F.least(side("width", k), F.lit(width)).alias("w"), F.least(side("height", k), F.lit(height)).alias("h")) for k in SCALES))
+    d = d.withColumn("sizes", sizes)
+    # kept angles are farther apart than a tenth of a degree, so only rectangles can be there before
+    d = d.select("frame_id", "turns", F.array_distinct(F.array(*rects)).alias("rects"))
+    placed = F.flatten(F.transform("rects", lambda r: F.transform("turns", lambda t: F.struct(r["x"].alias("x"), r["y"].alias("y"), r["width"].alias("width"), r["height"].alias("height"), t.alias("angle")))))
+    d = d.select("frame_id", F.posexplode(F.slice(placed, 1, count)))
+    return d.select("frame_id", *(F.col(f"col.{n}").alias(n) for n in ("x", "y", "width", "height", "angle")), (F.col("pos") + 1).alias("place"))
 
 
 def quadrant(x: Column, y: Column, width: int, height: int) -> Column:

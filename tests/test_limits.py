@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emulsion.operators import areas
+from emulsion.operators import areas, grids
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,13 @@ def test_samples_of_sides_are_not_broadcast(spark, tmp_path):
     got = areas.side_support(edges, sizes, spark.read.parquet(f"{tmp_path}/rects"))
     assert got.count() == 40
     assert not any("Generate" in line for line in below(got, "BroadcastExchange"))
+
+
+def test_a_grid_is_made_where_its_guess_is(spark):
+    guess = spark.createDataFrame([(1, 100, 90, 300, 200, 3.0), (None, 1, 1, 50, 50, 0.0)], "frame_id long, x int, y int, width int, height int, angle double")
+    got = grids.prior_grid(guess, 640, 480, 120)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any(n in plan for n in ("Exchange", "Sort", "Window"))
+    rows = got.collect()
+    assert [r["place"] for r in rows] == list(range(1, 121)) and len({r[1:6] for r in rows}) == 120
+    assert tuple(rows[0])[:6] == (1, 100, 90, 300, 200, 3.0)
