@@ -38,6 +38,45 @@ def quantile(c: Column, q: float) -> Column:
     return F.percentile(c, F.lit(q))
 
 
+def fused(df: DataFrame, **asked: tuple[Column, Column, Column]) -> DataFrame:
+    """``df`` plus a * b + c of each three columns, rounded once: the product's and the sum's own errors are added last."""
+    split = lambda x: x * 134217729.0 - (x * 134217729.0 - x)
+    df = df.withColumns({f"_{p}_{n}": x for n, t in asked.items() for p, x in zip("abc", t, strict=True)})
+    col = lambda p, n: F.col(f"_{p}_{n}")
+    df = df.withColumns({f"_p_{n}": col("a", n) * col("b", n) for n in asked} | {f"_x_{n}": split(col("a", n)) for n in asked} | {f"_y_{n}": split(col("b", n)) for n in asked})
+    df = df.withColumns({f"_s_{n}": col("p", n) + col("c", n) for n in asked} | {
+        f"_e_{n}": ((col("x", n) * col("y", n) - col("p", n)) + col("x", n) * (col("b", n) - col("y", n)) + (col("a", n) - col("x", n)) * col("y", n)) + (col("a", n) - col("x", n)) * (col("b", n) - col("y", n)) for n in asked
+    })
+    df = df.withColumns({f"_z_{n}": col("s", n) - col("p", n) for n in asked})
+    out = {n: col("s", n) + (((col("p", n) - (col("s", n) - col("z", n))) + (col("c", n) - col("z", n))) + col("e", n)) for n in asked}
+    return df.withColumns(out).drop(*(f"_{p}_{n}" for p in "abcpxysez" for n in asked))
+
+
+def with_quantiles(df: DataFrame, keys: list[str], **asked: tuple[Column, float]) -> DataFrame:
+    """``df`` with quantiles of each row's group put beside it, for limits that rows of the group are held against.
+
+    Between neighbours in order a quantile is low * (1 - d) + high * d. Spark rounds both products, and takes the value itself
+    where the neighbours are equal; the SQL engine rounds one product and the sum (a fused multiply-add). The results may differ in the
+    last bit, and where many rows have the limit's value, they fall on its other side. So the neighbours are looked up (they are
+    Spark's quantile itself, if its place in order says so, or the values next to it) and weighed as SQL does.
+    """
+    df = beside(df, keys, **{n: quantile(c, q) for n, (c, q) in asked.items()}, **{f"_n_{n}": F.count(c) for n, (c, _) in asked.items()})
+    sides = {}
+    for n, (c, _) in asked.items():
+        less, more = c < F.col(n), c > F.col(n)
+        sides |= {f"_u_{n}": F.count_if(less), f"_o_{n}": F.count_if(more), f"_l_{n}": F.max(F.when(less, c)), f"_h_{n}": F.min(F.when(more, c))}
+    df = beside(df, keys, **sides)
+    df = df.withColumns({f"_at_{n}": (F.col(f"_n_{n}") - 1) * F.lit(float(q)) for n, (_, q) in asked.items()})
+    terms = {}
+    for n in asked:
+        v, under, upto, at = F.col(n), F.col(f"_u_{n}"), F.col(f"_n_{n}") - F.col(f"_o_{n}"), F.col(f"_at_{n}")
+        k = F.floor(at)
+        low = F.when((under <= k) & (k < upto), v).otherwise(F.col(f"_l_{n}"))
+        high = F.when((under <= k + 1) & (k + 1 < upto), v).otherwise(F.coalesce(f"_h_{n}", v))
+        terms[n] = (low, 1.0 - (at - k), high * (at - k))
+    return fused(df, **terms).drop(*(f"_{p}_{n}" for p in ("n", "u", "o", "l", "h", "at") for n in asked))
+
+
 def norm(*c: Column) -> Column:
     return F.sqrt(sum((x * x for x in c[1:]), c[0] * c[0]))
 
@@ -92,7 +131,8 @@ def neutral(df: DataFrame, keys: list[str], clean: Column) -> DataFrame:
     """
     df = df.withColumn("clean", clean)
     own = F.when(F.col("clean"), F.col("sat"))
-    df = beside(df, keys, n_clean=F.count_if("clean"), sat_a=quantile(own, 0.35), sat_b=quantile(own, 0.55), spread_q=quantile(F.when(F.col("clean"), F.col("spread")), 0.30))
+    df = with_quantiles(df, keys, sat_a=(own, 0.35), sat_b=(own, 0.55), spread_q=(F.when(F.col("clean"), F.col("spread")), 0.30))
+    df = beside(df, keys, n_clean=F.count_if("clean"))
     df = df.withColumn("limit_1", F.least(F.lit(0.30), F.greatest(F.lit(0.055), F.col("sat_a"))))
     df = df.withColumn("limit_2", F.least(F.lit(0.42), F.greatest("limit_1", "sat_b"))).withColumn("limit_3", F.least(F.lit(0.14), F.greatest(F.lit(0.045), F.col("spread_q"))))
     df = beside(df, keys, n_1=F.count_if(F.col("clean") & (F.col("sat") <= F.col("limit_1"))), n_2=F.count_if(F.col("clean") & (F.col("sat") <= F.col("limit_2"))))
@@ -108,8 +148,8 @@ def trimmed(df: DataFrame, keys: list[str], chosen: str, q: float, least_before:
     """``chosen`` without the rows farthest from the median of ``columns``, where enough rows are chosen and left."""
     df = beside(df, keys, **{f"_m_{n}": F.median(F.when(F.col(chosen), c)) for n, c in columns.items()})
     df = df.withColumn("_away", norm(*(c - F.col(f"_m_{n}") for n, c in columns.items())))
-    df = beside(df, keys, _n=F.count_if(chosen), _limit=quantile(F.when(F.col(chosen), F.col("_away")), q))
-    df = beside(df, keys, _kept=F.count_if(F.col(chosen) & (F.col("_away") <= F.col("_limit"))))
+    df = with_quantiles(df, keys, _limit=(F.when(F.col(chosen), F.col("_away")), q))
+    df = beside(df, keys, _n=F.count_if(chosen), _kept=F.count_if(F.col(chosen) & (F.col("_away") <= F.col("_limit"))))
     trims = (F.col("_n") >= least_before) & (F.col("_kept") >= least_after)
     out = df.withColumn(chosen, F.col(chosen) & (~trims | (F.col("_away") <= F.col("_limit"))))
     return out.drop("_away", "_n", "_limit", "_kept", *(f"_m_{n}" for n in columns))
