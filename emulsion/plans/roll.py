@@ -24,6 +24,11 @@ def rounded(df: DataFrame, places: int = 5) -> DataFrame:
     return df.select(*(F.round(n, places).alias(n) if kind == "double" else F.col(n) for n, kind in df.dtypes))
 
 
+def binary_round(c: Column, places: int) -> Column:
+    """Half to even by the number itself, not by its shortest decimal text: 0.5055 is below the middle and gives 0.505, as in SQL."""
+    return F.rint(c * float(10**places)) / float(10**places)
+
+
 def gains_of(prefix: str) -> RGB:
     return rgb(f"{prefix}_r", f"{prefix}_g", f"{prefix}_b")
 
@@ -93,7 +98,7 @@ def frame_work(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     return base.withColumn("exclusion", reason).select(
         "frame_id", "roll_id", "p05", "p25", "p50", "p75", "p95", "shadow_clip", "highlight_clip", "exposure_class", "usable", F.col("magnitude").alias("cast"), "neutral_fraction", "neutral_pixels", "exclusion",
         F.when(yes, "neutral_percentile").otherwise("identity").alias("algorithm"), *(F.when(yes, F.col(f"cand_{n}")).otherwise(1.0).alias(f"frame_{n}") for n in "rgb"),
-        F.when(yes, F.col("trust")).otherwise(0.0).alias("confidence"), F.bround(F.when(yes, F.col("score")).when(valid, F.col("trust")).otherwise(0.0), 3).alias("agreement"),
+        F.when(yes, F.col("trust")).otherwise(0.0).alias("confidence"), binary_round(F.when(yes, F.col("score")).when(valid, F.col("trust")).otherwise(0.0), 3).alias("agreement"),
         F.when(yes, F.col("after_cand")).otherwise(F.bround("magnitude", 5)).alias("after"), (yes & (F.col("exclusion") == "")).alias("used"),
     )
 
@@ -138,8 +143,11 @@ def baseline(work: DataFrame) -> DataFrame:
 
 
 def exposure_targets(work: DataFrame, kept: DataFrame) -> DataFrame:
-    """Medians of the rounded p50 and p95: of the kept frames if three of them are fit, else of all that are."""
-    e = work.select("roll_id", "frame_id", "exposure_class", F.round("p50", 5).alias("p50"), F.round("p95", 5).alias("p95"))
+    """Medians of the rounded p50 and p95: of the kept frames if three of them are fit, else of all that are.
+
+    They are rounded to 15 places first, so that the last bit of a value in the middle doesn't decide.
+    """
+    e = work.select("roll_id", "frame_id", "exposure_class", *(F.round(F.round(n, 15), 5).alias(n) for n in ("p50", "p95")))
     e = e.filter("exposure_class = 'normal' and p50 > 0.10 and p50 < 0.88 and p95 > 0.35 and p95 < 0.985")
     e = e.join(kept.select(F.col("frame_id").alias("_id")), F.col("frame_id") == F.col("_id"), "left").withColumn("mine", F.col("_id").isNotNull())
     enough = F.count_if("mine").over(Window.partitionBy("roll_id")) >= 3

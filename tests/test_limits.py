@@ -1,11 +1,11 @@
-"""Rows on the limit of a quantile, and plans that must not gather many rows in one place."""
+"""Rows on the limit of a quantile, values in the middle of two roundings, and plans that must not gather many rows in one place."""
 
 from __future__ import annotations
 
 import duckdb
 import pytest
 from emulsion.operators import areas, grids
-from emulsion.plans import catalog
+from emulsion.plans import catalog, roll
 from pyspark.sql import functions as F
 
 TABLES = ("lineitem", "supplier", "nation")
@@ -23,7 +23,7 @@ def limits(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ("cast_metrics", "neutral_gains", "tone_residuals"))
+@pytest.mark.parametrize("name", ("cast_metrics", "neutral_gains", "tone_residuals", "frame_candidates"))
 def test_rows_on_a_limit_are_those_of_sql(spark, limits, name):
     folder, con = limits
     got = catalog.QUERIES[name](spark, folder)
@@ -32,6 +32,18 @@ def test_rows_on_a_limit_are_those_of_sql(spark, limits, name):
     assert sorted(map(tuple, got.collect())) == sorted(tuple(r[i] for i in place) for r in cursor.fetchall())
 
 
+def test_a_rounded_value_is_rounded_by_the_number_itself(spark):
+    got = spark.createDataFrame([(0.5055,), (0.5065,), (0.25,)], "v double").select(roll.binary_round(F.col("v"), 3)).collect()
+    assert [r[0] for r in got] == [round(v, 3) for v in (0.5055, 0.5065, 0.25)]
+
+
+def test_targets_do_not_hang_on_the_last_bit(spark):
+    row = (1, 7, "normal", 0.50427499999999996 - 1.2e-16, 0.8)
+    work = spark.createDataFrame([row], "roll_id long, frame_id long, exposure_class string, p50 double, p95 double")
+    kept = spark.createDataFrame([(7,)], "frame_id long")
+    assert roll.exposure_targets(work, kept).first()["target_p50"] == 0.50428
+
+
 def below(df, node: str) -> list[str]:
     """The lines of the physical plan under each ``node``."""
     out, depth = [], None
