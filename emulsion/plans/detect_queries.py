@@ -72,6 +72,7 @@ def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = views.candidates(spark, sf_dir)
     small = d.select("frame_id", "cand_pos", F.floor(F.col("x") / 16).alias("x0"), F.floor(F.col("y") / 8).alias("y0"), (6 + F.floor(F.col("width") / 60)).alias("width"), (5 + F.floor(F.col("height") / 40)).alias("height"))
     f = regions.rectangle_features(views.raster(spark, sf_dir), small)
+    f = f.select(*(F.round(n, 9).alias(n) if kind == "double" else F.col(n) for n, kind in f.dtypes))  # as the query of that name gives them
     c = d.select(
         "cand_pos", ((F.col("x") + F.col("width") / 2.0) / 640.0).alias("cx"), ((F.col("y") + F.col("height") / 2.0) / 480.0).alias("cy"), (F.col("width") * F.col("height") / 307200.0).alias("area"), (F.abs("angle") / 90.0).alias("angle_abs"),
         F.least(F.lit(1.0), F.least("x", "y") / 19.2).alias("border"), relate.aspect_score(F.col("width") / F.col("height"), F.lit(1.5)).alias("format_score"), (F.col("cand_pos") % 11 / 22.0).alias("edge_support"),

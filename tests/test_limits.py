@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
-from emulsion.operators import areas, grids
+from emulsion.operators import areas, grids, regions
 from emulsion.plans import catalog, roll
 from pyspark.sql import functions as F
 
@@ -75,3 +75,15 @@ def test_a_grid_is_made_where_its_guess_is(spark):
     rows = got.collect()
     assert [r["place"] for r in rows] == list(range(1, 121)) and len({r[1:6] for r in rows}) == 120
     assert tuple(rows[0])[:6] == (1, 100, 90, 300, 200, 3.0)
+
+
+def frame_of(spark, n: int):
+    return spark.range(n).selectExpr("1L AS frame_id", "cast(id / 24 AS int) AS y", "cast(id % 24 AS int) AS x", "id / 1000.0D AS r", "id / 900.0D AS g", "0.5D AS b")
+
+
+def test_pixels_are_not_copied_for_each_rectangle(spark):
+    rects = spark.createDataFrame([(1, 5, 2, 3, 6, 5), (1, 6, 100, 100, 6, 5)], "frame_id long, cand_pos long, x0 long, y0 long, width long, height long")
+    got = regions.rectangle_features(frame_of(spark, 600), rects)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.collect()
+    assert [(r["cand_pos"], r["in_n"], r["out_n"]) for r in rows] == [(5, 30, 60)]
