@@ -12,14 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.color import luma709, rgb, unit
+from .scratch import dropped, settled
 from .stats import norm, quantile
 
 
-def moments(df: DataFrame, x: list[Column], y: list[Column]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sums of x x' and x y', and the number of rows."""
-    cells = [F.sum(a * b) for i, a in enumerate(x) for b in x[i:]] + [F.sum(a * b) for a in x for b in y]
-    row = df.agg(F.count(F.lit(1)), *cells).first()
-    n, v = row[0], [float(z or 0.0) for z in row[1:]]
+def moments(df: DataFrame, x: list[Column], y: list[Column], times: Column | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sums of x x' and x y', and the number of rows; a row counts ``times``."""
+    total = lambda c: F.sum(c if times is None else c * times)
+    cells = [total(a * b) for i, a in enumerate(x) for b in x[i:]] + [total(a * b) for a in x for b in y]
+    row = df.agg(F.count(F.lit(1)) if times is None else F.sum(times), *cells).first()
+    n, v = row[0] or 0, [float(z or 0.0) for z in row[1:]]
     k = len(x)
     xx = np.zeros((k, k))
     xx[np.triu_indices(k)] = v[: k * (k + 1) // 2]
@@ -36,23 +38,29 @@ def _applied(x: list[Column], m: np.ndarray) -> list[Column]:
 
 
 def colour_matrix(df: DataFrame, source: list[str], target: list[str], rounds: int = 4) -> np.ndarray:
-    """(4, 3): three rows of the matrix and the offset, fitted ``rounds`` times without the worst 12 percent of the round before."""
+    """(4, 3): three rows of the matrix and the offset, fitted ``rounds`` times without the worst 12 percent of the round before.
+
+    Equal rows become one with their number, in the only pass over ``df``; the rounds read those. Pixels have few levels, so they
+    are far fewer, and never more.
+    """
     tests = [F.col(c) > 0.002 for c in source + target] + [F.col(c) < 0.985 for c in target]
-    valid = df.filter(_all(*tests))
-    if valid.count() < 32:
-        valid = df
+    every = settled(df.groupBy(*source, *target).agg(F.count(F.lit(1)).alias("_n")))
+    valid = every.filter(_all(*tests))
+    if (valid.agg(F.sum("_n")).first()[0] or 0) < 32:
+        valid = every
     x = [F.col(c) for c in source] + [F.lit(1.0)]
     y = [F.col(c) for c in target]
     kept = valid
     m = np.zeros((4, 3))
     for _ in range(rounds):
-        xx, xy, n = moments(kept, x, y)
+        xx, xy, n = moments(kept, x, y, F.col("_n"))
         if n < 32:
             break
         m = np.linalg.lstsq(xx, xy, rcond=None)[0]
         error = norm(*(unit(p) - t for p, t in zip(_applied(x, m), y, strict=True)))
-        limit = valid.agg(quantile(error, 0.88)).first()[0]
+        limit = valid.agg(F.percentile(error, F.lit(0.88), F.col("_n"))).first()[0]
         kept = valid.filter(error <= limit)
+    dropped(every)
     return m
 
 

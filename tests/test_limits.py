@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
-from emulsion.operators import areas, detect, grids, regions
+from emulsion.operators import areas, detect, fits, grids, regions
 from emulsion.plans import catalog, roll
 from pyspark.sql import functions as F
 
@@ -94,3 +94,17 @@ def test_pixels_are_not_copied_for_each_patch(spark):
     got = detect.base_patches(frame_of(spark, 600), detect.edge_points(size))
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     assert got.count() > 0
+
+
+def test_a_fit_reads_its_pixels_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(v: float) -> float:
+        read.add(1)
+        return v
+
+    d = spark.range(400).selectExpr("0.1D + id % 20 / 40.0D AS r", "0.1D + id % 7 / 20.0D AS g", "0.1D + id % 11 / 30.0D AS b")
+    d = d.withColumn("r", F.udf(seen, "double")("r")).withColumns({"tr": F.col("r") * 0.9, "tg": F.col("g") * 0.8, "tb": F.col("b") * 0.7})
+    m = fits.colour_matrix(d, ["r", "g", "b"], ["tr", "tg", "tb"])
+    assert read.value == 400
+    assert abs(m[0][0] - 0.9) < 1e-9 and abs(m[2][2] - 0.7) < 1e-9 and abs(m[1][0]) < 1e-9
