@@ -91,10 +91,11 @@ def gain_cluster(df: DataFrame, keys: list[str], pos: str, values: list[str], we
 
     A centre needs two rows; the heaviest wins, then the fullest, then the tightest, then the first by ``pos``. Groups of one or
     two rows, and those whose best cluster has under two rows or a quarter of the group, are taken whole. Rows meet through
-    cells as wide as the radius, so only neighbours are compared.
+    cells as wide as the radius, so only neighbours are compared; rows of equal values are one, with their weight and number.
     """
     cell = [F.floor(F.col(v) / radius).cast("long") for v in values]
-    placed = df.withColumns({f"_c{i}": c for i, c in enumerate(cell)})
+    points = df.groupBy(*keys, *values).agg(F.sum(weight).alias(weight), F.count(F.lit(1)).alias("_rows"), F.min(pos).alias(pos))
+    placed = points.withColumns({f"_c{i}": c for i, c in enumerate(cell)})
     shifts = F.array(F.lit(-1), F.lit(0), F.lit(1))
     centre = placed.select(*(F.col(k).alias(f"a_{k}") for k in keys), F.col(pos).alias("a_pos"), *(F.col(v).alias(f"a_{v}") for v in values), *(f"_c{i}" for i in range(len(values))))
     for i in range(len(values)):
@@ -106,7 +107,7 @@ def gain_cluster(df: DataFrame, keys: list[str], pos: str, values: list[str], we
         match = match & (F.col(f"_c{i}") == F.col(f"n{i}"))
     away = norm(*(F.col(v) - F.col(f"a_{v}") for v in values))
     near = placed.join(centre, match).withColumn("_d", away).filter(F.col("_d") <= radius)
-    score = near.groupBy(*keys, "a_pos").agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n"), (F.sum(F.col("_d") * F.col(weight)) / F.sum(weight)).alias("spread"), *(F.first(f"a_{v}").alias(f"a_{v}") for v in values)).filter("n >= 2")
+    score = near.groupBy(*keys, "a_pos").agg(F.sum(weight).alias("w"), F.sum("_rows").alias("n"), (F.sum(F.col("_d") * F.col(weight)) / F.sum(weight)).alias("spread"), *(F.first(f"a_{v}").alias(f"a_{v}") for v in values)).filter("n >= 2")
     order = Window.partitionBy(*keys).orderBy(F.desc(F.round("w", 12)), F.desc("n"), F.round("spread", 12), "a_pos")
     best = score.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select(*keys, F.col("n").alias("best_n"), *(f"a_{v}" for v in values))
     total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))

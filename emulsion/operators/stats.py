@@ -2,11 +2,16 @@
 
 Each takes a relation with columns r, g, b and the names of its keys (frame, tile, band). A step whose limit depends on a
 statistic of the step before is a window over the keys, so a chain of such steps deals the pixels out once; a group is a frame
-or less, of bounded size.
+or less, of bounded size. Casts and neutral gains, whose chains have a dozen of such steps, take a group at a time in numpy.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -155,32 +160,150 @@ def trimmed(df: DataFrame, keys: list[str], chosen: str, q: float, least_before:
     return out.drop("_away", "_n", "_limit", "_kept", *(f"_m_{n}" for n in columns))
 
 
-def cast_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
-    """How far the neutral pixels are from grey: magnitude, cast_r, cast_g, cast_b, neutral_fraction, neutral_pixels, sampled, sat_median."""
-    p = neutral(with_tone(df), keys, clean_pixels((0.08, 0.94), 0.01, 0.985))
-    p = beside(p, keys, n_neutral=F.count_if("neutral"))
-    p = p.withColumn("used", F.when(F.col("n_neutral") >= 16, F.col("neutral")).otherwise(F.col("clean") & (F.col("n_clean") >= 16)))
-    res = {c: F.col(c) - F.col("luma") for c in "rgb"}
-    p = p.withColumn("first", F.col("used"))
-    kept = trimmed(p, keys, "used", 0.85, 32, 16, res)
-    out = kept.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("sampled"), F.count_if("first").alias("n_used"), F.median(F.when(F.col("first"), F.col("sat"))).alias("sat_median"), *(F.median(F.when(F.col("used"), c)).alias(n) for n, c in res.items())
-    )
+def by_group(df: DataFrame, keys: list[str], out: str, work: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, float | None]]) -> DataFrame:
+    """A row a group: keys and ``out`` (a schema), what ``work`` tells of the group's r, g, b; nulls reach it as NaN."""
+    chosen = df.select(*keys, *(F.col(c).cast("double").alias(c) for c in "rgb"))
+    kinds = ", ".join(f"`{n}` {kind}" for n, kind in chosen.dtypes if n in keys)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        told = work(*(table[c].to_numpy() for c in "rgb"))
+        return pa.table({n: pa.array([k.as_py()], k.type) for n, k in zip(keys, key, strict=True)} | typed(told))
+
+    return chosen.groupBy(*keys).applyInArrow(run, f"{kinds}, {out}")
+
+
+def typed(told: dict[str, float | None]) -> dict[str, pa.Array]:
+    """A row of longs and doubles for Arrow."""
+    return {n: pa.array([v], pa.int64() if isinstance(v, int) else pa.float64()) for n, v in told.items()}
+
+
+def quantile_of(v: np.ndarray, q: float) -> float:
+    """One of ``with_quantiles``, in numpy: low * (1 - d) + high * d with the last product and the sum rounded once."""
+    s, at = np.sort(v), (len(v) - 1) * q
+    k = int(at)
+    a, b = float(s[k]), 1.0 - (at - k)
+    c = float(s[min(k + 1, len(s) - 1)]) * (at - k)
+    x, y = a * 134217729.0 - (a * 134217729.0 - a), b * 134217729.0 - (b * 134217729.0 - b)
+    p = a * b
+    total = p + c
+    error = ((x * y - p) + x * (b - y) + (a - x) * y) + (a - x) * (b - y)
+    z = total - p
+    return total + (((p - (total - z)) + (c - z)) + error)
+
+
+def median_of(v: np.ndarray) -> float | None:
+    """Spark's median, the halves of the two in the middle; null without values."""
+    if not len(v):
+        return None
+    s = np.sort(v)
+    return float(s[(len(s) - 1) // 2]) * 0.5 + float(s[len(s) // 2]) * 0.5
+
+
+def clean_tones(r: np.ndarray, g: np.ndarray, b: np.ndarray, luma: tuple[float, float], least: float, most: float) -> dict[str, np.ndarray]:
+    """``with_tone`` and ``clean_pixels`` in numpy: r, g, b, luma, sat and spread of the clean pixels."""
+    y, hi, lo = r * 0.299 + g * 0.587 + b * 0.114, np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b)
+    clean = (y >= luma[0]) & (y <= luma[1]) & (lo >= least) & (hi <= most)
+    r, g, b, y, hi, lo = (x[clean] for x in (r, g, b, y, hi, lo))
+    spread = np.maximum(np.maximum(np.abs(r - y), np.abs(g - y)), np.abs(b - y))
+    return {"r": r, "g": g, "b": b, "luma": y, "sat": (hi - lo) / np.maximum(hi, 1e-6), "spread": spread}
+
+
+def neutral_of(sat: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """``neutral`` in numpy, of the clean pixels alone."""
+    if len(sat) < 16:
+        return np.zeros(len(sat), bool)
+    limit = min(0.30, max(0.055, quantile_of(sat, 0.35)))
+    first = sat <= limit
+    if first.sum() >= 64:
+        return first
+    second = sat <= min(0.42, max(limit, quantile_of(sat, 0.55)))
+    if second.sum() >= 64:
+        return second
+    return spread <= min(0.14, max(0.045, quantile_of(spread, 0.30)))
+
+
+def trimmed_of(values: list[np.ndarray], q: float, least_before: int, least_after: int) -> np.ndarray:
+    """``trimmed`` in numpy: which of the chosen rows stay."""
+    if len(values[0]) < least_before:
+        return np.ones(len(values[0]), bool)
+    off = [v - median_of(v) for v in values]
+    away = np.sqrt(off[0] * off[0] + off[1] * off[1] + off[2] * off[2])
+    kept = away <= quantile_of(away, q)
+    return kept if kept.sum() >= least_after else np.ones(len(away), bool)
+
+
+CAST = "sampled long, n_used long, sat_median double, r double, g double, b double"
+
+
+def cast_of(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> dict[str, float | None]:
+    """CAST: the pixels, the neutral ones (or else the clean ones), and medians of their saturation and of what parts them from their luma."""
+    p = clean_tones(r, g, b, (0.08, 0.94), 0.01, 0.985)
+    used = neutral_of(p["sat"], p["spread"])
+    if used.sum() < 16:
+        used = np.full(len(used), len(used) >= 16)
+    res = [p[c][used] - p["luma"][used] for c in "rgb"]
+    kept = trimmed_of(res, 0.85, 32, 16)
+    return {"sampled": len(r), "n_used": int(used.sum()), "sat_median": median_of(p["sat"][used]), **{n: median_of(v[kept]) for n, v in zip("rgb", res, strict=True)}}
+
+
+def magnitude_of(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> float:
+    """cast_metrics' magnitude alone."""
+    m = cast_of(r, g, b)
+    if m["r"] is None:
+        return 0.0
+    luma = m["r"] * 0.299 + m["g"] * 0.587 + m["b"] * 0.114
+    x, y, z = (m[c] - luma for c in "rgb")
+    return math.sqrt(x * x + y * y + z * z)
+
+
+def cast_columns() -> dict[str, Column]:
+    """cast_metrics' columns of those of CAST."""
     luma = luma601(rgb())
     c = [F.coalesce(F.col(x) - luma, F.lit(0.0)) for x in "rgb"]
-    return out.select(
-        *keys, norm(*c).alias("magnitude"), *(x.alias(f"cast_{n}") for n, x in zip("rgb", c, strict=True)),
-        (F.col("n_used") / F.greatest(F.col("sampled"), F.lit(1))).alias("neutral_fraction"), F.col("n_used").alias("neutral_pixels"), "sampled", F.coalesce("sat_median", F.lit(0.0)).alias("sat_median"),
-    )
+    return {
+        "magnitude": norm(*c), **{f"cast_{n}": x for n, x in zip("rgb", c, strict=True)}, "neutral_fraction": F.col("n_used") / F.greatest(F.col("sampled"), F.lit(1)),
+        "neutral_pixels": F.col("n_used"), "sampled": F.col("sampled"), "sat_median": F.coalesce("sat_median", F.lit(0.0)),
+    }
+
+
+GAINS = "n long, pixels long, r double, g double, b double, target double"
+
+
+def gains_of(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> dict[str, float | None]:
+    """GAINS: the neutral pixels, all pixels, and medians of the neutral ones that lie together."""
+    p = clean_tones(r, g, b, (0.06, 0.96), 0.006, 0.992)
+    used = neutral_of(p["sat"], p["spread"])
+    chosen = [p[c][used] for c in ("r", "g", "b", "luma")]
+    kept = trimmed_of(chosen[:3], 0.80, 128, 96)
+    return {"n": int(used.sum()), "pixels": len(r), **{n: median_of(v[kept]) for n, v in zip(("r", "g", "b", "target"), chosen, strict=True)}}
+
+
+def gain_columns() -> dict[str, Column]:
+    """neutral_gains' columns of those of GAINS."""
+    good = (F.col("n") >= 96) & (F.col("pixels") >= 64) & (F.col("target") > 1e-6) & (F.least("r", "g", "b") > 1e-6)
+    return {"n": F.col("n"), **{f"gain_{c}": F.when(good, F.col("target") / F.when(F.col(c) > 1e-6, F.col(c))) for c in "rgb"}}
+
+
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [c.alias(n) for n, c in columns.items()]
+
+
+def cast_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
+    """How far the neutral pixels are from grey: magnitude, cast_r, cast_g, cast_b, neutral_fraction, neutral_pixels, sampled, sat_median."""
+    return by_group(df, keys, CAST, cast_of).select(*keys, *_named(cast_columns()))
 
 
 def neutral_gains(df: DataFrame, keys: list[str]) -> DataFrame:
     """Gains that make the neutral pixels grey: gain_r, gain_g, gain_b before normalising, and n; null where there are too few."""
-    p = neutral(with_tone(df), keys, clean_pixels((0.06, 0.96), 0.006, 0.992)).withColumn("used", F.col("neutral"))
-    kept = trimmed(p, keys, "used", 0.80, 128, 96, {c: F.col(c) for c in "rgb"})
-    out = kept.groupBy(*keys).agg(F.count_if("neutral").alias("n"), F.count(F.lit(1)).alias("pixels"), *(F.median(F.when(F.col("used"), F.col(c))).alias(n) for n, c in (("r", "r"), ("g", "g"), ("b", "b"), ("target", "luma"))))
-    good = (F.col("n") >= 96) & (F.col("pixels") >= 64) & (F.col("target") > 1e-6) & (F.least("r", "g", "b") > 1e-6)
-    return out.select(*keys, "n", *(F.when(good, F.col("target") / F.when(F.col(c) > 1e-6, F.col(c))).alias(f"gain_{c}") for c in "rgb"))
+    return by_group(df, keys, GAINS, gains_of).select(*keys, *_named(gain_columns()))
+
+
+def cast_and_gains(df: DataFrame, keys: list[str]) -> DataFrame:
+    """cast_metrics and neutral_gains of one group of pixels beside each other."""
+    gains = ", ".join(f"k_{part}" for part in GAINS.split(", "))
+    both = by_group(df, keys, f"{CAST}, {gains}", lambda r, g, b: cast_of(r, g, b) | {f"k_{n}": v for n, v in gains_of(r, g, b).items()})
+    cast = both.select(*keys, *_named(cast_columns()), *(F.col(f"k_{n}").alias(n) for n in ("n", "pixels", "r", "g", "b", "target")))
+    return cast.select(*keys, *cast_columns(), *_named(gain_columns()))
 
 
 def luma_histogram(df: DataFrame, keys: list[str], bins: int = 256) -> DataFrame:

@@ -1,12 +1,14 @@
 """Roll analysis as one plan over pixels, frames and rolls.
 
 ``pixels`` (frame_id, r, g, b) give a row a frame; frames (frame_id, roll_id) give a row a roll; and frames joined with their
-roll give a plan a frame. What a frame would look like under other gains is measured for all alternatives at once, by a join
-with a row for each alternative. Only the frame and roll tables, rows of some numbers, are kept between the steps.
+roll give a plan a frame. What a frame would look like under other gains is measured for all alternatives at once, in the group of
+its pixels. Only the frame and roll tables, rows of some numbers, are kept between the steps.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,12 +57,26 @@ def dealt(pixels: DataFrame) -> DataFrame:
 
 
 def cast_after(pixels: DataFrame, work: DataFrame, alternatives: dict[str, RGB]) -> DataFrame:
-    """frame_id and, for each alternative, after_<name>: the cast left when the gains are applied on whole steps of FULL."""
-    rows = F.inline(F.array(*(F.struct(F.lit(n).alias("alt"), *(c.alias(f"k{x}") for x, c in zip("rgb", p, strict=True))) for n, p in alternatives.items())))
-    table = work.select(F.col("frame_id").alias("_frame"), rows)
-    applied = pixels.join(table, F.col("frame_id") == F.col("_frame")).select("frame_id", "alt", *((F.rint(clip(F.col(c) * FULL * F.col(f"k{c}"), 0.0, FULL)) / FULL).alias(c) for c in "rgb"))
-    m = stats.cast_metrics(applied, ["frame_id", "alt"])
-    return m.groupBy("frame_id").agg(*(F.max(F.when(F.col("alt") == n, F.col("magnitude"))).alias(f"after_{n}") for n in alternatives))
+    """frame_id and, for each alternative, after_<name>: the cast left when the gains are applied on whole steps of FULL.
+
+    A frame's pixels and its gains meet as one group, where the alternatives are tried one after another: none is a row.
+    """
+    names = list(alternatives)
+    gains = work.filter("frame_id is not null").select(F.col("frame_id").cast("long").alias("frame_id"), *(c.alias(f"{n}_{x}") for n, p in alternatives.items() for x, c in zip("rgb", p, strict=True)))
+    own = pixels.filter("frame_id is not null").select(F.col("frame_id").cast("long").alias("frame_id"), *(F.col(c).cast("double").alias(c) for c in "rgb"))
+    none = pa.schema([("frame_id", pa.int64()), *((f"after_{n}", pa.float64()) for n in names)])
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return none.empty_table()
+        full = [left[c].to_numpy() * FULL for c in "rgb"]
+        out = {"frame_id": [key[0].as_py()]}
+        for n in names:
+            k = [right[f"{n}_{c}"].to_numpy() for c in "rgb"]
+            out[f"after_{n}"] = [stats.magnitude_of(*(np.rint(np.clip(np.multiply.outer(f, x).ravel(), 0.0, FULL)) / FULL for f, x in zip(full, k, strict=True)))]
+        return pa.table(out, schema=none)
+
+    return own.groupBy("frame_id").cogroup(gains.groupBy("frame_id")).applyInArrow(run, ", ".join(["frame_id long", *(f"after_{n} double" for n in names)]))
 
 
 def frame_work(pixels: DataFrame, frames: DataFrame) -> DataFrame:
@@ -70,7 +86,7 @@ def frame_work(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     """
     key = ["frame_id"]
     pixels = dealt(pixels)
-    base = on(on(stats.exposure_metrics(pixels, key), stats.cast_metrics(pixels, key), key), stats.neutral_gains(pixels, key), key).join(frames, "frame_id")
+    base = on(stats.exposure_metrics(pixels, key), stats.cast_and_gains(pixels, key), key).join(frames, "frame_id")
     has = F.col("gain_r").isNotNull()
     base = base.withColumns(named(logs(gains_of("gain")), "log")).withColumn("size", norm(*gains_of("log"))).withColumn("most", F.when(F.col("magnitude") >= 0.04, 0.90).otherwise(0.62))
     base = base.withColumns(named(times(gains_of("log"), F.when(F.col("size") > F.col("most"), F.col("most") / F.greatest("size", F.lit(1e-6))).otherwise(1.0)).map(F.exp), "lim"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
-from emulsion.operators import areas, detect, fits, grids, regions
+from emulsion.operators import areas, detect, fits, grids, regions, relate, stats
 from emulsion.plans import catalog, roll
 from pyspark.sql import functions as F
 
@@ -108,3 +108,37 @@ def test_a_fit_reads_its_pixels_once(spark):
     m = fits.colour_matrix(d, ["r", "g", "b"], ["tr", "tg", "tb"])
     assert read.value == 400
     assert abs(m[0][0] - 0.9) < 1e-9 and abs(m[2][2] - 0.7) < 1e-9 and abs(m[1][0]) < 1e-9
+
+
+def test_alternatives_of_a_frame_are_not_rows(spark, tmp_path):
+    """Each pixel under each alternative was a row of a window; here they are tried inside the group of the frame's pixels."""
+    frame_of(spark, 600).write.parquet(f"{tmp_path}/pixels")
+    spark.range(3).selectExpr("id AS frame_id", "1.1D AS a_r", "1.0D AS a_g", "0.9D AS a_b").write.parquet(f"{tmp_path}/work")
+    pixels, work = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("pixels", "work"))
+    alternatives = {"a": roll.gains_of("a"), "b": roll.gains_of("a").map(lambda c: c * 0.97)}
+    got = roll.cast_after(roll.dealt(pixels), work, alternatives)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any(n in plan for n in ("Window", "Generate", "Join"))
+    assert plan.count("Exchange") == 2  # the pixels and the gains, once each
+    rows = got.collect()
+    assert [r["frame_id"] for r in rows] == [1] and 0 < rows[0]["after_b"] < 1 and rows[0]["after_a"] != rows[0]["after_b"]
+
+
+def test_casts_take_one_exchange_and_no_window(spark):
+    frame = frame_of(spark, 600)
+    for got in (stats.cast_metrics(frame, ["frame_id"]), stats.neutral_gains(frame, ["frame_id"])):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and plan.count("Exchange") == 1
+    odd = frame.unionByName(frame.selectExpr("frame_id", "y", "x", "cast(NULL AS double) AS r", "cast('NaN' AS double) AS g", "cast('Infinity' AS double) AS b"))
+    whole, more = (stats.cast_metrics(d, ["frame_id"]).first() for d in (frame, odd))
+    assert more["sampled"] == 2 * whole["sampled"] and more["magnitude"] == whole["magnitude"] and more["neutral_pixels"] == whole["neutral_pixels"]
+
+
+def test_equal_gains_are_compared_once(spark, tmp_path):
+    """Of 6,000 rows with three different values nine pairs are compared, not 36,000,000."""
+    spark.range(6000).selectExpr("1 AS k", "id AS pos", "id % 3 * 0.15D AS r", "0.0D AS g", "0.0D AS b", "0.5D AS w").write.parquet(f"{tmp_path}/gains")
+    got = relate.gain_cluster(spark.read.parquet(f"{tmp_path}/gains"), ["k"], "pos", ["r", "g", "b"], "w")
+    keys = [n.split("keys=[")[1].split("]")[0] for n in below(got, "Join") if "keys=[" in n]
+    assert any(all(f"{c}#" in n for c in "krgb") for n in keys)
+    rows = got.collect()
+    assert len(rows) == 6000 and all(r["in_cluster"] for r in rows)
