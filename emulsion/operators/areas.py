@@ -6,11 +6,12 @@ large the rectangle is and however many overlap; a ring around it takes eight. R
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import relate
-from .scratch import settled
 
 # The ring's width in shorter sides and at least in cells, what is black, the least cells that tell something, cells
 # between two samples of a side and the least number of samples.
@@ -60,13 +61,47 @@ def rectangle_statistics(raster: DataFrame, rects: DataFrame, luma: Column, chro
     """frame_id, cand_pos, and for inside (in_) and ring (out_): n, mean, std, chroma_std, edges, black, valid.
 
     edges and black are shares of the cells; valid is the part's share of the frame. Under 16 cells give 0, and black 1. ``edge`` is
-    a boolean expression over ``raster`` (frame_id, y, x, r, g, b).
+    a boolean expression over ``raster`` (frame_id, y, x, r, g, b). A frame's cells and rectangles meet as one group of bounded size,
+    in which the summed-area tables are made: no cell of them is written or dealt out. A rectangle of a frame without cells has no row.
     """
-    base = raster.select("frame_id", "y", "x", luma.alias("v"), chroma.alias("c"), edge.cast("int").alias("edge"))
-    measured = base.withColumns({"n": F.lit(1), "vv": F.col("v") * F.col("v"), "cc": F.col("c") * F.col("c"), "dark": (F.col("v") < BLACK).cast("int")})
+    placed = raster.filter("frame_id is not null and y >= 0 and x >= 0")
+    cells = placed.select(F.col("frame_id").cast("long").alias("frame_id"), "y", "x", luma.cast("double").alias("v"), chroma.cast("double").alias("c"), F.coalesce(edge, F.lit(False)).cast("int").alias("edge"))
+    pad = F.greatest(F.lit(least_ring), F.least("width", "height") * RING_SHARE)
+    whole = F.lit(True)
+    for n in ("x0", "y0", "width", "height"):
+        whole = whole & F.col(n).isNotNull()
+    box = {f"{part}{n}{k}": F.when(whole, F.ceil(F.col(f"{n}0") + c)).otherwise(0).cast("long") for part, p in (("in", F.lit(0)), ("out", pad)) for n, size in (("x", "width"), ("y", "height")) for k, c in ((0, -p), (1, F.col(size) + p))}
+    asked = rects.filter("frame_id is not null").select(F.col("frame_id").cast("long").alias("frame_id"), F.col("cand_pos").cast("long").alias("cand_pos"), *(c.alias(n) for n, c in box.items()))
     names = ["n", "v", "vv", "c", "cc", "edge", "dark"]
-    table = settled(summed_area(measured, *names))
-    d = rectangle_sums(table, rects, names, least_ring).join(table.groupBy("frame_id").agg(F.count(F.lit(1)).alias("_all")), "frame_id")
+    schema = pa.schema([("frame_id", pa.int64()), ("cand_pos", pa.int64()), ("_all", pa.int64()), *((f"{part}_{n}", pa.float64()) for part in ("in", "out") for n in names)])
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        y, x, v, c, e = (left[n].to_numpy() for n in ("y", "x", "v", "c", "edge"))
+        dark, (v, c) = v < BLACK, (np.where(np.isnan(a), 0.0, a) for a in (v, c))
+        h, w = int(y.max()) + 1, int(x.max()) + 1
+        table = np.zeros((len(names), h + 1, w + 1), np.longdouble)  # differences of long sums keep a double's places
+        for plane, values in zip(table, (1, v, v * v, c, c * c, e, dark), strict=True):
+            np.add.at(plane, (y + 1, x + 1), values)
+        table = table.cumsum(axis=2).cumsum(axis=1)
+        positions = right["cand_pos"].to_pylist()
+        place = {p: k for k, p in enumerate(dict.fromkeys(positions))}
+        at = [place[p] for p in positions]
+
+        def total(part: str) -> np.ndarray:
+            x0, x1, y0, y1 = (np.clip(right[f"{part}{n}"].to_numpy(), 0, most) for n, most in (("x0", w), ("x1", w), ("y0", h), ("y1", h)))
+            x1, y1 = np.maximum(x0, x1), np.maximum(y0, y1)
+            out = np.zeros((len(place), len(names)), np.longdouble)
+            np.add.at(out, at, (table[:, y1, x1] - table[:, y0, x1] - table[:, y1, x0] + table[:, y0, x0]).T)
+            return out
+
+        inside, both = total("in"), total("out")
+        told = np.concatenate([inside, both - inside], axis=1).T.astype(float)
+        return pa.table([pa.array([key[0].as_py()] * len(place), pa.int64()), pa.array(list(place), pa.int64()), pa.array([h * w] * len(place), pa.int64()), *told], schema=schema)
+
+    columns = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'double'}" for f in schema)
+    d = cells.groupBy("frame_id").cogroup(asked.groupBy("frame_id")).applyInArrow(run, columns)
     out = []
     for p in ("in", "out"):
         n = F.col(f"{p}_n")

@@ -170,3 +170,14 @@ def test_small_tiles_and_components_share_a_call(spark, monkeypatch):
     for frame, y, x, c in small:
         members.setdefault((frame, c), []).append((y, x))
     assert got == {k: tiles.least_rectangle(*np.array(v).T) for k, v in members.items()}
+
+
+def test_summed_areas_are_not_dealt_out(spark):
+    """The seven sums of each cell were written and dealt out three times."""
+    rects = spark.createDataFrame([(1, 5, 2, 3, 6, 5), (1, 6, 100, 100, 6, 5), (1, None, 0, 0, 5, 4), (1, 7, None, 0, 5, 4), (2, 8, 0, 0, 5, 4)], "frame_id long, cand_pos long, x0 long, y0 long, width long, height long")
+    got = areas.rectangle_statistics(frame_of(spark, 599), rects, F.col("r"), F.col("g"), F.col("b") > 0.4, 2.0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and not any(n in plan for n in ("Join", "Window", "FileScan"))
+    rows = {r["cand_pos"]: r for r in got.collect()}
+    assert {k: (r["in_n"], r["out_n"]) for k, r in rows.items()} == {5: (30, 60), 6: (0, 0), None: (20, 22), 7: (0, 0)}
+    assert rows[5]["in_valid"] == 30 / 600 and rows[6]["in_black"] == 1.0 and rows[5]["in_edges"] == 1.0
