@@ -92,10 +92,12 @@ def gain_cluster(df: DataFrame, keys: list[str], pos: str, values: list[str], we
     A centre needs two rows; the heaviest wins, then the fullest, then the tightest, then the first by ``pos``. Groups of one or
     two rows, and those whose best cluster has under two rows or a quarter of the group, are taken whole. Rows meet through
     cells as wide as the radius, so only neighbours are compared; rows of equal values are one, with their weight and number.
+    A group of n different rows may have n * n near pairs, so rows are dealt to all cores first: few as their bytes are, Spark
+    would else leave the pairs of all groups to one task.
     """
     cell = [F.floor(F.col(v) / radius).cast("long") for v in values]
     points = df.groupBy(*keys, *values).agg(F.sum(weight).alias(weight), F.count(F.lit(1)).alias("_rows"), F.min(pos).alias(pos))
-    placed = points.withColumns({f"_c{i}": c for i, c in enumerate(cell)})
+    placed = points.withColumns({f"_c{i}": c for i, c in enumerate(cell)}).repartition(df.sparkSession.sparkContext.defaultParallelism, pos)
     shifts = F.array(F.lit(-1), F.lit(0), F.lit(1))
     centre = placed.select(*(F.col(k).alias(f"a_{k}") for k in keys), F.col(pos).alias("a_pos"), *(F.col(v).alias(f"a_{v}") for v in values), *(f"_c{i}" for i in range(len(values))))
     for i in range(len(values)):

@@ -232,6 +232,25 @@ def trimmed_of(values: list[np.ndarray], q: float, least_before: int, least_afte
     return kept if kept.sum() >= least_after else np.ones(len(away), bool)
 
 
+EXPOSURE = "p05 double, p25 double, p50 double, p75 double, p95 double, shadow_clip double, highlight_clip double"
+
+
+def exposure_of(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> dict[str, float]:
+    """EXPOSURE: ``exposure_metrics`` in numpy, weighed between neighbours as Spark's percentile does."""
+    y = r * 0.299 + g * 0.587 + b * 0.114
+    y = np.sort(y[np.isfinite(y)])
+    names = [part.split()[0] for part in EXPOSURE.split(", ")]
+    if not len(y):
+        return dict.fromkeys(names, 0.0)
+    out = []
+    for q in (0.05, 0.25, 0.5, 0.75, 0.95):
+        at = (len(y) - 1) * q
+        low, high = math.floor(at), math.ceil(at)
+        x, z = float(y[low]), float(y[high])
+        out.append(x if x == z else (high - at) * x + (at - low) * z)
+    return dict(zip(names, [*out, int((y <= 0.01).sum()) / len(y), int((y >= 0.99).sum()) / len(y)], strict=True))
+
+
 CAST = "sampled long, n_used long, sat_median double, r double, g double, b double"
 
 
@@ -246,9 +265,8 @@ def cast_of(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> dict[str, float | No
     return {"sampled": len(r), "n_used": int(used.sum()), "sat_median": median_of(p["sat"][used]), **{n: median_of(v[kept]) for n, v in zip("rgb", res, strict=True)}}
 
 
-def magnitude_of(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> float:
-    """cast_metrics' magnitude alone."""
-    m = cast_of(r, g, b)
+def magnitude_told(m: dict[str, float | None]) -> float:
+    """cast_metrics' magnitude of what ``cast_of`` tells."""
     if m["r"] is None:
         return 0.0
     luma = m["r"] * 0.299 + m["g"] * 0.587 + m["b"] * 0.114
@@ -256,6 +274,11 @@ def magnitude_of(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> float:
     return math.sqrt(x * x + y * y + z * z)
 
 
+def magnitude_of(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> float:
+    """cast_metrics' magnitude alone."""
+    return magnitude_told(cast_of(r, g, b))
+
+
 def cast_columns() -> dict[str, Column]:
     """cast_metrics' columns of those of CAST."""
     luma = luma601(rgb())
@@ -278,6 +301,13 @@ def gains_of(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> dict[str, float | N
     return {"n": int(used.sum()), "pixels": len(r), **{n: median_of(v[kept]) for n, v in zip(("r", "g", "b", "target"), chosen, strict=True)}}
 
 
+def gains_told(m: dict[str, float | None]) -> list[float] | None:
+    """neutral_gains' gains of what ``gains_of`` tells, or none."""
+    if m["n"] < 96 or m["pixels"] < 64 or m["target"] <= 1e-6 or min(m["r"], m["g"], m["b"]) <= 1e-6:
+        return None
+    return [m["target"] / m[c] for c in "rgb"]
+
+
 def gain_columns() -> dict[str, Column]:
     """neutral_gains' columns of those of GAINS."""
     good = (F.col("n") >= 96) & (F.col("pixels") >= 64) & (F.col("target") > 1e-6) & (F.least("r", "g", "b") > 1e-6)
@@ -298,14 +328,6 @@ def neutral_gains(df: DataFrame, keys: list[str]) -> DataFrame:
     return by_group(df, keys, GAINS, gains_of).select(*keys, *_named(gain_columns()))
 
 
-def cast_and_gains(df: DataFrame, keys: list[str]) -> DataFrame:
-    """cast_metrics and neutral_gains of one group of pixels beside each other."""
-    gains = ", ".join(f"k_{part}" for part in GAINS.split(", "))
-    both = by_group(df, keys, f"{CAST}, {gains}", lambda r, g, b: cast_of(r, g, b) | {f"k_{n}": v for n, v in gains_of(r, g, b).items()})
-    cast = both.select(*keys, *_named(cast_columns()), *(F.col(f"k_{n}").alias(n) for n in ("n", "pixels", "r", "g", "b", "target")))
-    return cast.select(*keys, *cast_columns(), *_named(gain_columns()))
-
-
 def luma_histogram(df: DataFrame, keys: list[str], bins: int = 256) -> DataFrame:
     """keys, bin, n for every bin of [0, 1], empty ones too; the last bin is closed."""
     luma = luma709(rgb().map(unit))

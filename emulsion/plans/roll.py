@@ -2,11 +2,14 @@
 
 ``pixels`` (frame_id, r, g, b) give a row a frame; frames (frame_id, roll_id) give a row a roll; and frames joined with their
 roll give a plan a frame. What a frame would look like under other gains is measured for all alternatives at once, in the group of
-its pixels. Only the frame and roll tables, rows of some numbers, are kept between the steps.
+its pixels, and under its own neutral gains where these are found: pixels are shuffled once for all that needs no roll. Only the
+frame and roll tables, rows of some numbers, are kept between the steps.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -52,10 +55,45 @@ def named(p: RGB, prefix: str) -> dict[str, Column]:
 
 
 def dealt(pixels: DataFrame) -> DataFrame:
-    """Pixels by frame. All measures of a frame, and alternatives of it, then begin with the same exchange, which Spark makes once."""
+    """Pixels by frame."""
     return pixels.select("frame_id", "r", "g", "b").repartition("frame_id")
 
 
+def unit_luma(gains: list[float]) -> list[float]:
+    """``unit_luma_gains`` of three numbers."""
+    r, g, b = (min(max(k, 0.05), 20.0) for k in gains)
+    luma = max(r * 0.299 + g * 0.587 + b * 0.114, 1e-6)
+    return [r / luma, g / luma, b / luma]
+
+
+def drawn_in(gains: list[float], most: float) -> list[float]:
+    """Gains of unit luma, their logarithms no longer than ``most``."""
+    x, y, z = (math.log(min(max(k, 0.05), 20.0)) for k in unit_luma(gains))
+    size = math.sqrt(x * x + y * y + z * z)
+    k = most / max(size, 1e-6) if size > most else 1.0
+    return unit_luma([math.exp(v * k) for v in (x, y, z)])
+
+
+def applied(full: np.ndarray, gain: np.ndarray | float) -> np.ndarray:
+    """A channel, in steps of FULL, under a gain (or each of several): in whole steps again, from 0 to 1."""
+    return np.rint(np.clip(np.multiply.outer(full, gain).ravel(), 0.0, FULL)) / FULL
+
+
+MEASURED = f"{stats.EXPOSURE}, {stats.CAST}, cand_r double, cand_g double, cand_b double, after_cand double"
+
+
+def measured(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> dict[str, float | None]:
+    """MEASURED: a frame's exposure and cast, its neutral candidate's gains and the cast that these leave; null where it has none."""
+    cast = stats.cast_of(r, g, b)
+    out = stats.exposure_of(r, g, b) | cast | dict.fromkeys(("cand_r", "cand_g", "cand_b", "after_cand"))
+    gains = stats.gains_told(stats.gains_of(r, g, b))
+    if gains is not None:
+        gains = drawn_in(gains, 0.90 if stats.magnitude_told(cast) >= 0.04 else 0.62)
+        after = stats.magnitude_of(*(applied(c * FULL, k) for c, k in zip((r, g, b), gains, strict=True)))
+        out |= {"cand_r": gains[0], "cand_g": gains[1], "cand_b": gains[2], "after_cand": after}
+    return out
+
+
 def cast_after(pixels: DataFrame, work: DataFrame, alternatives: dict[str, RGB]) -> DataFrame:
     """frame_id and, for each alternative, after_<name>: the cast left when the gains are applied on whole steps of FULL.
 
@@ -73,7 +111,7 @@ def cast_after(pixels: DataFrame, work: DataFrame, alternatives: dict[str, RGB])
         out = {"frame_id": [key[0].as_py()]}
         for n in names:
             k = [right[f"{n}_{c}"].to_numpy() for c in "rgb"]
-            out[f"after_{n}"] = [stats.magnitude_of(*(np.rint(np.clip(np.multiply.outer(f, x).ravel(), 0.0, FULL)) / FULL for f, x in zip(full, k, strict=True)))]
+            out[f"after_{n}"] = [stats.magnitude_of(*(applied(f, x) for f, x in zip(full, k, strict=True)))]
         return pa.table(out, schema=none)
 
     return own.groupBy("frame_id").cogroup(gains.groupBy("frame_id")).applyInArrow(run, ", ".join(["frame_id long", *(f"after_{n} double" for n in names)]))
@@ -85,15 +123,11 @@ def frame_work(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     Pixels without coordinates have no regions, so the neutral percentile candidate is the only one; it stands for the ensemble.
     """
     key = ["frame_id"]
-    pixels = dealt(pixels)
-    base = on(stats.exposure_metrics(pixels, key), stats.cast_and_gains(pixels, key), key).join(frames, "frame_id")
-    has = F.col("gain_r").isNotNull()
-    base = base.withColumns(named(logs(gains_of("gain")), "log")).withColumn("size", norm(*gains_of("log"))).withColumn("most", F.when(F.col("magnitude") >= 0.04, 0.90).otherwise(0.62))
-    base = base.withColumns(named(times(gains_of("log"), F.when(F.col("size") > F.col("most"), F.col("most") / F.greatest("size", F.lit(1e-6))).otherwise(1.0)).map(F.exp), "lim"))
-    limited = unit_luma_gains(gains_of("lim"))
-    base = settled(base.withColumns(named(RGB(*(F.when(has, c).otherwise(1.0) for c in limited)), "cand")))
-    base = on(base, cast_after(pixels, base, {"cand": gains_of("cand")}), key)
-
+    told = stats.by_group(dealt(pixels), key, MEASURED, measured)
+    exposure = [part.split()[0] for part in stats.EXPOSURE.split(", ")]
+    base = told.select(*key, *exposure, *(c.alias(n) for n, c in stats.cast_columns().items()), *(f"cand_{n}" for n in "rgb"), "after_cand").join(frames, "frame_id")
+    base = base.withColumns({"has": F.col("cand_r").isNotNull()} | {f"cand_{n}": F.coalesce(f"cand_{n}", F.lit(1.0)) for n in "rgb"})
+    has = F.col("has")
     before, after = F.col("magnitude"), F.col("after_cand")
     base = base.withColumns(named(logs(gains_of("cand")), "clog")).withColumn("gain_size", norm(*gains_of("clog")))
     gain_size = F.col("gain_size")

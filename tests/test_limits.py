@@ -181,3 +181,38 @@ def test_summed_areas_are_not_dealt_out(spark):
     rows = {r["cand_pos"]: r for r in got.collect()}
     assert {k: (r["in_n"], r["out_n"]) for k, r in rows.items()} == {5: (30, 60), 6: (0, 0), None: (20, 22), 7: (0, 0)}
     assert rows[5]["in_valid"] == 30 / 600 and rows[6]["in_black"] == 1.0 and rows[5]["in_edges"] == 1.0
+
+
+def test_pairs_of_gains_are_dealt_to_all_cores(spark, tmp_path):
+    """All near pairs of a few rows, 4,000,000 here, were one task's."""
+    spark.range(2000).selectExpr("1 AS k", "id AS pos", "id * 1e-6D AS r", "0.0D AS g", "0.0D AS b", "0.5D AS w").write.parquet(f"{tmp_path}/gains")
+    got = relate.gain_cluster(spark.read.parquet(f"{tmp_path}/gains"), ["k"], "pos", ["r", "g", "b"], "w")
+    cores = spark.sparkContext.defaultParallelism
+    assert any("hashpartitioning(pos#" in n and f", {cores}), REPARTITION_BY_NUM" in n for n in below(got, "Join"))
+    assert all(r["in_cluster"] for r in got.collect())
+
+
+def test_a_frame_is_measured_with_its_candidate_in_one_exchange(spark):
+    """Exposure, cast and candidate had three exchanges of the pixels; they are as by the operators apart."""
+    pixels = settled(frame_of(spark, 600))
+    frames = settled(spark.createDataFrame([(1, 7)], "frame_id long, roll_id long"))
+    got = roll.frame_work(pixels, frames)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("hashpartitioning(frame_id") == 1 and "percentile(" not in plan
+    row, exposure, cast, gains = got.first(), *(f(pixels, ["frame_id"]).first() for f in (stats.exposure_metrics, stats.cast_metrics, stats.neutral_gains))
+    assert all(row[n] == exposure[n] for n in ("p05", "p25", "p50", "p75", "p95", "shadow_clip", "highlight_clip"))
+    assert row["cast"] == cast["magnitude"] and row["neutral_pixels"] == cast["neutral_pixels"] and gains["gain_r"] is not None
+    most = 0.90 if row["cast"] >= 0.04 else 0.62
+    limited = spark.range(1).select(*roll.from_logs(roll.logs(roll.RGB(*(F.lit(gains[f"gain_{c}"]) for c in "rgb"))))).first()
+    own = roll.drawn_in([gains[f"gain_{c}"] for c in "rgb"], most)
+    assert max(abs(a - b) for a, b in zip(own, limited, strict=True)) < 1e-12
+    assert roll.drawn_in([4.0, 1.0, 0.2], 0.62) != roll.drawn_in([4.0, 1.0, 0.2], 0.90)
+
+
+def test_exposure_in_numpy_is_that_of_spark(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, *map(float, rng.integers(0, 40, 3) / 39)) for k in range(12) for _ in range(1 + 37 * k)]
+    rows += [(90, None, 0.5, 0.5), (90, float("nan"), 0.5, 0.5), (90, float("inf"), 0.5, 0.5), (91, 0.2, 0.3, 0.4), (91, None, 0.1, 0.1)]
+    d = settled(spark.createDataFrame(rows, "frame_id long, r double, g double, b double"))
+    want = sorted(map(tuple, stats.exposure_metrics(d, ["frame_id"]).collect()))
+    assert sorted(map(tuple, stats.by_group(d, ["frame_id"], stats.EXPOSURE, stats.exposure_of).collect())) == want
